@@ -18,6 +18,7 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 
@@ -38,7 +39,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     for key, value in DEFAULT_CONF.items():
-        if key != "spark.ui.enabled":
+        if key not in ("spark.ui.enabled", "spark.ui.showConsoleProgress"):
             spark.conf.set(key, value)
     ensure_checkpoint_dir(spark)
     return spark
