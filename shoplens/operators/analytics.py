@@ -98,6 +98,25 @@ def global_row_number(df: DataFrame, order: Sequence[Column], name: str = "row_n
             .drop("_pid", "_local", "_off"))
 
 
+def global_cumsum(df: DataFrame, order: Sequence[Column], value: Column, name: str,
+                  inclusive: bool = True, num_partitions: int | None = None) -> DataFrame:
+    """Running sum of ``value`` in a total order, distributed like global_row_number."""
+    spark = df.sparkSession
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = (df.withColumn("_val", value).repartitionByRange(n, *order)
+              .withColumn("_pid", F.spark_partition_id()))
+    frame_end = Window.currentRow if inclusive else -1
+    local = ranged.withColumn("_local", F.coalesce(F.sum("_val").over(
+        Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, frame_end)),
+        F.lit(0)))
+    totals = local.groupBy("_pid").agg(F.sum("_val").alias("_n"))
+    offsets = totals.select("_pid", F.sum("_n").over(
+        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)).alias("_off"))
+    return (local.join(F.broadcast(offsets), "_pid")
+            .withColumn(name, F.coalesce(F.col("_off"), F.lit(0)) + F.col("_local"))
+            .drop("_pid", "_local", "_off", "_val"))
+
+
 def paginate(df: DataFrame, order: Sequence[Column], page_size: int, page: int) -> DataFrame:
     """Rows of one page plus ``total_pages = max(1, ceil(n / page_size))``.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shoplens.plans import q_analytics, q_cf, q_scalars  # noqa: F401
+from shoplens.plans import q_analytics, q_cf, q_profiles, q_scalars  # noqa: F401
 from shoplens.plans.base import REGISTRY
 
 __all__ = ["REGISTRY"]
