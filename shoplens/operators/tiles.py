@@ -98,7 +98,8 @@ def dense_topk(queries: DataFrame, candidates: DataFrame, k: int, *,
         .where(F.col("q_vec").isNotNull())
     c = candidates.select(F.col(c_key).alias("c_key"), F.col(c_vec).alias("c_vec")) \
         .where(F.col("c_vec").isNotNull())
-    nq, nc = q.count(), c.count()
+    # sizing only needs row counts: count keys so vector expressions are not evaluated
+    nq, nc = queries.select(q_key).count(), candidates.select(c_key).count()
     qb, cb = _plan_blocks(spark, nq, nc, q_tile, c_tile)
     qk_t, ck_t = _key_type(q, "q_key"), _key_type(c, "c_key")
     qt = (q.withColumn("qb", F.pmod(F.xxhash64("q_key"), F.lit(qb)))
