@@ -196,3 +196,48 @@ def sparse_topk(queries: DataFrame, candidates: DataFrame, k: int, *,
     tiles = (qt.groupBy("qb", "cb").cogroup(ct.groupBy("qb", "cb"))
              .applyInPandas(kernel, out_schema))
     return _merge(tiles, k)
+
+
+def dense_rank_of_target(queries: DataFrame, targets: DataFrame, items: DataFrame, *,
+                         key: str = "sample_id", q_vec: str = "vector", item_vec: str = "embedding",
+                         q_tile: int = DEFAULT_Q_TILE, c_tile: int = DEFAULT_C_TILE) -> DataFrame:
+    """Rank of each sample's target item among all items by inner product.
+
+    ``queries``: (key, vector); ``targets``: (key, item_id); ``items``:
+    (item_id, embedding). rank = 1 + #items with a strictly higher score; each
+    tile returns one partial count per sample, summed afterwards.
+    """
+    spark = queries.sparkSession
+    tv = items.select(F.col("item_id").alias("_t"), F.col(item_vec).alias("_tv"))
+    q = (queries.select(F.col(key).alias("q_key"), F.col(q_vec).alias("q_vec"))
+         .join(targets.select(F.col(key).alias("q_key"), F.col("item_id").alias("_t")), "q_key")
+         .join(tv, "_t")
+         .select("q_key", "q_vec", "_t", "_tv"))
+    c = items.select(F.col("item_id").alias("c_key"), F.col(item_vec).alias("c_vec"))
+    nq, nc = targets.count(), items.count()
+    qb, cb = _plan_blocks(spark, nq, nc, q_tile, c_tile)
+    qk_t = _key_type(q, "q_key")
+    qt = (q.withColumn("qb", F.pmod(F.xxhash64("q_key"), F.lit(qb)))
+          .withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(cb - 1)).cast("array<bigint>"))))
+    ct = (c.withColumn("cb", F.pmod(F.xxhash64("c_key"), F.lit(cb)))
+          .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1)).cast("array<bigint>"))))
+    schema = T.StructType([T.StructField("q_key", qk_t), T.StructField("above", T.LongType())])
+
+    def kernel(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
+        if qpdf.empty:
+            return pd.DataFrame({"q_key": qpdf["q_key"], "above": np.zeros(0, dtype=np.int64)})
+        if cpdf.empty:
+            return pd.DataFrame({"q_key": qpdf["q_key"], "above": np.zeros(len(qpdf), dtype=np.int64)})
+        Q = np.stack(qpdf["q_vec"].map(lambda a: np.asarray(a, dtype=np.float64)).to_numpy())
+        C = np.stack(cpdf["c_vec"].map(lambda a: np.asarray(a, dtype=np.float64)).to_numpy())
+        TV = np.stack(qpdf["_tv"].map(lambda a: np.asarray(a, dtype=np.float64)).to_numpy())
+        S = Q @ C.T
+        t_score = (Q @ TV.T).diagonal() if len(Q) <= 2048 else np.einsum("ij,ij->i", Q, TV)
+        # the target itself never counts (its matmul score may differ in the last bit)
+        not_self = qpdf["_t"].to_numpy()[:, None] != cpdf["c_key"].to_numpy()[None, :]
+        above = ((S > t_score[:, None]) & not_self).sum(axis=1).astype(np.int64)
+        return pd.DataFrame({"q_key": qpdf["q_key"].to_numpy(), "above": above})
+
+    parts = (qt.groupBy("qb", "cb").cogroup(ct.groupBy("qb", "cb")).applyInPandas(kernel, schema))
+    return parts.groupBy("q_key").agg((F.sum("above") + 1).alias("target_rank")) \
+        .withColumnRenamed("q_key", key)
