@@ -44,7 +44,11 @@ def _event_type(raw: Column) -> Column:
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _read(spark, sf_dir, "events")
+    return events_from(_read(spark, sf_dir, "events"))
+
+
+def events_from(e: DataFrame) -> DataFrame:
+    """The events view over any raw events frame (batch or streaming)."""
     return e.select(
         F.col("event_id"),
         F.col("user_id").cast("string").alias("user_id"),
