@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from shoplens.functions import scalars as S
 from shoplens.functions import vectors as V
 from shoplens.operators.tiles import dense_topk
+from shoplens.session import cut_lineage
 
 
 def _cart_ids(carts: DataFrame) -> DataFrame:
@@ -45,7 +46,8 @@ def metadata_candidates(products: DataFrame, carts: DataFrame, top_n: int = 10)
     through equi-joins on the cart's attributes; items sharing nothing with a
     cart come from two bounded global lists.
     """
-    attrs = item_attributes(products)
+    # catalog-sized, read by several scalar subqueries and joins: materialise once
+    attrs = cut_lineage(item_attributes(products))
     cart_items = _cart_ids(carts).join(attrs, "item_id")  # cart items known to the catalog
     k_max = carts.groupBy("cart_id").agg(F.count_distinct("item_id").alias("n")).select(
         F.coalesce(F.max("n"), F.lit(0))).first()[0]
@@ -53,10 +55,31 @@ def metadata_candidates(products: DataFrame, carts: DataFrame, top_n: int = 10)
     pos = (F.col("price") > 0) & F.col("price").isNotNull()
     cheap_order = [F.desc(pos.cast("int")), F.asc("price"), F.asc("item_id")]
     combo = ["_type", "_cat", "_gender", "_brand"]
+    # With >= K + 2 distinct positive prices no cart can see a flat price range,
+    # so cheapness is strictly price-ordered and id-ordered lists are not needed.
+    n_prices = attrs.where(pos).select(F.count_distinct("price")).first()[0]
+    flat_possible = n_prices < k_max + 2
+    # per combination, a cart can only exclude its own items of that combination:
+    # keep top_n + (largest such overlap over all carts) cheapest items of it
+    overlap = (cart_items.groupBy("cart_id", *combo).agg(F.count(F.lit(1)).alias("_o"))
+               .groupBy(*combo).agg(F.max("_o").alias("_o"))
+               .select(*[F.col(c).alias(f"_ov{c}") for c in combo], "_o"))
+    keep_c = F.lit(top_n) + F.coalesce(F.col("_o"), F.lit(0))
+    cond = None
+    for c in combo:
+        e = F.col(c).eqNullSafe(F.col(f"_ov{c}"))
+        cond = e if cond is None else cond & e
+    with_keep = attrs.join(overlap, cond, "left").drop(*[f"_ov{c}" for c in combo])
     w_cheap = Window.partitionBy(*combo).orderBy(*cheap_order)
-    w_id = Window.partitionBy(*combo).orderBy(F.desc(pos.cast("int")), F.asc("item_id"))
-    trimmed = (attrs.withColumn("_r1", F.row_number().over(w_cheap)).withColumn("_r2", F.row_number().over(w_id))
-               .where((F.col("_r1") <= keep) | (F.col("_r2") <= keep)).drop("_r1", "_r2"))
+    trimmed = with_keep.withColumn("_r1", F.row_number().over(w_cheap))
+    if flat_possible:
+        w_id = Window.partitionBy(*combo).orderBy(F.desc(pos.cast("int")), F.asc("item_id"))
+        trimmed = (trimmed.withColumn("_r2", F.row_number().over(w_id))
+                   .where((F.col("_r1") <= keep_c) | (F.col("_r2") <= keep_c)).drop("_r2"))
+    else:
+        trimmed = trimmed.where(F.col("_r1") <= keep_c)
+    trimmed = trimmed.drop("_o")
+    trimmed = trimmed.drop("_r1")
 
     sets = cart_items.groupBy("cart_id").agg(
         F.collect_set(F.when(F.col("_type") != "unknown", F.col("_type"))).alias("_known_types"),
@@ -65,20 +88,27 @@ def metadata_candidates(products: DataFrame, carts: DataFrame, top_n: int = 10)
         F.collect_set("_gender").alias("_genders"),
         F.collect_set(F.when(F.col("_brand") != "unknown", F.col("_brand"))).alias("_brands"))
 
-    # candidate pool: shares an attribute with the cart ...
-    def via(attr_col, set_col):
-        keys = sets.select("cart_id", F.explode(set_col).alias(attr_col))
+    def via(src, attr_col, set_col):
+        keys = src.select("cart_id", F.explode(set_col).alias(attr_col))
         return keys.join(trimmed.select("item_id", attr_col), attr_col).select("cart_id", "item_id")
 
-    pool = (via("_type", "_types").unionByName(via("_cat", "_cats")).unionByName(via("_gender", "_genders"))
-            .unionByName(via("_brand", "_brands")))
-    # ... or comes from the global lists (known / unknown type, by cheapness and by id)
+    # Type dominance: a type-matched item scores >= 8, any other <= 3.4. A cart
+    # with at least top_n type-matched candidates needs nothing else.
+    typed = via(sets, "_type", "_known_types").join(_cart_ids(carts), ["cart_id", "item_id"], "left_anti")
+    enough = typed.groupBy("cart_id").count().where(F.col("count") >= top_n).select("cart_id")
+    rest = sets.join(enough, "cart_id", "left_anti")
+    # other carts: anything sharing an attribute ...
+    pool = (via(rest, "_type", "_types").unionByName(via(rest, "_cat", "_cats"))
+            .unionByName(via(rest, "_gender", "_genders")).unionByName(via(rest, "_brand", "_brands")))
+    # ... or from the global lists (known / unknown type, by cheapness [and by id])
+    orders = [cheap_order] + ([[F.desc(pos.cast("int")), F.asc("item_id")]] if flat_possible else [])
     for is_unknown in (False, True):
         cls = attrs.where((F.col("_type") == "unknown") == F.lit(is_unknown))
-        for order in (cheap_order, [F.desc(pos.cast("int")), F.asc("item_id")]):
+        for order in orders:
             head = cls.orderBy(*order).limit(keep).select(F.collect_list("item_id").alias("l")).scalar()
-            pool = pool.unionByName(sets.select("cart_id", F.explode(head).alias("item_id")))
+            pool = pool.unionByName(rest.select("cart_id", F.explode(head).alias("item_id")))
     pool = pool.distinct().join(_cart_ids(carts), ["cart_id", "item_id"], "left_anti")
+    pool = typed.join(enough, "cart_id", "left_semi").unionByName(pool)
 
     # per-cart price range over non-cart catalog prices > 0 (extremes may sit in the cart)
     priced = attrs.where(pos).select("item_id", "price")
@@ -223,20 +253,24 @@ def cart_retrieval(carts: DataFrame, products: DataFrame, embeddings: DataFrame,
 
 
 # J20 ------------------------------------------------------------------------
-def checkout_fallback_chain(strategies: list[tuple[str, DataFrame]]) -> DataFrame:
-    """First non-empty strategy per cart: each later strategy only fills carts the
-    earlier ones left empty. strategies: [(name, (cart_id, item_id, rank, ...))]."""
+def checkout_fallback_chain(carts: DataFrame, strategies: list) -> DataFrame:
+    """First non-empty strategy per cart. strategies: [(name, carts -> recs)];
+    each later strategy runs only on the carts all earlier ones left empty.
+    recs: (cart_id, item_id, rank, similarity_score[, ranking_score])."""
     out = None
-    for prio, (name, df) in enumerate(strategies):
+    remaining = carts
+    for name, fn in strategies:
+        if out is not None and remaining.isEmpty():
+            break  # every cart is served; later strategies would only add empty plans
+        # each strategy's result is materialised in the shared checkpoint folder so
+        # the next strategy's input (carts still empty) does not recompute it
+        df = cut_lineage(fn(remaining))
         d = df.select("cart_id", "item_id", "rank",
                       F.col("similarity_score").cast("double").alias("similarity_score"),
                       (F.col("ranking_score") if "ranking_score" in df.columns else F.col("similarity_score"))
                       .cast("double").alias("ranking_score")).withColumn("strategy", F.lit(name))
-        if out is None:
-            out = d
-        else:
-            out = out.unionByName(d.join(out.select("cart_id").distinct(), "cart_id", "left_anti"))
-        _ = prio
+        out = d if out is None else out.unionByName(d)
+        remaining = cut_lineage(remaining.join(d.select("cart_id").distinct(), "cart_id", "left_anti"))
     return out
 
 

@@ -79,6 +79,60 @@ def _select_topk(scores: np.ndarray, crank: np.ndarray, k: int,
     return qi[sel], ci[sel]
 
 
+_PAIR_CHUNK = 8_000_000  # (query, candidate) products expanded at once in the sparse kernel
+
+
+def _sparse_dot(qrow, qf, qv, crow, cf, cv, nqr: int, ncr: int, nfeat: int) -> np.ndarray:
+    """Q·Cᵀ for sparse rows given as (row, feature, value) triples.
+
+    Picks the cheaper of two exact evaluations: per shared feature, expand the
+    (query entry x candidate entry) products and accumulate with bincount
+    (cost ~ Σ_f deg_q(f)·deg_c(f)), or dense matmul over feature chunks
+    (cost ~ nq·nc·nfeat) when the rows are dense.
+    """
+    S = np.zeros(nqr * ncr)
+    oq, oc = np.argsort(qf, kind="stable"), np.argsort(cf, kind="stable")
+    qf_s, cf_s = qf[oq], cf[oc]
+    uq, q_start, q_cnt = np.unique(qf_s, return_index=True, return_counts=True)
+    uc, c_start, c_cnt = np.unique(cf_s, return_index=True, return_counts=True)
+    common, iq, ic = np.intersect1d(uq, uc, assume_unique=True, return_indices=True)
+    dq, dc = q_cnt[iq].astype(np.int64), c_cnt[ic].astype(np.int64)
+    pairs = dq * dc
+    total = int(pairs.sum())
+    if total == 0:
+        return S.reshape(nqr, ncr)
+    if total > nqr * ncr * max(1, len(common)) // 4:
+        # dense rows: BLAS over feature chunks
+        S2 = S.reshape(nqr, ncr)
+        step = max(1, _CHUNK_CELLS // max(1, nqr + ncr))
+        for lo in range(0, nfeat, step):
+            hi = min(nfeat, lo + step)
+            mq, mc = (qf >= lo) & (qf < hi), (cf >= lo) & (cf < hi)
+            if not mq.any() or not mc.any():
+                continue
+            Qd, Cd = np.zeros((nqr, hi - lo)), np.zeros((ncr, hi - lo))
+            np.add.at(Qd, (qrow[mq], qf[mq] - lo), qv[mq])
+            np.add.at(Cd, (crow[mc], cf[mc] - lo), cv[mc])
+            S2 += Qd @ Cd.T
+        return S2
+    qs, cs = q_start[iq], c_start[ic]
+    bounds = np.cumsum(pairs)
+    lo = 0
+    while lo < len(common):
+        base = bounds[lo - 1] if lo else 0
+        hi = int(np.searchsorted(bounds, base + _PAIR_CHUNK, side="right"))
+        hi = max(hi, lo + 1)
+        p = pairs[lo:hi]
+        feat = np.repeat(np.arange(hi - lo), p)
+        offs = np.arange(int(p.sum())) - np.repeat(np.cumsum(p) - p, p)
+        d_c = dc[lo:hi][feat]
+        qpos = oq[qs[lo:hi][feat] + offs // d_c]
+        cpos = oc[cs[lo:hi][feat] + offs % d_c]
+        S += np.bincount(qrow[qpos] * ncr + crow[cpos], weights=qv[qpos] * cv[cpos], minlength=nqr * ncr)
+        lo = hi
+    return S.reshape(nqr, ncr)
+
+
 def _key_type(df: DataFrame, col: str) -> T.DataType:
     return df.schema[col].dataType
 
@@ -167,19 +221,7 @@ def sparse_topk(queries: DataFrame, candidates: DataFrame, k: int, *,
         nfeat = int(fcodes.max()) + 1
         nqr, ncr = len(qkeys), len(ckeys)
         qv, cv = qpdf["v"].to_numpy(), cpdf["v"].to_numpy()
-        S = np.zeros((nqr, ncr))
-        step = max(1, _CHUNK_CELLS // max(1, nqr + ncr))
-        for lo in range(0, nfeat, step):
-            hi = min(nfeat, lo + step)
-            mq = (fq >= lo) & (fq < hi)
-            mc = (fc >= lo) & (fc < hi)
-            if not mq.any() or not mc.any():
-                continue
-            Qd = np.zeros((nqr, hi - lo))
-            Cd = np.zeros((ncr, hi - lo))
-            np.add.at(Qd, (qcode[mq], fq[mq] - lo), qv[mq])
-            np.add.at(Cd, (ccode[mc], fc[mc] - lo), cv[mc])
-            S += Qd @ Cd.T
+        S = _sparse_dot(qcode, fq, qv, ccode, fc, cv, nqr, ncr, nfeat)
         if cosine:
             nqn = np.sqrt(np.bincount(qcode, weights=qv * qv, minlength=nqr))
             ncn = np.sqrt(np.bincount(ccode, weights=cv * cv, minlength=ncr))

@@ -140,10 +140,11 @@ WHERE cart_id NOT IN (SELECT cart_id FROM retr) AND cart_id NOT IN (SELECT cart_
                                                  RETR_CTES + "," + SIM_CTES + "," + META_CTES))
 def q_checkout_chain(spark, d):
     carts = _carts(spark, d)
-    chain = K.checkout_fallback_chain([
-        ("cart_retrieval", K.cart_retrieval(carts, ranker_products(spark, d), X.image_emb(spark, d), 6)),
-        ("cart_similarity", K.cart_similarity_scores(carts, _sim_table(spark, d), 10)),
-        ("metadata", K.metadata_candidates(X.products(spark, d), carts, 10)),
+    prods, rprods = X.products(spark, d), ranker_products(spark, d)
+    chain = K.checkout_fallback_chain(carts, [
+        ("cart_retrieval", lambda c: K.cart_retrieval(c, rprods, X.image_emb(spark, d), 6)),
+        ("cart_similarity", lambda c: K.cart_similarity_scores(c, _sim_table(spark, d), 10)),
+        ("metadata", lambda c: K.metadata_candidates(prods, c, 10)),
     ])
     return chain.select("cart_id", "item_id", F.col("rank").cast("bigint").alias("rank"), "strategy")
 
