@@ -229,11 +229,12 @@ def personal_plus_global(personal: DataFrame, global_top: DataFrame, products: D
 
 
 # J19 ------------------------------------------------------------------------
-def cart_retrieval(carts: DataFrame, products: DataFrame, embeddings: DataFrame, top_k: int = 6) -> DataFrame:
+def cart_retrieval(carts: DataFrame, products: DataFrame, embeddings: DataFrame, top_k: int = 6,
+                   n: int | None = None) -> DataFrame:
     """Retrieval from the cart alone: query = normalise(Σ 2·vector of each cart line),
     top N = max(4k, 24) items by inner product (no stock / purchase filters),
     cart items removed, first k. Carts without any vector fall back to popularity."""
-    n = max(top_k * 4, 24)
+    n = n or max(top_k * 4, 24)
     items = embeddings.join(products.select("item_id"), "item_id", "left_semi")
     lines = carts.select("cart_id", "item_id").join(items, "item_id")
     from shoplens.operators.vectors import weighted_vector_sum
@@ -274,5 +275,73 @@ def checkout_fallback_chain(carts: DataFrame, strategies: list) -> DataFrame:
     return out
 
 
+# B11 / G4 -------------------------------------------------------------------
+def prepare_events(events: DataFrame, carts: DataFrame | None = None, as_of: Column | None = None) -> DataFrame:
+    """Conform an event log for the ranker and append the open cart as events.
+
+    event_time / created_at are accepted as the time column, ids become text,
+    unparsable times are dropped; each cart's distinct items (first-add order)
+    become add_to_cart events at as_of - (n - i) minutes (as_of defaults to the
+    log's latest time, never the wall clock)."""
+    e = events
+    if "ts" not in e.columns:
+        src = next((c for c in ("timestamp", "event_time", "created_at") if c in e.columns), None)
+        if src is None:
+            raise ValueError("events need a timestamp / event_time / created_at column")
+        e = e.withColumnRenamed(src, "ts")
+    e = (e.withColumn("ts", F.coalesce(F.col("ts").cast("timestamp"),
+                                       F.try_to_timestamp(F.col("ts").cast("string"))))
+         .where(F.col("ts").isNotNull())
+         .withColumn("user_id", F.col("user_id").cast("string")).withColumn("item_id", F.col("item_id").cast("string")))
+    e = e.select("user_id", "item_id", "event_type", "ts", F.lit(False).alias("synthetic"))
+    if carts is None:
+        return e
+    now = as_of if as_of is not None else e.select(F.max("ts")).scalar()
+    first = carts.groupBy(F.col("cart_id").cast("string").alias("user_id"), F.col("item_id").cast("string")
+                          .alias("item_id")).agg(F.min("added_at").alias("_first"))
+    w = Window.partitionBy("user_id").orderBy("_first", "item_id")
+    first = first.withColumn("_i", F.row_number().over(w) - 1).withColumn("_n", F.count(F.lit(1)).over(
+        Window.partitionBy("user_id")))
+    synth = first.select("user_id", "item_id", F.lit("add_to_cart").alias("event_type"),
+                         (now - F.make_interval(mins=(F.col("_n") - F.col("_i")).cast("int"))).alias("ts"),
+                         F.lit(True).alias("synthetic"))
+    return e.unionByName(synth)
+
+
+# J18 ------------------------------------------------------------------------
+def checkout_recs(carts: DataFrame, products: DataFrame, embeddings: DataFrame, events: DataFrame,
+                  top_k: int = 6, scorer=None, recency_days: int = 365) -> DataFrame:
+    """Ranker-scored checkout recommendations for every cart.
+
+    candidates: cart retrieval with N = max(5k, 30) (no stock / purchase
+    filters), else metadata candidates; features from the user's events plus
+    the cart as events; score (default linear) x trending boost; blend
+    0.70 * minmax(similarity) + 0.30 * minmax(model) per cart; <= 3 per
+    category; top k."""
+    from shoplens.functions.weights import BLEND_MODEL, BLEND_SIMILARITY
+    from shoplens.operators.features import build_features
+    from shoplens.operators.ranking import diversity_rerank, linear_score, minmax_norm, trending_boost
+    n = max(top_k * 5, 30)
+    retr = cut_lineage(cart_retrieval(carts, products, embeddings, top_k=n, n=n))
+    left = carts.join(retr.select("cart_id").distinct(), "cart_id", "left_anti")
+    meta = metadata_candidates(products, left, n) if not left.isEmpty() else None
+    cands = retr.select("cart_id", "item_id", "similarity_score")
+    if meta is not None:
+        cands = cands.unionByName(meta.select("cart_id", "item_id", "similarity_score"))
+    cands = cands.withColumnRenamed("cart_id", "user_id")
+    ev = prepare_events(events, carts)
+    feats = build_features(cands, ev.drop("synthetic"), products, embeddings, recency_days)
+    scored = scorer(feats) if scorer else feats.withColumn("raw_score", linear_score())
+    scored = trending_boost(scored, products, "raw_score", "model_score")
+    scored = scored.join(cands, ["user_id", "item_id"])
+    scored = minmax_norm(scored, "similarity_score", "_sn")
+    scored = minmax_norm(scored, "model_score", "_mn")
+    scored = scored.withColumn("ranking_score", F.lit(BLEND_SIMILARITY) * F.col("_sn")
+                               + F.lit(BLEND_MODEL) * F.col("_mn"))
+    top = diversity_rerank(scored, products, top_k, "ranking_score")
+    return top.select(F.col("user_id").alias("cart_id"), "item_id", "rank", "similarity_score", "model_score",
+                      "ranking_score")
+
+
 def score_or(x: Column, *fallbacks: Column) -> Column:
     return F.coalesce(x, *fallbacks)

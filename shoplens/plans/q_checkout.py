@@ -204,3 +204,36 @@ def q_personal_plus_global(spark, d):
         "item_id", F.row_number().over(__import__("pyspark.sql", fromlist=["Window"]).Window
                                       .orderBy(F.desc("interactions"), "item_id")).alias("rank"))
     return K.personal_plus_global(personal, glob, prods).withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@register("prepare_events", with_views(["rev", "carts"], """
+SELECT user_id, count(*) AS n_events, count_if(synthetic) AS n_synthetic,
+       strftime(min(CASE WHEN synthetic THEN ts END), '%Y-%m-%d %H:%M:%S') AS first_synthetic
+FROM (SELECT user_id, ts, false AS synthetic FROM rev
+      UNION ALL
+      SELECT user_id, (SELECT max(ts) FROM rev) - to_minutes(CAST(n - i AS BIGINT)), true FROM (
+        SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY created_at, item_id) - 1 AS i,
+               count(*) OVER (PARTITION BY user_id) AS n FROM carts))
+GROUP BY user_id"""))
+def q_prepare_events(spark, d):
+    """The ranker's event log with each open cart appended as events."""
+    e = K.prepare_events(X.rank_events(spark, d), _carts(spark, d))
+    return e.groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("n_events"), F.count_if("synthetic").alias("n_synthetic"),
+        F.date_format(F.min(F.when(F.col("synthetic"), F.col("ts"))), "yyyy-MM-dd HH:mm:ss").alias("first_synthetic"))
+
+
+@register("batch_lookup", with_views(["carts", "products"], """
+SELECT p.item_id, p.product_name, p.price FROM products p WHERE p.item_id IN (SELECT DISTINCT item_id FROM carts)"""))
+def q_batch_lookup(spark, d):
+    """Details for a list of ids in one join (the id list is a DataFrame, never a driver list)."""
+    ids = X.carts(spark, d).select("item_id").distinct()
+    return X.products(spark, d).join(ids, "item_id", "left_semi").select("item_id", "product_name", "price")
+
+
+@register("checkout_recs")
+def q_checkout_recs(spark, d):
+    """J18 with the deterministic linear scorer (rows-only in this round)."""
+    r = K.checkout_recs(_carts(spark, d), ranker_products(spark, d), X.image_emb(spark, d),
+                        X.rank_events(spark, d), top_k=6)
+    return r.withColumn("rank", F.col("rank").cast("bigint"))

@@ -274,3 +274,27 @@ def q_train_ranker(spark, d):
     tr, va = R.temporal_user_split(_training(spark, d), X.rank_events(spark, d), 0.2)
     models = R.train_rankers(tr, va, max_iter=10, max_depth=4)
     return R.feature_importance(models["gbt"])
+
+
+@register("history_plus_negatives", with_views(["rev", "products"], """
+SELECT user_id, item_id FROM hist
+UNION ALL
+SELECT user_id, item_id FROM (
+  SELECT w.user_id, r.item_id, w.need,
+         row_number() OVER (PARTITION BY w.user_id ORDER BY w.step) AS sample_rank
+  FROM (SELECT s.user_id, s.need, st.step,
+               (('0x' || substr(md5(s.user_id || ':42'), 1, 8))::BIGINT + st.step) % (SELECT count(*) FROM ring)
+                 AS pos
+        FROM (SELECT user_id, 80 - count(*) AS need, count(*) AS h FROM hist GROUP BY user_id
+              HAVING 80 - count(*) > 0) s,
+             LATERAL (SELECT unnest(range(0, least(s.need + s.h, (SELECT count(*) FROM ring)))) AS step) st) w
+  JOIN ring r ON r.pos = w.pos
+  WHERE NOT EXISTS (SELECT 1 FROM hist x WHERE x.user_id = w.user_id AND x.item_id = r.item_id))
+WHERE sample_rank <= need""", """
+hist AS (SELECT DISTINCT user_id, item_id FROM rev),
+ring AS (SELECT item_id, row_number() OVER (ORDER BY ('0x' || substr(md5(item_id || ':42'), 1, 8))::BIGINT,
+                item_id) - 1 AS pos FROM (SELECT DISTINCT item_id FROM products))"""))
+def q_history_plus_negatives(spark, d):
+    """Interacted items plus seeded negatives up to 80 per user."""
+    return FE.history_plus_negatives(X.rank_events(spark, d), X.products(spark, d), 80, 42).select(
+        "user_id", "item_id")

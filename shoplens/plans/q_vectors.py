@@ -162,3 +162,32 @@ SELECT (SELECT count(*) FROM products) AS n_items,
 def q_fill_missing(spark, d):
     f = VO.fill_missing_embeddings(X.products(spark, d), X.image_emb(spark, d), 64)
     return f.agg(F.count(F.lit(1)).alias("n_items"), F.count_if("synthetic").alias("n_synthetic"))
+
+
+@register("embedding_stats", with_views(["products", "image_emb", "text_emb"], """
+SELECT (SELECT count(*) FROM products) AS n_products, (SELECT count(*) FROM image_emb) AS n_image,
+       (SELECT count(*) FROM text_emb) AS n_text, (SELECT max(len(embedding)) FROM image_emb) AS dim"""))
+def q_embedding_stats(spark, d):
+    """Catalog size, vectors per modality, dimension (one pass per table)."""
+    p = X.products(spark, d).agg(F.count(F.lit(1)).alias("n_products"))
+    i = X.image_emb(spark, d).agg(F.count(F.lit(1)).alias("n_image"), F.max(F.size("embedding")).alias("dim"))
+    t = X.text_emb(spark, d).agg(F.count(F.lit(1)).alias("n_text"))
+    return _stats_row(p, i, t)
+
+
+def _stats_row(p, i, t):
+    # three 1-row aggregates combined as scalar subqueries (no join of unrelated tables)
+    return p.select("n_products", i.select("n_image").scalar().alias("n_image"),
+                    t.select("n_text").scalar().alias("n_text"),
+                    i.select(F.col("dim").cast("bigint")).scalar().alias("dim"))
+
+
+@register("unseen_items", with_views(["rev", "products", "image_emb"], """
+SELECT c.user_id, c.item_id FROM (SELECT * FROM warm_r UNION ALL SELECT * FROM cold) c
+WHERE c.rank <= 10 AND NOT EXISTS (SELECT 1 FROM rev e WHERE e.user_id = c.user_id AND e.item_id = c.item_id)""",
+                                  CAND_SQL.replace("{fetch}", "30")))
+def q_unseen_items(spark, d):
+    """Candidates minus everything the user has seen (anti join, any history size)."""
+    ev = X.rank_events(spark, d)
+    c = C.candidates(ev, ranker_products(spark, d), X.image_emb(spark, d), top_n=10, recency_days=7)
+    return C.exclude_pairs(c, ev).select("user_id", "item_id")
