@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from shoplens.functions.scalars import hours_between
 from shoplens.functions.weights import DECAY_PER_HOUR, ONLINE_ALPHA, ONLINE_HISTORY
+from shoplens.operators.skew import prior_rows
 
 
 def _islands(df: DataFrame, key: list[str], ts: str, ttl_seconds: int | None, name: str) -> DataFrame:
@@ -54,10 +55,14 @@ def co_cart_deltas(events: DataFrame, history: int = ONLINE_HISTORY,
     """One row per pair increment: (item_a <= item_b, ts) for each add_to_cart
     event and each of the user's previous <= history carted items != the item."""
     carts = events.where(F.col("event_type") == "add_to_cart").select("event_id", "user_id", "item_id", "ts")
-    carts = _islands(carts, ["user_id"], "ts", ttl_seconds, "_isl")
-    w = (Window.partitionBy("user_id", "_isl").orderBy("ts", "event_id")
-         .rowsBetween(-history, -1))
-    prior = carts.withColumn("_prev", F.collect_list("item_id").over(w))
+    if ttl_seconds is None:
+        # skew-safe frame: a user holding a large share of carts is split in time chunks
+        prior = prior_rows(carts, "user_id", "ts", "event_id", history, F.col("item_id"), "_prev")
+    else:
+        carts = _islands(carts, ["user_id"], "ts", ttl_seconds, "_isl")
+        w = (Window.partitionBy("user_id", "_isl").orderBy("ts", "event_id")
+             .rowsBetween(-history, -1))
+        prior = carts.withColumn("_prev", F.collect_list("item_id").over(w))
     pairs = prior.select("event_id", "ts", "item_id", F.explode("_prev").alias("_p")).where(
         F.col("_p") != F.col("item_id"))
     return pairs.select(F.least("_p", "item_id").alias("item_a"), F.greatest("_p", "item_id").alias("item_b"),

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoplens.functions.scalars import hours_between
+from shoplens.operators.skew import prior_rows
 from shoplens.functions.weights import (EVENT_TYPE_IDS, EVENT_TYPE_UNKNOWN, SEQ_LOOKBACK_DAYS, SEQ_MAX_LEN,
                                         SEQ_MIN_HISTORY, TARGET_DEFAULT, TARGET_WEIGHTS, weight_of)
 
@@ -50,8 +51,7 @@ def sequence_samples(events: DataFrame, products: DataFrame, item_index: DataFra
         F.col("ts").alias("ts"), F.col("item_idx").alias("item_idx"), _event_id_col().alias("event_type_id"),
         (F.col("event_type") == "purchase").alias("is_purchase"), F.coalesce(F.col("_price"), F.lit(0.0)).alias("price"),
         (F.coalesce(F.col("_vec_ok"), F.lit(False)) & F.col("item_idx").isNotNull()).alias("valid"))
-    w = (Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-max_seq_len, -1))
-    s = e.withColumn("_prior", F.collect_list(step).over(w))
+    s = prior_rows(e, "user_id", "ts", "event_id", max_seq_len, step, "_prior")
     targets = TARGET_TYPES + (["view"] if include_view_targets else [])
     s = s.where(F.col("event_type").isin(targets) & F.col("item_idx").isNotNull())
     cutoff = F.col("ts") - F.make_interval(days=F.lit(lookback_days))
@@ -81,8 +81,9 @@ def sequence_samples(events: DataFrame, products: DataFrame, item_index: DataFra
 def latest_history(events: DataFrame, max_seq_len: int = SEQ_MAX_LEN,
                    lookback_days: int | None = SEQ_LOOKBACK_DAYS) -> DataFrame:
     """Each user's last ``max_seq_len`` events within lookback of the user's own last event."""
-    wu = Window.partitionBy("user_id")
-    e = events.withColumn("_now", F.max("ts").over(wu))
+    # per-user max as an aggregate (partial, skew-safe) instead of a whole-partition window
+    now = events.groupBy("user_id").agg(F.max("ts").alias("_now"))
+    e = events.join(now, "user_id")
     if lookback_days is not None:
         e = e.where(F.col("ts") >= F.col("_now") - F.make_interval(days=F.lit(lookback_days)))
     w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
@@ -166,9 +167,11 @@ def dwell_time(events: DataFrame, start_types=("view", "click"), end_types=("vie
     """Seconds from each activation to the user's next activation / cart action,
     >= 0, half-even to 0.01; the user's last activation stays open (NULL)."""
     e = events.where(F.col("event_type").isin(list(set(start_types) | set(end_types))))
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    nxt = F.lead("ts").over(w)
-    e = e.withColumn("_next", nxt).where(F.col("event_type").isin(list(start_types)))
+    # next row = previous row on reversed time, through the skew-safe chunked frame
+    e = (e.withColumn("_rts", F.timestamp_micros(-F.unix_micros("ts"))).withColumn("_reid", -F.col("event_id")))
+    e = prior_rows(e, "user_id", "_rts", "_reid", 1, F.col("ts"), "_nx")
+    e = (e.withColumn("_next", F.try_element_at("_nx", F.lit(1))).drop("_nx", "_rts", "_reid")
+         .where(F.col("event_type").isin(list(start_types))))
     micros = F.greatest(F.unix_micros("_next") - F.unix_micros("ts"), F.lit(0))
     return e.select("event_id", "user_id", "item_id", F.when(F.col("_next").isNotNull(),
                                                              half_even_hundredths(micros)).alias("time_spent"))
