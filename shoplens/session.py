@@ -51,11 +51,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     ``spark.checkpoint.dir`` is read from the session; only when it is unset
     (local tests) a fresh scratch folder is created and registered.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    current = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not current:
         current = tempfile.mkdtemp(prefix="shoplens-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
-    sc = spark.sparkContext
+        try:
+            spark.conf.set("spark.checkpoint.dir", current)
+        except Exception:  # noqa: BLE001 - some deployments refuse runtime core settings
+            pass
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(current)
     return current
@@ -69,3 +72,16 @@ def cut_lineage(df):
 
 def env_master() -> str:
     return f"local[{os.environ.get('BENCH_CPUS', '8')}]"
+
+
+def spread(df):
+    """Give CPU-heavy per-row work at least one partition per core.
+
+    Small inputs (few parquet row groups) would otherwise run on a few cores;
+    large inputs already have far more partitions than cores and are left
+    untouched (no extra shuffle).
+    """
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < par:
+        return df.repartition(par)
+    return df

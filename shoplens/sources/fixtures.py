@@ -16,9 +16,18 @@ from pyspark.sql import functions as F
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    _session_defaults(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _session_defaults(spark: SparkSession) -> None:
+    """Queries may receive a session built elsewhere: pin the settings results depend on."""
+    if spark.conf.get("spark.sql.session.timeZone", None) != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    from shoplens.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return _read(spark, sf_dir, name)
 
