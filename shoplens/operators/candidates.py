@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from shoplens.functions.weights import RECENCY_DAYS
 from shoplens.operators.analytics import in_stock_filter, recent_events
 from shoplens.operators.vectors import embedded_items, query_vectors, vector_topn
+from shoplens.session import cut_lineage
 
 
 # F1 -------------------------------------------------------------------------
@@ -91,7 +92,8 @@ def candidates(events: DataFrame, products: DataFrame, embeddings: DataFrame, to
     n_items = items.count()
     fetch = min(top_n * overfetch, n_items)
     all_users = (users if users is not None else events).select("user_id").distinct()
-    qv = query_vectors(recent, items).join(all_users, "user_id", "left_semi")
+    # read three times (tile sizing, tiles, cold-start anti join): materialise once
+    qv = cut_lineage(query_vectors(recent, items).join(all_users, "user_id", "left_semi"))
     excluded = purchased_pairs(recent) if exclude_purchased else None
 
     warm = vector_topn(qv, items, max(fetch, 1)).withColumnRenamed("score", "similarity_score")

@@ -177,7 +177,10 @@ SELECT t.user_id, t.rank, t.item_id, coalesce(p.product_name, t.item_id) AS prod
        round(t.ranking_score, 4) AS ranking_score
 FROM top t LEFT JOIN products p ON p.item_id = t.item_id""", RECO_CTES))
 def q_recommend(spark, d):
-    out = R.recommend(_features(spark, d), _cands(spark, d), ranker_products(spark, d), top_k=10)
+    cands = _cands(spark, d)
+    feats = FE.build_features(cands, X.rank_events(spark, d), ranker_products(spark, d), X.image_emb(spark, d),
+                              recency_days=7)
+    out = R.recommend(feats, cands, ranker_products(spark, d), top_k=10)
     return out.withColumn("rank", F.col("rank").cast("bigint"))
 
 
