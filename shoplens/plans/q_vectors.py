@@ -191,3 +191,18 @@ def q_unseen_items(spark, d):
     ev = X.rank_events(spark, d)
     c = C.candidates(ev, ranker_products(spark, d), X.image_emb(spark, d), top_n=10, recency_days=7)
     return C.exclude_pairs(c, ev).select("user_id", "item_id")
+
+
+@register("vector_topn_ann")
+def q_vector_topn_ann(spark, d):
+    """J2 approximate: recall@10 of KMeans-cell search against the exact tiled search,
+    text vectors querying image vectors (rows-only: clustering is iterative)."""
+    q = X.text_emb(spark, d).select(F.col("item_id").alias("user_id"), F.col("embedding").alias("vector"))
+    items = X.image_emb(spark, d)
+    exact = VO.vector_topn(q, items, 10)
+    approx = VO.vector_topn_ann(q, items, 10, n_probe=8)
+    hits = exact.join(approx.select("user_id", "item_id"), ["user_id", "item_id"]).groupBy("user_id").count()
+    users = exact.select("user_id").distinct()
+    return users.join(hits, "user_id", "left").agg(
+        F.round(F.avg(F.coalesce(F.col("count"), F.lit(0)) / 10.0), 4).alias("recall_at_10"),
+        F.count(F.lit(1)).alias("n_queries"))

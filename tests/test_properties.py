@@ -46,3 +46,12 @@ def test_negative_samples_never_touch_history(spark):
     sizes = ev.select("user_id", "item_id").distinct().groupBy("user_id").count()
     per_user = neg.groupBy("user_id").agg(F.count("*").alias("k")).join(sizes, "user_id")
     assert per_user.where(F.col("k") + F.col("count") != 40).count() == 0
+
+
+def test_ann_with_all_cells_probed_is_exact(spark):
+    from shoplens.operators.vectors import vector_topn, vector_topn_ann
+    q = X.text_emb(spark, SF_SMALL).select(F.col("item_id").alias("user_id"), F.col("embedding").alias("vector"))
+    items = X.image_emb(spark, SF_SMALL)
+    exact = vector_topn(q, items, 5).select("user_id", "item_id", "rank")
+    approx = vector_topn_ann(q, items, 5, n_cells=6, n_probe=6).select("user_id", "item_id", "rank")
+    assert exact.exceptAll(approx).count() == 0 and approx.exceptAll(exact).count() == 0
