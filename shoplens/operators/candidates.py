@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoplens.functions.weights import RECENCY_DAYS
-from shoplens.operators.analytics import in_stock_filter, recent_events
+from shoplens.operators.analytics import global_row_number, in_stock_filter, recent_events
 from shoplens.operators.vectors import embedded_items, query_vectors, vector_topn
 from shoplens.session import cut_lineage
 
@@ -20,12 +20,13 @@ from shoplens.session import cut_lineage
 # F1 -------------------------------------------------------------------------
 def popular_items(products: DataFrame, n: int | None = None) -> DataFrame:
     """Catalog by popularity_score desc (ties: item_id), with its 1-based rank."""
-    w = Window.orderBy(F.desc("popularity_score"), F.asc("item_id"))
+    order = [F.desc("popularity_score"), F.asc("item_id")]
     p = products.select("item_id", "popularity_score", "in_stock")
-    if n is not None:
-        # TakeOrdered keeps only n rows per partition before the global order
-        p = p.orderBy(F.desc("popularity_score"), F.asc("item_id")).limit(n)
-    return p.withColumn("pop_rank", F.row_number().over(w))
+    if n is None:
+        return global_row_number(p, order, "pop_rank")
+    # TakeOrdered keeps only n rows per partition before the global order, so the
+    # window below ranks at most n rows
+    return p.orderBy(*order).limit(n).withColumn("pop_rank", F.row_number().over(Window.orderBy(*order)))
 
 
 # C6 -------------------------------------------------------------------------
@@ -59,7 +60,6 @@ def cold_start(users: DataFrame, products: DataFrame, n: int, excluded: DataFram
     which is exact: no user can lose more than that many list entries.
     """
     pool = products.where(F.col("in_stock")) if filter_out_of_stock else products
-    spark = users.sparkSession
     if excluded is not None:
         ex = excluded.join(users.select("user_id"), "user_id", "left_semi")
         max_ex = ex.groupBy("user_id").count().select(F.coalesce(F.max("count"), F.lit(0))).first()[0]
@@ -71,7 +71,6 @@ def cold_start(users: DataFrame, products: DataFrame, n: int, excluded: DataFram
     if ex is not None:
         per_user = per_user.join(ex, ["user_id", "item_id"], "left_anti")
     w = Window.partitionBy("user_id").orderBy("pop_rank")
-    _ = spark
     return (per_user.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
             .select("user_id", "item_id", F.lit(0.0).alias("similarity_score"),
                     F.lit(True).alias("is_cold_start"), "rank"))

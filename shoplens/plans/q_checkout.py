@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shoplens.functions import scalars as S
@@ -200,9 +201,9 @@ allr AS (SELECT user_id, item_id, 0 AS src, rank AS o FROM cfr WHERE rank <= 2
 def q_personal_plus_global(spark, d):
     ev, prods = X.events(spark, d), X.products(spark, d)
     personal = cf.user_cf(cf.user_item_matrix(cf.score_events(ev)))
+    # the global list is the 10-row top_popular result, so its one-partition rank is bounded
     glob = A.top_popular(ev, prods, 10).select(
-        "item_id", F.row_number().over(__import__("pyspark.sql", fromlist=["Window"]).Window
-                                      .orderBy(F.desc("interactions"), "item_id")).alias("rank"))
+        "item_id", F.row_number().over(Window.orderBy(F.desc("interactions"), "item_id")).alias("rank"))
     return K.personal_plus_global(personal, glob, prods).withColumn("rank", F.col("rank").cast("bigint"))
 
 

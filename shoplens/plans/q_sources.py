@@ -37,8 +37,7 @@ JOIN (SELECT vec_id AS pos, CAST(embedding AS DOUBLE[]) AS embedding FROM embedd
 def q_embeddings_positional(spark, d):
     cat = X.table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("item_id"), "p_partkey")
     m = X.table(spark, d, "embeddings").select(F.col("vec_id").alias("pos"), "embedding")
-    out = SC.embeddings_from_matrix(m, cat.withColumn("_k", F.col("p_partkey")), [F.col("_k")] if False else
-                                    [F.col("item_id").cast("long")])
+    out = SC.embeddings_from_matrix(m, cat, [F.col("item_id").cast("long")])
     return out.select("item_id", r6(F.col("embedding")[0]).alias("e0"))
 
 

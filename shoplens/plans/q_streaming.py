@@ -5,7 +5,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shoplens.operators import online as O
 from shoplens.plans.base import register, ts_text
 from shoplens.plans.q_online import DELTA_SQL
 from shoplens.sources import fixtures as X
@@ -66,5 +65,4 @@ def q_stream_co_cart(spark, d):
     deltas = L.run_available(L.co_cart_pair_deltas(event_stream(spark, d)), "cocart")
     w = deltas.groupBy("item_a", "item_b").agg(F.count(F.lit(1)).cast("double").alias("weight"),
                                                F.max("ts").alias("last_updated"))
-    _ = O
     return w.select("item_a", "item_b", "weight", ts_text("last_updated").alias("last_updated"))
