@@ -232,9 +232,74 @@ def q_batch_lookup(spark, d):
     return X.products(spark, d).join(ids, "item_id", "left_semi").select("item_id", "product_name", "price")
 
 
-@register("checkout_recs")
 def q_checkout_recs(spark, d):
-    """J18 with the deterministic linear scorer (rows-only in this round)."""
+    """J18 with the deterministic linear scorer."""
     r = K.checkout_recs(_carts(spark, d), ranker_products(spark, d), X.image_emb(spark, d),
                         X.rank_events(spark, d), top_k=6)
-    return r.withColumn("rank", F.col("rank").cast("bigint"))
+    return r.select("cart_id", "item_id", F.col("rank").cast("bigint").alias("rank"),
+                    r6("similarity_score").alias("similarity_score"), r6("model_score").alias("model_score"),
+                    r6("ranking_score").alias("ranking_score"))
+
+
+def _j18_sql() -> str:
+    """Oracle for checkout_recs: features over the cart-augmented log, linear score,
+    trending boost, 0.7/0.3 blend of per-cart min-max scores, diversity, top 6."""
+    from shoplens.plans.q_profiles import PROFILE_SQL, STATS_SQL
+    from shoplens.plans.q_ranking import FEATURE_CTES
+    feat_part = FEATURE_CTES[FEATURE_CTES.index("cat_enc AS ("):FEATURE_CTES.index("lbl AS (")].rstrip().rstrip(",")
+    feat_part = (feat_part.replace("FROM rev e JOIN products p", "FROM pev e JOIN products p")
+                 .replace("LEFT JOIN cv cc", "LEFT JOIN cv2 cc").replace("LEFT JOIN cv ck", "LEFT JOIN cv2 ck"))
+    profile = PROFILE_SQL.replace("FROM rev", "FROM pev").replace("INTERVAL 7 DAY", "INTERVAL 365 DAY")
+    retr = RETR_CTES.replace("WHERE r <= 24)", "WHERE r <= 30)").replace("WHERE rank <= 6)", "WHERE rank <= 30)")
+    meta = META_CTES.replace("FROM mscored) WHERE rank <= 10)", "FROM mscored) WHERE rank <= 30)")
+    ctes = f"""
+pev AS (SELECT user_id, item_id, event_type, ts FROM rev
+        UNION ALL
+        SELECT user_id, item_id, 'add_to_cart', (SELECT max(ts) FROM rev) - to_minutes(CAST(n - i AS BIGINT)) FROM (
+          SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY created_at, item_id) - 1 AS i,
+                 count(*) OVER (PARTITION BY user_id) AS n FROM carts)),
+{STATS_SQL.strip()},
+{profile.strip()},
+{retr.strip()},
+{meta.strip()},
+cands AS (SELECT cart_id AS user_id, item_id, similarity_score FROM retr
+          UNION ALL
+          SELECT cart_id, item_id, similarity_score FROM meta WHERE cart_id NOT IN (SELECT cart_id FROM retr)),
+cterms2 AS (SELECT w.user_id, CASE WHEN w.event_type = 'click' THEN 'click' ELSE 'cart' END AS kind,
+                   unnest(e.embedding) AS x, generate_subscripts(e.embedding, 1) AS pos
+            FROM pev w JOIN image_emb e ON e.item_id = w.item_id
+            WHERE w.event_type IN ('click', 'add_to_cart', 'purchase')
+              AND w.ts >= (SELECT max(ts) FROM pev) - INTERVAL 365 DAY),
+cm2 AS (SELECT user_id, kind, list(m ORDER BY pos) AS v FROM
+        (SELECT user_id, kind, pos, avg(x) AS m FROM cterms2 GROUP BY 1, 2, 3) GROUP BY 1, 2),
+cv2 AS (SELECT user_id, kind, CASE WHEN sqrt(list_dot_product(v, v)) > 0
+               THEN list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) ELSE v END AS v FROM cm2),
+{feat_part},
+s0 AS (SELECT user_id, item_id,
+              retrieval_similarity + 0.10 * item_popularity_score + 0.05 * item_ctr_score AS raw_score FROM feats),
+thr AS (SELECT quantile_cont(popularity_score, 0.8) AS t FROM pstats),
+s1 AS (SELECT s.user_id, s.item_id, c.similarity_score,
+              CASE WHEN ps.popularity_score IS NOT NULL AND ps.popularity_score >= (SELECT t FROM thr)
+                   THEN s.raw_score * 1.1 ELSE s.raw_score END AS model_score
+       FROM s0 s LEFT JOIN pstats ps ON ps.item_id = s.item_id
+       JOIN cands c ON c.user_id = s.user_id AND c.item_id = s.item_id),
+s2 AS (SELECT *,
+         CASE WHEN max(similarity_score) OVER w > min(similarity_score) OVER w
+              THEN (similarity_score - min(similarity_score) OVER w)
+                   / (max(similarity_score) OVER w - min(similarity_score) OVER w) ELSE 1.0 END AS sn,
+         CASE WHEN max(model_score) OVER w > min(model_score) OVER w
+              THEN (model_score - min(model_score) OVER w) / (max(model_score) OVER w - min(model_score) OVER w)
+              ELSE 1.0 END AS mn
+       FROM s1 WINDOW w AS (PARTITION BY user_id)),
+s3 AS (SELECT s2.*, 0.7 * sn + 0.3 * mn AS ranking_score, coalesce(p.category, 'unknown') AS dcat
+       FROM s2 LEFT JOIN products p ON p.item_id = s2.item_id),
+jdiv AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, dcat
+                        ORDER BY ranking_score DESC, item_id) AS crank FROM s3) WHERE crank <= 3),
+jtop AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ranking_score DESC, item_id)
+                        AS rank FROM jdiv) WHERE rank <= 6)"""
+    return with_views(["rev", "carts", "products", "image_emb"], """
+SELECT user_id AS cart_id, item_id, rank, round(similarity_score, 6) AS similarity_score,
+       round(model_score, 6) AS model_score, round(ranking_score, 6) AS ranking_score FROM jtop""", ctes)
+
+
+register("checkout_recs", _j18_sql())(q_checkout_recs)
