@@ -164,15 +164,25 @@ def _shown(spark, d):
                        F.lit("checkout").alias("source"), "rank", "similarity_score")
 
 
-@register("log_impressions")
+def _retr_sql():
+    from shoplens.plans.q_checkout import RETR_CTES
+    return RETR_CTES
+
+
+@register("log_impressions", with_views(["carts", "products", "image_emb"], """
+SELECT DISTINCT cart_id AS user_id, cart_id AS user_email, CAST(item_id AS BIGINT) AS item_id, 'checkout' AS source
+FROM retr""", _retr_sql()))
 def q_log_impressions(spark, d):
-    """Shown checkout items become impression rows (rows-only)."""
+    """Shown checkout items become impression rows."""
     return SK.log_impressions(None, _shown(spark, d)).select("user_id", "user_email", "item_id", "source")
 
 
-@register("checkout_tracker")
+@register("checkout_tracker", with_views(["carts", "products", "image_emb"], """
+SELECT 'cart_item' AS row_type, user_id AS user_email, item_id, true AS added_to_cart FROM carts
+UNION ALL
+SELECT 'recommendation', cart_id, item_id, false FROM retr""", _retr_sql()))
 def q_checkout_tracker(spark, d):
-    """J21 + J22: tracker rows for every cart, then the later cart adds flagged (rows-only)."""
+    """J21 + J22: tracker rows for every cart, then the cart adds flagged."""
     from shoplens.plans.q_checkout import _carts
     carts = _carts(spark, d)
     prods = X.products(spark, d)
