@@ -15,18 +15,32 @@ from pyspark.sql import functions as F
 
 from shoplens.functions.scalars import hours_between
 from shoplens.functions.weights import DECAY_PER_HOUR, ONLINE_ALPHA, ONLINE_HISTORY
-from shoplens.operators.skew import prior_rows
+from shoplens.operators.skew import keyed_cumsum, prior_rows
+from shoplens.session import cut_lineage
 
 
 def _islands(df: DataFrame, key: list[str], ts: str, ttl_seconds: int | None, name: str) -> DataFrame:
-    """Number the runs of ``key`` whose consecutive gaps are <= ttl_seconds."""
+    """Number the runs of ``key`` whose consecutive gaps are <= ttl_seconds.
+
+    The previous row and the running count of breaks use the chunked frames of
+    ``operators.skew``, so a key holding a large share of rows is split."""
     if ttl_seconds is None:
         return df.withColumn(name, F.lit(0))
-    w = Window.partitionBy(*key).orderBy(ts, "event_id")
-    gap = F.unix_micros(F.col(ts)) - F.unix_micros(F.lag(ts).over(w))
-    brk = F.when(gap > F.lit(ttl_seconds * 1_000_000), 1).otherwise(0)
-    return df.withColumn("_brk", brk).withColumn(
-        name, F.sum("_brk").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_brk")
+    k = "_island_key"
+    # the chunked frames read their input several times: cut lineage at each stage
+    # so nested island steps do not multiply the plan
+    d = cut_lineage(df.withColumn(k, F.concat_ws("\u0001", *[F.col(c).cast("string") for c in key])))
+    d = cut_lineage(prior_rows(d, k, ts, "event_id", 1, F.col(ts), "_prev_ts"))
+    gap = F.unix_micros(F.col(ts)) - F.unix_micros(F.try_element_at("_prev_ts", F.lit(1)))
+    d = d.withColumn("_brk", F.when(gap > F.lit(ttl_seconds * 1_000_000), 1).otherwise(0)).drop("_prev_ts")
+    d = keyed_cumsum(d, k, ts, "event_id", F.col("_brk"), name)
+    return cut_lineage(d.drop(k, "_brk"))
+
+
+def _last_island(df: DataFrame, key: list[str], isl: str) -> DataFrame:
+    """Rows of each key's latest island (max as an aggregate, not a partition window)."""
+    last = df.groupBy(*key).agg(F.max(isl).alias("_last_isl"))
+    return df.join(last, key).where(F.col(isl) == F.col("_last_isl")).drop("_last_isl")
 
 
 # K1 -------------------------------------------------------------------------
@@ -35,9 +49,7 @@ def user_recent_items(events: DataFrame, history: int = ONLINE_HISTORY,
     """Per user, the last ``history`` add_to_cart items (oldest first, repeats kept)."""
     carts = events.where(F.col("event_type") == "add_to_cart").select("event_id", "user_id", "item_id", "ts")
     carts = _islands(carts, ["user_id"], "ts", ttl_seconds, "_isl")
-    last_isl = Window.partitionBy("user_id")
-    carts = (carts.withColumn("_last_isl", F.max("_isl").over(last_isl))
-             .where(F.col("_isl") == F.col("_last_isl")).drop("_last_isl"))
+    carts = _last_island(carts, ["user_id"], "_isl")
     w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
     recent = carts.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= history)
     out = recent.groupBy("user_id").agg(
@@ -60,9 +72,8 @@ def co_cart_deltas(events: DataFrame, history: int = ONLINE_HISTORY,
         prior = prior_rows(carts, "user_id", "ts", "event_id", history, F.col("item_id"), "_prev")
     else:
         carts = _islands(carts, ["user_id"], "ts", ttl_seconds, "_isl")
-        w = (Window.partitionBy("user_id", "_isl").orderBy("ts", "event_id")
-             .rowsBetween(-history, -1))
-        prior = carts.withColumn("_prev", F.collect_list("item_id").over(w))
+        carts = carts.withColumn("_ui", F.concat_ws("\u0001", "user_id", F.col("_isl").cast("string")))
+        prior = prior_rows(carts, "_ui", "ts", "event_id", history, F.col("item_id"), "_prev").drop("_ui")
     pairs = prior.select("event_id", "ts", "item_id", F.explode("_prev").alias("_p")).where(
         F.col("_p") != F.col("item_id"))
     return pairs.select(F.least("_p", "item_id").alias("item_a"), F.greatest("_p", "item_id").alias("item_b"),
@@ -79,8 +90,7 @@ def co_cart_weights(events: DataFrame, history: int = ONLINE_HISTORY, ttl_second
     d = co_cart_deltas(events, history, ttl_seconds)
     if ttl_seconds is not None:
         d = _islands(d, ["item_a", "item_b"], "ts", ttl_seconds, "_pisl")
-        d = (d.withColumn("_last", F.max("_pisl").over(Window.partitionBy("item_a", "item_b")))
-             .where(F.col("_pisl") == F.col("_last")).drop("_last"))
+        d = _last_island(d, ["item_a", "item_b"], "_pisl")
     out = d.groupBy("item_a", "item_b").agg(F.count(F.lit(1)).cast("double").alias("weight"),
                                             F.max("ts").alias("last_updated"))
     if ttl_seconds is not None and as_of is not None:

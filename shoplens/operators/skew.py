@@ -22,19 +22,42 @@ from pyspark.sql import functions as F
 DEFAULT_ROWS_PER_CHUNK = 20_000
 
 
-def prior_rows(df: DataFrame, key: str, ts: str, tiebreak: str, n: int, payload: Column,
-               name: str = "_prior", rows_per_chunk: int = DEFAULT_ROWS_PER_CHUNK) -> DataFrame:
-    """Add ``name`` = array of the payloads of the (up to) n rows before each row
-    of the same key, ordered by (ts, tiebreak), oldest first."""
+def with_chunks(df: DataFrame, key: str, ts: str, rows_per_chunk: int = DEFAULT_ROWS_PER_CHUNK) -> DataFrame:
+    """Add ``_chunk``: a time slice of the key's timeline holding ~rows_per_chunk rows
+    (0 for keys with fewer rows). Rows with equal ts always share a chunk."""
     us = F.unix_micros(F.col(ts))
     stats = df.groupBy(key).agg(F.count(F.lit(1)).alias("_cnt"), F.min(us).alias("_t0"), F.max(us).alias("_t1"))
     width = F.greatest(F.lit(1), ((F.col("_t1") - F.col("_t0") + 1) * F.lit(rows_per_chunk) / F.col("_cnt"))
                        .cast("long"))
     stats = stats.select(key, "_t0", F.when(F.col("_cnt") <= rows_per_chunk, F.lit(None)).otherwise(width)
                          .alias("_width"))
-    d = (df.withColumn("_p", payload).join(stats, key)
-         .withColumn("_chunk", F.coalesce(F.floor((us - F.col("_t0")) / F.col("_width")), F.lit(0)).cast("long"))
-         .drop("_t0", "_width"))
+    return (df.join(stats, key)
+            .withColumn("_chunk", F.coalesce(F.floor((us - F.col("_t0")) / F.col("_width")), F.lit(0)).cast("long"))
+            .drop("_t0", "_width"))
+
+
+def keyed_cumsum(df: DataFrame, key: str, ts: str, tiebreak: str, value: Column, name: str,
+                 rows_per_chunk: int = DEFAULT_ROWS_PER_CHUNK) -> DataFrame:
+    """Running sum of ``value`` per key in (ts, tiebreak) order, chunk by chunk:
+    a local running sum inside each (key, chunk) plus the totals of the key's
+    earlier chunks (a table of one row per chunk)."""
+    d = with_chunks(df.withColumn("_v", value), key, ts, rows_per_chunk)
+    order = [F.col(ts), F.col(tiebreak)]
+    local = d.withColumn("_loc", F.sum("_v").over(
+        Window.partitionBy(key, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    totals = d.groupBy(key, "_chunk").agg(F.sum("_v").alias("_tot"))
+    offs = totals.select(key, "_chunk", F.coalesce(F.sum("_tot").over(
+        Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        .alias("_off"))
+    return (local.join(offs, [key, "_chunk"]).withColumn(name, F.col("_off") + F.col("_loc"))
+            .drop("_v", "_loc", "_off", "_chunk"))
+
+
+def prior_rows(df: DataFrame, key: str, ts: str, tiebreak: str, n: int, payload: Column,
+               name: str = "_prior", rows_per_chunk: int = DEFAULT_ROWS_PER_CHUNK) -> DataFrame:
+    """Add ``name`` = array of the payloads of the (up to) n rows before each row
+    of the same key, ordered by (ts, tiebreak), oldest first."""
+    d = with_chunks(df.withColumn("_p", payload), key, ts, rows_per_chunk)
     order = [F.col(ts), F.col(tiebreak)]
     in_chunk = Window.partitionBy(key, "_chunk")
     tails = (d.withColumn("_rd", F.row_number().over(in_chunk.orderBy(*[o.desc() for o in order])))

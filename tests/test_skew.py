@@ -23,3 +23,15 @@ def test_prior_rows_chunked_equals_window_with_hot_user(spark):
         b = want.select("event_id", "_prior")
         assert a.count() == b.count()
         assert a.exceptAll(b).count() == 0
+
+
+def test_keyed_cumsum_chunked_equals_window(spark):
+    from shoplens.operators.skew import keyed_cumsum
+    ev = X.events(spark, SF_SMALL).withColumn(
+        "user_id", F.when(F.pmod(F.hash("user_id"), F.lit(3)) == 0, F.lit("HOT")).otherwise(F.col("user_id")))
+    val = (F.col("event_type") == "click").cast("int")
+    want = ev.withColumn("_cs", F.sum(val).over(
+        Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)))
+    got = keyed_cumsum(ev, "user_id", "ts", "event_id", val, "_cs", rows_per_chunk=11)
+    a, b = got.select("event_id", "_cs"), want.select("event_id", "_cs")
+    assert a.count() == b.count() and a.exceptAll(b).count() == 0
