@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from shoplens.functions.weights import CF_SCORES, weight_of
 from shoplens.operators.tiles import sparse_topk
+from shoplens.session import cut_lineage
 
 
 # B13 ------------------------------------------------------------------------
@@ -55,6 +56,8 @@ def user_cf(matrix: DataFrame, top_n: int = 5, neighbors: int = 5,
     only through 0-weight events stay); score-0 candidates are dropped.
     Output: (user_id, rank, item_id, score).
     """
+    # read five times (two sizing counts, tiles, neighbour rows, seen items): materialise once
+    matrix = cut_lineage(matrix)
     nn = neighbor_table if neighbor_table is not None else nearest_users(matrix, neighbors, **tile_opts)
     nb_rows = matrix.select(F.col("user_id").alias("neighbor_id"), "item_id",
                             F.col("score").alias("nb_score"))
