@@ -52,7 +52,7 @@ def q_facet_filter(spark, d):
 
 
 @register("paginate", with_views(["products"], """
-SELECT item_id, price, row_no, 3 AS page, total_pages FROM (
+SELECT item_id, price, row_no, CAST(3 AS BIGINT) AS page, total_pages FROM (
   SELECT item_id, price, row_number() OVER (ORDER BY price, item_id) AS row_no,
          greatest(1, ceil(count(*) OVER () / 24)) :: BIGINT AS total_pages
   FROM products) WHERE (row_no - 1) // 24 + 1 = 3""", ))
@@ -86,8 +86,9 @@ def q_events_inner(spark, d):
 
 
 @register("kpis", with_views(["ev"], """
-SELECT count_if(event_type = 'view') AS views, count_if(event_type = 'click') AS clicks,
-       count_if(event_type = 'add_to_cart') AS add_to_cart,
+SELECT CAST(count_if(event_type = 'view') AS BIGINT) AS views,
+       CAST(count_if(event_type = 'click') AS BIGINT) AS clicks,
+       CAST(count_if(event_type = 'add_to_cart') AS BIGINT) AS add_to_cart,
        round(coalesce(avg(CASE WHEN event_type = 'time_spent' AND time_spent_seconds IS NOT NULL
                                THEN time_spent_seconds END), 0.0), 6) AS avg_time,
        round(CASE WHEN count_if(event_type = 'view') > 0
@@ -101,9 +102,9 @@ def q_kpis(spark, d):
 
 
 @register("funnel", with_views(["ev"], """
-SELECT 'view' AS stage, count_if(event_type = 'view') AS count FROM ev
-UNION ALL SELECT 'click', count_if(event_type = 'click') FROM ev
-UNION ALL SELECT 'add_to_cart', count_if(event_type = 'add_to_cart') FROM ev"""))
+SELECT 'view' AS stage, CAST(count_if(event_type = 'view') AS BIGINT) AS count FROM ev
+UNION ALL SELECT 'click', CAST(count_if(event_type = 'click') AS BIGINT) FROM ev
+UNION ALL SELECT 'add_to_cart', CAST(count_if(event_type = 'add_to_cart') AS BIGINT) FROM ev"""))
 def q_funnel(spark, d):
     return A.funnel(X.events(spark, d))
 

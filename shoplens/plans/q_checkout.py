@@ -158,7 +158,7 @@ def q_cart_quantity(spark, d):
 
 @register("cart_details", with_views(["carts", "products"], """
 SELECT c.user_id AS cart_id, c.item_id, c.quantity, CAST(trunc(p.price) AS BIGINT) * c.quantity AS subtotal,
-       sum(CAST(trunc(p.price) AS BIGINT) * c.quantity) OVER (PARTITION BY c.user_id) AS total
+       CAST(sum(CAST(trunc(p.price) AS BIGINT) * c.quantity) OVER (PARTITION BY c.user_id) AS BIGINT) AS total
 FROM carts c JOIN products p ON p.item_id = c.item_id"""))
 def q_cart_details(spark, d):
     return K.cart_details(_carts(spark, d), X.products(spark, d)).select(
@@ -208,7 +208,7 @@ def q_personal_plus_global(spark, d):
 
 
 @register("prepare_events", with_views(["rev", "carts"], """
-SELECT user_id, count(*) AS n_events, count_if(synthetic) AS n_synthetic,
+SELECT user_id, count(*) AS n_events, CAST(count_if(synthetic) AS BIGINT) AS n_synthetic,
        strftime(min(CASE WHEN synthetic THEN ts END), '%Y-%m-%d %H:%M:%S') AS first_synthetic
 FROM (SELECT user_id, ts, false AS synthetic FROM rev
       UNION ALL

@@ -50,7 +50,7 @@ prof AS (SELECT b.user_id, coalesce(
 FROM (SELECT user_id, sum(CASE WHEN event_type = 'purchase' THEN CAST(round(price * 100) AS BIGINT) END) AS ps,
              count(CASE WHEN event_type = 'purchase' THEN price END) AS pn,
              sum(CAST(round(price * 100) AS BIGINT)) AS als, count(price) AS an,
-             count_if(ts >= (SELECT max(ts) FROM rev) - INTERVAL 7 DAY) AS recent_activity_count,
+             CAST(count_if(ts >= (SELECT max(ts) FROM rev) - INTERVAL 7 DAY) AS BIGINT) AS recent_activity_count,
              max(ts) AS last FROM m GROUP BY user_id) b)"""
 
 

@@ -29,7 +29,7 @@ t1 AS (SELECT *, list_filter(hist, lambda h: h.valid) AS vhist FROM t0 WHERE len
 samples AS (SELECT user_id, event_id AS target_event_id, item_idx AS target_item_idx, event_type AS target_event_type,
        CAST({weight_sql('event_type', TARGET_WEIGHTS, TARGET_DEFAULT)} AS DOUBLE) AS target_weight,
        len(vhist) AS seq_len, vhist[1].item_idx AS first_item_idx, vhist[-1].item_idx AS last_item_idx,
-       list_sum(list_transform(vhist, lambda h: h.eid)) AS event_id_sum,
+       CAST(list_sum(list_transform(vhist, lambda h: h.eid)) AS BIGINT) AS event_id_sum,
        CASE WHEN len(list_filter(hist, lambda h: h.is_purchase)) > 0
             THEN list_sum(list_transform(list_filter(hist, lambda h: h.is_purchase), lambda h: h.price))
                  / len(list_filter(hist, lambda h: h.is_purchase)) ELSE 0.0 END AS avg_spend,

@@ -18,8 +18,8 @@ def event_stream(spark, d):
 
 @register("live_kpis", with_views(["ev"], """
 SELECT strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d %H:%M:%S') AS window_start,
-       count_if(event_type = 'view') AS views, count_if(event_type = 'click') AS clicks,
-       count_if(event_type = 'add_to_cart') AS add_to_cart FROM ev GROUP BY 1"""))
+       CAST(count_if(event_type = 'view') AS BIGINT) AS views, CAST(count_if(event_type = 'click') AS BIGINT) AS clicks,
+       CAST(count_if(event_type = 'add_to_cart') AS BIGINT) AS add_to_cart FROM ev GROUP BY 1"""))
 def q_live_kpis(spark, d):
     r = L.run_available(L.live_kpis(event_stream(spark, d), "1 day"), "kpis", ["window_start"], "update")
     return r.select(ts_text("window_start").alias("window_start"), "views", "clicks", "add_to_cart")
