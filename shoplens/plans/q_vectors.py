@@ -193,8 +193,8 @@ def q_unseen_items(spark, d):
     return C.exclude_pairs(c, ev).select("user_id", "item_id")
 
 
-@register("vector_topn_ann")
-def q_vector_topn_ann(spark, d):
+@register("ann_recall")
+def q_ann_recall(spark, d):
     """J2 approximate: recall@10 of KMeans-cell search against the exact tiled search,
     text vectors querying image vectors (rows-only: clustering is iterative)."""
     q = X.text_emb(spark, d).select(F.col("item_id").alias("user_id"), F.col("embedding").alias("vector"))
