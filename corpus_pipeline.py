@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoplens.llm import decontamination, jaccard_join, language_id, packing
+from shoplens.llm import decontamination, jaccard_join, language_id, packing, secret_scan
 from shoplens.session import ensure_checkpoint_dir
 
 #: No SQL: language ID, the secret tagger and packing are not expressible in SQL.
@@ -34,13 +34,18 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
 
 
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with every secret found in their texts replaced by a mark (and n_chars by the new length)."""
+    return secret_scan.redact(docs, secret_scan.train(docs))
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the kept documents and their places in sequences of 2048 ids."""
     return packing.pack(docs)
 
 
 STAGES = [("language_id", language), ("ngram_jaccard_join", near_duplicates), ("decontamination", decontaminate),
-          ("packing", pack)]
+          ("secret_scan", secrets), ("packing", pack)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shoplens.llm import decontamination, jaccard_join, language_id, license_scan, packing, url_filter
+from shoplens.llm import (decontamination, html_text, jaccard_join, knn_join, language_id, license_scan, packing, quality,
+                          secret_scan, url_filter)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,11 +22,27 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_all(_table(spark, sf_dir, "documents"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_all(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
     return url_filter.judge(pages, url_filter.listed_hosts(pages))
 
 
+def op6_knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn_join.top_k(_table(spark, sf_dir, "embeddings"))
+
+
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -41,7 +58,11 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op3_secret_scan": op3_secret_scan,
+    "op4_quality": op4_quality,
     "op5_url_filter": op5_url_filter,
+    "op6_knn_join": op6_knn_join,
+    "op7_html_text": op7_html_text,
     "op8_decontamination": op8_decontamination,
     "op9_language_id": op9_language_id,
     "op10_license_scan": op10_license_scan,
@@ -50,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op2_ngram_jaccard_join": jaccard_join.ORACLE,
     "op5_url_filter": url_filter.ORACLE,
+    "op6_knn_join": knn_join.ORACLE,
     "op8_decontamination": decontamination.ORACLE,
     "op10_license_scan": license_scan.oracle(),
 }

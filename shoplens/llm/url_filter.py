@@ -54,8 +54,8 @@ class Level:
         words, out = self.bits.scalar(), F.lit(True)
         for j in range(HASHES):
             at = F.pmod(F.xxhash64(key, F.lit(self.seed * HASHES + j)), F.lit(self.size))
-            word = F.get(words, (at / 64).cast("int"))
-            out = out & (F.shiftright(word, (at % 64).cast("int")).bitwiseAND(F.lit(1)) == 1)
+            word = F.get(words, F.floor(at / 64).cast("int"))
+            out = out & (F.call_function("shiftright", word, (at % 64).cast("int")).bitwiseAND(F.lit(1)) == 1)
         return out
 
 
