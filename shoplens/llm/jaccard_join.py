@@ -4,12 +4,14 @@
    shingles first, ties by hash. Every document is its shingles in this order.
 2. Equal sets become one class (partial aggregation, so thousands of copies of
    one text meet as a few rows).
-3. Classes whose necessary prefixes share a shingle are candidates. A shingle
-   shared by many classes yields a star to two of them, not all pairs.
+3. Of a set of n shingles the first n - alpha + l are its prefix, where alpha is
+   the least overlap and l = n / 20 + 1: linked sets share at least l (of the
+   smaller) shingles of their prefixes. A shingle shared by many classes yields
+   a star to two of them, not all pairs.
 4. Pivots cut the global order into fragments. For each candidate pair the
    overlap is counted in each fragment by itself and summed.
-5. Classes that are still in different components although they share a prefix
-   shingle are then compared pair by pair (length and positional bounds first).
+5. Classes that are still in different components although they share enough of
+   their prefixes are then compared pair by pair (length and positional bounds first).
    A link inside a component found already can't change any component.
 
 Sets are identified by a 64-bit hash and their size.
@@ -176,15 +178,15 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, fragments
                 n = len(t)
                 sid.append(_set_id(t) if n else None)
                 size.append(n)
-                heads.append(t[:n - -(-percent * n // 100) + 1] if n else t)
+                heads.append(t[:n - -(-percent * n // 100) + n // 20 + 1])
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id").cast(pa.int64()), pa.array(sid, pa.int64()), pa.array(size, pa.int64()),
                  _lists(heads)], ["doc_id", "sid", "n", "head"])
 
     rows = cut_lineage(texts.mapInArrow(prefixes, "doc_id long, sid long, n long, head array<long>"))
     classes = cut_lineage(rows.where("sid is not null").groupBy("sid", "n")
-                          .agg(F.min("doc_id").alias("rep"), F.max("head").alias("head")))
-    links = _links(texts, classes, k, percent, shared, pivots)
+                          .agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")))
+    links = _links(texts, rows, classes, k, percent, shared, pivots)
     parts = connected_components(links)
     named = classes.select("sid", "n", "rep").join(parts.withColumnRenamed("node", "sid"), "sid", "left") \
         .withColumn("component", F.coalesce("component", "sid"))
@@ -194,13 +196,37 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, fragments
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _least(n: Column, percent: int) -> Column:
+    """Least size of a set that can link with one of size n; also the least overlap of the two."""
+    return F.ceil(n * percent / 100).cast("long")
+
+
+def _need(n: Column, percent: int) -> Column:
+    """Shingles that the prefixes share at least if the smaller set has size n."""
+    return F.least(F.floor(n / 20) + 1, _least(n, percent))
+
+
 def _close(na: Column, nb: Column, percent: int) -> Column:
     return 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
 
 
-def _links(texts: DataFrame, classes: DataFrame, k: int, percent: int, shared, pivots: np.ndarray) -> DataFrame:
+def _links(texts: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int, shared, pivots: np.ndarray) -> DataFrame:
     """Links between classes that give the right components (module text, 3 to 5)."""
     spark = texts.sparkSession
+    copied = spark.sparkContext.broadcast(_bits(classes.where("c > 1"), "sid"))
+    slot = F.pmod(F.xxhash64("sid"), F.lit(1 << BITMAP_BITS)).alias("slot")
+    known = docs.where("sid is not null").select("sid", "n", "head", slot)
+
+    def pick(wanted: bool):
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                hit = _hit(copied.value, batch.column("slot").to_numpy())
+                part = batch.filter(pa.array(hit if wanted else ~hit))
+                yield part.select(["sid", "n", "head"])
+        return known.mapInArrow(rows, "sid long, n long, head array<long>")
+
+    # only the prefixes of classes with several documents are moved to leave one of each
+    heads = pick(False).union(pick(True).groupBy("sid", "n").agg(F.max("head").alias("head")))
 
     def spread(bits):
         def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,13 +246,10 @@ def _links(texts: DataFrame, classes: DataFrame, k: int, percent: int, shared, p
                         [pa.array(x, t) for x, t in ((tokens.view(np.int64), pa.int64()), (sid, pa.int64()),
                                                      (n, pa.int64()), (pos, pa.int32()))],
                         ["token", "sid", "n", "pos"])
-        return classes.select("sid", "n", "head").mapInArrow(explode, "token long, sid long, n long, pos int")
+        return heads.mapInArrow(explode, "token long, sid long, n long, pos int")
 
-    def hub(salt: int) -> Column:
-        return F.min(F.struct(F.xxhash64("sid", F.lit(salt)).alias("h"), "sid", "n")).alias(f"hub{salt}")
-
-    shared_tokens = cut_lineage(spread(None).groupBy("token").agg(F.count("*").alias("c"), hub(1), hub(2))
-                                .where("c > 1"))
+    shared_tokens = cut_lineage(spread(None).select("token").groupBy("token").agg(F.count("*").alias("c"))
+                                .where("c > 1").select("token"))
 
     def token_bits(batches):
         for batch in batches:
@@ -239,16 +262,30 @@ def _links(texts: DataFrame, classes: DataFrame, k: int, percent: int, shared, p
     table = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
     table[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64)
     bits = spark.sparkContext.broadcast(table.view(np.uint64))
-    rows = cut_lineage(spread(bits).join(shared_tokens, "token"))
+    met = spread(bits).join(shared_tokens, "token")
+    met = cut_lineage(met)
+    enough = met.groupBy("sid", "n").agg(F.count("*").alias("c")) \
+        .where(F.col("c") >= _need(_least(F.col("n"), percent), percent)).select("sid")
+    rows = cut_lineage(met.join(enough, "sid"))
+
+    def hub(salt: int) -> Column:
+        return F.min(F.struct(F.xxhash64("sid", F.lit(salt)).alias("h"), "sid", "n")).alias(f"hub{salt}")
+
+    hubs = cut_lineage(rows.groupBy("token").agg(hub(1), hub(2)))
+    near = rows.join(hubs, "token")
 
     def pair(hub: str) -> DataFrame:
         h = F.col(hub)
-        return rows.where((h["sid"] != F.col("sid")) & _close(h["n"], F.col("n"), percent)).select(
+        return near.where((h["sid"] != F.col("sid")) & _close(h["n"], F.col("n"), percent)).select(
             F.least("sid", h["sid"]).alias("a"), F.greatest("sid", h["sid"]).alias("b"),
             F.when(F.col("sid") < h["sid"], F.col("n")).otherwise(h["n"]).alias("na"),
-            F.when(F.col("sid") < h["sid"], h["n"]).otherwise(F.col("n")).alias("nb"))
+            F.when(F.col("sid") < h["sid"], h["n"]).otherwise(F.col("n")).alias("nb")) \
+            .groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
+
+    def frequent(pairs: DataFrame) -> DataFrame:
+        return pairs.where(F.col("c") >= _need(F.least("na", "nb"), percent)).select("a", "b", "na", "nb")
 
-    stars = cut_lineage(pair("hub1").union(pair("hub2")).distinct())
+    stars = cut_lineage(frequent(pair("hub1").union(pair("hub2"))).distinct())
     segments = _segments(texts, classes, rows, k, shared, pivots)
     first = _verify(stars, segments, percent)
     parts = connected_components(first)
@@ -269,7 +306,8 @@ def _links(texts: DataFrame, classes: DataFrame, k: int, percent: int, shared, p
     rest = rest.select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b"),
                        F.when(swap, F.col("x.n")).otherwise(F.col("y.n")).alias("na"),
                        F.when(swap, F.col("y.n")).otherwise(F.col("x.n")).alias("nb")) \
-        .distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti")
+        .groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
+    rest = frequent(rest).join(stars.select("a", "b"), ["a", "b"], "left_anti")
     return first.union(_verify(rest, segments, percent))
 
 
