@@ -22,6 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -99,7 +100,7 @@ def _classes_of_order(sketch: np.ndarray) -> np.ndarray:
     """0 (about the average or rarer) to 63 (very common) for each slot."""
     mean = max(float(sketch.mean()), 1.0)
     with np.errstate(divide="ignore"):
-        return np.clip(np.floor(4 * np.log2(np.maximum(sketch, 1) / mean)), 0, 63).astype(np.uint64)
+        return np.clip(np.floor(4 * np.log2(np.maximum(sketch, 1) / mean)), 0, 63).astype(np.uint8)
 
 
 def _pivots(sketch: np.ndarray, order: np.ndarray, fragments: int) -> np.ndarray:
@@ -117,7 +118,7 @@ def _pivots(sketch: np.ndarray, order: np.ndarray, fragments: int) -> np.ndarray
 
 def ordered(h: np.ndarray, order: np.ndarray) -> np.ndarray:
     """Distinct shingles as numbers that sort in the global order."""
-    cls = order[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+    cls = order[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64)
     out = np.sort((cls << np.uint64(58)) | (h & np.uint64((1 << 58) - 1)))
     return out[np.concatenate([[True], out[1:] != out[:-1]])] if len(out) else out
 
@@ -134,16 +135,29 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offs), pa.array(flat))
 
 
-def _bits(keys: DataFrame, key: str) -> np.ndarray:
-    """Bitmap of fixed size of hashed keys: a pre-filter, never a decision."""
-    slot = F.pmod(F.xxhash64(key), F.lit(1 << BITMAP_BITS))
-    words = keys.select(slot.alias("s")).groupBy((F.col("s") / 64).cast("int").alias("w")) \
-        .agg(F.bit_or(F.expr("shiftleft(1L, int(s % 64))")).alias("b")).toPandas()
+def _bitmap(slots: DataFrame) -> np.ndarray:
+    """Bitmap of fixed size of the column ``slot``; it reaches the driver in packed blocks."""
+    block = 1 << 13  # longs
+
+    def packed(key, pdf):
+        words = np.zeros(block, np.int64)
+        words[pdf["w"].to_numpy(np.int64) % block] = pdf["b"].to_numpy(np.int64)
+        return pd.DataFrame({"block": [key[0]], "words": [words.tobytes()]})
+
+    words = slots.select(F.expr("slot div 64").alias("w"), F.expr("shiftleft(1L, int(slot % 64))").alias("b")) \
+        .groupBy("w").agg(F.bit_or("b").alias("b"))
     out = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
-    out[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64)
+    for r in words.groupBy(F.expr(f"w div {block}").alias("block")).applyInPandas(
+            packed, "block long, words binary").toLocalIterator():
+        out[r["block"] * block:(r["block"] + 1) * block] = np.frombuffer(r["words"], np.int64)
     return out.view(np.uint64)
 
 
+def _bits(keys: DataFrame, key: str) -> np.ndarray:
+    """Bitmap of hashed keys: a pre-filter, never a decision."""
+    return _bitmap(keys.select(F.pmod(F.xxhash64(key), F.lit(1 << BITMAP_BITS)).alias("slot")))
+
+
 def _hit(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
     return ((bits[slots >> 6] >> (slots & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
 
@@ -251,17 +265,12 @@ def _links(texts: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percen
     shared_tokens = cut_lineage(spread(None).select("token").groupBy("token").agg(F.count("*").alias("c"))
                                 .where("c > 1").select("token"))
 
-    def token_bits(batches):
+    def token_slots(batches):
         for batch in batches:
-            s = _token_slot(batch.column("token").to_numpy().view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(s >> 6, pa.int32()), pa.array(
-                np.uint64(1) << (s & 63).astype(np.uint64), pa.uint64()).view(pa.int64())], ["w", "b"])
-
-    words = shared_tokens.select("token").mapInArrow(token_bits, "w int, b long") \
-        .groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
-    table = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
-    table[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64)
-    bits = spark.sparkContext.broadcast(table.view(np.uint64))
+            slots = _token_slot(batch.column("token").to_numpy().view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64())], ["slot"])
+
+    bits = spark.sparkContext.broadcast(_bitmap(shared_tokens.mapInArrow(token_slots, "slot long")))
     met = spread(bits).join(shared_tokens, "token")
     met = cut_lineage(met)
     enough = met.groupBy("sid", "n").agg(F.count("*").alias("c")) \
