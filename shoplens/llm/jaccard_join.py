@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from shoplens.llm.common import connected_components, cut_lineage, mix, slices, span_hashes, utf8, word_spans
 
 SKETCH_BITS = 20          # 4 MB of counts, whatever the corpus
-BITMAP_BITS = 26          # 8 MB, whatever the corpus
+BITMAP_BITS = 24          # 2 MB, whatever the corpus; where it is full, the joins behind it do all the work
 BLOCKS = 64
 _SEP = np.zeros(256, bool)
 _SEP[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -137,7 +137,7 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 
 def _bitmap(slots: DataFrame) -> np.ndarray:
     """Bitmap of fixed size of the column ``slot``; it reaches the driver in packed blocks."""
-    block = 1 << 13  # longs
+    block = 1 << 12  # longs
 
     def packed(key, pdf):
         words = np.zeros(block, np.int64)
@@ -148,7 +148,7 @@ def _bitmap(slots: DataFrame) -> np.ndarray:
         .groupBy("w").agg(F.bit_or("b").alias("b"))
     out = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
     for r in words.groupBy(F.expr(f"w div {block}").alias("block")).applyInPandas(
-            packed, "block long, words binary").toLocalIterator():
+            packed, "block long, words binary").collect():
         out[r["block"] * block:(r["block"] + 1) * block] = np.frombuffer(r["words"], np.int64)
     return out.view(np.uint64)
 
@@ -273,6 +273,8 @@ def _links(texts: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percen
     bits = spark.sparkContext.broadcast(_bitmap(shared_tokens.mapInArrow(token_slots, "slot long")))
     met = spread(bits).join(shared_tokens, "token")
     met = cut_lineage(met)
+    copied.destroy()
+    bits.destroy()
     enough = met.groupBy("sid", "n").agg(F.count("*").alias("c")) \
         .where(F.col("c") >= _need(_least(F.col("n"), percent), percent)).select("sid")
     rows = cut_lineage(met.join(enough, "sid"))
@@ -350,7 +352,9 @@ def _segments(texts: DataFrame, classes: DataFrame, rows: DataFrame, k: int, sha
                         [pa.array(sid, pa.int64()), pa.array(frag, pa.int32()), _lists(segs)], ["sid", "fragment", "part"])
 
     cut_rows = texts.select(slot.alias("slot"), "text").mapInArrow(cut, "sid long, fragment int, part array<long>")
-    return cut_lineage(cut_rows.join(wanted, "sid").groupBy("sid", "fragment").agg(F.max("part").alias("part")))
+    out = cut_lineage(cut_rows.join(wanted, "sid").groupBy("sid", "fragment").agg(F.max("part").alias("part")))
+    bits.destroy()
+    return out
 
 
 def _verify(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
