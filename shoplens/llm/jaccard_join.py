@@ -32,6 +32,7 @@ from shoplens.llm.common import connected_components, cut_lineage, mix, slices,
 SKETCH_BITS = 20          # 4 MB of counts, whatever the corpus
 BITMAP_BITS = 24          # 2 MB, whatever the corpus; where it is full, the joins behind it do all the work
 BLOCKS = 64
+MORE_HUBS = 8             # stars of the second round
 _SEP = np.zeros(256, bool)
 _SEP[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -166,7 +167,7 @@ def _token_slot(tokens: np.ndarray) -> np.ndarray:
     return (mix(tokens) >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
 
 
-def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, fragments: int = 8) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, fragments: int = 4) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of ``docs`` (doc_id, text).
 
     Two rows link when 100 * |A & B| >= percent * |A | B| over their distinct
@@ -287,10 +288,8 @@ def _links(texts: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percen
 
     def pair(hub: str) -> DataFrame:
         h = F.col(hub)
-        return near.where((h["sid"] != F.col("sid")) & _close(h["n"], F.col("n"), percent)).select(
-            F.least("sid", h["sid"]).alias("a"), F.greatest("sid", h["sid"]).alias("b"),
-            F.when(F.col("sid") < h["sid"], F.col("n")).otherwise(h["n"]).alias("na"),
-            F.when(F.col("sid") < h["sid"], h["n"]).otherwise(F.col("n")).alias("nb")) \
+        return near.where((h["sid"] != F.col("sid")) & _close(h["n"], F.col("n"), percent)) \
+            .select(*_pairs(F.col("sid"), F.col("n"), h["sid"], h["n"])) \
             .groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
 
     def frequent(pairs: DataFrame) -> DataFrame:
@@ -298,28 +297,47 @@ def _links(texts: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percen
 
     stars = cut_lineage(frequent(pair("hub1").union(pair("hub2"))).distinct())
     segments = _segments(texts, classes, rows, k, shared, pivots)
-    first = _verify(stars, segments, percent)
-    parts = connected_components(first)
-    members = cut_lineage(rows.select("token", "sid", "n", "pos")
-                          .join(parts.withColumnRenamed("node", "sid"), "sid", "left")
-                          .withColumn("part", F.coalesce("component", "sid")).drop("component"))
-    sizes = members.groupBy("token", "part").agg(F.count("*").alias("c"))
-    mixed = sizes.groupBy("token").agg(F.max(F.struct("c", "part")).alias("m"), F.count("*").alias("p")) \
-        .where("p > 1").select("token", F.col("m.part").alias("major"))
-    open_rows = cut_lineage(members.join(mixed, "token"))
+    links = _verify(stars, segments, percent)
+
+    def undecided(links: DataFrame) -> DataFrame:
+        """Rows whose shingle is in several components, with the largest of them there."""
+        parts = connected_components(links).withColumnRenamed("node", "sid")
+        members = cut_lineage(rows.select("token", "sid", "n", "pos").join(parts, "sid", "left")
+                              .withColumn("part", F.coalesce("component", "sid")).drop("component"))
+        sizes = members.groupBy("token", "part").agg(F.count("*").alias("c"))
+        mixed = sizes.groupBy("token").agg(F.max(F.struct("c", "part")).alias("m"), F.count("*").alias("p")) \
+            .where("p > 1").select("token", F.col("m.part").alias("major"))
+        return cut_lineage(members.join(mixed, "token"))
+
+    # stars once more: what lies outside a shingle's largest component meets several of its members
+    open_rows = undecided(links)
+    seeds = range(3, 3 + MORE_HUBS)
+    inner = open_rows.where("part = major").groupBy("token").agg(*[hub(i) for i in seeds])
+    outer = open_rows.where("part <> major").join(inner, "token") \
+        .select("sid", "n", F.explode(F.array_distinct(F.array(*[f"hub{i}" for i in seeds]))).alias("h"))
+    more = _pairs(F.col("sid"), F.col("n"), F.col("h.sid"), F.col("h.n"))
+    more = frequent(outer.where(_close(F.col("n"), F.col("h.n"), percent)).select(*more)
+                    .groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))) \
+        .join(stars.select("a", "b"), ["a", "b"], "left_anti")
+    more = cut_lineage(more)
+    links = cut_lineage(links.union(_verify(more, segments, percent)))
+    tried = stars.select("a", "b").union(more.select("a", "b"))
+    open_rows = undecided(links)
     x, y = open_rows.where("part <> major").alias("x"), open_rows.alias("y")
     reach = F.least("x.pos", "y.pos") + F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
     rest = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.part") != F.col("y.part"))
                   & ((F.col("y.part") == F.col("y.major")) | (F.col("x.sid") < F.col("y.sid")))
                   & _close(F.col("x.n"), F.col("y.n"), percent)
                   & ((100 + percent) * reach >= percent * (F.col("x.n") + F.col("y.n"))))
-    swap = F.col("x.sid") < F.col("y.sid")
-    rest = rest.select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b"),
-                       F.when(swap, F.col("x.n")).otherwise(F.col("y.n")).alias("na"),
-                       F.when(swap, F.col("y.n")).otherwise(F.col("x.n")).alias("nb")) \
+    rest = rest.select(*_pairs(F.col("x.sid"), F.col("x.n"), F.col("y.sid"), F.col("y.n"))) \
         .groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
-    rest = frequent(rest).join(stars.select("a", "b"), ["a", "b"], "left_anti")
-    return first.union(_verify(rest, segments, percent))
+    rest = frequent(rest).join(tried, ["a", "b"], "left_anti")
+    return links.union(_verify(rest, segments, percent))
+
+
+def _pairs(sid: Column, n: Column, other: Column, size: Column) -> list[Column]:
+    return [F.least(sid, other).alias("a"), F.greatest(sid, other).alias("b"),
+            F.when(sid < other, n).otherwise(size).alias("na"), F.when(sid < other, size).otherwise(n).alias("nb")]
 
 
 def _segments(texts: DataFrame, classes: DataFrame, rows: DataFrame, k: int, shared, pivots: np.ndarray) -> DataFrame:
