@@ -11,8 +11,9 @@
 4. Pivots cut the global order into fragments. For each candidate pair the
    overlap is counted in each fragment by itself and summed.
 5. Classes that are still in different components although they share enough of
-   their prefixes are then compared pair by pair (length and positional bounds first).
-   A link inside a component found already can't change any component.
+   their prefixes are then compared: pair by pair (length and positional bounds
+   first) where both components are small, else the larger one in blocks against
+   its outsiders. A link inside a component can't change any component.
 
 Sets are identified by a 64-bit hash and their size.
 """
@@ -32,7 +33,9 @@ from shoplens.llm.common import connected_components, cut_lineage, mix, slices,
 SKETCH_BITS = 20          # 4 MB of counts, whatever the corpus
 BITMAP_BITS = 24          # 2 MB, whatever the corpus; where it is full, the joins behind it do all the work
 BLOCKS = 64
-MORE_HUBS = 8             # stars of the second round
+MORE_HUBS = 4             # stars of the second round
+LARGE = 64                # components from this size on are compared with outsiders in blocks
+BLOCK = 512               # documents on either side of a block
 _SEP = np.zeros(256, bool)
 _SEP[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -299,18 +302,18 @@ def _links(texts: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percen
     segments = _segments(texts, classes, rows, k, shared, pivots)
     links = _verify(stars, segments, percent)
 
-    def undecided(links: DataFrame) -> DataFrame:
-        """Rows whose shingle is in several components, with the largest of them there."""
+    def undecided(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Rows whose shingle is in several components, with the largest of them there; all members."""
         parts = connected_components(links).withColumnRenamed("node", "sid")
         members = cut_lineage(rows.select("token", "sid", "n", "pos").join(parts, "sid", "left")
                               .withColumn("part", F.coalesce("component", "sid")).drop("component"))
         sizes = members.groupBy("token", "part").agg(F.count("*").alias("c"))
         mixed = sizes.groupBy("token").agg(F.max(F.struct("c", "part")).alias("m"), F.count("*").alias("p")) \
             .where("p > 1").select("token", F.col("m.part").alias("major"))
-        return cut_lineage(members.join(mixed, "token"))
+        return cut_lineage(members.join(mixed, "token")), members
 
     # stars once more: what lies outside a shingle's largest component meets several of its members
-    open_rows = undecided(links)
+    open_rows, _ = undecided(links)
     seeds = range(3, 3 + MORE_HUBS)
     inner = open_rows.where("part = major").groupBy("token").agg(*[hub(i) for i in seeds])
     outer = open_rows.where("part <> major").join(inner, "token") \
@@ -322,17 +325,61 @@ def _links(texts: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percen
     more = cut_lineage(more)
     links = cut_lineage(links.union(_verify(more, segments, percent)))
     tried = stars.select("a", "b").union(more.select("a", "b"))
-    open_rows = undecided(links)
-    x, y = open_rows.where("part <> major").alias("x"), open_rows.alias("y")
+    open_rows, members = undecided(links)
+    docs_in = cut_lineage(members.select("sid", "n", "part").distinct())
+    sizes = docs_in.groupBy("part").agg(F.count("*").alias("size"))
+    sized = cut_lineage(open_rows.drop("major").join(sizes, "part"))
+    # small components: pairs of documents
+    x, y = sized.where(F.col("size") < LARGE).alias("x"), sized.where(F.col("size") < LARGE).alias("y")
     reach = F.least("x.pos", "y.pos") + F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
     rest = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.part") != F.col("y.part"))
-                  & ((F.col("y.part") == F.col("y.major")) | (F.col("x.sid") < F.col("y.sid")))
-                  & _close(F.col("x.n"), F.col("y.n"), percent)
+                  & (F.col("x.sid") < F.col("y.sid")) & _close(F.col("x.n"), F.col("y.n"), percent)
                   & ((100 + percent) * reach >= percent * (F.col("x.n") + F.col("y.n"))))
     rest = rest.select(*_pairs(F.col("x.sid"), F.col("x.n"), F.col("y.sid"), F.col("y.n"))) \
         .groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
     rest = frequent(rest).join(tried, ["a", "b"], "left_anti")
-    return links.union(_verify(rest, segments, percent))
+    # large components: their members in blocks against all outsiders that share enough with any of them
+    large = sized.where(F.col("size") >= LARGE).select("token", F.col("part").alias("to"), F.col("size").alias("room")).distinct()
+    outside = sized.join(large, "token").where("part <> to and struct(size, part) < struct(room, to)") \
+        .groupBy("sid", "n", "to", "room").agg(F.count("*").alias("c")) \
+        .where(F.col("c") >= _need(_least(F.col("n"), percent), percent))
+    return links.union(_verify(rest, segments, percent)).union(_blocks(outside, docs_in, segments, percent))
+
+
+def _blocks(outside: DataFrame, members: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
+    """A link from each of ``outside`` (sid, to, room) to a member of ``to`` in each block that has one.
+
+    Both sides are dealt into blocks of about BLOCK documents, so no group grows
+    with a component; only links leave a block, at most one for each outsider.
+    """
+    outside = cut_lineage(outside.select("sid", "to", "room"))
+    sides = outside.groupBy("to", "room").agg(F.count("*").alias("c")) \
+        .select("to", F.ceil(F.col("room") / BLOCK).alias("blocks"), F.ceil(F.col("c") / BLOCK).alias("sides"))
+    whole = segments.groupBy("sid").agg(F.flatten(F.collect_list("part")).alias("tokens"))
+
+    def dealt(df: DataFrame, own: str, other: str, prefix: str) -> DataFrame:
+        rows = df.join(sides, "to").select(
+            "to", "sid", F.pmod(F.xxhash64("sid"), F.col(f"{own}s")).alias(own),
+            F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{other}s") - 1)).alias(other)).join(whole, "sid")
+        return rows.select(*[F.col(c).alias(prefix + c) for c in ("sid", "tokens", "to", "block", "side")])
+
+    left = dealt(outside, "side", "block", "x_")
+    right = dealt(members.select("sid", F.col("part").alias("to")), "block", "side", "y_")
+
+    def compare(xs: pd.DataFrame, ys: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(xs) and len(ys):
+            ids, lens = ys["y_sid"].to_numpy(), np.array([len(t) for t in ys["y_tokens"]])
+            flat, starts = np.concatenate(ys["y_tokens"].to_list()), np.cumsum(lens) - lens
+            for sid, tokens in zip(xs["x_sid"], xs["x_tokens"]):
+                shared = np.add.reduceat(np.isin(flat, tokens), starts, dtype=np.int64)
+                ok = np.flatnonzero(100 * shared >= percent * (lens + len(tokens) - shared))
+                if len(ok):
+                    out.append((min(sid, ids[ok[0]]), max(sid, ids[ok[0]])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    keys = ("to", "block", "side")
+    return cut_lineage(left.groupBy(*[f"x_{c}" for c in keys]).cogroup(right.groupBy(*[f"y_{c}" for c in keys])).applyInPandas(compare, "a long, b long"))
 
 
 def _pairs(sid: Column, n: Column, other: Column, size: Column) -> list[Column]:
