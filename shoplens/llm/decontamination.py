@@ -15,19 +15,16 @@ from pyspark.sql import functions as F
 
 from shoplens.llm.common import cut_lineage
 
-# fixed values: ASCII letters, and what separates words before and after lower-casing
+# fixed values: ASCII letters, and the ASCII characters that separate words
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+SEPARATORS = "".join(chr(c) for c in range(0x80) if not chr(c).isalnum())
 MAX_BROADCAST_WINDOWS = 200_000
 
 
-def ascii_lower(c: Column) -> Column:
-    return F.when(F.length(c) == F.octet_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
-
-
 def words_of(c: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(c), F.lit(WORD), F.lit(0))
+    """Words in order: runs of digits, ASCII letters (in lower case) and characters beyond ASCII."""
+    plain = F.translate(c, UPPER + SEPARATORS, LOWER + " " * len(SEPARATORS))
+    return F.array_remove(F.split(plain, " "), "")
 
 
 def windows_of(benchmark: DataFrame, size: int) -> DataFrame:
@@ -58,7 +55,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> Data
     per_doc = found.groupBy(F.col("doc_id").alias("d"), F.col("key").alias("k")).agg(
         covered.alias("hit"), F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     rows = docs.select("doc_id", F.xxhash64("text").alias("key"),
-                       F.coalesce(F.regexp_count("text", F.lit(WORD_ANY_CASE)), F.lit(0)).cast("long").alias("n_words"))
+                       F.coalesce(F.size(words_of(F.coalesce("text", F.lit("")))), F.lit(0)).cast("long").alias("n_words"))
     out = rows.join(per_doc, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left")
     return out.select(
         "doc_id", "n_words", F.coalesce("hit", F.lit(0)).cast("long").alias("n_hit"),
