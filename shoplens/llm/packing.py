@@ -53,29 +53,28 @@ class WordTokens:
         self.ends = np.zeros(1 << 18, np.int64)  # ends[i]: end of word i - 1
         self.used = 0
 
-    def _word(self, word: str) -> list[int]:
-        if any(s in word for s in self.special):
-            return self.full.encode(word, add_special_tokens=False).ids
-        return self.fast.encode_ordinary(word)
-
-    def _codes(self, words: list[str]) -> np.ndarray:
+    def _codes(self, words: list[str], special: bool) -> np.ndarray:
         if len(self.code) > self.keep:
             self._clear()
-        out = np.empty(len(words), np.int64)
-        for i, w in enumerate(words):
-            c = self.code.get(w)
-            if c is None:
-                ids = self._word(w)
-                c = self.code[w] = len(self.code)
+        code = self.code
+        fast = self.fast.encode_ordinary
+        out = [code.get(w, -1) for w in words]
+        for i, c in enumerate(out):
+            if c < 0:
+                w = words[i]
+                if special and any(s in w for s in self.special):
+                    ids = self.full.encode(w, add_special_tokens=False).ids
+                else:
+                    ids = fast(w)
+                out[i] = c = code[w] = len(code)
                 if c + 2 > len(self.ends):
                     self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-                while self.used + len(ids) > len(self.ids):
+                upto = self.used + len(ids)
+                while upto > len(self.ids):
                     self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-                self.ids[self.used:self.used + len(ids)] = ids
-                self.used += len(ids)
-                self.ends[c + 1] = self.used
-            out[i] = c
-        return out
+                self.ids[self.used:upto] = ids
+                self.ends[c + 1] = self.used = upto
+        return np.array(out, np.int64)
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows, and offsets of the rows in them."""
@@ -89,11 +88,15 @@ class WordTokens:
         before = seen.copy()
         before[1:] |= (data[1:] >= 0x80) & (data[1:] < 0xC0) & (data[:-1] >= 0xC3) & (data[:-1] <= 0xDF)
         cut = np.flatnonzero((data[1:-1] == 0x20) & before[:-2] & after[2:]) + 1
-        bounds = np.unique(np.concatenate([cut, offs]))
+        edge = np.zeros(len(data) + 1, bool)
+        edge[cut] = edge[offs] = True
+        bounds = np.flatnonzero(edge)
         arr = pa.Array.from_buffers(pa.large_string(), len(bounds) - 1,
                                     [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
         coded = arr.dictionary_encode()
-        code = self._codes(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        raw = data.tobytes()
+        code = self._codes(coded.dictionary.to_pylist(), any(s.encode() in raw for s in self.special))[
+            coded.indices.to_numpy()]
         first, lens = self.ends[code], self.ends[code + 1] - self.ends[code]
         ends = np.concatenate([[0], np.cumsum(lens)])
         at = np.repeat(first - ends[:-1], lens) + np.arange(ends[-1])
