@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shoplens.session import cut_lineage
+
 
 def _ts(value) -> Column:
     if isinstance(value, Column):
@@ -85,7 +87,8 @@ def global_row_number(df: DataFrame, order: Sequence[Column], name: str = "row_n
     """
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id())
+    # written once: rows and offsets must see the same partitions, whatever columns each of them reads
+    ranged = cut_lineage(df.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id()))
     local = ranged.withColumn(
         "_local", F.row_number().over(Window.partitionBy("_pid").orderBy(*order)))
     counts = local.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
@@ -103,8 +106,8 @@ def global_cumsum(df: DataFrame, order: Sequence[Column], value: Column, name: s
     """Running sum of ``value`` in a total order, distributed like global_row_number."""
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (df.withColumn("_val", value).repartitionByRange(n, *order)
-              .withColumn("_pid", F.spark_partition_id()))
+    ranged = cut_lineage(df.withColumn("_val", value).repartitionByRange(n, *order)
+                         .withColumn("_pid", F.spark_partition_id()))
     frame_end = Window.currentRow if inclusive else -1
     local = ranged.withColumn("_local", F.coalesce(F.sum("_val").over(
         Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, frame_end)),
@@ -216,9 +219,9 @@ def conversion_by_product(named_events: DataFrame) -> DataFrame:
 
 
 # D11 / F1 -------------------------------------------------------------------
-def top_popular(events: DataFrame, products: DataFrame, limit: int = 5) -> DataFrame:
-    """click+view counts joined to the catalog, top min(limit, 10) (ties by id)."""
-    n = min(int(limit), 10)
+def top_popular(events: DataFrame, products: DataFrame, limit: int = 5, most: int = 10) -> DataFrame:
+    """click+view counts joined to the catalog, top min(limit, most) (ties by id); the shop shows at most 10."""
+    n = min(int(limit), most)
     counts = (events.where(F.col("event_type").isin("click", "view"))
               .groupBy("item_id").agg(F.count(F.lit(1)).alias("interactions")))
     j = counts.join(products.select("item_id", "product_name", "category", "price"), "item_id")

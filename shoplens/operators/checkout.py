@@ -232,9 +232,12 @@ def personal_plus_global(personal: DataFrame, global_top: DataFrame, products: D
 def cart_retrieval(carts: DataFrame, products: DataFrame, embeddings: DataFrame, top_k: int = 6,
                    n: int | None = None) -> DataFrame:
     """Retrieval from the cart alone: query = normalise(Σ 2·vector of each cart line),
-    top N = max(4k, 24) items by inner product (no stock / purchase filters),
-    cart items removed, first k. Carts without any vector fall back to popularity."""
-    n = n or max(top_k * 4, 24)
+    best items by inner product (no stock / purchase filters), cart items removed, first k.
+    Carts without any vector fall back to popularity. The lists hold as many items more
+    as the largest cart has, so that k are left of each; ``n`` is a shorter first cut."""
+    if n is None:
+        largest = carts.groupBy("cart_id").agg(F.count_distinct("item_id").alias("c")).agg(F.max("c")).first()[0]
+        n = top_k + (largest or 0)
     items = embeddings.join(products.select("item_id"), "item_id", "left_semi")
     lines = carts.select("cart_id", "item_id").join(items, "item_id")
     from shoplens.operators.vectors import weighted_vector_sum
@@ -313,7 +316,7 @@ def checkout_recs(carts: DataFrame, products: DataFrame, embeddings: DataFrame,
                   top_k: int = 6, scorer=None, recency_days: int = 365) -> DataFrame:
     """Ranker-scored checkout recommendations for every cart.
 
-    candidates: cart retrieval with N = max(5k, 30) (no stock / purchase
+    candidates: the best N = max(5k, 30) that are not in the cart (no stock / purchase
     filters), else metadata candidates; features from the user's events plus
     the cart as events; score (default linear) x trending boost; blend
     0.70 * minmax(similarity) + 0.30 * minmax(model) per cart; <= 3 per
@@ -322,7 +325,7 @@ def checkout_recs(carts: DataFrame, products: DataFrame, embeddings: DataFrame,
     from shoplens.operators.features import build_features
     from shoplens.operators.ranking import diversity_rerank, linear_score, minmax_norm, trending_boost
     n = max(top_k * 5, 30)
-    retr = cut_lineage(cart_retrieval(carts, products, embeddings, top_k=n, n=n))
+    retr = cut_lineage(cart_retrieval(carts, products, embeddings, top_k=n))
     left = carts.join(retr.select("cart_id").distinct(), "cart_id", "left_anti")
     meta = metadata_candidates(products, left, n) if not left.isEmpty() else None
     cands = retr.select("cart_id", "item_id", "similarity_score")
@@ -341,7 +344,3 @@ def checkout_recs(carts: DataFrame, products: DataFrame, embeddings: DataFrame,
     top = diversity_rerank(scored, products, top_k, "ranking_score")
     return top.select(F.col("user_id").alias("cart_id"), "item_id", "rank", "similarity_score", "model_score",
                       "ranking_score")
-
-
-def score_or(x: Column, *fallbacks: Column) -> Column:
-    return F.coalesce(x, *fallbacks)

@@ -31,7 +31,8 @@ def with_chunks(df: DataFrame, key: str, ts: str, rows_per_chunk: int = DEFAULT_
                        .cast("long"))
     stats = stats.select(key, "_t0", F.when(F.col("_cnt") <= rows_per_chunk, F.lit(None)).otherwise(width)
                          .alias("_width"))
-    return (df.join(stats, key)
+    stats = stats.withColumnRenamed(key, "_key")  # null keys are a timeline, too
+    return (df.join(stats, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
             .withColumn("_chunk", F.coalesce(F.floor((us - F.col("_t0")) / F.col("_width")), F.lit(0)).cast("long"))
             .drop("_t0", "_width"))
 
@@ -49,7 +50,9 @@ def keyed_cumsum(df: DataFrame, key: str, ts: str, tiebreak: str, value: Column,
     offs = totals.select(key, "_chunk", F.coalesce(F.sum("_tot").over(
         Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         .alias("_off"))
-    return (local.join(offs, [key, "_chunk"]).withColumn(name, F.col("_off") + F.col("_loc"))
+    offs = offs.withColumnsRenamed({key: "_key", "_chunk": "_part"})
+    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_chunk") == F.col("_part"))
+    return (local.join(offs, same).drop("_key", "_part").withColumn(name, F.col("_off") + F.col("_loc"))
             .drop("_v", "_loc", "_off", "_chunk"))
 
 
@@ -68,7 +71,9 @@ def prior_rows(df: DataFrame, key: str, ts: str, tiebreak: str, n: int, payload:
             .where(F.col("_ra") == 1).select(key, "_chunk", "_h"))
     local = d.withColumn("_loc", F.collect_list("_p").over(in_chunk.orderBy(*order).rowsBetween(-n, -1)))
     both = F.concat(F.coalesce(F.col("_h"), F.array().cast(local.schema["_loc"].dataType)), F.col("_loc"))
-    return (local.join(halo, [key, "_chunk"], "left")
+    halo = halo.withColumnsRenamed({key: "_key", "_chunk": "_part"})
+    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_chunk") == F.col("_part"))
+    return (local.join(halo, same, "left").drop("_key", "_part")
             .withColumn(name, F.slice(both, F.greatest(F.size(both) - n + 1, F.lit(1)), n))
             .drop("_h", "_loc", "_chunk", "_p"))
 

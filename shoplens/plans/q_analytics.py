@@ -52,14 +52,13 @@ def q_facet_filter(spark, d):
 
 
 @register("paginate", with_views(["products"], """
-SELECT item_id, price, row_no, CAST(3 AS BIGINT) AS page, total_pages FROM (
-  SELECT item_id, price, row_number() OVER (ORDER BY price, item_id) AS row_no,
+SELECT item_id, product_name, brand, price, row_no, CAST(3 AS BIGINT) AS page, total_pages FROM (
+  SELECT item_id, product_name, brand, price, row_number() OVER (ORDER BY price, item_id) AS row_no,
          greatest(1, ceil(count(*) OVER () / 24)) :: BIGINT AS total_pages
   FROM products) WHERE (row_no - 1) // 24 + 1 = 3""", ))
 def q_paginate(spark, d):
-    p = X.products(spark, d).select("item_id", "price")
-    out = A.paginate(p, [F.col("price"), F.col("item_id")], 24, 3)
-    return out.select("item_id", "price", "row_no", "page", "total_pages")
+    out = A.paginate(X.products(spark, d), [F.col("price"), F.col("item_id")], 24, 3)
+    return out.select("item_id", "product_name", "brand", "price", "row_no", "page", "total_pages")
 
 
 @register("events_left_products", with_views(["ev", "products"], """

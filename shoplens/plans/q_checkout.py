@@ -113,9 +113,7 @@ cq0 AS (SELECT cart_id, list(s ORDER BY pos) AS v FROM (SELECT cart_id, pos, sum
         GROUP BY 1, 2) GROUP BY cart_id),
 cqv AS (SELECT cart_id, CASE WHEN sqrt(list_dot_product(v, v)) > 0
                THEN list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) ELSE v END AS v FROM cq0),
-rtop AS (SELECT * FROM (SELECT q.cart_id, i.item_id, list_dot_product(q.v, i.embedding) AS similarity_score,
-                row_number() OVER (PARTITION BY q.cart_id ORDER BY list_dot_product(q.v, i.embedding) DESC, i.item_id)
-                  AS r FROM cqv q, items i) WHERE r <= 24),
+rtop AS (SELECT q.cart_id, i.item_id, list_dot_product(q.v, i.embedding) AS similarity_score FROM cqv q, items i),
 retr AS (SELECT * FROM (SELECT cart_id, item_id, similarity_score,
                 row_number() OVER (PARTITION BY cart_id ORDER BY similarity_score DESC, item_id) AS rank
          FROM rtop t WHERE NOT EXISTS (SELECT 1 FROM carts x WHERE x.user_id = t.cart_id AND x.item_id = t.item_id))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -70,10 +69,6 @@ def cut_lineage(df):
     return df.checkpoint(eager=True)
 
 
-def env_master() -> str:
-    return f"local[{os.environ.get('BENCH_CPUS', '8')}]"
-
-
 def spread(df):
     """Give CPU-heavy per-row work at least one partition per core.
 
