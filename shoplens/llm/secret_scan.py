@@ -170,20 +170,27 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
 def fit(texts: list[str], window: int = 24, rounds: int = 80, rate: float = 0.4, decay: float = 1e-4,
         plain_per_secret: int = 6) -> Field:
     """Maximum likelihood (Adagrad over all windows at once) with the patterns' spans as labels."""
-    data, offs = utf8(pa.array(texts, pa.string()))
-    starts, ends, row, feats = tokens(data, offs)
-    labels = np.zeros(len(starts), np.int64)
-    for i, text in enumerate(texts):
-        for _, _, _, a, b in base_spans(text or ""):
-            lo = offs[i] + len(text[:a].encode())
-            hi = offs[i] + len(text[:b].encode())
-            inside = np.flatnonzero((starts >= lo) & (ends <= hi))
-            labels[inside] = I
-            labels[inside[:1]] = B
-    n = len(starts) // window
-    if not n or not labels.any():
+    all_feats, all_labels, n_tokens = [], [], 0
+    for at in range(0, len(texts), 200):
+        part = texts[at:at + 200]
+        data, offs = utf8(pa.array(part, pa.string()))
+        starts, ends, row, feats = tokens(data, offs)
+        labels = np.zeros(len(starts), np.int64)
+        for i, text in enumerate(part):
+            for _, _, _, a, b in base_spans(text or ""):
+                lo = offs[i] + len(text[:a].encode())
+                hi = offs[i] + len(text[:b].encode())
+                inside = np.flatnonzero((starts >= lo) & (ends <= hi))
+                labels[inside] = I
+                labels[inside[:1]] = B
+        n = len(starts) // window
+        n_tokens += len(starts)
+        all_feats.append(feats[:n * window].reshape(n, window, feats.shape[1]))
+        all_labels.append(labels[:n * window].reshape(n, window).astype(np.int8))
+    feats = np.concatenate(all_feats) if all_feats else np.zeros((0, window, len(_SIZES)), np.int32)
+    labels = np.concatenate(all_labels) if all_labels else np.zeros((0, window), np.int8)
+    if not labels.any():
         return Field(None, None)
-    feats, labels = feats[:n * window].reshape(n, window, -1), labels[:n * window].reshape(n, window)
     secret = labels.any(1)
     rank = np.cumsum(~secret) * 2654435761 % (1 << 32)
     plain = np.flatnonzero(~secret)[np.argsort(rank[~secret], kind="stable")][:plain_per_secret * int(secret.sum())]
@@ -219,12 +226,12 @@ def fit(texts: list[str], window: int = 24, rounds: int = 80, rate: float = 0.4,
         weights += rate * grad / np.sqrt(w2)
         moves += rate * grad_moves / np.sqrt(m2)
     # windows of the sample hold more secrets than the corpus: give outside its real odds
-    weights[_BASES[7]:_BASES[8], O] += np.log(max(len(starts) / window / max(n, 1), 1.0))
+    weights[_BASES[7]:_BASES[8], O] += np.log(max(n_tokens / window / max(n, 1), 1.0))
     moves = moves + bar
     return Field(weights.astype(np.float32), moves)
 
 
-def train(docs: DataFrame, sample: int = 3000, max_chars: int = 20_000) -> Field:
+def train(docs: DataFrame, sample: int = 2000, max_chars: int = 20_000) -> Field:
     """Fit on at most ``sample`` texts, first by hash of the id, of at most ``max_chars`` characters each."""
     short = docs.where((F.length("text") <= max_chars) & (F.length("text") > 0))
     key = F.xxhash64("doc_id")
