@@ -9,7 +9,9 @@ needs that share of the template's bigrams, so one of its first few must occur.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +44,19 @@ def necessary(bigrams: list[str], percent: int) -> list[str]:
     return bigrams[:len(bigrams) - need + 1]
 
 
+def possible(docs: DataFrame, needed: list[str]) -> DataFrame:
+    """(doc_id, text) of the documents that hold both words of a necessary bigram anywhere; the others can't match."""
+    words = [b.split(" ") for b in needed]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            low = [(t or "").lower() for t in batch.column("text").to_pylist()]
+            yield batch.filter(pa.array([any(a in t and b in t for a, b in words) for t in low], pa.bool_()))
+
+    texts = docs.select("doc_id", "text")
+    return texts.mapInArrow(rows, texts.schema)
+
+
 def license_hits(docs: DataFrame, templates=TEMPLATES, percent: int = PERCENT) -> DataFrame:
     """doc_id, unit (line number from 1, 0: the whole text), license, dice of every match.
 
@@ -49,14 +64,14 @@ def license_hits(docs: DataFrame, templates=TEMPLATES, percent: int = PERCENT) -
     are given, ties included; repeated rows repeat their matches. Only lines
     that reach a template's size bound and hold a necessary bigram are scored.
     """
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    grams = {name: template_bigrams(text) for name, text in templates}
+    needed = list(dict.fromkeys(b for g in grams.values() for b in necessary(g, percent)))
+    texts = possible(docs, needed).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     units = texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("unit", "raw")) \
         .select("doc_id", (F.col("unit") + 1).alias("unit"), "raw") \
         .union(texts.where(F.contains("text", F.lit("\n"))).select("doc_id", F.lit(0).alias("unit"), "text"))
     norm = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower("raw"), "[^a-z0-9]+", " ")), F.lit(" "))
     units = units.select("doc_id", "unit", norm.alias("norm"))
-    grams = {name: template_bigrams(text) for name, text in templates}
-    needed = list(dict.fromkeys(b for g in grams.values() for b in necessary(g, percent)))
     some: Column = F.lit(False)
     for b in needed:
         some = some | F.contains("norm", F.lit(f" {b} "))
