@@ -45,13 +45,13 @@ def necessary(bigrams: list[str], percent: int) -> list[str]:
 
 
 def possible(docs: DataFrame, needed: list[str]) -> DataFrame:
-    """(doc_id, text) of the documents that hold both words of a necessary bigram anywhere; the others can't match."""
-    words = [b.split(" ") for b in needed]
+    """(doc_id, text) of the documents that hold a necessary bigram's words one after the other; the others can't match."""
+    words = [(a, b, re.compile(f"{a}[^a-z0-9]+{b}")) for a, b in (x.split(" ") for x in needed)]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             low = [(t or "").lower() for t in batch.column("text").to_pylist()]
-            yield batch.filter(pa.array([any(a in t and b in t for a, b in words) for t in low], pa.bool_()))
+            yield batch.filter(pa.array([any(a in t and b in t and p.search(t) for a, b, p in words) for t in low], pa.bool_()))
 
     texts = docs.select("doc_id", "text")
     return texts.mapInArrow(rows, texts.schema)
