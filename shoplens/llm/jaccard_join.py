@@ -224,6 +224,21 @@ def _need(n: Column, percent: int) -> Column:
     return F.least(F.floor(n / 20) + 1, _least(n, percent))
 
 
+def _prefix(n: Column, percent: int) -> Column:
+    """Size of the prefix of a set of size n."""
+    return F.least(n - _least(n, percent) + F.floor(n / 20) + 1, n)
+
+
+def _need_of_pair(na: Column, nb: Column, percent: int) -> Column:
+    """Shingles that the prefixes of linked sets of these very sizes share at least.
+
+    What both sets hold up to the end of the prefix that ends first lies in both
+    prefixes; behind it the overlap is at most the rest of that set.
+    """
+    behind = F.greatest(na - _prefix(na, percent), nb - _prefix(nb, percent))
+    return F.greatest(F.ceil(percent * (na + nb) / (100 + percent)) - behind, F.lit(1))
+
+
 def _close(na: Column, nb: Column, percent: int) -> Column:
     return 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
 
@@ -329,15 +344,21 @@ def _links(texts: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percen
     docs_in = cut_lineage(members.select("sid", "n", "part").distinct())
     sizes = docs_in.groupBy("part").agg(F.count("*").alias("size"))
     sized = cut_lineage(open_rows.drop("major").join(sizes, "part"))
-    # small components: pairs of documents
+    # small components: pairs of documents, met at the first shingle that both prefixes hold
     x, y = sized.where(F.col("size") < LARGE).alias("x"), sized.where(F.col("size") < LARGE).alias("y")
     reach = F.least("x.pos", "y.pos") + F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
+    left = F.least(_prefix(F.col("x.n"), percent) - F.col("x.pos"), _prefix(F.col("y.n"), percent) - F.col("y.pos"))
     rest = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.part") != F.col("y.part"))
                   & (F.col("x.sid") < F.col("y.sid")) & _close(F.col("x.n"), F.col("y.n"), percent)
-                  & ((100 + percent) * reach >= percent * (F.col("x.n") + F.col("y.n"))))
-    rest = rest.select(*_pairs(F.col("x.sid"), F.col("x.n"), F.col("y.sid"), F.col("y.n"))) \
-        .groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
-    rest = frequent(rest).join(tried, ["a", "b"], "left_anti")
+                  & ((100 + percent) * reach >= percent * (F.col("x.n") + F.col("y.n")))
+                  & (left >= _need_of_pair(F.col("x.n"), F.col("y.n"), percent)))
+    rest = cut_lineage(rest.select(*_pairs(F.col("x.sid"), F.col("x.n"), F.col("y.sid"), F.col("y.n"))).distinct()
+                       .join(tried, ["a", "b"], "left_anti"))
+    heads = cut_lineage(sized.where(F.col("size") < LARGE).groupBy("sid").agg(F.collect_list("token").alias("head")))
+    rest = rest.join(heads.select(F.col("sid").alias("a"), F.col("head").alias("ha")), "a") \
+        .join(heads.select(F.col("sid").alias("b"), F.col("head").alias("hb")), "b") \
+        .where(F.size(F.array_intersect("ha", "hb")) >= _need_of_pair(F.col("na"), F.col("nb"), percent)) \
+        .select("a", "b", "na", "nb")
     # large components: their members in blocks against all outsiders that share enough with any of them
     large = sized.where(F.col("size") >= LARGE).select("token", F.col("part").alias("to"), F.col("size").alias("room")).distinct()
     outside = sized.join(large, "token").where("part <> to and struct(size, part) < struct(room, to)") \
