@@ -8,6 +8,7 @@ parameter, not by the data.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shoplens.session import cut_lineage
+from shoplens.session import cut_lineage, ensure_checkpoint_dir
 
 SLICE_BYTES = 4 << 20
 
@@ -101,6 +102,18 @@ def word_spans(sep: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, ends, np.searchsorted(offs, starts, "right") - 1
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read again: its size is then known.
+
+    checkpoint() keeps the size estimate of the plan before it, a product over
+    all joins; in a loop of joins these numbers get so long that planning them
+    takes longer than the jobs.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the same label, one of its nodes, for all nodes that ``links`` connects.
 
@@ -108,10 +121,10 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     comes first by hash, links are rewritten to the targets, loops and repeats
     go. The order by hash keeps chains of pointers short, so a path, too,
     shrinks by a constant factor a round, and a star is gone after two. A hub
-    with very many links only meets partial aggregates. Lineage is cut by
-    checkpoint() in every round.
+    with very many links only meets partial aggregates. Every round is
+    written to the shared folder.
     """
-    links = cut_lineage(links.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    links = written(links.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
                         .where("a <> b").distinct())
 
     def key(c: str) -> Column:
@@ -120,9 +133,9 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     out = None
     while not links.isEmpty():
         both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        to = cut_lineage(both.groupBy(F.col("a").alias("node")).agg(F.min(key("b")).alias("m"))
+        to = written(both.groupBy(F.col("a").alias("node")).agg(F.min(key("b")).alias("m"))
                          .select("node", F.least(key("node"), F.col("m"))["v"].alias("to")))
-        links = cut_lineage(
+        links = written(
             links.join(to.select(F.col("node").alias("a"), F.col("to").alias("a2")), "a")
             .join(to.select(F.col("node").alias("b"), F.col("to").alias("b2")), "b")
             .select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b"))
@@ -131,6 +144,6 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
             out = to.select("node", F.col("to").alias("component"))
         else:
             step = to.select(F.col("node").alias("component"), "to")
-            out = cut_lineage(out.join(step, "component", "left")
+            out = written(out.join(step, "component", "left")
                               .select("node", F.coalesce("to", "component").alias("component")))
     return links.select(F.col("a").alias("node"), F.col("a").alias("component")) if out is None else out
