@@ -31,6 +31,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # a run of 24 or more is found from its firs
 ASSIGN_LEAST, ACCESS_LEAST = 6, 20
 KINDS = ("assign", "access", "hex", "crf")
 
+SCAN_BYTES = 1 << 20  # text expanded at a time: features take some 60 times its size
 O, B, I = 0, 1, 2
 BAR = -1e3  # the move from outside to inside, which is not allowed
 _KIND = np.zeros(256, np.uint8)
@@ -276,7 +277,7 @@ def scan(docs: DataFrame, field: Field) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(field)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, max_bytes=SCAN_BYTES):
             found = find_spans(part.column("text"), shared.value)
             base = [[x for x in spans if x[1] < 3] for spans in found]
             counts = [[sum(x[1] == k for x in spans) for spans in base] for k in range(3)]
@@ -296,7 +297,7 @@ def redact(docs: DataFrame, field: Field, mark: str = "[SECRET]") -> DataFrame:
     names = docs.columns
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, max_bytes=SCAN_BYTES):
             found = find_spans(part.column("text"), shared.value)
             if any(found):
                 texts = part.column("text").to_pylist()
