@@ -74,6 +74,11 @@ def co_cart_deltas(events: DataFrame, history: int = ONLINE_HISTORY,
         carts = _islands(carts, ["user_id"], "ts", ttl_seconds, "_isl")
         carts = carts.withColumn("_ui", F.concat_ws("\u0001", "user_id", F.col("_isl").cast("string")))
         prior = prior_rows(carts, "_ui", "ts", "event_id", history, F.col("item_id"), "_prev").drop("_ui")
+    return pair_increments(prior)
+
+
+def pair_increments(prior: DataFrame) -> DataFrame:
+    """(item_a <= item_b, ts, event_id) of each row's item and each other item in its list ``_prev``."""
     pairs = prior.select("event_id", "ts", "item_id", F.explode("_prev").alias("_p")).where(
         F.col("_p") != F.col("item_id"))
     return pairs.select(F.least("_p", "item_id").alias("item_a"), F.greatest("_p", "item_id").alias("item_b"),

@@ -61,8 +61,8 @@ def q_live_popularity(spark, d):
 SELECT item_a, item_b, weight, strftime(last_updated, '%Y-%m-%d %H:%M:%S') AS last_updated FROM pairs""",
                                        DELTA_SQL))
 def q_stream_co_cart(spark, d):
-    """K1/K2 as a stateful stream: pair increments appended, then aggregated in batch."""
-    deltas = L.run_available(L.co_cart_pair_deltas(event_stream(spark, d)), "cocart")
+    """K1/K2 as a stream: pair increments appended batch by batch, then aggregated."""
+    deltas = L.run_co_cart(event_stream(spark, d), "cocart")
     w = deltas.groupBy("item_a", "item_b").agg(F.count(F.lit(1)).cast("double").alias("weight"),
                                                F.max("ts").alias("last_updated"))
     return w.select("item_a", "item_b", "weight", ts_text("last_updated").alias("last_updated"))

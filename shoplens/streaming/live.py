@@ -2,21 +2,22 @@
 
 Each builder takes a streaming DataFrame in the events-view shape and returns
 a streaming DataFrame; ``run_available`` drives a query to completion with
-``availableNow`` into a parquet folder (checkpointed in the shared folder),
-upserting aggregate rows per micro-batch with ``foreachBatch``.
+``availableNow`` into a parquet folder (checkpointed in the shared folder).
+Every micro-batch overwrites the folder of its own id with ``foreachBatch``, so
+a batch that is run again after a failure leaves no repeated rows.
 """
 
 from __future__ import annotations
 
 import uuid
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from shoplens.functions.weights import ONLINE_HISTORY
+from shoplens.operators.online import pair_increments, user_recent_items
+from shoplens.operators.skew import prior_rows
 from shoplens.session import ensure_checkpoint_dir
 
 RAW_EVENT_SCHEMA = T.StructType([
@@ -27,7 +28,7 @@ RAW_EVENT_SCHEMA = T.StructType([
 EVENT_MESSAGE_SCHEMA = T.StructType([
     T.StructField("user_id", T.StringType()), T.StructField("item_id", T.StringType()),
     T.StructField("event_type", T.StringType()), T.StructField("time_spent_seconds", T.DoubleType()),
-    T.StructField("timestamp", T.StringType()),
+    T.StructField("timestamp", T.StringType()), T.StructField("event_id", T.LongType()),
 ])
 
 
@@ -42,12 +43,18 @@ def read_event_files(spark: SparkSession, directory: str, glob: str = "*.parquet
 
 def read_event_topic(spark: SparkSession, servers: str, topic: str = "event_logs") -> DataFrame:
     """JSON event messages from a Kafka topic (needs the Kafka connector on the classpath)."""
-    raw = (spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers)
-           .option("subscribe", topic).load())
+    return event_messages(spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers)
+                          .option("subscribe", topic).load())
+
+
+def event_messages(raw: DataFrame) -> DataFrame:
+    """Events from topic rows (value, partition, offset). A message without an
+    event_id gets its place in the topic as one, so a re-read gives the same id."""
     msg = F.from_json(F.col("value").cast("string"), EVENT_MESSAGE_SCHEMA)
-    return raw.select(msg.alias("m")).select(
-        "m.user_id", "m.item_id", "m.event_type", "m.time_spent_seconds",
-        F.to_timestamp("m.timestamp").alias("ts"))
+    place = F.shiftleft(F.col("partition").cast("long"), 44) + F.col("offset")
+    return raw.select(msg.alias("m"), place.alias("place")).select(
+        F.coalesce("m.event_id", "place").alias("event_id"), "m.user_id", "m.item_id", "m.event_type",
+        "m.time_spent_seconds", F.to_timestamp("m.timestamp").alias("ts"))
 
 
 # K6 -------------------------------------------------------------------------
@@ -81,71 +88,83 @@ def live_popularity(events: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("interactions")))
 
 
-# K1 / K2 --------------------------------------------------------------------
-PAIR_DELTA_SCHEMA = T.StructType([
-    T.StructField("item_a", T.StringType()), T.StructField("item_b", T.StringType()),
-    T.StructField("ts", T.TimestampType()), T.StructField("event_id", T.LongType()),
-])
-
-
-def co_cart_pair_deltas(events: DataFrame, history: int = ONLINE_HISTORY) -> DataFrame:
-    """Stateful per-user recent-items list (<= history, repeats kept); every
-    add_to_cart emits one pair increment per remembered item != the new item.
-    Output rows are appended and aggregated later (co_cart_weights)."""
-    carts = events.where(F.col("event_type") == "add_to_cart").select("user_id", "item_id", "ts", "event_id")
-
-    def step(key, batches, state):
-        items = list(state.get[0]) if state.exists else []
-        rows_a, rows_b, rows_t, rows_e = [], [], [], []
-        for pdf in batches:
-            for it, ts, eid in pdf.sort_values(["ts", "event_id"])[["item_id", "ts", "event_id"]].itertuples(
-                    index=False):
-                for prev in items:
-                    if prev != it:
-                        a, b = (prev, it) if prev <= it else (it, prev)
-                        rows_a.append(a)
-                        rows_b.append(b)
-                        rows_t.append(ts)
-                        rows_e.append(eid)
-                items.append(it)
-                if len(items) > history:
-                    items = items[-history:]
-        state.update((items,))
-        yield pd.DataFrame({"item_a": rows_a, "item_b": rows_b, "ts": pd.to_datetime(rows_t),
-                            "event_id": pd.array(rows_e, dtype="int64")})
-
-    return carts.groupBy("user_id").applyInPandasWithState(
-        step, PAIR_DELTA_SCHEMA, "items array<string>", "append", GroupStateTimeout.NoTimeout)
-
-
 # driving ----------------------------------------------------------------------
 def _fresh_dir(spark: SparkSession, name: str) -> str:
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/stream-{name}-{uuid.uuid4().hex[:12]}"
 
 
+def _start_table(spark: SparkSession, folder: str, schema: T.StructType) -> None:
+    """An empty table of the schema: reading it needs no first batch."""
+    spark.createDataFrame([], schema).write.parquet(f"{folder}/_batch=-1")
+
+
+def write_batch(batch: DataFrame, folder: str, batch_id: int) -> None:
+    batch.write.mode("overwrite").parquet(f"{folder}/_batch={batch_id}")
+
+
 def run_available(stream: DataFrame, name: str, keys: list[str] | None = None,
                   output_mode: str = "append") -> DataFrame:
     """Run ``stream`` over all currently available input and return its result table.
 
     append: rows are written as produced. update/complete: each micro-batch is
-    written with its batch id and the latest row per ``keys`` is returned.
+    written under its batch id and the latest row per ``keys`` is returned.
     """
     spark = stream.sparkSession
     out = _fresh_dir(spark, name)
-    ckpt = _fresh_dir(spark, name + "-ckpt")
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("_batch", F.lit(batch_id)).write.mode("append").parquet(out)
-
-    q = (stream.writeStream.outputMode(output_mode).foreachBatch(write)
-         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    _start_table(spark, out, stream.schema)
+    q = (stream.writeStream.outputMode(output_mode).foreachBatch(lambda batch, i: write_batch(batch, out, i))
+         .option("checkpointLocation", _fresh_dir(spark, name + "-ckpt")).trigger(availableNow=True).start())
     q.awaitTermination()
-    try:
-        res = spark.read.parquet(out)
-    except Exception:  # noqa: BLE001 - nothing was written: empty result of the stream's schema
-        return spark.createDataFrame([], stream.schema)
+    res = spark.read.parquet(out)
     if keys:
         w = Window.partitionBy(*keys).orderBy(F.desc("_batch"))
         res = res.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
     return res.drop("_batch")
+
+
+# K1 / K2 --------------------------------------------------------------------
+def run_co_cart(events: DataFrame, name: str, history: int = ONLINE_HISTORY) -> DataFrame:
+    """Pair increments (item_a <= item_b, ts, event_id) of all available events.
+
+    Rows of a micro-batch are ordered by (ts, event_id); before them stand the
+    user's last ``history`` carted items of the earlier batches, in the order in
+    which the batches came. These lists are a table with one bounded row per user,
+    written anew under each batch id. Frames inside a batch are the chunked ones
+    of ``operators.skew``, so a user with a large share of a batch is split.
+    """
+    spark = events.sparkSession
+    out, lists = _fresh_dir(spark, name), _fresh_dir(spark, name + "-lists")
+    kind = {f.name: f.dataType for f in events.schema.fields}
+    pairs_schema = T.StructType([T.StructField("item_a", kind["item_id"]), T.StructField("item_b", kind["item_id"]),
+                                 T.StructField("ts", kind["ts"]), T.StructField("event_id", kind["event_id"])])
+    list_schema = T.StructType([T.StructField("user_id", kind["user_id"]),
+                                T.StructField("items", T.ArrayType(kind["item_id"]))])
+    _start_table(spark, out, pairs_schema)
+    _start_table(spark, lists, list_schema)
+
+    def last(items):
+        return F.slice(items, F.greatest(F.size(items) - history + 1, F.lit(1)), history)
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        carts = batch.persist()
+        before = batch.sparkSession.read.schema(list_schema).parquet(f"{lists}/_batch={batch_id - 1}") \
+            .select(F.col("user_id").alias("_user"), F.col("items").alias("_before"))
+        none = F.array().cast(T.ArrayType(kind["item_id"]))
+        same = F.col("user_id").eqNullSafe(F.col("_user"))
+        rows = prior_rows(carts, "user_id", "ts", "event_id", history, F.col("item_id"), "_prev")
+        rows = rows.join(before, same, "left").withColumn(
+            "_prev", last(F.concat(F.coalesce("_before", none), F.col("_prev"))))
+        write_batch(pair_increments(rows), out, batch_id)
+        now = user_recent_items(carts, history).select("user_id", "items", F.lit(True).alias("_new"))
+        merged = before.join(now, same, "full").select(
+            F.when(F.col("_new"), F.col("user_id")).otherwise(F.col("_user")).alias("user_id"),
+            last(F.concat(F.coalesce("_before", none), F.coalesce("items", none))).alias("items"))
+        write_batch(merged, lists, batch_id)
+        carts.unpersist()
+
+    carts = events.where(F.col("event_type") == "add_to_cart").select("event_id", "user_id", "item_id", "ts", "event_type")
+    q = (carts.writeStream.foreachBatch(step).option("checkpointLocation", _fresh_dir(spark, name + "-ckpt"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(out).drop("_batch")

@@ -1,4 +1,7 @@
-"""Stream = batch for the stateful co-cart operator."""
+"""Streams: co-cart equals the batch result, sinks survive a replay, topic rows get ids."""
+
+import json
+import os
 
 from pyspark.sql import functions as F
 
@@ -9,10 +12,47 @@ from shoplens.streaming import live as L
 from .conftest import SF_SMALL
 
 
+def _same(a, b):
+    return a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def _weights(deltas):
+    return deltas.groupBy("item_a", "item_b").agg(F.count("*").cast("double").alias("weight"))
+
+
 def test_stream_pairs_equal_batch_pairs(spark):
-    stream = X.events_from(L.read_event_files(spark, SF_SMALL, "events.parquet"))
-    deltas = L.run_available(L.co_cart_pair_deltas(stream), "test-cocart")
-    s = deltas.groupBy("item_a", "item_b").agg(F.count("*").cast("double").alias("weight"))
+    s = _weights(L.run_co_cart(X.events_from(L.read_event_files(spark, SF_SMALL, "events.parquet")), "test-cocart"))
     b = O.co_cart_weights(X.events(spark, SF_SMALL)).select("item_a", "item_b", "weight")
-    assert s.exceptAll(b).count() == 0 and b.exceptAll(s).count() == 0
-    assert s.count() > 0
+    assert _same(s, b) and s.count() > 0
+
+
+def test_stream_pairs_over_several_batches_of_unsorted_files(spark, tmp_path):
+    import pyarrow.parquet as pq
+    rows = pq.read_table(f"{SF_SMALL}/events.parquet").sort_by([("ts", "ascending"), ("event_id", "ascending")])
+    step = -(-rows.num_rows // 3)
+    for i in range(3):  # the batches come in order of time, rows inside a file don't
+        part = rows.slice(i * step, step)
+        path = tmp_path / f"{i}.parquet"
+        pq.write_table(part.take(list(range(part.num_rows))[::-1]), path)
+        os.utime(path, (1_700_000_000 + i, 1_700_000_000 + i))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    try:
+        stream = X.events_from(L.read_event_files(spark, str(tmp_path), max_files_per_trigger=1))
+        got = L.run_co_cart(stream, "test-cocart-3").groupBy("item_a", "item_b", "ts", "event_id").count()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    want = O.co_cart_deltas(X.events(spark, SF_SMALL)).groupBy("item_a", "item_b", "ts", "event_id").count()
+    assert _same(got, want)
+
+
+def test_replayed_batch_leaves_no_repeats(spark, tmp_path):
+    for _ in range(2):
+        L.write_batch(spark.range(5), str(tmp_path / "t"), 0)
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 5
+
+
+def test_topic_rows_have_event_ids(spark):
+    msg = {"user_id": "u", "item_id": "i", "event_type": "view", "timestamp": "2024-01-01 00:00:00"}
+    raw = spark.createDataFrame([(json.dumps(msg), 1, 7), (json.dumps(msg | {"event_id": 3}), 0, 8)],
+                                "value string, partition int, offset long")
+    assert sorted(r["event_id"] for r in L.event_messages(raw).collect()) == [3, (1 << 44) + 7]
