@@ -21,17 +21,33 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by Jaccard 0.8 over five-word shingles: its smallest doc_id."""
-    groups = jaccard_join.jaccard_components(docs, k=5, percent=80)
-    keep = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    """One row of each group linked by Jaccard 0.8 over five-word shingles: one with its smallest doc_id.
+
+    Groups are of rows, not of ids: rows that share an id, or have none, are
+    judged by their own texts. A null id is kept only where no row of the group
+    has one; of repeated rows one is kept. Texts without words are linked with
+    nothing and all stay.
+    """
+    row = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"))
+    by_text = docs.select(F.xxhash64("text").alias("doc_id"), "text")
+    groups = jaccard_join.jaccard_components(by_text, k=5, percent=80).where("n_shingles > 0") \
+        .select(F.col("doc_id").alias("h"), "component_id").distinct()
+    # copies of a text meet as partial minima, so a large group is no large task
+    first = docs.groupBy(F.xxhash64("text").alias("h")).agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))).alias("m"))
+    keep = first.join(groups, "h").groupBy("component_id") \
+        .agg(F.min(F.struct("m.none", "m.id", "h")).alias("m")) \
+        .select(F.xxhash64("m.none", "m.id", "m.h").alias("_row"))
+    kept = docs.withColumn("_row", row).join(keep, "_row", "left_semi").groupBy("_row") \
+        .agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_kept"))
+    wordless = F.coalesce(F.length(F.translate("text", " \t\n\x0b\f\r", "")), F.lit(0)) == 0
+    return kept.select("_kept.*").union(docs.where(wordless))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
-    hits = decontamination.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = hits.where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    """Rows without a passage of the benchmark; each is judged by its own text, whatever its doc_id."""
+    bad = decontamination.contaminated_texts(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad_id")) & (F.xxhash64("text") == F.col("_bad_text")), "left_anti")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

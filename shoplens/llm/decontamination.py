@@ -64,6 +64,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> Data
         (F.coalesce("hit", F.lit(0)) > 0).alias("contaminated"))
 
 
+def contaminated_texts(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
+    """(_bad_id, _bad_text): doc_id and xxhash64 of the text of each contaminated row, once."""
+    found = _matches(docs, cut_lineage(windows_of(benchmark, size)))
+    return found.select(F.col("doc_id").alias("_bad_id"), F.col("key").alias("_bad_text")).distinct()
+
+
 def _matches(docs: DataFrame, windows: DataFrame) -> DataFrame:
     """(doc_id, key, start, stop, item_id): every occurrence of every window."""
     n_windows = windows.count()
