@@ -31,6 +31,7 @@ CLOSES_P = frozenset("address article aside blockquote details div dl fieldset f
                      "h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
             "th": ("td", "th"), "option": ("option",)}
+TO_THE_END = frozenset("script style textarea title".split())  # without an end tag these take the rest of the page
 DROP = RAW | frozenset("nav header footer aside form button select menu dialog head object audio video canvas".split())
 NOISE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|sidebar|side-bar|menu|nav\w*|breadcrumbs?|"
                    r"footer|header|masthead|cookies?|consent|notice|notices|popup|modal|newsletter|subscribe|share|social|"
@@ -62,9 +63,31 @@ class Node:
         return " ".join(" ".join(p for p in self.parts if isinstance(p, str)).split())
 
 
+def raw_ends(source: str, tag: str) -> dict[int, int]:
+    """Where the elements ``tag`` end, by where their start tags end; elements without an end tag are left out."""
+    marks = re.compile(rf"""<!--.*?(?:-->|\Z)|<(script|style|textarea|title)(?=[\s/>])[^>]*>.*?(?:</\1[^>]*>|\Z)|"""
+                       rf"""<(/?){re.escape(tag)}(?=[\s/>])((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S | re.I)
+    out, open_ = {}, []
+    for m in marks.finditer(source):
+        if m[3] is None:
+            continue
+        if not m[2]:
+            if not m[3].endswith("/"):
+                open_.append(m.end())
+        elif open_:
+            out[open_.pop()] = m.end()
+    return out
+
+
 def parse(source: str) -> Node:
-    """A tree of elements with their texts; forgiving about missing and stray end tags."""
+    """A tree of elements with their texts; forgiving about missing and stray end tags.
+
+    Elements of RAW are skipped to their end tags, nested ones of the same tag
+    included. Self-closing ones (but not those of TO_THE_END, where HTML ignores
+    the slash) and ones without an end tag are empty.
+    """
     root = Node("#root")
+    ends: dict[str, dict[int, int]] = {}
     stack, pos, n = [root], 0, len(source)
 
     def text(piece: str) -> None:
@@ -104,9 +127,14 @@ def parse(source: str) -> Node:
         node = Node(tag, m[3])
         stack[-1].parts.append(node)
         stack[-1].kids.append(node)
-        if tag in RAW:
+        if tag in TO_THE_END:
             end = re.compile(f"</{tag}[^>]*>", re.I).search(source, pos)
             pos = end.end() if end else n
+        elif tag in RAW:
+            if not m[3].endswith("/"):
+                if tag not in ends:
+                    ends[tag] = raw_ends(source, tag)
+                pos = ends[tag].get(pos, pos)
         elif tag not in VOID and not m[3].endswith("/"):
             stack.append(node)
     return root
