@@ -3,16 +3,18 @@
 A host's page with the smallest id is its reference tree. Every page of the
 host is aligned with it by simple tree matching (the largest order-preserving
 matching of nodes of equal tags). A reference node whose own text is the same
-on nearly all pages that have it is template; the others are slots. A page's
-text is its content element without template nodes and without parts that
-are no article by their tag or class.
+on nearly all pages that have it is template; the others, and what the
+reference lacks, are slots. A page's text is the smallest region that holds
+its slots, without template nodes and without parts that are no article by
+their tag or class, or their ancestors'. Hosts with few pages have no votes:
+there the tags decide (see :func:`by_tags`).
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
-import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -39,11 +41,13 @@ NOISE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|si
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
 _TAG = re.compile(r"""<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.S)
 _ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+PAGE = frozenset("#root html body".split())
+HOLDS = {"main": 1, "h1": 2, "article": 4}
 SAME_SHARE, LEAST_PAGES = 0.9, 5
 
 
 class Node:
-    __slots__ = ("tag", "label", "noise", "parts", "kids", "at", "shape", "size")
+    __slots__ = ("tag", "label", "noise", "parts", "kids", "at", "shape", "size", "holds")
 
     def __init__(self, tag: str, attrs: str = "") -> None:
         self.tag, self.parts, self.kids, self.at = tag, [], [], -1
@@ -144,7 +148,11 @@ _shapes: dict[tuple, int] = {}
 
 
 def measure(root: Node) -> list[Node]:
-    """Numbers the nodes in page order and gives each its size and shape; iterative, so depth is no limit."""
+    """Numbers the nodes in page order and gives each its size and shape; iterative, so depth is no limit.
+
+    The page itself is never noise, and an element that is noise by its name
+    alone isn't if it holds a main, or an h1 and an article: it wraps the page.
+    """
     order, stack = [], [root]
     while stack:
         node = stack.pop()
@@ -155,6 +163,11 @@ def measure(root: Node) -> list[Node]:
         _shapes.clear()
     for node in reversed(order):
         node.size = 1 + sum(k.size for k in node.kids)
+        node.holds = HOLDS.get(node.tag, 0)
+        for k in node.kids:
+            node.holds |= k.holds
+        if node.noise and node.tag not in DROP and (node.tag in PAGE or node.holds & 1 or node.holds & 6 == 6):
+            node.noise = False
         key = (node.label, *(k.shape for k in node.kids))
         node.shape = _shapes.setdefault(key, len(_shapes) + 1)
     return order
@@ -219,15 +232,41 @@ def aligned(reference: Node, page: Node) -> Iterator[tuple[Node, Node]]:
         stack.extend(_align(a.kids, b.kids, memo, 0)[1])
 
 
-def content_root(root: Node, order: list[Node]) -> Node:
-    """The article or main element with most text, else the body, else all."""
-    best, most = None, 0
-    for node in order:
-        if node.tag in ("article", "main") and not node.noise:
-            size = len(plain(node, frozenset()))
-            if size > most:
-                best, most = node, size
-    return best or next((n for n in order if n.tag == "body"), root)
+def visible(root: Node) -> list[Node]:
+    """Nodes in page order that are not noise and not below noise."""
+    out, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        if not node.noise:
+            out.append(node)
+            stack.extend(reversed(node.kids))
+    return out
+
+
+def by_slots(root: Node, template: set[int]) -> str:
+    """Text of the smallest region that holds all visible nodes whose own text varies; all articles in it stay."""
+    slots = [n.at for n in visible(root) if n.at not in template and n.own_text()]
+    if not slots:
+        return ""
+    region, inner = root, root
+    while inner:
+        region = inner
+        inner = next((k for k in region.kids if k.at <= slots[0] and slots[-1] < k.at + k.size), None)
+        if region.at == slots[0]:
+            break
+    return plain(region, template)
+
+
+def by_tags(root: Node) -> str:
+    """Text of all outermost visible article and main elements if they hold half of the visible text, else all of it."""
+    whole = plain(root, frozenset())
+    pieces, upto = [], 0
+    for node in visible(root):
+        if node.at >= upto and node.tag in ("article", "main"):
+            pieces.append(plain(node, frozenset()))
+            upto = node.at + node.size
+    found = " ".join(p for p in pieces if p)
+    return found if 2 * len(found) >= len(whole) else whole
 
 
 def plain(node: Node, template: frozenset[int] | set[int]) -> str:
@@ -279,7 +318,7 @@ def extract(pages: DataFrame, salts: int = 32) -> DataFrame:
                         trees.clear()
                     trees[host] = parse(ref)
                     measure(trees[host])
-                key = zlib.crc32(plain(tree, frozenset()).encode()) if page else 0
+                key = int.from_bytes(hashlib.blake2b(plain(tree, frozenset()).encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
                 for a, b in aligned(trees[host], tree):
                     text = a.own_text()
                     if text:
@@ -292,13 +331,14 @@ def extract(pages: DataFrame, salts: int = 32) -> DataFrame:
     distinct = pages.where("html <> ''")
     cast = salted(distinct).mapInPandas(votes, "host string, at int, page long, same boolean")
     # equal pages count once: the same text at the same node
-    counts = cast.groupBy("host", "at").agg(
-        F.approx_count_distinct("page").alias("n"),
-        F.approx_count_distinct(F.when(F.col("same"), F.col("page"))).alias("same"))
-    template = counts.where((F.col("n") >= LEAST_PAGES) & (F.col("same") >= SAME_SHARE * F.col("n"))) \
-        .groupBy("host").agg(F.collect_list("at").alias("template"))
-    wrappers = cut_lineage(refs.join(template, "host", "left").select(
-        "host", "ref", F.coalesce("template", F.array().cast("array<int>")).alias("template")))
+    counts = cast.groupBy("host", "at", "page").agg(F.max("same").alias("same")) \
+        .groupBy("host", "at").agg(F.count("*").alias("n"), F.sum(F.col("same").cast("long")).alias("same"))
+    fixed = (F.col("n") >= LEAST_PAGES) & (100 * F.col("same") >= round(100 * SAME_SHARE) * F.col("n"))
+    template = counts.groupBy("host").agg(F.collect_list(F.when(fixed, F.col("at"))).alias("template"),
+                                          F.max("n").alias("n"))
+    # null: too few pages for votes
+    wrappers = cut_lineage(refs.join(template.where(F.col("n") >= LEAST_PAGES).drop("n"), "host", "left")
+                           .select("host", "ref", "template"))
 
     def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         trees: dict[str, tuple[Node, set[int]]] = {}
@@ -306,7 +346,10 @@ def extract(pages: DataFrame, salts: int = 32) -> DataFrame:
             out = []
             for host, page, ref, fixed in zip(pdf["host"], pdf["html"], pdf["ref"], pdf["template"]):
                 tree = parse(page)
-                order = measure(tree)
+                measure(tree)
+                if fixed is None:
+                    out.append(by_tags(tree))
+                    continue
                 if host not in trees:
                     if len(trees) > 500:
                         trees.clear()
@@ -317,7 +360,7 @@ def extract(pages: DataFrame, salts: int = 32) -> DataFrame:
                 gone = set()
                 if nodes:
                     gone = {b.at for a, b in aligned(wrapper, tree) if a.at in nodes and own[a.at] == b.own_text()}
-                out.append(plain(content_root(tree, order), gone))
+                out.append(by_slots(tree, gone))
             res = pdf[["page_id", "url"]].copy()
             res["text"], res["n_chars"] = out, [len(x) for x in out]
             yield res

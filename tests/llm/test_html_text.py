@@ -24,3 +24,30 @@ def test_text_elements_take_the_rest():
     assert text_of("<p>a</p><script/>var b<p>c") == "a"
     assert text_of("<p>a</p><script src=x />var b</script><p>c") == "a c"
     assert text_of("<p>a</p><title>b") == "a"
+
+
+SIBLINGS = "<body class=has-sidebar><div class=x><article>first {i}</article><article>second {i} longer</article></div><footer>f</footer></body>"
+CARDS = ("<body><div class=story><p>the story {i} in plain divs</p><div>goes on {i}</div></div>"
+         "<div class=related><article>{i} a card with much more text than the story holds, much more text than it</article></div></body>")
+WRAPPED = "<body><div class=has-sidebar><h1>Head {i}</h1><article>story {i}</article><aside>no</aside></div></body>"
+WANT = {SIBLINGS: "first {i} second {i} longer", CARDS: "the story {i} in plain divs goes on {i}", WRAPPED: "Head {i} story {i}"}
+
+
+@pytest.mark.parametrize("pages", [2, 8])
+def test_content_is_the_whole_region(spark, pages):
+    rows = [(100 * k + i, f"http://h{k}.x/{i}", page.format(i=i)) for k, page in enumerate(WANT) for i in range(pages)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = {100 * k + i: text.format(i=i) for k, text in enumerate(WANT.values()) for i in range(pages)}
+    if pages < html_text.LEAST_PAGES:  # no votes: the article holds half of the text, so the heading beside it is not content
+        want |= {200 + i: f"story {i}" for i in range(pages)}
+    assert got == want
+
+
+def test_votes_are_counted_exactly(spark):
+    rows = []
+    for host, same in (("yes", 360), ("no", 359)):
+        for i in range(400):
+            line = "a line" if i < same else f"line {i}"
+            rows += [(i, f"http://{host}.x/{i}", f"<body><p>{line}</p><p>text {i}</p></body>")] * (1 + i % 2)
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).where("page_id = 7").collect()
+    assert {(r["url"], r["text"]) for r in got} == {("http://yes.x/7", "text 7"), ("http://no.x/7", "a line text 7")}
