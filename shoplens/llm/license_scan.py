@@ -4,17 +4,25 @@ Each line and each whole text is normalised (lower case, words of letters and
 digits) and compared with the normalised templates. 2|A & B| / (|A| + |B|) >= t
 needs t / (2 - t) <= |A| / |B| <= (2 - t) / t, so sizes prune templates; it also
 needs that share of the template's bigrams, so one of its first few must occur.
+
+Notices that are wrapped or stand inside a longer line, and full license texts,
+are found in windows of the words of the whole text: for each template the best
+windows, as long as its size bound allows, that no matching line overlaps.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shoplens.llm.common import cut_lineage
+
 # fixed values: license notices as they are commonly quoted
 TEMPLATES = (
     ("apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -44,21 +52,121 @@ def necessary(bigrams: list[str], percent: int) -> list[str]:
     return bigrams[:len(bigrams) - need + 1]
 
 
-def possible(docs: DataFrame, needed: list[str]) -> DataFrame:
-    """(doc_id, text) of the documents that hold a necessary bigram's words one after the other; the others can't match."""
+def full_texts() -> tuple[tuple[str, str], ...]:
+    """(license, text) of the full texts beside this file."""
+    return tuple((f.stem, f.read_text()) for f in sorted((Path(__file__).parent / "licenses").glob("*.txt")))
+
+
+def possible(docs: DataFrame, needed: list[str], longs: list[list[str]], percent: int) -> DataFrame:
+    """(doc_id, text) of the documents that can match.
+
+    They hold the words of a needed bigram one after the other, or of one of
+    ``longs`` so many words that the bigrams left without theirs are few enough.
+    """
     words = [(a, b, re.compile(f"{a}[^a-z0-9]+{b}")) for a, b in (x.split(" ") for x in needed)]
+    plans = []
+    for grams in longs:
+        left, plan = set(grams), []
+        for w in sorted({w for g in grams for w in g.split(" ")}, key=lambda w: (-len(w), w)):
+            own = {g for g in left if w in g.split(" ")}
+            left -= own
+            if own:
+                plan.append((w, len(own)))  # each bigram counts for its rarer (longer) word only
+        plans.append((plan, len(grams) - -(-percent * len(grams) // (200 - percent))))
+
+    def whole(t: str) -> bool:
+        for plan, spare in plans:
+            for w, n in plan:
+                if w not in t:
+                    spare -= n
+                    if spare < 0:
+                        break
+            else:
+                return True
+        return False
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             low = [(t or "").lower() for t in batch.column("text").to_pylist()]
-            yield batch.filter(pa.array([any(a in t and b in t and p.search(t) for a, b, p in words) for t in low], pa.bool_()))
+            yield batch.filter(pa.array([any(a in t and b in t and p.search(t) for a, b, p in words) or whole(t) for t in low], pa.bool_()))
 
     texts = docs.select("doc_id", "text")
     return texts.mapInArrow(rows, texts.schema)
 
 
-def license_hits(docs: DataFrame, templates=TEMPLATES, percent: int = PERCENT) -> DataFrame:
-    """doc_id, unit (line number from 1, 0: the whole text), license, dice of every match.
+def best_windows(grams: list[str], template: frozenset[str], percent: int, taken: list[tuple[int, int]]) -> list[tuple[int, int, float]]:
+    """(first, last, dice) of the best windows of ``grams``, best first, without overlaps or a part of ``taken``.
+
+    A best window starts and ends with a bigram of the template, and its first
+    one doesn't occur again in it: without it the window would be as good.
+    """
+    size, n = len(template), len(grams)
+    hit = np.fromiter((g in template for g in grams), bool, n)
+    if (200 - percent) * len(template.intersection(grams)) < percent * size:
+        return []
+    before, after, seen = np.full(n, -1), np.full(n, n), {}
+    for k, g in enumerate(grams):
+        if g in seen:
+            before[k], after[seen[g]] = seen[g], k
+        seen[g] = k
+    most = size * (200 - percent) // percent
+    found = []
+    for i in np.flatnonzero(hit):
+        stop, reach = int(after[i]), 2 * most
+        while True:
+            fresh = before[i:min(stop, i + reach)] < i
+            total = np.cumsum(fresh)
+            if total[-1] > most or i + reach >= stop:
+                break
+            reach *= 2
+        shared = np.cumsum(fresh & hit[i:i + len(fresh)])
+        dice = np.where(total <= most, 2 * shared / (total + size), 0)
+        j = int(dice.argmax())
+        if 200 * shared[j] >= percent * (total[j] + size) and total[j] <= most:
+            found.append((-float(dice[j]), int(i), int(i) + j))
+    out = []
+    for dice, i, j in sorted(found):
+        if all(j < a or b < i for a, b in taken):
+            taken = [*taken, (i, j)]
+            out.append((i, j, -dice))
+    return out
+
+
+def window_hits(text: str, short: list[tuple[str, frozenset[str]]], longs: list[tuple[str, frozenset[str]]], percent: int) -> list[tuple[int, str, float]]:
+    """(unit, license, dice) of the windows of a text; the unit is minus the number of the line on which one starts."""
+    words, line = [], []
+    bounds = []
+    for k, raw in enumerate(text.lower().split("\n"), 1):
+        own = re.findall(r"[a-z0-9]+", raw)
+        bounds.append((len(words), len(words) + len(own) - 2))
+        words += own
+        line += [k] * len(own)
+    grams = [f"{a} {b}" for a, b in zip(words, words[1:])]
+
+    def fits(lo: int, hi: int, template: frozenset[str]) -> bool:
+        own = set(grams[lo:hi + 1])
+        return 200 * len(own & template) >= percent * (len(own) + len(template))
+
+    out = []
+    for name, template in short:
+        if template.isdisjoint(grams) or len(bounds) > 1 and fits(0, len(grams) - 1, template):
+            continue
+        # lines that match are units of their own
+        taken = [(lo, hi) for lo, hi in bounds if hi >= lo and fits(lo, hi, template)]
+        out += [(-line[i], name, d) for i, _, d in best_windows(grams, template, percent, taken)]
+    for name, template in longs:
+        out += [(-line[i], name, d) for i, _, d in best_windows(grams, template, percent, [])]
+    return out
+
+
+def license_hits(docs: DataFrame, templates=TEMPLATES, percent: int = PERCENT, full=None) -> DataFrame:
+    """doc_id, unit, license, dice of every match.
+
+    A unit is a line (its number from 1), the whole text (0) or a window of the
+    whole text's words (minus the number of the line on which it starts). Lines
+    and whole texts are compared with ``templates``; windows with these, where
+    no unit that matches lies, and with the texts of ``full`` (by default
+    :func:`full_texts`).
 
     Null and empty texts match nothing. All templates that reach the threshold
     are given, ties included; repeated rows repeat their matches. Only lines
@@ -66,7 +174,21 @@ def license_hits(docs: DataFrame, templates=TEMPLATES, percent: int = PERCENT) -
     """
     grams = {name: template_bigrams(text) for name, text in templates}
     needed = list(dict.fromkeys(b for g in grams.values() for b in necessary(g, percent)))
-    texts = possible(docs, needed).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    long_grams = [(name, template_bigrams(text)) for name, text in (full_texts() if full is None else full)]
+    texts = cut_lineage(possible(docs, needed, [g for _, g in long_grams], percent)
+                        .select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    short, longs = ([(n, frozenset(g)) for n, g in x] for x in (grams.items(), long_grams))
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts_ = (batch.column(c).to_pylist() for c in ("doc_id", "text"))
+            out = [(i, *hit) for i, t in zip(ids, texts_) for hit in window_hits(t, short, longs, percent)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[k] for r in out], t) for k, t in enumerate((batch.schema.field("doc_id").type, pa.int32(), pa.string(), pa.float64()))],
+                ["doc_id", "unit", "license", "dice"])
+
+    id_type = texts.schema["doc_id"].dataType.simpleString()
+    inside = texts.mapInArrow(windows, f"doc_id {id_type}, unit int, license string, dice double")
     units = texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("unit", "raw")) \
         .select("doc_id", (F.col("unit") + 1).alias("unit"), "raw") \
         .union(texts.where(F.contains("text", F.lit("\n"))).select("doc_id", F.lit(0).alias("unit"), "text"))
@@ -87,7 +209,7 @@ def license_hits(docs: DataFrame, templates=TEMPLATES, percent: int = PERCENT) -
     bounded = pairs.where((a * (200 - percent) >= b * percent) & (b * (200 - percent) >= a * percent))
     scored = bounded.withColumn("shared", F.size(F.array_intersect("grams", "t")))
     return scored.where(200 * F.col("shared") >= percent * (a + b)).select(
-        "doc_id", "unit", "license", (2 * F.col("shared") / (a + b)).alias("dice"))
+        "doc_id", "unit", "license", (2 * F.col("shared") / (a + b)).alias("dice")).union(inside)
 
 
 def license_scan(docs: DataFrame) -> DataFrame:
@@ -100,6 +222,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
 
 
 def oracle(templates=TEMPLATES, percent: int = PERCENT) -> str:
+    """SQL of the lines and whole texts; it has no windows, so it is equal where every notice stands alone on its line."""
     rows = ", ".join(f"('{n}', {template_bigrams(t)!r})" for n, t in templates)
     return f"""
 WITH t AS (SELECT * FROM (VALUES {rows}) v(license, g)),
