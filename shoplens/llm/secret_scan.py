@@ -3,8 +3,8 @@
 Tokens are runs of key characters. A token's features are its length and
 shape, what stands before it, its neighbouring words and its document's size
 and share of digits; labels are begin, inside and outside of a secret. The
-field is fitted on a bounded sample whose labels are the fixed patterns'
-spans, and adds spans that the patterns miss. Decoding is Viterbi: tokens
+field is fitted on a bounded sample, half of it documents that hold one of the
+fixed patterns' spans (its labels), found in a scan of all, and adds spans that the patterns miss. Decoding is Viterbi: tokens
 whose outside score no transition can outweigh are outside, and the short
 stretches between them are decoded by the full recursion.
 """
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shoplens.llm.common import slices, span_hashes, utf8, word_spans
+from shoplens.llm.common import cut_lineage, slices, span_hashes, utf8, word_spans
 
 # fixed values: the patterns and the least lengths of what they find
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -169,8 +169,11 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
 
 
 def fit(texts: list[str], window: int = 24, rounds: int = 80, rate: float = 0.4, decay: float = 1e-4,
-        plain_per_secret: int = 6) -> Field:
-    """Maximum likelihood (Adagrad over all windows at once) with the patterns' spans as labels."""
+        plain_per_secret: int = 6, thinner: float = 1.0) -> Field:
+    """Maximum likelihood (Adagrad over all windows at once) with the patterns' spans as labels.
+
+    ``thinner``: how many times more text the corpus has for each span than ``texts``.
+    """
     all_feats, all_labels, n_tokens = [], [], 0
     for at in range(0, len(texts), 200):
         part = texts[at:at + 200]
@@ -227,18 +230,60 @@ def fit(texts: list[str], window: int = 24, rounds: int = 80, rate: float = 0.4,
         weights += rate * grad / np.sqrt(w2)
         moves += rate * grad_moves / np.sqrt(m2)
     # windows of the sample hold more secrets than the corpus: give outside its real odds
-    weights[_BASES[7]:_BASES[8], O] += np.log(max(n_tokens / window / max(n, 1), 1.0))
+    weights[_BASES[7]:_BASES[8], O] += np.log(max(thinner * n_tokens / window / max(n, 1), 1.0))
     moves = moves + bar
     return Field(weights.astype(np.float32), moves)
 
 
+def cut(text: str, max_chars: int, margin: int = 1000) -> str:
+    """At most ``max_chars`` characters of a text: what stands round its spans, else its beginning."""
+    if len(text) <= max_chars:
+        return text
+    pieces, upto, room = [], 0, max_chars
+    for start, _, end, _, _ in base_spans(text):
+        lo, hi = max(upto, start - margin), end + margin
+        if hi > lo and room > 0:
+            pieces.append(text[lo:min(hi, lo + room)])
+            room -= len(pieces[-1]) + 1
+            upto = hi
+    return "\n".join(pieces) or text[:max_chars]
+
+
 def train(docs: DataFrame, sample: int = 2000, max_chars: int = 20_000) -> Field:
-    """Fit on at most ``sample`` texts, first by hash of the id, of at most ``max_chars`` characters each."""
-    short = docs.where((F.length("text") <= max_chars) & (F.length("text") > 0))
-    key = F.xxhash64("doc_id")
-    ids = short.select(key.alias("h")).distinct().orderBy("h").limit(sample)
-    rows = short.select(key.alias("h"), "text").join(F.broadcast(ids), "h").orderBy("h", "text").limit(sample).collect()
-    return fit([r["text"] for r in rows])
+    """Fit on at most ``sample`` texts, half of them with a span of the patterns, first by hash, cut to ``max_chars`` each.
+
+    All texts are scanned for spans first, so no secret is too rare for the sample.
+    """
+    texts = docs.where(F.length("text") > 0).select(F.xxhash64("doc_id", "text").alias("h"), "text")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, max_bytes=SCAN_BYTES):
+            column = part.column("text")
+            own, n = column.to_pylist(), np.zeros(part.num_rows, np.int64)
+            for i in _suspects(*utf8(column), own):
+                n[i] = len(base_spans(own[i]))
+            yield pa.RecordBatch.from_arrays([part.column("h"), pa.array(n), pa.array([len(t) for t in own], pa.int64())],
+                                             ["h", "spans", "chars"])
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("h"), pa.array([cut(t, max_chars) for t in batch.column("text").to_pylist()], pa.string())], ["h", "text"])
+
+    found = cut_lineage(texts.mapInArrow(count, "h long, spans long, chars long"))
+    spans, chars = found.agg(F.coalesce(F.sum("spans"), F.lit(0)), F.coalesce(F.sum("chars"), F.lit(0))).first()
+    if not spans:
+        return Field(None, None)
+
+    def first(some: DataFrame) -> DataFrame:
+        return some.select("h").distinct().orderBy("h").limit(sample // 2)
+
+    ids = cut_lineage(first(found.where("spans > 0")).union(first(found.where("spans = 0"))))
+    rows = texts.join(F.broadcast(ids), "h").mapInArrow(pieces, "h long, text string") \
+        .groupBy("h").agg(F.min("text").alias("text")).orderBy("h").collect()  # at most `sample` rows
+    own = [r["text"] for r in rows]
+    thinner = (chars / sum(map(len, own))) / (spans / max(sum(len(base_spans(t)) for t in own), 1))
+    return fit(own, thinner=thinner)
 
 
 def find_spans(column: pa.Array, field: Field) -> list[list[tuple[int, int, int]]]:
