@@ -62,27 +62,46 @@ def mix(h: np.ndarray) -> np.ndarray:
 _RADIX = np.uint64(0x9E3779B97F4A7C15 | 1)
 _RADIX_INV = np.uint64(pow(int(_RADIX), -1, 1 << 64))
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-_powers: dict[str, np.ndarray] = {}
+_LOW = 12  # powers of n are products of two short tables: n >> 12 and n & 4095
 
 
-def _power(n: int, base: np.uint64, name: str) -> np.ndarray:
-    have = _powers.get(name)
-    if have is None or len(have) < n:
-        size = max(n, SLICE_BYTES + 1)
-        steps = np.full(size, base, np.uint64)
+def _tables(base: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    def powers(start: int, n: int) -> np.ndarray:
+        steps = np.full(n, np.uint64(start), np.uint64)
         steps[0] = 1
-        have = np.multiply.accumulate(steps)
-        if size <= 2 * SLICE_BYTES:
-            _powers[name] = have
-    return have[:n]
+        return np.multiply.accumulate(steps)
+
+    return powers(pow(int(base), 1 << _LOW, 1 << 64), 1 << _LOW), powers(int(base), 1 << _LOW)
+
+
+_R, _INV = _tables(_RADIX), _tables(_RADIX_INV)
+
+
+def _high(table: np.ndarray, n: int) -> np.ndarray:
+    """The high table, longer where a text of over 16 MB needs it."""
+    if n <= len(table):
+        return table
+    steps = np.full(n, table[1], np.uint64)
+    steps[0] = 1
+    return np.multiply.accumulate(steps)
+
+
+def _first_powers(tables: tuple[np.ndarray, np.ndarray], n: int) -> np.ndarray:
+    rows = (n >> _LOW) + 1
+    return np.multiply.outer(_high(tables[0], rows)[:rows], tables[1]).ravel()[:n]
+
+
+def _powers_at(tables: tuple[np.ndarray, np.ndarray], at: np.ndarray) -> np.ndarray:
+    high = _high(tables[0], (int(at.max()) >> _LOW) + 1 if len(at) else 0)
+    return high[at >> _LOW] * tables[1][at & ((1 << _LOW) - 1)]
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each byte span, the same wherever the span stands."""
     n = len(data)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[data] * _power(n, _RADIX, "r"), out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * _power(n + 1, _RADIX_INV, "i")[starts])
+    np.cumsum(_BYTE[data] * _first_powers(_R, n), out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * _powers_at(_INV, np.asarray(starts)))
 
 
 def word_spans(sep: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -187,6 +187,7 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
             names, score = shared.value.predict(part.column("text"))
             yield pa.RecordBatch.from_arrays(
                 [*part.columns, pa.array(names, pa.string()), pa.array(score, pa.float64())], names=schema.names)
+        Model._built.clear()  # the worker goes on to other stages
 
     return docs.mapInArrow(label, schema)
 

@@ -11,7 +11,6 @@ class, ranked, take its places. Only the histogram reaches the driver.
 
 from __future__ import annotations
 
-import base64
 import zlib
 from collections.abc import Iterator
 
@@ -21,86 +20,27 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoplens.llm.common import cut_lineage, slices, utf8
+from shoplens.llm.words import WordIds, byte_bpe
 
 GRAIN = 8
+SCAN_BYTES = 1 << 20  # text expanded at a time
 
 
 # tokens ---------------------------------------------------------------------
-class WordTokens:
-    """Ids of texts by words: byte-level BPE never crosses a space between visible characters.
+def word_ids(tokenizer: str, ranks: str) -> WordIds:
+    """The store of words; a word that holds the text of a special token goes to the tokenizer itself."""
+    from tokenizers import Tokenizer
+    full = Tokenizer.from_file(tokenizer)
+    special = [t.content for t in full.get_added_tokens_decoder().values()]
+    fast = byte_bpe(ranks)
 
-    Every distinct word (with the space before it) is encoded once and kept,
-    up to ``keep`` words, then the store starts anew. Words that hold the text
-    of a special token go to the tokenizer itself; all others to the faster
-    reader of the same vocabulary.
-    """
-
-    def __init__(self, tokenizer: str, ranks: str, keep: int = 1_500_000) -> None:
-        import public_tokenizers as P
-        import tiktoken
-        from tokenizers import Tokenizer
-        self.full = Tokenizer.from_file(tokenizer)
-        self.special = [t.content for t in self.full.get_added_tokens_decoder().values()]
-        with open(ranks, "rb") as f:
-            table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.fast = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=table, special_tokens={})
-        self.keep = keep
-        self._clear()
-
-    def _clear(self) -> None:
-        self.code: dict[str, int] = {}
-        self.ids = np.zeros(1 << 20, np.uint32)
-        self.ends = np.zeros(1 << 18, np.int64)  # ends[i]: end of word i - 1
-        self.used = 0
-
-    def _codes(self, words: list[str], special: bool) -> np.ndarray:
-        if len(self.code) > self.keep:
-            self._clear()
-        code = self.code
-        fast = self.fast.encode_ordinary
-        out = [code.get(w, -1) for w in words]
-        for i, c in enumerate(out):
-            if c < 0:
-                w = words[i]
-                if special and any(s in w for s in self.special):
-                    ids = self.full.encode(w, add_special_tokens=False).ids
-                else:
-                    ids = fast(w)
-                out[i] = c = code[w] = len(code)
-                if c + 2 > len(self.ends):
-                    self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-                upto = self.used + len(ids)
-                while upto > len(self.ids):
-                    self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-                self.ids[self.used:upto] = ids
-                self.ends[c + 1] = self.used = upto
-        return np.array(out, np.int64)
+    def encode(word: str) -> list[int]:
+        for s in special:
+            if s in word:
+                return full.encode(word, add_special_tokens=False).ids
+        return fast(word)
 
-    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the rows, and offsets of the rows in them."""
-        data, offs = utf8(column)
-        if not len(data):
-            return np.zeros(0, np.uint32), np.zeros(len(offs), np.int64)
-        seen = (data > 0x20) & (data < 0x7F)
-        # a neighbour in UTF-8 that can't be part of a white space character
-        lead = (data >= 0xC3) & (data <= 0xDF) | (data > 0xE3)
-        after = seen | lead
-        before = seen.copy()
-        before[1:] |= (data[1:] >= 0x80) & (data[1:] < 0xC0) & (data[:-1] >= 0xC3) & (data[:-1] <= 0xDF)
-        cut = np.flatnonzero((data[1:-1] == 0x20) & before[:-2] & after[2:]) + 1
-        edge = np.zeros(len(data) + 1, bool)
-        edge[cut] = edge[offs] = True
-        bounds = np.flatnonzero(edge)
-        arr = pa.Array.from_buffers(pa.large_string(), len(bounds) - 1,
-                                    [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
-        coded = arr.dictionary_encode()
-        raw = data.tobytes()
-        code = self._codes(coded.dictionary.to_pylist(), any(s.encode() in raw for s in self.special))[
-            coded.indices.to_numpy()]
-        first, lens = self.ends[code], self.ends[code + 1] - self.ends[code]
-        ends = np.concatenate([[0], np.cumsum(lens)])
-        at = np.repeat(first - ends[:-1], lens) + np.arange(ends[-1])
-        return self.ids[at], ends[np.searchsorted(bounds, offs)]
+    return WordIds([encode])
 
 
 def pieces(docs: DataFrame, tokenizer: str, ranks: str, capacity: int, end_id: int) -> DataFrame:
@@ -110,9 +50,9 @@ def pieces(docs: DataFrame, tokenizer: str, ranks: str, capacity: int, end_id: i
         words = None
         seen = np.zeros(capacity // GRAIN + 1, np.int64)
         pid = TaskContext.get().partitionId()
-        for part in slices(batches):
-            words = words or WordTokens(tokenizer, ranks)
-            ids, offs = words.encode(part.column("text"))
+        for part in slices(batches, max_bytes=SCAN_BYTES):
+            words = words or word_ids(tokenizer, ranks)
+            ids, _, offs = words.encode(*utf8(part.column("text")))[0]
             out: list[tuple] = []
             for i, doc in enumerate(part.column("doc_id").to_pylist()):
                 own = np.append(ids[offs[i]:offs[i + 1]], np.uint32(end_id)).astype("<u4")
