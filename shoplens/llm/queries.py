@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shoplens.llm import (decontamination, html_text, jaccard_join, knn_join, language_id, license_scan, packing, quality,
+from shoplens.llm import (alignment, decontamination, html_text, jaccard_join, knn_join, language_id, license_scan, packing, quality,
                           secret_scan, url_filter)
 
 
@@ -55,6 +55,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(_table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_all(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_language_id": op9_language_id,
     "op10_license_scan": op10_license_scan,
+    "op11_token_alignment": op11_token_alignment,
 }
 
 ORACLES: dict[str, str] = {
