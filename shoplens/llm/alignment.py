@@ -13,6 +13,7 @@ rare by choice, are joined with their counts.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoplens.llm.common import slices, utf8, written
-from shoplens.llm.words import WordIds, byte_bpe
+from shoplens.llm.words import CALL_BYTES, Ids, WordIds, byte_bpe
 
 SCAN_BYTES = 1 << 20   # text expanded at a time
 LANE_BYTES = 512       # a pointer pair's share of a document, up to the next word start
@@ -34,19 +35,51 @@ MAX_HOT = 1 << 20      # id pairs that every task looks up: 20 bytes each
 # tokens ---------------------------------------------------------------------
 @dataclass
 class Vocabulary:
-    encode: Callable[[str], list[int]]  # a word with its space
-    token: list[bytes]                  # bytes of each id
+    encode: Callable[[list[str]], list[list[int]]]  # ids of texts that start with a space
+    token: list[bytes]                              # bytes of each id
 
     def __post_init__(self) -> None:
         self.size = np.array([len(t) for t in self.token], np.int64)
+        self.chars = np.frombuffer(b"".join(self.token), np.uint8)
+        self.at = np.concatenate([[0], np.cumsum(self.size)])[:-1]
+
+    def bytes_of(self, ids: np.ndarray) -> np.ndarray:
+        size = self.size[ids]
+        upto = np.cumsum(size)
+        return self.chars[np.repeat(self.at[ids] - (upto - size), size) + np.arange(upto[-1] if len(upto) else 0)]
+
+    def word_ids(self, words: list[str], sizes: np.ndarray) -> Ids:
+        """Ids of words, by calls with many words at a time: neither vocabulary joins across a word's start.
+
+        A word has none where their bytes aren't its own.
+        """
+        ends = np.cumsum(sizes, dtype=np.int64)
+        first = np.searchsorted(ends, np.arange(0, ends[-1], CALL_BYTES), "right")
+        first = np.append(np.unique(first), len(words))
+        texts = ["".join(words[i:j]) for i, j in zip(first.tolist(), first[1:].tolist())]
+        got_ids, got_ends, base = [], [], 0
+        for text, ids, i, j in zip(texts, self.encode(texts), first.tolist(), first[1:].tolist()):
+            ids = np.array(ids, np.uint32)
+            raw = np.frombuffer(text.encode(), np.uint8)
+            upto = np.cumsum(self.size[ids])
+            at = np.searchsorted(upto, ends[i:j] - (ends[i - 1] if i else 0))
+            if not (len(upto) and upto[-1] == len(raw) and (self.bytes_of(ids) == raw).all()):
+                own = self.encode(words[i:j])
+                own = [x if b"".join([self.token[t] for t in x]) == w.encode() else [] for x, w in zip(own, words[i:j])]
+                ids = np.fromiter((t for x in own for t in x), np.uint32)
+                at = np.cumsum([len(x) for x in own]) - 1
+            got_ids.append(ids)
+            got_ends.append(at + 1 + base)
+            base += len(ids)
+        return np.concatenate(got_ids), np.concatenate(got_ends)
 
 
 def byte_level(ranks: str) -> Vocabulary:
     """A: byte-level BPE; ``ranks`` lists every entry's bytes."""
-    import base64
     with open(ranks, "rb") as f:
         table = {int(b): base64.b64decode(a) for a, b in map(bytes.split, f)}
-    return Vocabulary(byte_bpe(ranks), [table.get(i, b"") for i in range(max(table) + 1)])
+    encode = byte_bpe(ranks)
+    return Vocabulary(lambda texts: [encode(t) for t in texts], [table.get(i, b"") for i in range(max(table) + 1)])
 
 
 def pieces(model: str) -> Vocabulary:
@@ -58,15 +91,7 @@ def pieces(model: str) -> Vocabulary:
         raise ValueError("pieces that join words can't be read word by word")
     token = [bytes([int(p[3:5], 16)]) if sp.is_byte(i) else p.replace("▁", " ").encode()
              for i, p in enumerate(names)]
-    return Vocabulary(lambda word: sp.encode(word[1:], num_threads=1), token)
-
-
-def checked(vocabulary: Vocabulary) -> Callable[[str], list[int]]:
-    """Ids of a word, or none where their bytes aren't the word's."""
-    def encode(word: str) -> list[int]:
-        ids = vocabulary.encode(word)
-        return ids if b"".join([vocabulary.token[i] for i in ids]) == word.encode() else []
-    return encode
+    return Vocabulary(lambda texts: sp.encode([t[1:] for t in texts], num_threads=1), token)
 
 
 # merging --------------------------------------------------------------------
@@ -94,33 +119,33 @@ def lockstep(a_end: np.ndarray, b_end: np.ndarray, a_lane: np.ndarray, b_lane: n
     return np.concatenate(links_a), np.concatenate(links_b), np.concatenate(cuts)
 
 
-_DIGITS = 10 ** np.arange(9, -1, -1)
+_WIDTH = 6
+_ID_CHARS = np.zeros((10 ** (_WIDTH - 1), _WIDTH), np.uint8)  # decimal ids, set to the right, and a place for the separator
+_ID_CHARS[:, :-1] = np.arange(len(_ID_CHARS))[:, None] // 10 ** np.arange(_WIDTH - 2, -1, -1) % 10 + 48
+_ID_SIZE = np.searchsorted(10 ** np.arange(1, _WIDTH - 1), np.arange(len(_ID_CHARS)), "right") + 1
+_ID_SHOWN = np.arange(_WIDTH)[None, :] >= _WIDTH - 1 - np.arange(_WIDTH)[:, None]  # by number of digits
 
 
 def group_bytes(a_ids: np.ndarray, b_ids: np.ndarray, a_cut: np.ndarray, b_cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """``a1,a2|b1;a3|b2;`` of all tokens, and the end in it of every group.
 
-    ``a_cut`` and ``b_cut`` mark the last token of each group.
+    ``a_cut`` and ``b_cut`` mark the last token of each group; ids have at most five digits.
     """
-    a_group, b_group = np.cumsum(a_cut) - a_cut, np.cumsum(b_cut) - b_cut
-    a_last, b_last = np.flatnonzero(a_cut), np.flatnonzero(b_cut)
     n = len(a_ids) + len(b_ids)
     if not n:
         return np.zeros(0, np.uint8), np.zeros(0, np.int64)
-    a_at = np.arange(len(a_ids)) + np.concatenate([[0], b_last + 1])[a_group]
-    b_at = np.arange(len(b_ids)) + a_last[b_group] + 1
-    ids, sep = np.empty(n, np.int64), np.full(n, ord(","), np.uint8)
-    ids[a_at], ids[b_at] = a_ids, b_ids
-    sep[a_at[a_last]], sep[b_at[b_last]] = ord("|"), ord(";")
-    width = max(1, len(str(int(ids.max()))))
-    chars = np.empty((n, width + 1), np.uint8)
-    scale = _DIGITS[-width:]
-    chars[:, :width] = ids[:, None] // scale % 10 + 48
-    chars[:, width] = sep
-    shown = np.ones((n, width + 1), bool)
-    shown[:, :width - 1] = ids[:, None] >= scale[:-1]
-    ends = np.cumsum(shown.sum(1))
-    return chars[shown], ends[b_at[b_last]]
+    a_last, b_last = np.flatnonzero(a_cut), np.flatnonzero(b_cut)
+    a_per, b_per = np.diff(a_last, prepend=-1), np.diff(b_last, prepend=-1)
+    is_a = np.repeat(np.tile([True, False], len(a_per)), np.stack([a_per, b_per], 1).ravel())
+    ids = np.empty(n, np.int64)
+    ids[is_a], ids[~is_a] = a_ids, b_ids
+    b_at = a_last + b_last + 1  # the last token of each group
+    chars = _ID_CHARS[ids]
+    chars[:, -1] = ord(",")
+    chars[b_at, -1] = ord(";")
+    chars[b_at - b_per, -1] = ord("|")
+    size = _ID_SIZE[ids]
+    return chars[_ID_SHOWN[size]], np.cumsum(size + 1)[b_at]
 
 
 @dataclass
@@ -137,7 +162,7 @@ _PAIR_SPACE = 1 << 40  # id pairs are below this
 
 
 def align(column: pa.Array, words: WordIds, a: Vocabulary, b: Vocabulary) -> Aligned:
-    """Align all texts of a column; ``words`` holds checked encoders of ``a`` and ``b``."""
+    """Align all texts of a column; ``words`` holds the words of ``a`` and ``b``."""
     column = column.cast(pa.large_string())
     full = pc.fill_null(pc.greater(pc.binary_length(column), 0), False)
     n, space, none = len(column), pa.scalar(" ", pa.large_string()), pa.scalar("", pa.large_string())
@@ -180,7 +205,7 @@ def aligned_rows(docs: DataFrame, ranks: str, model: str) -> DataFrame:
         for part in slices(batches, max_bytes=SCAN_BYTES):
             if a is None:
                 a, b = byte_level(ranks), pieces(model)
-                words = WordIds([checked(a), checked(b)])
+                words = WordIds([a.word_ids, b.word_ids])
             got = align(part.column("text"), words, a, b)
             offs = pa.array(got.offs.astype(np.int32))
             yield pa.RecordBatch.from_arrays(

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoplens.llm.common import cut_lineage, slices, utf8
-from shoplens.llm.words import WordIds, byte_bpe
+from shoplens.llm.words import WordIds, byte_bpe, one_by_one
 
 GRAIN = 8
 SCAN_BYTES = 1 << 20  # text expanded at a time
@@ -40,7 +40,7 @@ def word_ids(tokenizer: str, ranks: str) -> WordIds:
                 return full.encode(word, add_special_tokens=False).ids
         return fast(word)
 
-    return WordIds([encode])
+    return WordIds([one_by_one(encode)])
 
 
 def pieces(docs: DataFrame, tokenizer: str, ranks: str, capacity: int, end_id: int) -> DataFrame:

@@ -9,15 +9,23 @@ encoded once and kept, up to a bound in bytes; then the store starts anew.
 from __future__ import annotations
 
 import base64
+import itertools
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: rough cost of a kept word beside its text and ids: the string, its number and their place in the dictionary
 WORD_COST = 200
 
 
+#: text that one call of an encoder gets
+CALL_BYTES = 1 << 16
+
+Ids = tuple[np.ndarray, np.ndarray]  # ids of several words, and the end of each word in them
+
+
 def byte_bpe(ranks: str) -> Callable[[str], list[int]]:
     """The encoder of a byte-level BPE vocabulary; special tokens' strings are plain text."""
     import public_tokenizers as P
@@ -27,6 +35,15 @@ def byte_bpe(ranks: str) -> Callable[[str], list[int]]:
     return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
 
 
+def one_by_one(encode: Callable[[str], list[int]]) -> Callable[[list[str], np.ndarray], Ids]:
+    """An encoder of lists of words from an encoder of a word."""
+    def encode_all(words: list[str], sizes: np.ndarray) -> Ids:
+        ids = [encode(w) for w in words]
+        return (np.fromiter((i for own in ids for i in own), np.uint32),
+                np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))))
+    return encode_all
+
+
 def word_bounds(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """Starts of all words and the end; every row starts a word."""
     seen = (data > 0x20) & (data < 0x7F)
@@ -42,9 +59,9 @@ def word_bounds(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 
 class WordIds:
-    """Ids of texts by words, for each of ``encoders`` (functions from a word, with its space, to ids)."""
+    """Ids of texts by words, for each of ``encoders`` (functions from words, with their spaces, and their sizes in bytes, to Ids)."""
 
-    def __init__(self, encoders: list[Callable[[str], list[int]]], keep_bytes: int = 96 << 20) -> None:
+    def __init__(self, encoders: list[Callable[[list[str], np.ndarray], Ids]], keep_bytes: int = 96 << 20) -> None:
         self.encoders = encoders
         self.keep_bytes = keep_bytes
         self.clear()
@@ -54,29 +71,30 @@ class WordIds:
         self.held = 0
         self.ids = [np.zeros(1 << 16, np.uint32) for _ in self.encoders]
         self.ends = [np.zeros(1 << 14, np.int64) for _ in self.encoders]  # ends[i]: end of word i - 1
-        self.used = [0] * len(self.encoders)
 
-    def codes(self, words: list[str]) -> np.ndarray:
+    def codes(self, distinct: pa.Array) -> np.ndarray:
+        """Numbers of distinct words; new ones are encoded."""
+        words, sizes = distinct.to_pylist(), pc.binary_length(distinct).to_numpy()
         if self.held > self.keep_bytes:
             self.clear()
         code = self.code
-        out = [code.get(w, -1) for w in words]
-        for i, c in enumerate(out):
-            if c < 0:
-                w = words[i]
-                out[i] = c = code[w] = len(code)
-                self.held += WORD_COST + len(w)
-                for e, encode in enumerate(self.encoders):
-                    ids = encode(w)
-                    if c + 2 > len(self.ends[e]):
-                        self.ends[e] = np.concatenate([self.ends[e], np.zeros_like(self.ends[e])])
-                    upto = self.used[e] + len(ids)
-                    while upto > len(self.ids[e]):
-                        self.ids[e] = np.concatenate([self.ids[e], np.zeros_like(self.ids[e])])
-                    self.ids[e][self.used[e]:upto] = ids
-                    self.ends[e][c + 1] = self.used[e] = upto
-                    self.held += 4 * len(ids) + 8
-        return np.array(out, np.int64)
+        out = np.fromiter(map(code.get, words, itertools.repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(out < 0)
+        if len(new):
+            first, n = len(code), len(new)
+            out[new] = np.arange(first, first + n)
+            new_words = [words[i] for i in new.tolist()]
+            code.update(zip(new_words, range(first, first + n)))
+            self.held += WORD_COST * n + int(sizes[new].sum())
+            for e, encode in enumerate(self.encoders):
+                ids, ends = encode(new_words, sizes[new])
+                used = int(self.ends[e][first])
+                self.ids[e] = _room(self.ids[e], used + len(ids))
+                self.ids[e][used:used + len(ids)] = ids
+                self.ends[e] = _room(self.ends[e], first + n + 1)
+                self.ends[e][first + 1:first + n + 1] = ends + used
+                self.held += 4 * len(ids) + 8 * n
+        return out
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For each encoder: all ids, offsets of the words in them, and offsets of the rows in them."""
@@ -86,7 +104,7 @@ class WordIds:
         arr = pa.Array.from_buffers(pa.large_string(), len(bounds) - 1,
                                     [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
         coded = arr.dictionary_encode()
-        code = self.codes(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        code = self.codes(coded.dictionary)[coded.indices.to_numpy()]
         rows = np.searchsorted(bounds, offs)
         out = []
         for ids, ends in zip(self.ids, self.ends):
@@ -95,3 +113,9 @@ class WordIds:
             at = np.repeat(first - upto[:-1], lens) + np.arange(upto[-1])
             out.append((ids[at], upto, upto[rows]))
         return out
+
+
+def _room(a: np.ndarray, n: int) -> np.ndarray:
+    while n > len(a):
+        a = np.concatenate([a, np.zeros_like(a)])
+    return a
