@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from shoplens.llm import (alignment, decontamination, html_text, jaccard_join, knn_join, language_id, license_scan, packing, quality,
-                          secret_scan, url_filter)
+                          quality_rules, secret_scan, spelling, url_filter)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,14 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_all(_table(spark, sf_dir, "documents"))
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -71,6 +79,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": op9_language_id,
     "op10_license_scan": op10_license_scan,
     "op11_token_alignment": op11_token_alignment,
+    "op12_quality_rules": op12_quality_rules,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLES: dict[str, str] = {
@@ -79,4 +89,5 @@ ORACLES: dict[str, str] = {
     "op6_knn_join": knn_join.ORACLE,
     "op8_decontamination": decontamination.ORACLE,
     "op10_license_scan": license_scan.oracle(),
+    "op13_spelling_variants": spelling.ORACLE,
 }
