@@ -24,6 +24,88 @@ TYPE_KEYWORDS = [
     ("trouser", ["trouser", "pant", "pants", "jeans", "chino", "jogger"]),
     ("dress", ["dress", "gown"]),
 ]
+# H2, second rule set (app): the lower-cased name as it is, first hit wins
+APP_TYPE_KEYWORDS = [
+    ("sweatshirt", ["sweatshirt", "hoodie"]),
+    ("bra", [" bra", "bras", "bralette", "lingerie", "sports bra", "underwear"]),
+    ("tshirt", ["t-shirt", "tshirts", "tshirt", "tee shirt", " t shirt"]),
+    ("shirt", ["casual shirt", "formal shirt", "printed shirt", "striped shirt", "check shirt", "slim shirt",
+               "regular shirt", "solid shirt"]),
+    ("trouser", ["trouser", "track pant", "jogger", "chino", " pant ", "palazzo"]),
+    ("jean", ["jeans", " jean "]),
+    ("short", ["shorts", " short "]),
+    ("skirt", ["skirt"]),
+    ("dress", ["dress", "gown", "maxi"]),
+    ("legging", ["legging", "tights"]),
+    ("kurti", ["kurti", "kurtis"]),
+    ("kurta", ["kurta set", " kurta"]),
+    ("saree", ["saree", " sari"]),
+    ("suit", ["bandhgala suit", "blazer suit", " suit"]),
+    ("jacket", ["jacket", "blazer", "coat "]),
+    ("top", [" top ", "crop top", "tank top", "camisole"]),
+    ("shoe", ["sneaker", "loafer", "boot ", "oxford", "moccasin", "casual shoes", "sports shoes", "running shoes",
+              "walking shoes"]),
+    ("sandal", ["sandal", "slipper", "flip flop", "chappal"]),
+    ("heel", ["heels", "stiletto", "wedge", "platform heel"]),
+    ("flat", ["ballet flat", "flats"]),
+    ("backpack", ["backpack", "rucksack"]),
+    ("handbag", ["handbag", "tote bag", "clutch", "satchel", "shoulder bag"]),
+    ("bag", ["trolley bag", "duffel", "gym bag", "travel bag", " bag"]),
+    ("wallet", ["wallet", "card holder", "card case"]),
+    ("watch", ["watch", "smartwatch"]),
+    ("ring", [" ring", "finger ring"]),
+    ("earring", ["earring", " earrings", " studs", " hoops", "ear ring"]),
+    ("necklace", ["necklace", "chain "]),
+    ("bracelet", ["bracelet", " bangle"]),
+    ("bangle", ["bangle"]),
+    ("pendant", ["pendant"]),
+    ("perfume", ["perfume", "deodorant", "body mist", "fragrance", "deo "]),
+    ("sunglasses", ["sunglass", "sunglasses", "eyewear"]),
+    ("cap", [" cap", " hat ", "beanie"]),
+    ("belt", [" belt"]),
+    ("sock", [" sock", " socks"]),
+]
+# H3 (app): canonical type -> the texts that mean it; any other text is shown in title case
+APP_TYPE_LABELS = [
+    ("Tshirt", ["tshirt", "tshirts", "t-shirt", "t-shirts", "tee", "tees"]),
+    ("Shirt", ["shirt", "shirts"]),
+    ("Top", ["top", "tops"]),
+    ("Trouser", ["trouser", "trousers", "track pant", "track pants", "pants"]),
+    ("Jeans", ["jeans"]),
+    ("Short", ["short", "shorts"]),
+    ("Skirt", ["skirt", "skirts"]),
+    ("Jacket", ["jacket", "jackets"]),
+    ("Sweatshirt", ["sweatshirt", "sweatshirts"]),
+    ("Shoe", ["shoe", "shoes", "sports shoes", "casual shoes"]),
+    ("Sandal", ["sandal", "sandals", "sports sandals"]),
+    ("Flat", ["flat", "flats"]),
+    ("Heel", ["heel", "heels"]),
+    ("Backpack", ["backpack", "backpacks"]),
+    ("Handbag", ["handbag", "handbags"]),
+    ("Ring", ["ring", "rings"]),
+    ("Earring", ["earring", "earrings"]),
+    ("Bangle", ["bangle", "bangles"]),
+    ("Bracelet", ["bracelet", "bracelets"]),
+    ("Bra", ["bra", "bras"]),
+    ("Kurta", ["kurta", "kurtas"]),
+    ("Kurti", ["kurti", "kurtis"]),
+]
+# H3 (app): category labels, categories too broad to be a type, and type -> category groups
+APP_CATEGORY_MISSING = ["", "unknown", "none", "null", "nan"]
+APP_CATEGORY_LABELS = [
+    ("Shoes & Footwear", ["shoes", "footwear"]),
+    ("Apparel", ["apparel"]),
+    ("Accessories", ["accessories"]),
+    ("Personal Care", ["personal care"]),
+    ("Sporting Goods", ["sporting goods"]),
+]
+APP_BROAD_CATEGORIES = ["apparel", "accessories", "footwear", "sporting goods", "unknown"]
+APP_CATEGORY_GROUPS = [
+    ("Shoes & Footwear", ["Shoe", "Sandal", "Flat", "Heel"]),
+    ("Accessories", ["Backpack", "Handbag", "Bag", "Wallet", "Ring", "Earring", "Bangle", "Bracelet", "Necklace",
+                     "Pendant", "Watch", "Sunglasses", "Cap", "Belt", "Sock"]),
+    ("Personal Care", ["Perfume"]),
+]
 # H3: values treated as missing, and type -> catalog category groups
 MISSING_TEXT = ["unknown", "none", "nan", ""]
 CATEGORY_GROUPS = [
@@ -190,6 +272,64 @@ def catalog_category(category_col, type_col) -> Column:
     return F.coalesce(usable_text(category_col), derived)
 
 
+# H2 / H3, the app's variant -------------------------------------------------
+def _first_of(value: Column, table: list[tuple[str, list[str]]], other: Column, contains: bool = False) -> Column:
+    """Label of the first entry whose list holds ``value`` (or, with ``contains``, a part of it)."""
+    expr = None
+    for label, texts in table:
+        hit = value.isin(texts)
+        if contains:
+            hit = F.lit(False)
+            for t in texts:
+                hit = hit | value.contains(t)
+        expr = F.when(hit, F.lit(label)) if expr is None else expr.when(hit, F.lit(label))
+    return expr.otherwise(other)
+
+
+def title_case(text) -> Column:
+    """Letters after a non-letter in upper case, all others in lower case."""
+    chars = F.split(F.lower(_c(text)), "")
+    return F.array_join(F.transform(chars, lambda c, i: F.when(
+        (i == 0) | ~F.get(chars, i - 1).rlike(r"\p{L}"), F.upper(c)).otherwise(c)), "")
+
+
+def app_type_label(value) -> Column:
+    """Canonical label of a product type text, else the text in title case; blank: 'Unknown'."""
+    raw = F.trim(F.coalesce(_c(value).cast("string"), F.lit("Unknown")))
+    raw = F.when(raw == "", F.lit("Unknown")).otherwise(raw)
+    return _first_of(F.lower(raw), APP_TYPE_LABELS, title_case(raw))
+
+
+def app_type_from_name(name) -> Column:
+    """Second rule set over the lower-cased name, as a label; 'Unknown' when none matches."""
+    found = _first_of(F.lower(F.coalesce(_c(name).cast("string"), F.lit(""))), APP_TYPE_KEYWORDS, F.lit(None), contains=True)
+    return F.when(found.isNull(), F.lit("Unknown")).otherwise(app_type_label(found))
+
+
+def app_product_type(article_type, sub_category, category, name) -> Column:
+    """First non-blank of article type, sub category and category (unless too broad), as a label, else by the name."""
+    def given(c) -> Column:
+        return F.nullif(F.trim(_c(c).cast("string")), F.lit(""))
+
+    narrow = F.when(~F.lower(given(category)).isin(APP_BROAD_CATEGORIES), given(category))
+    value = F.coalesce(given(article_type), given(sub_category), narrow)
+    return F.when(value.isNull(), app_type_from_name(name)).otherwise(app_type_label(value))
+
+
+def app_category_label(value) -> Column:
+    raw = F.trim(F.coalesce(_c(value).cast("string"), F.lit("")))
+    return F.when(F.lower(raw).isin(APP_CATEGORY_MISSING), F.lit("Unknown")).otherwise(
+        _first_of(F.lower(raw), APP_CATEGORY_LABELS, raw))
+
+
+def app_catalog_category(master_category, category, sub_category, type_label) -> Column:
+    """First known of the three columns as a label, else the group of the type's label."""
+    t = _c(type_label)
+    derived = _first_of(t, APP_CATEGORY_GROUPS, F.when(t != "Unknown", F.lit("Apparel")).otherwise(F.lit("Unknown")))
+    known = [F.nullif(app_category_label(c), F.lit("Unknown")) for c in (master_category, category, sub_category)]
+    return F.coalesce(*known, derived)
+
+
 # H4 / H5 --------------------------------------------------------------------
 def normalize_search_text(text) -> Column:
     t = F.regexp_replace(F.lower(F.trim(_c(text))), r"\s+", " ")

@@ -1,9 +1,10 @@
 """Candidate retrieval for all users at once.
 
 Plan: recent window (global max - N days) -> per-user query vector
-(weighted Σ, normalised) -> exact tiled top-(overfetch·N) -> drop purchased /
-out-of-stock -> first N. Users with no in-window event or no vector fall back
-to the popularity list (score 0, is_cold_start).
+(weighted Σ, normalised) -> exact search over the items in stock for N rows
+and as many more as the user has purchases among them -> drop those -> first N.
+Users with no in-window event or no vector fall back to the popularity list
+(score 0, is_cold_start).
 """
 
 from __future__ import annotations
@@ -51,63 +52,87 @@ def topn_overfetch(scored: DataFrame, n: int, keep, overfetch: int | None = 3,
 
 
 # J3 -------------------------------------------------------------------------
+NEAR_RANKS = 1024  # ranks beyond n that are sent to all tasks; rarer ones are joined
+
+
+def fill_from_ranking(keys: DataFrame, ranking: DataFrame, n: int, excluded: DataFrame | None, key: str) -> DataFrame:
+    """(key, item_id, rank): each key's first n items of a global ranking (item_id, pop_rank) but its excluded ones.
+
+    The i-th of a key's excluded ranks matters if it is at most n + i - 1; with
+    m such exclusions the key's list ends at rank n + m. So each key reads n + m
+    ranks, whatever other keys exclude.
+    """
+    ends = keys.select(key, F.lit(n).cast("long").alias("end"))
+    if excluded is not None:
+        own = excluded.select(key, "item_id").distinct().join(keys.select(key), key, "left_semi")
+        placed = own.join(ranking, "item_id").select(key, "pop_rank")
+        before = F.row_number().over(Window.partitionBy(key).orderBy("pop_rank")) - 1
+        more = placed.withColumn("_i", before).where(F.col("pop_rank") - F.col("_i") <= n) \
+            .groupBy(key).agg(F.count("*").alias("_m"))
+        ends = ends.join(more, key, "left").select(key, (F.col("end") + F.coalesce("_m", F.lit(0))).alias("end"))
+    near = n + NEAR_RANKS
+    # the first ranks are every key's: a table of at most n + NEAR_RANKS rows; the others are few keys'
+    first = ends.select(key, F.explode(F.sequence(F.lit(1), F.least("end", F.lit(near)))).alias("pop_rank")) \
+        .join(F.broadcast(ranking.where(F.col("pop_rank") <= near)), "pop_rank")
+    rest = ends.where(F.col("end") > near).select(key, F.explode(F.sequence(F.lit(near + 1), F.col("end"))).alias("pop_rank")) \
+        .join(ranking, "pop_rank")
+    out = first.unionByName(rest)
+    if excluded is not None:
+        out = out.join(own, [key, "item_id"], "left_anti")
+    w = Window.partitionBy(key).orderBy("pop_rank")
+    return out.withColumn("rank", F.row_number().over(w)).select(key, "item_id", "rank")
+
+
 def cold_start(users: DataFrame, products: DataFrame, n: int, excluded: DataFrame | None,
                filter_out_of_stock: bool = True) -> DataFrame:
     """Popular items for each listed user: stock filter, minus the user's excluded
-    items, first n; similarity 0 and is_cold_start true.
-
-    The popular list is cut to n + (largest exclusion count among these users),
-    which is exact: no user can lose more than that many list entries.
-    """
+    items, first n; similarity 0 and is_cold_start true."""
     pool = products.where(F.col("in_stock")) if filter_out_of_stock else products
-    if excluded is not None:
-        ex = excluded.join(users.select("user_id"), "user_id", "left_semi")
-        max_ex = ex.groupBy("user_id").count().select(F.coalesce(F.max("count"), F.lit(0))).first()[0]
-    else:
-        ex, max_ex = None, 0
-    head = popular_items(pool, n + int(max_ex))
-    listing = head.select(F.collect_list(F.struct("pop_rank", "item_id")).alias("l")).scalar()
-    per_user = users.select("user_id", F.inline(listing))
-    if ex is not None:
-        per_user = per_user.join(ex, ["user_id", "item_id"], "left_anti")
-    w = Window.partitionBy("user_id").orderBy("pop_rank")
-    return (per_user.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
-            .select("user_id", "item_id", F.lit(0.0).alias("similarity_score"),
-                    F.lit(True).alias("is_cold_start"), "rank"))
+    out = fill_from_ranking(users, popular_items(pool).select("item_id", "pop_rank"), n, excluded, "user_id")
+    return out.select("user_id", "item_id", F.lit(0.0).alias("similarity_score"), F.lit(True).alias("is_cold_start"), "rank")
 
 
 # J1 -------------------------------------------------------------------------
 def candidates(events: DataFrame, products: DataFrame, embeddings: DataFrame, top_n: int = 100,
                recency_days: int = RECENCY_DAYS, filter_out_of_stock: bool = True,
-               exclude_purchased: bool = True, overfetch: int = 3,
+               exclude_purchased: bool = True, overfetch: int | None = None,
                users: DataFrame | None = None) -> DataFrame:
     """(user_id, item_id, similarity_score, is_cold_start, rank) for every user.
 
     ``users`` defaults to everyone in ``events``; listed users without events
-    are cold-start. ``products`` needs popularity_score and in_stock.
+    are cold-start. ``products`` needs popularity_score and in_stock. Filters
+    come before the cut to ``top_n``, so lists are full where the catalog
+    allows; with ``overfetch`` the best ``overfetch * top_n`` are taken first
+    and filtered afterwards.
     """
     recent = recent_events(events, recency_days)
     items = embedded_items(embeddings, products)
-    n_items = items.count()
-    fetch = min(top_n * overfetch, n_items)
     all_users = (users if users is not None else events).select("user_id").distinct()
-    # read three times (tile sizing, tiles, cold-start anti join): materialise once
+    # read several times (search sizing, search, cold-start anti join): materialise once
     qv = cut_lineage(query_vectors(recent, items).join(all_users, "user_id", "left_semi"))
     excluded = purchased_pairs(recent) if exclude_purchased else None
 
-    warm = vector_topn(qv, items, max(fetch, 1)).withColumnRenamed("score", "similarity_score")
-
-    def keep(df):
-        out = df
-        if excluded is not None:
-            out = exclude_pairs(out, excluded)
+    if overfetch is None:
         if filter_out_of_stock:
-            out = in_stock_filter(out, products)
-        return out
+            items = in_stock_filter(items, products)
+        extra = None
+        if excluded is not None:
+            extra = excluded.join(items.select("item_id"), "item_id", "left_semi").groupBy("user_id").count()
+        warm = vector_topn(qv, items, top_n, extra=extra).withColumnRenamed("score", "similarity_score")
+        if excluded is not None:
+            warm = exclude_pairs(warm, excluded)
+        w = Window.partitionBy("user_id").orderBy(F.desc("similarity_score"), F.asc("item_id"))
+        warm = warm.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_n)
+    else:
+        def keep(df):
+            out = df if excluded is None else exclude_pairs(df, excluded)
+            return in_stock_filter(out, products) if filter_out_of_stock else out
 
-    warm = topn_overfetch(warm, top_n, keep, overfetch=None if fetch >= n_items else overfetch,
-                          score="similarity_score")
+        fetched = vector_topn(qv, items, top_n * overfetch).withColumnRenamed("score", "similarity_score")
+        warm = topn_overfetch(fetched, top_n, keep, overfetch=overfetch, score="similarity_score")
     warm = warm.select("user_id", "item_id", "similarity_score", F.lit(False).alias("is_cold_start"), "rank")
     cold_users = all_users.join(qv.select("user_id"), "user_id", "left_anti")
+    if cold_users.isEmpty():
+        return warm
     cold = cold_start(cold_users, products, top_n, excluded, filter_out_of_stock)
     return warm.unionByName(cold)

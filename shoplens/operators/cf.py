@@ -1,8 +1,8 @@
 """User-based collaborative filtering over a sparse user x item score table.
 
 Never pivots: the user-item "matrix" stays in long form (user, item, score).
-User-user cosine neighbours come from the tiled exact kernel, so a hot item
-shared by millions of users never turns into millions² pair rows.
+User-user cosine neighbours come from routed inverted lists with norm bounds,
+so a hot item shared by millions of users never turns into millions² pairs.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoplens.functions.weights import CF_SCORES, weight_of
-from shoplens.operators.tiles import sparse_topk
+from shoplens.operators.neighbors import cosine_neighbors
 from shoplens.session import cut_lineage
 
 
@@ -28,37 +28,30 @@ def user_item_matrix(scored: DataFrame) -> DataFrame:
     return scored.groupBy("user_id", "item_id").agg(F.sum("score").alias("score"))
 
 
-def user_item_pivot(scored: DataFrame, items: list[str]) -> DataFrame:
-    """Wide form for an explicit, small list of items only (reporting)."""
-    return (scored.where(F.col("item_id").isin(items)).groupBy("user_id")
-            .pivot("item_id", items).agg(F.sum("score")).fillna(0))
-
-
 # F4 / C14 -------------------------------------------------------------------
-def nearest_users(matrix: DataFrame, k: int = 5, **tile_opts) -> DataFrame:
+def nearest_users(matrix: DataFrame, k: int = 5, **search) -> DataFrame:
     """k most cosine-similar other users (similarity > 0), ties by user id.
 
     The reference takes positions 2..6 of a descending sort assuming the user
     itself is first; here self is excluded explicitly.
     """
-    nn = sparse_topk(matrix, matrix, k, q_key="user_id", c_key="user_id", feature="item_id",
-                     value="score", cosine=True, exclude_self=True, min_score=0.0, **tile_opts)
+    nn = cosine_neighbors(matrix, k, **search)
     return nn.select(F.col("q_key").alias("user_id"), F.col("c_key").alias("neighbor_id"),
                      F.col("score").alias("similarity"), "rank")
 
 
 # J12 ------------------------------------------------------------------------
 def user_cf(matrix: DataFrame, top_n: int = 5, neighbors: int = 5,
-            neighbor_table: DataFrame | None = None, **tile_opts) -> DataFrame:
+            neighbor_table: DataFrame | None = None, **search) -> DataFrame:
     """Recommend items for every user from the unweighted sum of neighbour rows.
 
     Items the user already has with a non-zero Σscore are dropped (items seen
     only through 0-weight events stay); score-0 candidates are dropped.
     Output: (user_id, rank, item_id, score).
     """
-    # read five times (two sizing counts, tiles, neighbour rows, seen items): materialise once
+    # read several times (neighbour search, neighbour rows, seen items): materialise once
     matrix = cut_lineage(matrix)
-    nn = neighbor_table if neighbor_table is not None else nearest_users(matrix, neighbors, **tile_opts)
+    nn = neighbor_table if neighbor_table is not None else nearest_users(matrix, neighbors, **search)
     nb_rows = matrix.select(F.col("user_id").alias("neighbor_id"), "item_id",
                             F.col("score").alias("nb_score"))
     cand = (nn.select("user_id", "neighbor_id").join(nb_rows, "neighbor_id")

@@ -11,9 +11,18 @@ from pyspark.sql import functions as F
 
 from shoplens.functions import scalars as S
 from shoplens.functions import vectors as V
-from shoplens.operators.tiles import dense_topk
+from shoplens.functions.weights import (BLEND_MODEL, BLEND_SIMILARITY, CHECKOUT_RECENCY_DAYS, INTERACTION_DEFAULT,
+                                        INTERACTION_WEIGHTS, weight_of)
+from shoplens.operators.analytics import recent_events
+from shoplens.operators.candidates import fill_from_ranking, popular_items
+from shoplens.operators.cells import dense_topk
+from shoplens.operators.features import build_features
+from shoplens.operators.ranking import diversity_rerank, linear_score, minmax_norm, trending_boost
+from shoplens.operators.vectors import weighted_vector_sum
 from shoplens.session import cut_lineage
 
+CART_WEIGHT = 2.0  # of a cart line in a query vector
+
 
 def _cart_ids(carts: DataFrame) -> DataFrame:
     return carts.select("cart_id", "item_id").distinct()
@@ -186,7 +195,8 @@ def cart_details(carts: DataFrame, products: DataFrame) -> DataFrame:
 # G1 -------------------------------------------------------------------------
 def cart_then_recs(recs: DataFrame, carts: DataFrame, products: DataFrame) -> DataFrame:
     """Prepend each cart's distinct items (first-add order, rank 0, NULL scores) to
-    its non-empty recommendation list; row_type tells them apart."""
+    its non-empty recommendation list; row_type tells them apart. ``position`` numbers
+    the rows of a cart, its items first."""
     has_recs = recs.select("cart_id").distinct()
     first = (carts.join(has_recs, "cart_id", "left_semi").groupBy("cart_id", "item_id")
              .agg(F.min("added_at").alias("_first")))
@@ -202,7 +212,10 @@ def cart_then_recs(recs: DataFrame, carts: DataFrame, products: DataFrame) -> Da
     rec_rows = recs.select(
         F.lit("recommendation").alias("row_type"), "cart_id", F.col("rank").cast("int"), "item_id",
         "product_name", "category", "brand", "price", "similarity_score", "ranking_score",
-        (F.col("rank") + F.lit(100000)).cast("int").alias("position"))
+        F.col("rank").cast("int").alias("position"))
+    sizes = first.groupBy("cart_id").agg(F.count("*").cast("int").alias("_n"))
+    rec_rows = rec_rows.join(sizes, "cart_id", "left").withColumn(
+        "position", F.col("position") + F.coalesce("_n", F.lit(0))).drop("_n")
     return cart_rows.unionByName(rec_rows)
 
 
@@ -230,37 +243,50 @@ def personal_plus_global(personal: DataFrame, global_top: DataFrame, products: D
 
 # J19 ------------------------------------------------------------------------
 def cart_retrieval(carts: DataFrame, products: DataFrame, embeddings: DataFrame, top_k: int = 6,
-                   n: int | None = None) -> DataFrame:
-    """Retrieval from the cart alone: query = normalise(Σ 2·vector of each cart line),
-    best items by inner product (no stock / purchase filters), cart items removed, first k.
-    Carts without any vector fall back to popularity. The lists hold as many items more
-    as the largest cart has, so that k are left of each; ``n`` is a shorter first cut."""
-    if n is None:
-        largest = carts.groupBy("cart_id").agg(F.count_distinct("item_id").alias("c")).agg(F.max("c")).first()[0]
-        n = top_k + (largest or 0)
+                   n: int | None = None, history: DataFrame | None = None, cart_weight: float = CART_WEIGHT,
+                   popular: bool = True) -> DataFrame:
+    """Retrieval for a cart: query = normalise(Σ weight·vector) over the cart's lines
+    (``cart_weight`` each) and, with ``history`` (cart_id, item_id, event_type), the
+    owner's own events by interaction weight; best items by inner product (no stock / purchase filters), cart
+    items removed, first k. Carts without any vector get the popular items, or with
+    ``popular=False`` nothing. Each list
+    is searched to k plus the cart's own size, so that k are left; ``n`` is a shorter
+    first cut."""
+    own = _cart_ids(carts)
     items = embeddings.join(products.select("item_id"), "item_id", "left_semi")
-    lines = carts.select("cart_id", "item_id").join(items, "item_id")
-    from shoplens.operators.vectors import weighted_vector_sum
-    qv = weighted_vector_sum(lines.withColumn("w", F.lit(2.0)), "cart_id").select(
-        "cart_id", V.normalize("vector").alias("vector"))
-    top = dense_topk(qv, items, n, q_key="cart_id", c_key="item_id", q_vec="vector", c_vec="embedding")
+    lines = carts.select("cart_id", "item_id").withColumn("w", F.lit(float(cart_weight)))
+    if not cart_weight:
+        lines = lines.limit(0)
+    if history is not None:
+        past = history.join(own.select("cart_id").distinct(), "cart_id", "left_semi")
+        lines = lines.unionByName(past.select("cart_id", "item_id", weight_of(
+            F.col("event_type"), INTERACTION_WEIGHTS, INTERACTION_DEFAULT).cast("double").alias("w")))
+    qv = cut_lineage(weighted_vector_sum(lines.join(items, "item_id"), "cart_id").select(
+        "cart_id", V.normalize("vector").alias("vector")))
+    extra = None if n is not None else own.join(items.select("item_id"), "item_id", "left_semi").groupBy("cart_id").count()
+    top = dense_topk(qv, items, top_k if n is None else n, q_key="cart_id", c_key="item_id", q_vec="vector",
+                     c_vec="embedding", extra=extra)
     top = top.select(F.col("q_key").alias("cart_id"), F.col("c_key").alias("item_id"),
-                     F.col("score").alias("similarity_score"))
-    cold_carts = carts.select("cart_id").distinct().join(qv.select("cart_id"), "cart_id", "left_anti")
-    pop_list = (products.orderBy(F.desc("popularity_score"), "item_id").limit(n)
-                .select(F.collect_list("item_id").alias("l")).scalar())
-    cold = cold_carts.select("cart_id", F.explode(pop_list).alias("item_id"),
-                             F.lit(0.0).alias("similarity_score"))
-    allc = top.unionByName(cold).join(_cart_ids(carts), ["cart_id", "item_id"], "left_anti")
+                     F.col("score").alias("similarity_score")).join(own, ["cart_id", "item_id"], "left_anti")
     w = Window.partitionBy("cart_id").orderBy(F.desc("similarity_score"), F.asc("item_id"))
-    return allc.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k)
+    out = top.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k)
+    cold_carts = own.select("cart_id").distinct().join(qv.select("cart_id"), "cart_id", "left_anti")
+    if not popular or cold_carts.isEmpty():
+        return out
+    ranking = popular_items(products).select("item_id", "pop_rank")
+    cold = fill_from_ranking(cold_carts, ranking if n is None else ranking.where(F.col("pop_rank") <= n), top_k, own, "cart_id")
+    return out.unionByName(cold.select("cart_id", "item_id", F.lit(0.0).alias("similarity_score"), "rank"))
 
 
 # J20 ------------------------------------------------------------------------
+SCORES = ("similarity_score", "ranking_score", "model_score")  # a missing one is filled from the one before it
+
+
 def checkout_fallback_chain(carts: DataFrame, strategies: list) -> DataFrame:
     """First non-empty strategy per cart. strategies: [(name, carts -> recs)];
     each later strategy runs only on the carts all earlier ones left empty.
-    recs: (cart_id, item_id, rank, similarity_score[, ranking_score])."""
+    recs: (cart_id, item_id, rank, similarity_score[, ranking_score[, model_score]]);
+    a score that a strategy has not, or not for a row, is its next weaker one."""
     out = None
     remaining = carts
     for name, fn in strategies:
@@ -269,10 +295,11 @@ def checkout_fallback_chain(carts: DataFrame, strategies: list) -> DataFrame:
         # each strategy's result is materialised in the shared checkpoint folder so
         # the next strategy's input (carts still empty) does not recompute it
         df = cut_lineage(fn(remaining))
-        d = df.select("cart_id", "item_id", "rank",
-                      F.col("similarity_score").cast("double").alias("similarity_score"),
-                      (F.col("ranking_score") if "ranking_score" in df.columns else F.col("similarity_score"))
-                      .cast("double").alias("ranking_score")).withColumn("strategy", F.lit(name))
+        filled, before = [], F.lit(None).cast("double")
+        for score in SCORES:
+            before = F.coalesce(F.col(score).cast("double"), before) if score in df.columns else before
+            filled.append(before.alias(score))
+        d = df.select("cart_id", "item_id", "rank", *filled).withColumn("strategy", F.lit(name))
         out = d if out is None else out.unionByName(d)
         remaining = cut_lineage(remaining.join(d.select("cart_id").distinct(), "cart_id", "left_anti"))
     return out
@@ -313,30 +340,35 @@ def prepare_events(events: DataFrame, carts: DataFrame | None = None, as_of: Col
 
 # J18 ------------------------------------------------------------------------
 def checkout_recs(carts: DataFrame, products: DataFrame, embeddings: DataFrame, events: DataFrame,
-                  top_k: int = 6, scorer=None, recency_days: int = 365) -> DataFrame:
+                  top_k: int = 6, scorer=None, recency_days: int = CHECKOUT_RECENCY_DAYS) -> DataFrame:
     """Ranker-scored checkout recommendations for every cart.
 
-    candidates: the best N = max(5k, 30) that are not in the cart (no stock / purchase
-    filters), else metadata candidates; features from the user's events plus
-    the cart as events; score (default linear) x trending boost; blend
-    0.70 * minmax(similarity) + 0.30 * minmax(model) per cart; <= 3 per
-    category; top k."""
-    from shoplens.functions.weights import BLEND_MODEL, BLEND_SIMILARITY
-    from shoplens.operators.features import build_features
-    from shoplens.operators.ranking import diversity_rerank, linear_score, minmax_norm, trending_boost
+    Candidates: the best N = max(5k, 30) for the owner's own recent events and the
+    cart (its lines are add_to_cart events) that are not in the cart (no stock /
+    purchase filters); a cart for which that finds nothing takes metadata
+    candidates, and its features come without embeddings. Features from the
+    owner's events with the cart among them; score (default linear) x trending
+    boost; blend 0.70 * minmax(similarity) + 0.30 * minmax(model) per cart; <= 3
+    per category; top k."""
     n = max(top_k * 5, 30)
-    retr = cut_lineage(cart_retrieval(carts, products, embeddings, top_k=n))
+    ev = cut_lineage(prepare_events(events, carts).drop("synthetic"))
+    owners = carts.select(F.col("cart_id").cast("string").alias("user_id")).distinct()
+    # the cart's lines are events already, so they come with the history
+    history = recent_events(ev, recency_days).join(owners, "user_id", "left_semi") \
+        .select(F.col("user_id").alias("cart_id"), "item_id", "event_type")
+    retr = cut_lineage(cart_retrieval(carts, products, embeddings, top_k=n, history=history, cart_weight=0.0))
     left = carts.join(retr.select("cart_id").distinct(), "cart_id", "left_anti")
-    meta = metadata_candidates(products, left, n) if not left.isEmpty() else None
-    cands = retr.select("cart_id", "item_id", "similarity_score")
-    if meta is not None:
-        cands = cands.unionByName(meta.select("cart_id", "item_id", "similarity_score"))
-    cands = cands.withColumnRenamed("cart_id", "user_id")
-    ev = prepare_events(events, carts)
-    feats = build_features(cands, ev.drop("synthetic"), products, embeddings, recency_days)
+
+    def features(cands: DataFrame, vectors: DataFrame) -> DataFrame:
+        cands = cands.select(F.col("cart_id").alias("user_id"), "item_id", "similarity_score")
+        return build_features(cands, ev, products, vectors, recency_days).withColumn(
+            "similarity_score", F.col("retrieval_similarity"))
+
+    feats = features(retr, embeddings)
+    if not left.isEmpty():
+        feats = feats.unionByName(features(metadata_candidates(products, left, n), embeddings.limit(0)))
     scored = scorer(feats) if scorer else feats.withColumn("raw_score", linear_score())
     scored = trending_boost(scored, products, "raw_score", "model_score")
-    scored = scored.join(cands, ["user_id", "item_id"])
     scored = minmax_norm(scored, "similarity_score", "_sn")
     scored = minmax_norm(scored, "model_score", "_mn")
     scored = scored.withColumn("ranking_score", F.lit(BLEND_SIMILARITY) * F.col("_sn")

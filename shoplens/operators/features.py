@@ -11,10 +11,9 @@ from pyspark.sql import functions as F
 
 from shoplens.functions import vectors as V
 from shoplens.functions.weights import RECENCY_DAYS
-from shoplens.operators.analytics import recent_events
-from shoplens.operators.profiles import (attach_labels, encode, label_encoder, pct_rank,
-                                         user_brand_history, user_profiles)
-from shoplens.operators.vectors import context_vectors
+from shoplens.operators.profiles import (attach_labels, encode, interactions, label_encoder, pct_rank, profiles_of,
+                                         user_brand_history)
+from shoplens.operators.vectors import context_vectors_of
 
 # --- fixed values (must equal the reference): feature order ------------------
 FEATURE_COLUMNS = [
@@ -53,15 +52,16 @@ def build_features(cands: DataFrame, events: DataFrame, products: DataFrame, emb
     """
     cat_enc = label_encoder(products, "category")
     brand_enc = label_encoder(products, "brand")
-    prof = user_profiles(events, products, recency_days).withColumn("_has_prof", F.lit(True))
+    pairs = interactions(events, recency_days)  # the one scan of the log
+    prof = profiles_of(pairs, products).withColumn("_has_prof", F.lit(True))
     mean_price = products.select(F.avg("price")).scalar()
     ranked = pct_rank(products.select("item_id", "popularity_score"), "popularity_score", "popularity_rank")
     items = (products.select("item_id", "category", "brand", "price", "popularity_score", "ctr_score")
              .join(ranked.select("item_id", "popularity_rank"), "item_id", "left")
              .withColumn("_in_cat", F.lit(True)))
-    ctx = context_vectors(recent_events(events, recency_days), embeddings)
+    ctx = context_vectors_of(pairs, embeddings, "n_recent")
     vecs = embeddings.select("item_id", F.col("embedding").alias("_item_vec"))
-    brands = user_brand_history(events, products).select(
+    brands = user_brand_history(pairs, products).select(
         F.col("user_id").alias("_ub_user"), F.col("brand").alias("_ub"), F.lit(1).alias("_ub_hit"))
 
     c = cands.select("user_id", "item_id", "similarity_score")

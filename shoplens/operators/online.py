@@ -19,7 +19,7 @@ from shoplens.operators.skew import keyed_cumsum, prior_rows
 from shoplens.session import cut_lineage
 
 
-def _islands(df: DataFrame, key: list[str], ts: str, ttl_seconds: int | None, name: str) -> DataFrame:
+def islands(df: DataFrame, key: list[str], ts: str, ttl_seconds: int | None, name: str) -> DataFrame:
     """Number the runs of ``key`` whose consecutive gaps are <= ttl_seconds.
 
     The previous row and the running count of breaks use the chunked frames of
@@ -48,7 +48,7 @@ def user_recent_items(events: DataFrame, history: int = ONLINE_HISTORY,
                       ttl_seconds: int | None = None, as_of: Column | None = None) -> DataFrame:
     """Per user, the last ``history`` add_to_cart items (oldest first, repeats kept)."""
     carts = events.where(F.col("event_type") == "add_to_cart").select("event_id", "user_id", "item_id", "ts")
-    carts = _islands(carts, ["user_id"], "ts", ttl_seconds, "_isl")
+    carts = islands(carts, ["user_id"], "ts", ttl_seconds, "_isl")
     carts = _last_island(carts, ["user_id"], "_isl")
     w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
     recent = carts.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= history)
@@ -71,7 +71,7 @@ def co_cart_deltas(events: DataFrame, history: int = ONLINE_HISTORY,
         # skew-safe frame: a user holding a large share of carts is split in time chunks
         prior = prior_rows(carts, "user_id", "ts", "event_id", history, F.col("item_id"), "_prev")
     else:
-        carts = _islands(carts, ["user_id"], "ts", ttl_seconds, "_isl")
+        carts = islands(carts, ["user_id"], "ts", ttl_seconds, "_isl")
         carts = carts.withColumn("_ui", F.concat_ws("\u0001", "user_id", F.col("_isl").cast("string")))
         prior = prior_rows(carts, "_ui", "ts", "event_id", history, F.col("item_id"), "_prev").drop("_ui")
     return pair_increments(prior)
@@ -94,7 +94,7 @@ def co_cart_weights(events: DataFrame, history: int = ONLINE_HISTORY, ttl_second
     """
     d = co_cart_deltas(events, history, ttl_seconds)
     if ttl_seconds is not None:
-        d = _islands(d, ["item_a", "item_b"], "ts", ttl_seconds, "_pisl")
+        d = islands(d, ["item_a", "item_b"], "ts", ttl_seconds, "_pisl")
         d = _last_island(d, ["item_a", "item_b"], "_pisl")
     out = d.groupBy("item_a", "item_b").agg(F.count(F.lit(1)).cast("double").alias("weight"),
                                             F.max("ts").alias("last_updated"))

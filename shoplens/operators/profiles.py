@@ -1,19 +1,23 @@
 """User profiles, item popularity, encoders.
 
 Every statistic is one grouped aggregate over the whole event log; global
-scalars (max time, max count, quantiles) are scalar subqueries, and global
+scalars (max time, max count) are scalar subqueries, quantiles are found by
+narrowing histograms, and global
 orderings run on the (small) set of distinct values with a range-partitioned
 running sum, never a one-partition window over events.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoplens.functions.scalars import brand_from_name
 from shoplens.functions.weights import LABEL_WEIGHTS, weight_of
 from shoplens.operators.analytics import global_cumsum, global_row_number
+from shoplens.session import cut_lineage
 
 PROFILE_WEIGHTS = {k: v + 1 for k, v in LABEL_WEIGHTS.items()}  # view=1 ... purchase=4
 
@@ -88,24 +92,43 @@ def half_even_cents_mean(total_cents: str, n: str) -> Column:
 
 
 # D6 -------------------------------------------------------------------------
+def interactions(events: DataFrame, recency_days: int = 90) -> DataFrame:
+    """(user_id, item_id, event_type, n, n_recent, last_ts, now): one aggregate of the log, written once.
+
+    Profiles, brand histories and context vectors are derived from it, so the
+    log is scanned once for all of them; ``now`` is the log's latest time and
+    n_recent counts events since ``now`` - recency_days.
+    """
+    now = events.select(F.max("ts")).scalar()
+    cutoff = now - F.make_interval(days=F.lit(recency_days))
+    return cut_lineage(events.groupBy("user_id", "item_id", "event_type").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("ts") >= cutoff).alias("n_recent"), F.max("ts").alias("last_ts"))
+        .withColumn("now", now))
+
+
 def user_profiles(events: DataFrame, products: DataFrame, recency_days: int = 90) -> DataFrame:
     """preferred_category / preferred_brand (weighted mode over all history),
     avg_spend (mean purchase price, else mean price of all events; half-even to 2),
     recent_activity_count (events since global max - recency_days),
     days_since_last_interaction (whole days from the user's last to the global max)."""
+    return profiles_of(interactions(events, recency_days), products)
+
+
+def profiles_of(pairs: DataFrame, products: DataFrame) -> DataFrame:
+    """:func:`user_profiles` from :func:`interactions`."""
     prod = products.select("item_id", "category", "brand", "price")
-    m = events.join(prod, "item_id", "left").withColumn(
-        "weight", weight_of(F.col("event_type"), PROFILE_WEIGHTS, 1))
-    now = events.select(F.max("ts")).scalar()
-    cutoff = now - F.make_interval(days=F.lit(recency_days))
+    m = pairs.join(prod, "item_id", "left").withColumn(
+        "weight", weight_of(F.col("event_type"), PROFILE_WEIGHTS, 1) * F.col("n"))
+    m = cut_lineage(m)  # read for the totals, the categories and the brands
     is_p = F.col("event_type") == "purchase"
     cents = F.round(F.col("price") * 100).cast("long")
+    known = F.when(cents.isNotNull(), F.col("n"))
     base = m.groupBy("user_id").agg(
-        F.sum(F.when(is_p, cents)).alias("_ps"), F.count(F.when(is_p, cents)).alias("_pn"),
-        F.sum(cents).alias("_as"), F.count(cents).alias("_an"),
-        F.count_if(F.col("ts") >= cutoff).alias("recent_activity_count"),
-        F.max("ts").alias("_last"))
-    days = F.floor((F.unix_micros(now) - F.unix_micros(F.col("_last"))) / F.lit(86_400_000_000))
+        F.sum(F.when(is_p, cents * F.col("n"))).alias("_ps"), F.coalesce(F.sum(F.when(is_p, known)), F.lit(0)).alias("_pn"),
+        F.sum(cents * F.col("n")).alias("_as"), F.coalesce(F.sum(known), F.lit(0)).alias("_an"),
+        F.sum("n_recent").alias("recent_activity_count"),
+        F.max("last_ts").alias("_last"), F.first("now").alias("_now"))
+    days = F.floor((F.unix_micros("_now") - F.unix_micros("_last")) / F.lit(86_400_000_000))
     base = base.select(
         "user_id",
         F.coalesce(half_even_cents_mean("_ps", "_pn"), half_even_cents_mean("_as", "_an"))
@@ -122,10 +145,47 @@ def last_event_per_user(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").agg(F.max("ts").alias("last_ts"))
 
 
+BUCKETS = 4096
+
+
+def order_statistic(df: DataFrame, rank: int, buckets: int = BUCKETS) -> tuple[float, int]:
+    """The value at a 0-based rank of a one-column frame of finite doubles, and how many rows are at most it.
+
+    Each round counts the rows between two bounds in equal buckets (a partial
+    aggregate of at most ``buckets`` + 1 rows) and goes on with the bucket that
+    holds the rank, until that bucket has one value. No task and no buffer
+    holds the column, however many distinct values it has.
+    """
+    x = F.col(df.columns[0])
+    part, bucket, below = df, F.lit(0), 0
+    while True:
+        for r in part.groupBy(bucket.alias("b")).agg(F.count("*").alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi")) \
+                .orderBy("b").collect():
+            if below + r["n"] > rank:
+                break
+            below += r["n"]
+        else:
+            raise IndexError(f"no row has rank {rank}")
+        lo, hi = r["lo"], r["hi"]
+        if lo == hi:
+            return lo, below + r["n"]
+        part = df.where((x >= lo) & (x <= hi))
+        # halves, so that the width stays finite; equal values share a bucket and buckets keep the order
+        bucket = F.floor((x / 2 - lo / 2) / (hi / 2 - lo / 2) * buckets)
+
+
 def quantile(df: DataFrame, col: Column | str, q: float) -> Column:
-    """Exact linear-interpolated quantile as a scalar subquery (never approximate)."""
-    c = F.col(col) if isinstance(col, str) else col
-    return df.select(F.percentile(c, F.lit(q))).scalar()
+    """Exact linear-interpolated quantile of the finite values as a literal; null without any."""
+    c = (F.col(col) if isinstance(col, str) else col).cast("double")
+    values = cut_lineage(df.select(c.alias("x")).where(F.abs("x") < float("inf")))
+    n = values.count()
+    if not n:
+        return F.lit(None).cast("double")
+    at = q * (n - 1)
+    low, high = math.floor(at), math.ceil(at)
+    a, upto = order_statistic(values, low)
+    b = a if high < upto else values.where(F.col("x") > a).agg(F.min("x")).first()[0]
+    return F.lit(a if a == b else (high - at) * a + (at - low) * b)
 
 
 # D14 ------------------------------------------------------------------------

@@ -150,10 +150,10 @@ def retrieval_metrics(query_vecs: DataFrame, targets: DataFrame, item_vecs: Data
     """Recall@k / NDCG@k of one target per sample against all items.
 
     rank of target = 1 + #items scoring strictly higher (ties counted in the
-    target's favour), computed by the tiled kernel as a count, not a sort.
+    target's favour), a count over the cells that can matter, not a sort.
     """
-    from shoplens.operators.tiles import dense_rank_of_target
-    ranks = dense_rank_of_target(query_vecs, targets, item_vecs, key=key)
+    from shoplens.operators.cells import rank_of_target
+    ranks = rank_of_target(query_vecs, targets, item_vecs, key=key)
     aggs = []
     for k in ks:
         hit = F.col("target_rank") <= k

@@ -9,9 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shoplens.functions.scalars import hours_between
-from shoplens.operators.skew import prior_rows
+from shoplens.operators.skew import keyed_cumsum, prior_rows
 from shoplens.functions.weights import (EVENT_TYPE_IDS, EVENT_TYPE_UNKNOWN, SEQ_LOOKBACK_DAYS, SEQ_MAX_LEN,
                                         SEQ_MIN_HISTORY, TARGET_DEFAULT, TARGET_WEIGHTS, weight_of)
 
@@ -181,8 +182,15 @@ def dwell_time(events: DataFrame, start_types=("view", "click"), end_types=("vie
 def login_sessions(logins: DataFrame, explicit_ends: DataFrame | None = None) -> DataFrame:
     """A new login closes the user's open session (ended_at = next start); an
     explicit end (session_id, ended_at) closes earlier; only the latest may stay active."""
-    w = Window.partitionBy("user_id").orderBy("started_at", "session_id")
-    s = logins.withColumn("_next", F.lead("started_at").over(w))
+    # the next start = the row before it in reversed order, through the chunked frame
+    back = logins.withColumn("_back", F.timestamp_micros(-F.unix_micros("started_at")))
+    if isinstance(logins.schema["session_id"].dataType, T.StringType):
+        turned = F.concat(F.translate(F.hex("session_id"), "0123456789ABCDEF", "fedcba9876543210"), F.lit("~"))
+    else:
+        turned = -F.col("session_id")
+    back = back.withColumn("_turn", turned)
+    s = prior_rows(back, "user_id", "_back", "_turn", 1, F.col("started_at"), "_n") \
+        .withColumn("_next", F.try_element_at("_n", F.lit(1))).drop("_n", "_back", "_turn")
     if explicit_ends is not None:
         s = s.join(explicit_ends.select("session_id", F.col("ended_at").alias("_end")), "session_id", "left")
         ended = F.least(F.col("_next"), F.col("_end"))
@@ -199,12 +207,19 @@ def daily_logins(events: DataFrame) -> DataFrame:
                     "user_id", "started_at")
 
 
-def activity_sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
-    """Gap-based activity sessions per user (session_window)."""
-    return (events.groupBy("user_id", F.session_window("ts", gap).alias("s"))
-            .agg(F.count(F.lit(1)).alias("n_events"))
-            .select("user_id", F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"),
-                    "n_events"))
+def activity_sessions(events: DataFrame, gap_seconds: int = 1800) -> DataFrame:
+    """Gap-based activity sessions per user: an event ``gap_seconds`` or more after the one before starts a new one.
+
+    Runs are numbered through the chunked frames, so a user's events may span
+    many tasks; (user, run) is then a plain aggregate.
+    """
+    e = prior_rows(events.select("event_id", "user_id", "ts"), "user_id", "ts", "event_id", 1, F.col("ts"), "_before")
+    gap = F.unix_micros("ts") - F.unix_micros(F.try_element_at("_before", F.lit(1)))
+    breaks = F.when(gap >= F.lit(gap_seconds * 1_000_000), 1).otherwise(0)
+    runs = keyed_cumsum(e, "user_id", "ts", "event_id", breaks, "_run")
+    return runs.groupBy("user_id", "_run").agg(
+        F.min("ts").alias("session_start"), F.max("ts").alias("_last"), F.count(F.lit(1)).alias("n_events")).select(
+        "user_id", "session_start", (F.col("_last") + F.make_interval(secs=F.lit(gap_seconds))).alias("session_end"), "n_events")
 
 
 # E11 ------------------------------------------------------------------------

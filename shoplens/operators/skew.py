@@ -2,16 +2,17 @@
 
 ``rows between n preceding and 1 preceding`` partitioned by user puts all of a
 user's rows in one task; with one user holding a large share of the log that
-task holds the skew. ``prior_rows`` gives the same frame exactly while
-splitting every user's timeline into time chunks of about ``rows_per_chunk``
-rows:
+task holds the skew. ``prior_rows`` gives the same frame exactly while cutting
+the log into chunks of about equally many rows:
 
-1. per user: count and time span (partial aggregation, skew-safe);
-2. chunk = floor((t - t_min) / width), width chosen from the user's rate;
-3. the last n rows of every chunk (a window limit, pre-applied map side);
-4. halo of a chunk = the n rows before its first tail row in that small
+1. the rows are range-partitioned by (key, time, tie-break); the partition is
+   the chunk. Spark places the cuts by a sample of the rows, so a user with a
+   third of all rows, or a burst of equal times, spans many chunks, and small
+   users share one;
+2. the last n rows of every (key, chunk) (a window limit, pre-applied map side);
+3. halo of a chunk = the n rows before its first tail row in that small
    tail table (partitioned by user, n rows per chunk only);
-5. the frame inside each (user, chunk) plus the halo in front of it.
+4. the frame inside each (key, chunk) plus the halo in front of it.
 """
 
 from __future__ import annotations
@@ -19,30 +20,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_ROWS_PER_CHUNK = 20_000
+from shoplens.session import cut_lineage
 
 
-def with_chunks(df: DataFrame, key: str, ts: str, rows_per_chunk: int = DEFAULT_ROWS_PER_CHUNK) -> DataFrame:
-    """Add ``_chunk``: a time slice of the key's timeline holding ~rows_per_chunk rows
-    (0 for keys with fewer rows). Rows with equal ts always share a chunk."""
-    us = F.unix_micros(F.col(ts))
-    stats = df.groupBy(key).agg(F.count(F.lit(1)).alias("_cnt"), F.min(us).alias("_t0"), F.max(us).alias("_t1"))
-    width = F.greatest(F.lit(1), ((F.col("_t1") - F.col("_t0") + 1) * F.lit(rows_per_chunk) / F.col("_cnt"))
-                       .cast("long"))
-    stats = stats.select(key, "_t0", F.when(F.col("_cnt") <= rows_per_chunk, F.lit(None)).otherwise(width)
-                         .alias("_width"))
-    stats = stats.withColumnRenamed(key, "_key")  # null keys are a timeline, too
-    return (df.join(stats, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
-            .withColumn("_chunk", F.coalesce(F.floor((us - F.col("_t0")) / F.col("_width")), F.lit(0)).cast("long"))
-            .drop("_t0", "_width"))
+def with_chunks(df: DataFrame, key: str, ts: str, tiebreak: str, chunks: int | None = None) -> DataFrame:
+    """Add ``_chunk``: contiguous pieces of the order by (key, ts, tiebreak), of about equally many rows."""
+    n = chunks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, F.col(key), F.col(ts), F.col(tiebreak))
+    # written: all that reads the chunks must see the same cuts
+    return cut_lineage(ranged.withColumn("_chunk", F.spark_partition_id()))
 
 
 def keyed_cumsum(df: DataFrame, key: str, ts: str, tiebreak: str, value: Column, name: str,
-                 rows_per_chunk: int = DEFAULT_ROWS_PER_CHUNK) -> DataFrame:
+                 chunks: int | None = None) -> DataFrame:
     """Running sum of ``value`` per key in (ts, tiebreak) order, chunk by chunk:
     a local running sum inside each (key, chunk) plus the totals of the key's
     earlier chunks (a table of one row per chunk)."""
-    d = with_chunks(df.withColumn("_v", value), key, ts, rows_per_chunk)
+    d = with_chunks(df.withColumn("_v", value), key, ts, tiebreak, chunks)
     order = [F.col(ts), F.col(tiebreak)]
     local = d.withColumn("_loc", F.sum("_v").over(
         Window.partitionBy(key, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
@@ -57,10 +51,10 @@ def keyed_cumsum(df: DataFrame, key: str, ts: str, tiebreak: str, value: Column,
 
 
 def prior_rows(df: DataFrame, key: str, ts: str, tiebreak: str, n: int, payload: Column,
-               name: str = "_prior", rows_per_chunk: int = DEFAULT_ROWS_PER_CHUNK) -> DataFrame:
+               name: str = "_prior", chunks: int | None = None) -> DataFrame:
     """Add ``name`` = array of the payloads of the (up to) n rows before each row
     of the same key, ordered by (ts, tiebreak), oldest first."""
-    d = with_chunks(df.withColumn("_p", payload), key, ts, rows_per_chunk)
+    d = with_chunks(df.withColumn("_p", payload), key, ts, tiebreak, chunks)
     order = [F.col(ts), F.col(tiebreak)]
     in_chunk = Window.partitionBy(key, "_chunk")
     tails = (d.withColumn("_rd", F.row_number().over(in_chunk.orderBy(*[o.desc() for o in order])))
@@ -76,4 +70,3 @@ def prior_rows(df: DataFrame, key: str, ts: str, tiebreak: str, n: int, payload:
     return (local.join(halo, same, "left").drop("_key", "_part")
             .withColumn(name, F.slice(both, F.greatest(F.size(both) - n + 1, F.lit(1)), n))
             .drop("_h", "_loc", "_chunk", "_p"))
-

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from shoplens.functions import vectors as V
 from shoplens.functions.weights import INTERACTION_DEFAULT, INTERACTION_WEIGHTS, weight_of
-from shoplens.operators.tiles import dense_topk
+from shoplens.operators.cells import dense_topk
 
 
 # B14 ------------------------------------------------------------------------
@@ -49,15 +49,20 @@ def query_vectors(window_events: DataFrame, embeddings: DataFrame) -> DataFrame:
 # D16 ------------------------------------------------------------------------
 def context_vectors(window_events: DataFrame, embeddings: DataFrame) -> DataFrame:
     """cart_vec (add_to_cart + purchase) and click_vec: L2-normalised means."""
-    rows = (window_events.select("user_id", "item_id", "event_type")
+    return context_vectors_of(window_events.groupBy("user_id", "item_id", "event_type").agg(F.count(F.lit(1)).alias("n")), embeddings)
+
+
+def context_vectors_of(counts: DataFrame, embeddings: DataFrame, n: str = "n") -> DataFrame:
+    """:func:`context_vectors` from counted (user_id, item_id, event_type, n) rows; rows with n = 0 stand outside."""
+    counts = counts.where(F.col(n) > 0)
+    rows = (counts.select("user_id", "item_id", "event_type", F.col(n).alias("w"))
             .join(embeddings.select("item_id", "embedding"), "item_id"))
 
     def mean_of(types, name):
-        r = rows.where(F.col("event_type").isin(types)).withColumn("w", F.lit(1.0))
-        return weighted_vector_sum(r, "user_id", metric="mean").select(
+        return weighted_vector_sum(rows.where(F.col("event_type").isin(types)), "user_id", metric="mean").select(
             "user_id", V.normalize("vector").alias(name))
 
-    users = window_events.select("user_id").distinct()
+    users = counts.select("user_id").distinct()
     return (users.join(mean_of(["add_to_cart", "purchase"], "cart_vec"), "user_id", "left")
             .join(mean_of(["click"], "click_vec"), "user_id", "left"))
 
@@ -78,13 +83,14 @@ def combine_embeddings(image: DataFrame, text: DataFrame, image_weight: float =
 # J2 -------------------------------------------------------------------------
 def vector_topn(query_vecs: DataFrame, item_vecs: DataFrame, n: int, *, key: str = "user_id",
                 query_col: str = "vector", item_col: str = "embedding",
-                exclude_self: bool = False) -> DataFrame:
+                exclude_self: bool = False, extra: DataFrame | None = None) -> DataFrame:
     """Exact inner-product top-n of every query vector against every item vector.
 
-    Output (key, item_id, score, rank); ties broken by item_id.
+    Output (key, item_id, score, rank); ties broken by item_id. ``extra``
+    (key, n): so many rows more for single queries.
     """
     top = dense_topk(query_vecs, item_vecs, n, q_key=key, c_key="item_id",
-                     q_vec=query_col, c_vec=item_col, exclude_self=exclude_self)
+                     q_vec=query_col, c_vec=item_col, exclude_self=exclude_self, extra=extra)
     return top.select(F.col("q_key").alias(key), F.col("c_key").alias("item_id"), "score", "rank")
 
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shoplens.functions import scalars as S
+from shoplens.functions.weights import INTERACTION_DEFAULT, INTERACTION_WEIGHTS, weight_sql
 from shoplens.operators import analytics as A
 from shoplens.operators import cf
 from shoplens.operators import checkout as K
+from shoplens.operators import profiles as P
 from shoplens.operators import vectors as VO
 from shoplens.plans.base import r6, register
 from shoplens.plans.q_cf import CF_BODY, NN_CTES, UI_SQL
@@ -128,26 +132,6 @@ def q_cart_retrieval(spark, d):
                     F.col("rank").cast("bigint").alias("rank"))
 
 
-@register("checkout_fallback_chain", with_views(["carts", "products", "image_emb", "text_emb"], """
-SELECT cart_id, item_id, rank, 'cart_retrieval' AS strategy FROM retr
-UNION ALL
-SELECT cart_id, item_id, rank, 'cart_similarity' FROM csim_r
-WHERE rank <= 10 AND cart_id NOT IN (SELECT cart_id FROM retr)
-UNION ALL
-SELECT cart_id, item_id, rank, 'metadata' FROM meta
-WHERE cart_id NOT IN (SELECT cart_id FROM retr) AND cart_id NOT IN (SELECT cart_id FROM csim_r WHERE rank <= 10)""",
-                                                 RETR_CTES + "," + SIM_CTES + "," + META_CTES))
-def q_checkout_chain(spark, d):
-    carts = _carts(spark, d)
-    prods, rprods = X.products(spark, d), ranker_products(spark, d)
-    chain = K.checkout_fallback_chain(carts, [
-        ("cart_retrieval", lambda c: K.cart_retrieval(c, rprods, X.image_emb(spark, d), 6)),
-        ("cart_similarity", lambda c: K.cart_similarity_scores(c, _sim_table(spark, d), 10)),
-        ("metadata", lambda c: K.metadata_candidates(prods, c, 10)),
-    ])
-    return chain.select("cart_id", "item_id", F.col("rank").cast("bigint").alias("rank"), "strategy")
-
-
 @register("cart_quantity", with_views(["ev"], """
 SELECT user_id, item_id, count(*) AS quantity FROM ev WHERE event_type = 'add_to_cart' GROUP BY 1, 2"""))
 def q_cart_quantity(spark, d):
@@ -168,7 +152,8 @@ SELECT 'cart_item' AS row_type, c.user_id AS cart_id, 0 AS rank, c.item_id,
        row_number() OVER (PARTITION BY c.user_id ORDER BY c.created_at, c.item_id) AS position
 FROM carts c WHERE c.user_id IN (SELECT cart_id FROM retr)
 UNION ALL
-SELECT 'recommendation', cart_id, CAST(rank AS INTEGER), item_id, CAST(rank + 100000 AS INTEGER) FROM retr""",
+SELECT 'recommendation', cart_id, CAST(rank AS INTEGER), item_id,
+       rank + (SELECT count(*) FROM carts c WHERE c.user_id = retr.cart_id) FROM retr""",
                                     RETR_CTES))
 def q_cart_then_recs(spark, d):
     carts = _carts(spark, d)
@@ -239,8 +224,8 @@ def q_checkout_recs(spark, d):
                     r6("ranking_score").alias("ranking_score"))
 
 
-def _j18_sql() -> str:
-    """Oracle for checkout_recs: features over the cart-augmented log, linear score,
+def _j18_ctes() -> str:
+    """Oracle CTEs of checkout_recs (``jtop``): features over the cart-augmented log, linear score,
     trending boost, 0.7/0.3 blend of per-cart min-max scores, diversity, top 6."""
     from shoplens.plans.q_profiles import PROFILE_SQL, STATS_SQL
     from shoplens.plans.q_ranking import FEATURE_CTES
@@ -248,9 +233,21 @@ def _j18_sql() -> str:
     feat_part = (feat_part.replace("FROM rev e JOIN products p", "FROM pev e JOIN products p")
                  .replace("LEFT JOIN cv cc", "LEFT JOIN cv2 cc").replace("LEFT JOIN cv ck", "LEFT JOIN cv2 ck"))
     profile = PROFILE_SQL.replace("FROM rev", "FROM pev").replace("INTERVAL 7 DAY", "INTERVAL 365 DAY")
-    retr = RETR_CTES.replace("WHERE r <= 24)", "WHERE r <= 30)").replace("WHERE rank <= 6)", "WHERE rank <= 30)")
+    retr = RETR_CTES.replace("WHERE rank <= 6)", "WHERE rank <= 30)")
+    cart_lines = retr[retr.index("lines AS ("):retr.index("cqv AS (")]
+    retr = retr.replace(cart_lines, f"""lines AS (SELECT w.user_id AS cart_id,
+                 {weight_sql('w.event_type', INTERACTION_WEIGHTS, INTERACTION_DEFAULT)} AS wt,
+                 unnest(e.embedding) AS x, generate_subscripts(e.embedding, 1) AS pos
+          FROM pev w JOIN items e ON e.item_id = w.item_id
+          WHERE w.ts >= (SELECT max(ts) FROM pev) - INTERVAL 365 DAY AND w.user_id IN (SELECT user_id FROM carts)),
+cq0 AS (SELECT cart_id, list(s ORDER BY pos) AS v FROM (SELECT cart_id, pos, sum(wt * x) AS s FROM lines
+        GROUP BY 1, 2) GROUP BY cart_id),
+""")
     meta = META_CTES.replace("FROM mscored) WHERE rank <= 10)", "FROM mscored) WHERE rank <= 30)")
-    ctes = f"""
+    # carts without embedding candidates have features without embeddings
+    feat_part = feat_part.replace("CASE WHEN iv.embedding IS NOT NULL AND",
+                                  "CASE WHEN c.user_id IN (SELECT cart_id FROM retr) AND iv.embedding IS NOT NULL AND")
+    return f"""
 pev AS (SELECT user_id, item_id, event_type, ts FROM rev
         UNION ALL
         SELECT user_id, item_id, 'add_to_cart', (SELECT max(ts) FROM rev) - to_minutes(CAST(n - i AS BIGINT)) FROM (
@@ -295,9 +292,60 @@ jdiv AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, dcat
                         ORDER BY ranking_score DESC, item_id) AS crank FROM s3) WHERE crank <= 3),
 jtop AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ranking_score DESC, item_id)
                         AS rank FROM jdiv) WHERE rank <= 6)"""
-    return with_views(["rev", "carts", "products", "image_emb"], """
-SELECT user_id AS cart_id, item_id, rank, round(similarity_score, 6) AS similarity_score,
-       round(model_score, 6) AS model_score, round(ranking_score, 6) AS ranking_score FROM jtop""", ctes)
 
 
-register("checkout_recs", _j18_sql())(q_checkout_recs)
+register("checkout_recs", with_views(["rev", "carts", "products", "image_emb"], """
+SELECT user_id AS cart_id, item_id, rank, round(similarity_score, 6) AS similarity_score,
+       round(model_score, 6) AS model_score, round(ranking_score, 6) AS ranking_score FROM jtop""", _j18_ctes()))(q_checkout_recs)
+
+
+# Sessions (user and day) as carts, so that many are small. The ranker serves sessions with a purchase,
+# vectors exist for men's items and similarity rows for women's items only: every strategy has carts to serve.
+SESSION = "concat(CAST(user_id AS VARCHAR), '|', strftime(ts, '%Y-%m-%d')) AS user_id"
+
+
+def _chain_sql() -> str:
+    retr = RETR_CTES.replace("WHERE item_id IN (SELECT item_id FROM products)",
+                             "WHERE item_id IN (SELECT item_id FROM products WHERE gender = 'men')")
+    for name in ("items", "lines", "cq0", "cqv", "rtop", "retr"):
+        retr = re.sub(rf"\b{name}\b", f"{name}_j19", retr)
+    sims = SIM_CTES.replace("JOIN simt s ON s.query_id = cq.item_id",
+                            "JOIN simt s ON s.query_id = cq.item_id JOIN products w ON w.item_id = s.query_id AND w.gender = 'women'")
+    ctes = _j18_ctes() + "," + retr + "," + sims + """,
+ranked AS (SELECT * FROM jtop WHERE user_id IN (SELECT user_id FROM rev WHERE event_type = 'purchase')),
+near AS (SELECT * FROM retr_j19 WHERE cart_id NOT IN (SELECT user_id FROM ranked)),
+alike AS (SELECT * FROM csim_r WHERE rank <= 6 AND cart_id NOT IN (SELECT user_id FROM ranked)
+          AND cart_id NOT IN (SELECT cart_id FROM near)),
+rules AS (SELECT * FROM meta WHERE rank <= 6 AND cart_id NOT IN (SELECT user_id FROM ranked)
+          AND cart_id NOT IN (SELECT cart_id FROM near) AND cart_id NOT IN (SELECT cart_id FROM alike)),
+chain AS (SELECT user_id AS cart_id, item_id, rank, similarity_score, ranking_score, model_score, 'ranker' AS strategy FROM ranked
+          UNION ALL SELECT cart_id, item_id, rank, similarity_score, similarity_score, similarity_score, 'cart_retrieval' FROM near
+          UNION ALL SELECT cart_id, item_id, rank, similarity_score, ranking_score, ranking_score, 'cart_similarity' FROM alike
+          UNION ALL SELECT cart_id, item_id, rank, similarity_score, similarity_score, similarity_score, 'metadata' FROM rules)"""
+    sql = with_views(["rev", "carts", "products", "image_emb", "text_emb"], """
+SELECT cart_id, item_id, rank, strategy, round(similarity_score, 6) AS similarity_score,
+       round(ranking_score, 6) AS ranking_score, round(model_score, 6) AS model_score FROM chain""", ctes)
+    return sql.replace("CAST(user_id AS VARCHAR) AS user_id", SESSION)
+
+
+@register("checkout_fallback_chain", _chain_sql())
+def q_checkout_chain(spark, d):
+    session = F.concat(F.col("user_id"), F.lit("|"), F.date_format("ts", "yyyy-MM-dd"))
+    ev = X.events(spark, d).withColumn("user_id", session)
+    rev = ev.where(F.col("event_type") != "time_spent")
+    carts = ev.where(F.col("event_type") == "add_to_cart").groupBy(F.col("user_id").alias("cart_id"), "item_id").agg(
+        F.count(F.lit(1)).alias("quantity"), F.min("ts").alias("added_at"))
+    prods = X.products(spark, d)
+    rprods = P.prepare_products(prods, rev)
+    buyers = rev.where(F.col("event_type") == "purchase").select(F.col("user_id").alias("cart_id")).distinct()
+    mens = X.image_emb(spark, d).join(prods.where(F.col("gender") == "men").select("item_id"), "item_id", "left_semi")
+    womens = _sim_table(spark, d).join(
+        prods.where(F.col("gender") == "women").select(F.col("item_id").alias("query_id")), "query_id", "left_semi")
+    chain = K.checkout_fallback_chain(carts, [
+        ("ranker", lambda c: K.checkout_recs(c.join(buyers, "cart_id", "left_semi"), rprods, X.image_emb(spark, d), rev, top_k=6)),
+        ("cart_retrieval", lambda c: K.cart_retrieval(c, rprods, mens, 6, popular=False)),
+        ("cart_similarity", lambda c: K.cart_similarity_scores(c, womens, 6)),
+        ("metadata", lambda c: K.metadata_candidates(prods, c, 6)),
+    ])
+    return chain.select("cart_id", "item_id", F.col("rank").cast("bigint").alias("rank"), "strategy",
+                        *[r6(c).alias(c) for c in K.SCORES])

@@ -11,6 +11,7 @@ from shoplens.operators import ranking as R
 from shoplens.plans.base import r6, register
 from shoplens.plans.q_profiles import PROFILE_SQL, STATS_SQL
 from shoplens.plans.q_vectors import CAND_SQL, ranker_products
+from shoplens.session import cut_lineage
 from shoplens.sources import fixtures as X
 from shoplens.sources.fixtures import with_views
 
@@ -26,7 +27,7 @@ def _enc(table, col):
     return f"coalesce((SELECT code FROM {table} WHERE value = {col}), -1)"
 
 
-FEATURE_CTES = CAND_SQL.replace("{fetch}", "30") + "," + STATS_SQL + "," + PROFILE_SQL + """,
+FEATURE_CTES = CAND_SQL + "," + STATS_SQL + "," + PROFILE_SQL + """,
 cterms AS (SELECT w.user_id, CASE WHEN w.event_type = 'click' THEN 'click' ELSE 'cart' END AS kind,
                   unnest(e.embedding) AS x, generate_subscripts(e.embedding, 1) AS pos
            FROM win w JOIN image_emb e ON e.item_id = w.item_id
@@ -36,7 +37,7 @@ cm AS (SELECT user_id, kind, list(m ORDER BY pos) AS v FROM
 cv AS (SELECT user_id, kind, CASE WHEN sqrt(list_dot_product(v, v)) > 0
               THEN list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) ELSE v END AS v FROM cm),
 cands AS (SELECT user_id, item_id, similarity_score
-          FROM (SELECT * FROM warm_r UNION ALL SELECT * FROM cold) WHERE rank <= 10),
+          FROM (SELECT * FROM warm_r UNION ALL SELECT * FROM cold) WHERE rank <= 100),
 cat_enc AS (SELECT value, CAST(row_number() OVER (ORDER BY value) - 1 AS INTEGER) AS code
             FROM (SELECT DISTINCT coalesce(category, 'unknown') AS value FROM products UNION SELECT 'unknown')),
 brand_enc AS (SELECT value, CAST(row_number() OVER (ORDER BY value) - 1 AS INTEGER) AS code
@@ -107,19 +108,23 @@ def _round_features(df, extra=()):
     return df.select("user_id", "item_id", *cols, *extra)
 
 
-def _cands(spark, d):
-    return C.candidates(X.rank_events(spark, d), ranker_products(spark, d), X.image_emb(spark, d),
-                        top_n=10, recency_days=7)
+def _inputs(spark, d):
+    """Events, prepared products and vectors; products are derived from the log once and written."""
+    return X.rank_events(spark, d), cut_lineage(ranker_products(spark, d)), X.image_emb(spark, d)
+
+
+def _cands(ev, prods, emb):
+    return cut_lineage(C.candidates(ev, prods, emb, top_n=100, recency_days=7))
 
 
 def _features(spark, d):
-    return FE.build_features(_cands(spark, d), X.rank_events(spark, d), ranker_products(spark, d),
-                             X.image_emb(spark, d), recency_days=7)
+    ev, prods, emb = _inputs(spark, d)
+    return FE.build_features(_cands(ev, prods, emb), ev, prods, emb, recency_days=7)
 
 
 def _training(spark, d):
-    return FE.training_set(_cands(spark, d), X.rank_events(spark, d), ranker_products(spark, d),
-                           X.image_emb(spark, d), recency_days=7)
+    ev, prods, emb = _inputs(spark, d)
+    return FE.training_set(_cands(ev, prods, emb), ev, prods, emb, recency_days=7)
 
 
 @register("features", with_views(VIEWS, _feature_select_sql(" FROM feats"), FEATURE_CTES))
@@ -177,10 +182,9 @@ SELECT t.user_id, t.rank, t.item_id, coalesce(p.product_name, t.item_id) AS prod
        round(t.ranking_score, 4) AS ranking_score
 FROM top t LEFT JOIN products p ON p.item_id = t.item_id""", RECO_CTES))
 def q_recommend(spark, d):
-    cands = _cands(spark, d)
-    feats = FE.build_features(cands, X.rank_events(spark, d), ranker_products(spark, d), X.image_emb(spark, d),
-                              recency_days=7)
-    out = R.recommend(feats, cands, ranker_products(spark, d), top_k=10)
+    ev, prods, emb = _inputs(spark, d)
+    cands = _cands(ev, prods, emb)
+    out = R.recommend(FE.build_features(cands, ev, prods, emb, recency_days=7), cands, prods, top_k=10)
     return out.withColumn("rank", F.col("rank").cast("bigint"))
 
 

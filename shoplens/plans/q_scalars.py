@@ -10,7 +10,7 @@ from shoplens.sources import fixtures as X
 from shoplens.sources.fixtures import with_views
 
 ASSET_BASE = "https://assets.shop.test/img"
-OLD_HOST = r"old-bucket(?:\.s3(?:[.-][a-z0-9-]+)?\.amazonaws\.com|\.s3\.amazonaws\.com)"
+OLD_HOST = r"old-assets(?:-[a-z0-9]+)?\.example\.org"
 
 # search requests derived from the catalog: one per part
 REQ_SPARK = lambda p: F.concat(
@@ -55,6 +55,50 @@ def q_catalog_category(spark, d):
                     S.catalog_category("raw_cat", "product_type").alias("catalog_category"))
 
 
+def _label_case(value: str, table, other: str, contains: bool = False) -> str:
+    def hit(texts):
+        if contains:
+            return " OR ".join(f"contains({value}, '{t}')" for t in texts)
+        return f"{value} IN ({', '.join(repr(t) for t in texts)})"
+    return f"(CASE {' '.join(f'WHEN {hit(ts)} THEN {label!r}' for label, ts in table)} ELSE {other} END)"
+
+
+def _app_sql() -> str:
+    """Every part with its name doubled into the app's columns: types by name, by sub category and by category."""
+    title = ("list_aggregate(list_transform(string_split(lower({x}), ''), lambda c, i: CASE WHEN i = 1 OR NOT "
+             "regexp_matches(string_split(lower({x}), '')[i - 1], '\\p{{L}}') THEN upper(c) ELSE c END), 'string_agg', '')")
+    by_name = _label_case("lower(name)", S.APP_TYPE_KEYWORDS, "NULL", contains=True)
+    narrow = f"CASE WHEN lower(category) NOT IN ({', '.join(map(repr, S.APP_BROAD_CATEGORIES))}) THEN category END"
+    category = _label_case("lower(category)", S.APP_CATEGORY_LABELS, "category")
+    group = _label_case("t", S.APP_CATEGORY_GROUPS, "CASE WHEN t <> 'Unknown' THEN 'Apparel' ELSE 'Unknown' END")
+    return f"""
+SELECT item_id, t AS product_type, coalesce(CASE WHEN category IS NULL THEN NULL ELSE {category} END, {group}) AS catalog_category
+FROM (SELECT item_id, category, CASE WHEN v IS NULL THEN 'Unknown' ELSE {_label_case('lower(v)', S.APP_TYPE_LABELS, title.format(x='v'))} END AS t
+      FROM (SELECT item_id, category, coalesce(sub_category, {narrow}, {by_name}) AS v FROM ({APP_SQL})))"""
+
+
+# parts in the app's columns: by size a broad category, none, or the part's own type; some with a sub category
+APP_SQL = """
+SELECT p_partkey AS item_id, p_name || ' ' || CASE p_size % 4 WHEN 0 THEN 'Ring' WHEN 1 THEN 'track pant' WHEN 2 THEN 'T-Shirt bra' ELSE 'x' END AS name,
+       CASE p_size % 3 WHEN 0 THEN 'Footwear' WHEN 1 THEN p_type END AS category,
+       CASE WHEN p_size % 5 = 0 THEN lower(p_brand) || '-top wear' WHEN p_size % 5 = 1 THEN 'Sports Shoes' END AS sub_category FROM part"""
+
+
+@register("app_catalog_labels", _app_sql())
+def q_app_catalog_labels(spark, d):
+    """H2 / H3: the app's 36 name rules, canonical type labels and category labels."""
+    size = F.col("p_size")
+    p = X.table(spark, d, "part").select(
+        F.col("p_partkey").alias("item_id"),
+        F.concat(F.col("p_name"), F.lit(" "), F.when(size % 4 == 0, F.lit("Ring")).when(size % 4 == 1, F.lit("track pant"))
+                 .when(size % 4 == 2, F.lit("T-Shirt bra")).otherwise(F.lit("x"))).alias("name"),
+        F.when(size % 3 == 0, F.lit("Footwear")).when(size % 3 == 1, F.col("p_type")).alias("category"),
+        F.when(size % 5 == 0, F.concat(F.lower("p_brand"), F.lit("-top wear"))).when(size % 5 == 1, F.lit("Sports Shoes")).alias("sub_category"))
+    p = p.withColumn("product_type", S.app_product_type(F.lit(None), "sub_category", "category", "name"))
+    return p.select("item_id", "product_type", S.app_catalog_category(
+        F.lit(None), "category", F.lit(None), "product_type").alias("catalog_category"))
+
+
 @register("normalize_search_text", f"""
 SELECT p_partkey AS request_id, {S.normalize_search_text_sql(REQ_SQL)} AS normalized,
        {S.parse_budget_sql(REQ_SQL)} AS budget FROM part""")
@@ -67,7 +111,7 @@ def q_normalize(spark, d):
 
 IMG_RAW_SQL = ("CASE p_size % 6 WHEN 0 THEN NULL WHEN 1 THEN 'nan' WHEN 2 THEN '//cdn.shop.test/a/' || p_partkey || '.jpg' "
                "WHEN 3 THEN CAST(p_partkey AS VARCHAR) WHEN 4 THEN 'imgs/sub/' || p_partkey || '.png' "
-               "ELSE 'http://old-bucket.s3.amazonaws.com/k/' || p_partkey || '.jpg' END")
+               "ELSE 'http://old-assets.example.org/k/' || p_partkey || '.jpg' END")
 
 
 def _img_raw():
@@ -75,7 +119,7 @@ def _img_raw():
     return (F.when(s == 0, F.lit(None)).when(s == 1, F.lit("nan"))
             .when(s == 2, F.concat(F.lit("//cdn.shop.test/a/"), k, F.lit(".jpg")))
             .when(s == 3, k).when(s == 4, F.concat(F.lit("imgs/sub/"), k, F.lit(".png")))
-            .otherwise(F.concat(F.lit("http://old-bucket.s3.amazonaws.com/k/"), k, F.lit(".jpg"))))
+            .otherwise(F.concat(F.lit("http://old-assets.example.org/k/"), k, F.lit(".jpg"))))
 
 
 @register("normalize_image_url", f"""

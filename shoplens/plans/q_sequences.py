@@ -145,7 +145,7 @@ FROM (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY ts, event_id
                      THEN 1 ELSE 0 END AS brk FROM ev))
 GROUP BY user_id, sid"""))
 def q_activity_sessions(spark, d):
-    s = Q.activity_sessions(X.events(spark, d), "30 minutes")
+    s = Q.activity_sessions(X.events(spark, d), 1800)
     return s.select("user_id", ts_text("session_start").alias("session_start"),
                     ts_text("session_end").alias("session_end"), "n_events")
 

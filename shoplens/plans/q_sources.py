@@ -52,7 +52,7 @@ def q_embeddings_parallel(spark, d):
     chunks = e.groupBy("label").agg(
         F.sort_array(F.collect_list(F.struct("vec_id", "embedding"))).alias("_s")).select(
         F.transform("_s", lambda s: s["vec_id"]).alias("product_ids"),
-        F.slice(F.transform("_s", lambda s: s["embedding"]), 2, 1 << 20).alias("vectors"))
+        F.expr("slice(transform(_s, s -> s.embedding), 2, size(_s))").alias("vectors"))
     return SC.embeddings_from_parallel(chunks).select("item_id", r6(F.col("embedding")[0]).alias("e0"))
 
 
@@ -105,13 +105,14 @@ def _listing(spark, d):
 SELECT coalesce(TRY_CAST(base AS BIGINT), ordinal) AS id,
        CASE WHEN TRY_CAST(base AS BIGINT) IS NOT NULL THEN coalesce(nullif(p.product_name, ''), base) ELSE base END AS name,
        '{ASSET_BASE}' || key AS image_url,
-       CASE WHEN TRY_CAST(base AS BIGINT) IS NOT NULL THEN p.price END AS price
+       p.price, p.category AS master_category, NULL::VARCHAR AS sub_category, p.category AS article_type, p.gender
 FROM (SELECT key, row_number() OVER (ORDER BY key) AS ordinal,
              regexp_replace(split_part(key, '/', -1), '\\.[^.]*$', '') AS base FROM ({LISTING_SQL})) l
 LEFT JOIN products p ON CAST(p.item_id AS BIGINT) = TRY_CAST(l.base AS BIGINT)
 WHERE regexp_matches(key, '\\.(jpg|png|jpeg)$')"""))
 def q_asset_catalog(spark, d):
-    return SC.asset_catalog(_listing(spark, d), X.products(spark, d), ASSET_BASE)
+    p = X.products(spark, d).withColumn("master_category", F.col("category")).withColumn("article_type", F.col("category"))
+    return SC.asset_catalog(_listing(spark, d), p, ASSET_BASE)
 
 
 @register("upsert_users", """

@@ -3,10 +3,13 @@ completion (availableNow) and returns the sink table (K2 stream, K6-K9, A8)."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from shoplens.plans.base import register, ts_text
 from shoplens.plans.q_online import DELTA_SQL
+from shoplens.session import ensure_checkpoint_dir
 from shoplens.sources import fixtures as X
 from shoplens.sources.fixtures import with_views
 from shoplens.streaming import live as L
@@ -44,10 +47,17 @@ def q_live_sessions(spark, d):
                     ts_text("session_end").alias("session_end"), "n_events")
 
 
-@register("dedup_late", with_views(["ev"], "SELECT count(*) AS n_events, count(DISTINCT event_id) AS n_ids FROM ev"))
+@register("dedup_late", with_views(["ev"], """
+SELECT event_id, user_id, event_type, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts FROM ev"""))
 def q_dedup_late(spark, d):
-    r = L.run_available(L.dedup_late(event_stream(spark, d), "1 hour"), "dedup")
-    return r.agg(F.count(F.lit(1)).alias("n_events"), F.count_distinct("event_id").alias("n_ids"))
+    """All events, half of them twice; then, to the restarted stream, all of them again, late or known by then."""
+    raw = X.table(spark, d, "events")
+    folder = f"{ensure_checkpoint_dir(spark)}/dedup-{uuid.uuid4().hex[:12]}"
+    for more in (raw.unionByName(raw.where(F.col("event_id") % 2 == 0)), raw):
+        more.write.mode("append").parquet(f"{folder}/input")
+        stream = L.dedup_late(X.events_from(L.read_event_files(spark, f"{folder}/input")), "1 hour")
+        r = L.run_available(stream, "dedup", folder=f"{folder}/stream")
+    return r.select("event_id", "user_id", "event_type", ts_text("ts").alias("ts"))
 
 
 @register("live_popularity", with_views(["ev"], """
@@ -61,8 +71,5 @@ def q_live_popularity(spark, d):
 SELECT item_a, item_b, weight, strftime(last_updated, '%Y-%m-%d %H:%M:%S') AS last_updated FROM pairs""",
                                        DELTA_SQL))
 def q_stream_co_cart(spark, d):
-    """K1/K2 as a stream: pair increments appended batch by batch, then aggregated."""
-    deltas = L.run_co_cart(event_stream(spark, d), "cocart")
-    w = deltas.groupBy("item_a", "item_b").agg(F.count(F.lit(1)).cast("double").alias("weight"),
-                                               F.max("ts").alias("last_updated"))
-    return w.select("item_a", "item_b", "weight", ts_text("last_updated").alias("last_updated"))
+    """K1/K2 as a stream: lists a user and weights a pair, kept up batch by batch."""
+    return L.run_co_cart(event_stream(spark, d), "cocart").select("item_a", "item_b", "weight", ts_text("last_updated").alias("last_updated"))

@@ -99,12 +99,9 @@ pstats2 AS (SELECT p.item_id, p.in_stock, coalesce(c.n, 0) AS n FROM products p
 pop AS (SELECT item_id, in_stock, CASE WHEN (SELECT max(n) FROM pstats2) > 0 THEN n / (SELECT max(n) FROM pstats2)
                                   ELSE 0.0 END AS popularity_score FROM pstats2),
 purch AS (SELECT DISTINCT user_id, item_id FROM win WHERE event_type = 'purchase'),
-scored AS (SELECT q.user_id, i.item_id, list_dot_product(q.v, i.embedding) AS s,
-                  row_number() OVER (PARTITION BY q.user_id ORDER BY list_dot_product(q.v, i.embedding) DESC, i.item_id) AS r
-           FROM qv q, items i),
+scored AS (SELECT q.user_id, i.item_id, list_dot_product(q.v, i.embedding) AS s FROM qv q, items i),
 warm AS (SELECT s.user_id, s.item_id, s.s FROM scored s LEFT JOIN products p ON p.item_id = s.item_id
-         WHERE s.r <= least({fetch}, (SELECT count(*) FROM items))
-           AND NOT EXISTS (SELECT 1 FROM purch x WHERE x.user_id = s.user_id AND x.item_id = s.item_id)
+         WHERE NOT EXISTS (SELECT 1 FROM purch x WHERE x.user_id = s.user_id AND x.item_id = s.item_id)
            AND coalesce(p.in_stock, true)),
 warm_r AS (SELECT user_id, item_id, s AS similarity_score, false AS is_cold_start,
                   row_number() OVER (PARTITION BY user_id ORDER BY s DESC, item_id) AS rank FROM warm),
@@ -117,7 +114,7 @@ cold AS (SELECT u.user_id, p.item_id, 0.0 AS similarity_score, true AS is_cold_s
 
 @register("candidates", with_views(["rev", "products", "image_emb"], """
 SELECT user_id, item_id, round(similarity_score, 6) AS similarity_score, is_cold_start, rank
-FROM (SELECT * FROM warm_r UNION ALL SELECT * FROM cold) WHERE rank <= 10""", CAND_SQL.replace("{fetch}", "30")))
+FROM (SELECT * FROM warm_r UNION ALL SELECT * FROM cold) WHERE rank <= 10""", CAND_SQL))
 def q_candidates(spark, d):
     c = C.candidates(X.rank_events(spark, d), ranker_products(spark, d), X.image_emb(spark, d),
                      top_n=10, recency_days=7)
@@ -126,7 +123,7 @@ def q_candidates(spark, d):
 
 
 @register("cold_start", with_views(["rev", "products", "image_emb"], """
-SELECT user_id, item_id, rank FROM cold WHERE rank <= 10""", CAND_SQL.replace("{fetch}", "30").replace(
+SELECT user_id, item_id, rank FROM cold WHERE rank <= 10""", CAND_SQL.replace(
     "cold_u AS (SELECT DISTINCT user_id FROM rev WHERE",
     "cold_u AS (SELECT DISTINCT user_id FROM (SELECT user_id FROM rev UNION SELECT CAST(c_custkey AS VARCHAR) "
     "FROM customer) WHERE")))
@@ -185,7 +182,7 @@ def _stats_row(p, i, t):
 @register("unseen_items", with_views(["rev", "products", "image_emb"], """
 SELECT c.user_id, c.item_id FROM (SELECT * FROM warm_r UNION ALL SELECT * FROM cold) c
 WHERE c.rank <= 10 AND NOT EXISTS (SELECT 1 FROM rev e WHERE e.user_id = c.user_id AND e.item_id = c.item_id)""",
-                                  CAND_SQL.replace("{fetch}", "30")))
+                                  CAND_SQL))
 def q_unseen_items(spark, d):
     """Candidates minus everything the user has seen (anti join, any history size)."""
     ev = X.rank_events(spark, d)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -116,6 +117,37 @@ def pick_similarity_table(candidates: Sequence[DataFrame]) -> DataFrame | None:
     return None
 
 
+SIMILARITY_FILES = ["top5_similar_products_faiss_filtered_simple.csv", "top5_similar_products_faiss_filtered.csv",
+                    "top5_similar_products.csv"]  # fixed names, looked for first
+
+
+def scan_similarity_table(spark: SparkSession, folders: Sequence[str]) -> DataFrame | None:
+    """First CSV or Parquet table of the folders with rows and the columns of a similarity table.
+
+    Folders in order; in a folder the fixed names come first, then all others by
+    name. Folders that aren't there are passed over. Paths are listed and read
+    by Spark, so they may lie in any store it knows.
+    """
+    for folder in folders:
+        try:
+            files = spark.read.format("binaryFile").load(folder).select("path").collect()  # a listing: no file is read
+        except AnalysisException:
+            continue
+        names = sorted(r["path"].rsplit("/", 1)[-1] for r in files)
+        names = [n for n in SIMILARITY_FILES if n in names] + [n for n in names if n not in SIMILARITY_FILES]
+        for name in names:
+            at = f"{folder.rstrip('/')}/{name}"
+            if name.lower().endswith(".csv"):
+                df = spark.read.option("header", True).csv(at)
+            elif name.lower().endswith(".parquet"):
+                df = spark.read.parquet(at)
+            else:
+                continue
+            if pick_similarity_table([df]) is not None and not df.isEmpty():
+                return df.withColumn("similarity_score", F.col("similarity_score").cast("double"))
+    return None
+
+
 # A6 -------------------------------------------------------------------------
 def upsert_products(current: DataFrame, incoming: DataFrame, price: float = 1000.0) -> DataFrame:
     """Import rows by id, last row wins; name <- display name -> article type ->
@@ -135,23 +167,27 @@ def upsert_products(current: DataFrame, incoming: DataFrame, price: float = 1000
 
 
 # A13 ------------------------------------------------------------------------
+ASSET_COLUMNS = ["price", "master_category", "sub_category", "article_type", "gender"]
+
+
 def asset_catalog(listing: DataFrame, products: DataFrame, asset_base: str) -> DataFrame:
     """Image keys (.jpg/.png/.jpeg) -> product rows; numeric basenames join the
-    catalog, other names take their 1-based position in the listing as id."""
+    catalog, other names take their 1-based position in the listing as id.
+    Columns of ASSET_COLUMNS that the catalog lacks are null."""
     numbered = global_row_number(listing.select("key"), [F.col("key")], "ordinal")
     imgs = numbered.where(F.col("key").rlike(r"\.(jpg|png|jpeg)$"))
     base = F.regexp_replace(F.element_at(F.split("key", "/"), -1), r"\.[^.]*$", "")
     num = base.try_cast("long")
     imgs = imgs.select("key", "ordinal", base.alias("base_name"), num.alias("_num"))
-    p = products.select(F.col("item_id").cast("long").alias("_num"), F.col("product_name").alias("_pname"),
-                        F.col("price"))
+    p = products.select(F.col("item_id").try_cast("long").alias("_num"), F.col("product_name").alias("_pname"),
+                        *[F.col(c) if c in products.columns else F.lit(None).cast("string").alias(c) for c in ASSET_COLUMNS])
     j = imgs.join(p, "_num", "left")
     return j.select(
         F.coalesce(F.col("_num"), F.col("ordinal")).alias("id"),
         F.when(F.col("_num").isNotNull(), F.coalesce(F.nullif(F.col("_pname"), F.lit("")), F.col("base_name")))
         .otherwise(F.col("base_name")).alias("name"),
         F.concat(F.lit(asset_base.rstrip("/") + "/"), F.col("key")).alias("image_url"),
-        F.when(F.col("_num").isNotNull(), F.col("price")).alias("price"))
+        *[F.when(F.col("_num").isNotNull(), F.col(c)).alias(c) for c in ASSET_COLUMNS])
 
 
 # A14 ------------------------------------------------------------------------
