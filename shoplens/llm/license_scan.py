@@ -57,11 +57,15 @@ def full_texts() -> tuple[tuple[str, str], ...]:
     return tuple((f.stem, f.read_text()) for f in sorted((Path(__file__).parent / "licenses").glob("*.txt")))
 
 
+_WORD = re.compile("[a-z0-9]+")
+
+
 def possible(docs: DataFrame, needed: list[str], longs: list[list[str]], percent: int) -> DataFrame:
-    """(doc_id, text) of the documents that can match.
+    """(row, doc_id, text) of the documents that can match; row is a number of the document's own.
 
-    They hold the words of a needed bigram one after the other, or of one of
-    ``longs`` so many words that the bigrams left without theirs are few enough.
+    They hold the words of a needed bigram one after the other, or are long
+    enough for one of ``longs`` (its size bound) and hold so many of its words
+    that the bigrams left without theirs are few enough.
     """
     words = [(a, b, re.compile(f"{a}[^a-z0-9]+{b}")) for a, b in (x.split(" ") for x in needed)]
     plans = []
@@ -72,12 +76,19 @@ def possible(docs: DataFrame, needed: list[str], longs: list[list[str]], percent
             left -= own
             if own:
                 plan.append((w, len(own)))  # each bigram counts for its rarer (longer) word only
-        plans.append((plan, len(grams) - -(-percent * len(grams) // (200 - percent))))
-
-    def whole(t: str) -> bool:
-        for plan, spare in plans:
+        need = -(-percent * len(grams) // (200 - percent))
+        plans.append((plan, len(grams) - need, need))
+
+    def can_match(t: str) -> bool:
+        found = _WORD.findall(t)
+        own = set(found)
+        if any(a in own and b in own and p.search(t) for a, b, p in words):
+            return True
+        for plan, spare, need in plans:
+            if len(found) <= need:  # n words have at most n - 1 bigrams
+                continue
             for w, n in plan:
-                if w not in t:
+                if w not in own:
                     spare -= n
                     if spare < 0:
                         break
@@ -86,12 +97,16 @@ def possible(docs: DataFrame, needed: list[str], longs: list[list[str]], percent
         return False
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+        number = TaskContext.get().partitionId() << 40
         for batch in batches:
-            low = [(t or "").lower() for t in batch.column("text").to_pylist()]
-            yield batch.filter(pa.array([any(a in t and b in t and p.search(t) for a, b, p in words) or whole(t) for t in low], pa.bool_()))
+            keep = pa.array([can_match((t or "").lower()) for t in batch.column("text").to_pylist()], pa.bool_())
+            own = pa.array(range(number, number + batch.num_rows), pa.int64())
+            number += batch.num_rows
+            yield pa.RecordBatch.from_arrays([own, *batch.columns], names=["row", "doc_id", "text"]).filter(keep)
 
-    texts = docs.select("doc_id", "text")
-    return texts.mapInArrow(rows, texts.schema)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(rows, f"row long, doc_id {kind}, text string")
 
 
 def best_windows(grams: list[str], template: frozenset[str], percent: int, taken: list[tuple[int, int]]) -> list[tuple[int, int, float]]:
@@ -160,7 +175,7 @@ def window_hits(text: str, short: list[tuple[str, frozenset[str]]], longs: list[
 
 
 def license_hits(docs: DataFrame, templates=TEMPLATES, percent: int = PERCENT, full=None) -> DataFrame:
-    """doc_id, unit, license, dice of every match.
+    """row, doc_id, unit, license, dice of every match; row tells documents with equal or no ids apart.
 
     A unit is a line (its number from 1), the whole text (0) or a window of the
     whole text's words (minus the number of the line on which it starts). Lines
@@ -176,49 +191,54 @@ def license_hits(docs: DataFrame, templates=TEMPLATES, percent: int = PERCENT, f
     needed = list(dict.fromkeys(b for g in grams.values() for b in necessary(g, percent)))
     long_grams = [(name, template_bigrams(text)) for name, text in (full_texts() if full is None else full)]
     texts = cut_lineage(possible(docs, needed, [g for _, g in long_grams], percent)
-                        .select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+                        .select("row", "doc_id", F.coalesce("text", F.lit("")).alias("text")))
     short, longs = ([(n, frozenset(g)) for n, g in x] for x in (grams.items(), long_grams))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts_ = (batch.column(c).to_pylist() for c in ("doc_id", "text"))
-            out = [(i, *hit) for i, t in zip(ids, texts_) for hit in window_hits(t, short, longs, percent)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[k] for r in out], t) for k, t in enumerate((batch.schema.field("doc_id").type, pa.int32(), pa.string(), pa.float64()))],
-                ["doc_id", "unit", "license", "dice"])
+            columns = (batch.column(c).to_pylist() for c in ("row", "doc_id", "text"))
+            out = [(r, i, *hit) for r, i, t in zip(*columns) for hit in window_hits(t, short, longs, percent)]
+            kinds = (pa.int64(), batch.schema.field("doc_id").type, pa.int32(), pa.string(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)],
+                                             ["row", "doc_id", "unit", "license", "dice"])
 
     id_type = texts.schema["doc_id"].dataType.simpleString()
-    inside = texts.mapInArrow(windows, f"doc_id {id_type}, unit int, license string, dice double")
-    units = texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("unit", "raw")) \
-        .select("doc_id", (F.col("unit") + 1).alias("unit"), "raw") \
-        .union(texts.where(F.contains("text", F.lit("\n"))).select("doc_id", F.lit(0).alias("unit"), "text"))
+    inside = texts.mapInArrow(windows, f"row long, doc_id {id_type}, unit int, license string, dice double")
+    units = texts.select("row", "doc_id", F.posexplode(F.split("text", "\n")).alias("unit", "raw")) \
+        .select("row", "doc_id", (F.col("unit") + 1).alias("unit"), "raw") \
+        .union(texts.where(F.contains("text", F.lit("\n"))).select("row", "doc_id", F.lit(0).alias("unit"), "text"))
     norm = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower("raw"), "[^a-z0-9]+", " ")), F.lit(" "))
-    units = units.select("doc_id", "unit", norm.alias("norm"))
+    units = units.select("row", "doc_id", "unit", norm.alias("norm"))
     some: Column = F.lit(False)
     for b in needed:
         some = some | F.contains("norm", F.lit(f" {b} "))
     words = F.split(F.trim("norm"), " ")
-    units = units.where(some).select("doc_id", "unit", words.alias("w")).select(
-        "doc_id", "unit", F.array_distinct(F.zip_with(
+    units = units.where(some).select("row", "doc_id", "unit", words.alias("w")).select(
+        "row", "doc_id", "unit", F.array_distinct(F.zip_with(
             F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w")),
             lambda a, b: F.concat_ws(" ", a, b))).alias("grams"))
     table = F.array(*[F.struct(F.lit(n).alias("license"), F.array(*map(F.lit, g)).alias("t")) for n, g in grams.items()])
-    pairs = units.select("doc_id", "unit", "grams", F.explode(table).alias("t")) \
-        .select("doc_id", "unit", "grams", "t.license", "t.t")
+    pairs = units.select("row", "doc_id", "unit", "grams", F.explode(table).alias("t")) \
+        .select("row", "doc_id", "unit", "grams", "t.license", "t.t")
     a, b = F.size("grams"), F.size("t")
     bounded = pairs.where((a * (200 - percent) >= b * percent) & (b * (200 - percent) >= a * percent))
     scored = bounded.withColumn("shared", F.size(F.array_intersect("grams", "t")))
     return scored.where(200 * F.col("shared") >= percent * (a + b)).select(
-        "doc_id", "unit", "license", (2 * F.col("shared") / (a + b)).alias("dice")).union(inside)
+        "row", "doc_id", "unit", "license", (2 * F.col("shared") / (a + b)).alias("dice")).union(inside)
 
 
 def license_scan(docs: DataFrame) -> DataFrame:
-    """doc_id, n_lines, licenses, best of each document with a match (see :func:`license_hits`)."""
+    """doc_id, n_units (matching units), licenses (comma-joined), best_dice of each document with a match.
+
+    One row for each row of ``docs`` that matches, repeated rows and null ids
+    included; for units, nulls, empties and ties see :func:`license_hits`.
+    Other columns are ignored; an empty table gives an empty result.
+    """
     hits = license_hits(docs)
-    return hits.groupBy("doc_id").agg(
+    return hits.groupBy("row", "doc_id").agg(
         F.countDistinct("unit").alias("n_units"),
         F.array_join(F.array_sort(F.collect_set("license")), ",").alias("licenses"),
-        F.round(F.max("dice"), 6).alias("best_dice"))
+        F.round(F.max("dice"), 6).alias("best_dice")).drop("row")
 
 
 def oracle(templates=TEMPLATES, percent: int = PERCENT) -> str:

@@ -40,3 +40,49 @@ def test_best_window_equals_all_windows():
                     best = max(best, 2 * len(own & template) / (len(own) + len(template)))
         got = L.best_windows(grams, template, 60, [])
         assert (got[0][2] if got else 0) == best
+
+
+def plain_hits(text, templates, longs, percent):
+    """Every line, the whole text, and every window of words, without any pruning: what matches at all."""
+    def score(words, t):
+        own = {f"{a} {b}" for a, b in zip(words, words[1:])}
+        return 2 * len(own & t) / (len(own) + len(t)) if own else 0
+
+    def words_of(x):
+        return L.re.findall("[a-z0-9]+", x.lower())
+
+    found = set()
+    for name, t in [*templates.items(), *longs.items()]:
+        units = [words_of(x) for x in text.split("\n")] + [words_of(text)] if name in templates else []
+        all_words = words_of(text)
+        units += [all_words[i:j] for i in range(len(all_words)) for j in range(i + 2, len(all_words) + 1)]
+        if any(score(u, t) * 100 >= percent for u in units):
+            found.add(name)
+    return found
+
+
+def test_scan_equals_all_units_and_windows(spark):
+    rng = random.Random(3)
+    vocab = "red fox jumps over a lazy dog while the cat sleeps in warm sun today".split()
+    templates = (("t1", "red fox jumps over a lazy dog"), ("t2", "the cat sleeps in warm sun"))
+    longs = (("f1", "over a lazy dog while the cat sleeps today in red sun"),)
+    rows = []
+    for i in range(60):
+        parts = [rng.choice([t for _, t in (*templates, *longs)]).split() if rng.random() < .3 else rng.choices(vocab, k=4) for _ in range(4)]
+        words = [w for p in parts for w in p if rng.random() > .05]
+        rows.append((i, " ".join(w + rng.choice(("", "", ",", "\n")) for w in words)))
+    grams = {n: frozenset(L.template_bigrams(t)) for n, t in templates}
+    long_grams = {n: frozenset(L.template_bigrams(t)) for n, t in longs}
+    got = {}
+    for r in L.license_hits(docs_of(spark, rows), templates, 80, longs).collect():
+        got.setdefault(r["doc_id"], set()).add(r["license"])
+    assert got == {i: found for i, t in rows if (found := plain_hits(t, grams, long_grams, 80))}
+
+
+def test_repeated_and_null_ids_are_documents_of_their_own(spark):
+    mit, apache = "Released under the MIT License.", "Licensed under the Apache License, Version 2.0."
+    rows = [(1, mit), (None, mit), (None, apache), (1, apache), (1, mit), (2, "x"), (3, None)]
+    got = sorted(((r["doc_id"], r["licenses"], r["n_units"]) for r in L.license_scan(docs_of(spark, rows)).collect()), key=str)
+    assert got == sorted([(1, "mit-line", 1), (1, "mit-line", 1), (1, "apache-2.0", 1), (None, "mit-line", 1), (None, "apache-2.0", 1)], key=str)
+    extra = docs_of(spark, rows).selectExpr("doc_id", "text", "1 as row", "'x' as unit", "'y' as license")
+    assert L.license_scan(extra).count() == 5
