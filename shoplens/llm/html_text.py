@@ -6,8 +6,9 @@ matching of nodes of equal tags). A reference node whose own text is the same
 on nearly all pages that have it is template; the others, and what the
 reference lacks, are slots. A page's text is the smallest region that holds
 its slots, without template nodes and without parts that are no article by
-their tag or class, or their ancestors'. Hosts with few pages have no votes:
-there the tags decide (see :func:`by_tags`).
+their tag or class, or their ancestors'. Two distinct pages of a host are
+enough, but below five nodes inside an article are never template; a host with
+one page has no votes: there the tags decide (see :func:`by_tags`).
 """
 
 from __future__ import annotations
@@ -17,11 +18,12 @@ import html
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoplens.llm.common import cut_lineage
+from shoplens.llm.common import written
 from shoplens.llm.url_filter import host_of
 
 # fixed values: element kinds of HTML
@@ -35,33 +37,58 @@ SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",
             "th": ("td", "th"), "option": ("option",)}
 TO_THE_END = frozenset("script style textarea title".split())  # without an end tag these take the rest of the page
 DROP = RAW | frozenset("nav header footer aside form button select menu dialog head object audio video canvas".split())
-NOISE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|sidebar|side-bar|menu|nav\w*|breadcrumbs?|"
-                   r"footer|header|masthead|cookies?|consent|notice|notices|popup|modal|newsletter|subscribe|share|social|"
-                   r"comments?|replies|disqus|related|recommended|widget|pagination|pager|login|signup|search)(?:$|[\s_-])", re.I)
+# words of class and id names of what is no article, and words that may stand beside them in a name
+NOISE = frozenset("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar menu nav "
+                  "navbar navigation breadcrumb breadcrumbs footer header masthead cookie cookies consent notice notices popup "
+                  "modal newsletter subscribe share sharing social comment comments replies disqus related recommended widget "
+                  "pagination pager login signup search".split())
+BESIDE = frozenset("site page main top bottom left right side post article box list section wrapper wrap area bar links link "
+                   "buttons button container inner outer block item items group holder row col panel icons icon form text slot "
+                   "unit global primary secondary sticky fixed floating bottom mobile desktop".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
-_TAG = re.compile(r"""<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.S)
-_ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_OPEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)|<[!?][^>]*>", re.S)
+_ATTR = re.compile(r"""[\s/]*(?:(>)|([^\s/>][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?)""")
 PAGE = frozenset("#root html body".split())
 HOLDS = {"main": 1, "h1": 2, "article": 4}
-SAME_SHARE, LEAST_PAGES = 0.9, 5
+SAME_SHARE, LEAST_PAGES, SURE_PAGES = 0.9, 2, 5
+
+
+def noisy(names: str) -> bool:
+    """Whether a class or id name says that an element is no article: ``cookie-notice``, but not ``has-sidebar``."""
+    for name in names.lower().split():
+        parts = [p.rstrip("0123456789") for p in re.split("[-_]+", name)]
+        if any(p in NOISE for p in parts) and all(p in NOISE or p in BESIDE or not p for p in parts):
+            return True
+    return False
+
+
+def attributes(source: str, pos: int) -> tuple[dict[str, str], bool, int]:
+    """Attributes by name (the first of a name counts), whether the tag closes itself, and where it ends."""
+    found: dict[str, str] = {}
+    while True:
+        m = _ATTR.match(source, pos)
+        if m is None:  # the page ends inside the tag
+            return found, False, len(source)
+        pos = m.end()
+        if m[1]:
+            return found, source[pos - 2] == "/", pos
+        found.setdefault(m[2].lower(), m[3] or m[4] or m[5] or "")
 
 
 class Node:
-    __slots__ = ("tag", "label", "noise", "parts", "kids", "at", "shape", "size", "holds")
+    __slots__ = ("tag", "label", "noise", "guess", "parts", "kids", "at", "shape", "size", "holds", "mass")
 
-    def __init__(self, tag: str, attrs: str = "") -> None:
+    def __init__(self, tag: str, attrs: dict[str, str] | None = None) -> None:
         self.tag, self.parts, self.kids, self.at = tag, [], [], -1
-        self.noise = tag in DROP
+        self.noise, self.guess = tag in DROP, tag == "form"  # a guess can be overruled by what the element holds
         self.label = tag
         if attrs:
-            found = {}
-            for m in _ATTR.finditer(attrs):
-                found[m[1].lower()] = (m[2] or "").strip("\"'")
-            names = f"{found.get('class', '')} {found.get('id', '')}"
-            if found:
-                self.noise = self.noise or bool(NOISE.search(names)) or found.get("role", "").lower() in ROLES \
-                    or "hidden" in found or found.get("aria-hidden") == "true"
-                self.label = f"{tag}.{found.get('class', '')}"
+            if "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role", "").lower() in ROLES:
+                self.noise, self.guess = True, tag not in DROP and "hidden" not in attrs
+            elif not self.noise and tag not in INLINE and noisy(f"{attrs.get('class', '')} {attrs.get('id', '')}"):
+                self.noise = self.guess = True
+            if "class" in attrs:
+                self.label = f"{tag}.{attrs['class']}"
 
     def own_text(self) -> str:
         return " ".join(" ".join(p for p in self.parts if isinstance(p, str)).split())
@@ -70,16 +97,18 @@ class Node:
 def raw_ends(source: str, tag: str) -> dict[int, int]:
     """Where the elements ``tag`` end, by where their start tags end; elements without an end tag are left out."""
     marks = re.compile(rf"""<!--.*?(?:-->|\Z)|<(script|style|textarea|title)(?=[\s/>])[^>]*>.*?(?:</\1[^>]*>|\Z)|"""
-                       rf"""<(/?){re.escape(tag)}(?=[\s/>])((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S | re.I)
-    out, open_ = {}, []
-    for m in marks.finditer(source):
-        if m[3] is None:
+                       rf"""<(/?){re.escape(tag)}(?=[\s/>])""", re.S | re.I)
+    out, open_, pos = {}, [], 0
+    while (m := marks.search(source, pos)) is not None:
+        pos = m.end()
+        if m[2] is None:
             continue
+        _, closed, pos = attributes(source, pos)
         if not m[2]:
-            if not m[3].endswith("/"):
-                open_.append(m.end())
+            if not closed:
+                open_.append(pos)
         elif open_:
-            out[open_.pop()] = m.end()
+            out[open_.pop()] = pos
     return out
 
 
@@ -99,7 +128,7 @@ def parse(source: str) -> Node:
             stack[-1].parts.append(html.unescape(piece) if "&" in piece else piece)
 
     while pos < n:
-        m = _TAG.search(source, pos)
+        m = _OPEN.search(source, pos)
         if m is None:
             text(source[pos:])
             break
@@ -108,6 +137,7 @@ def parse(source: str) -> Node:
         tag = m[2].lower() if m[2] else ""
         if not tag:
             continue
+        attrs, closed, pos = attributes(source, pos)
         if m[1]:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
@@ -128,18 +158,18 @@ def parse(source: str) -> Node:
                     break
                 if stack[i].tag in ("ul", "ol", "dl", "table", "tbody", "select"):
                     break
-        node = Node(tag, m[3])
+        node = Node(tag, attrs)
         stack[-1].parts.append(node)
         stack[-1].kids.append(node)
         if tag in TO_THE_END:
             end = re.compile(f"</{tag}[^>]*>", re.I).search(source, pos)
             pos = end.end() if end else n
         elif tag in RAW:
-            if not m[3].endswith("/"):
+            if not closed:
                 if tag not in ends:
                     ends[tag] = raw_ends(source, tag)
                 pos = ends[tag].get(pos, pos)
-        elif tag not in VOID and not m[3].endswith("/"):
+        elif tag not in VOID and not closed:
             stack.append(node)
     return root
 
@@ -150,8 +180,9 @@ _shapes: dict[tuple, int] = {}
 def measure(root: Node) -> list[Node]:
     """Numbers the nodes in page order and gives each its size and shape; iterative, so depth is no limit.
 
-    The page itself is never noise, and an element that is noise by its name
-    alone isn't if it holds a main, or an h1 and an article: it wraps the page.
+    The page itself is never noise. An element that is noise by a guess (its
+    class, id or role, or a form) isn't if it holds a main, or an h1 and an
+    article, or more than four fifths of the page's text: it wraps the page.
     """
     order, stack = [], [root]
     while stack:
@@ -164,12 +195,16 @@ def measure(root: Node) -> list[Node]:
     for node in reversed(order):
         node.size = 1 + sum(k.size for k in node.kids)
         node.holds = HOLDS.get(node.tag, 0)
+        node.mass = 0 if node.noise and not node.guess else \
+            sum(len(p.split()) for p in node.parts if isinstance(p, str)) + sum(k.mass for k in node.kids)
         for k in node.kids:
             node.holds |= k.holds
-        if node.noise and node.tag not in DROP and (node.tag in PAGE or node.holds & 1 or node.holds & 6 == 6):
-            node.noise = False
         key = (node.label, *(k.shape for k in node.kids))
         node.shape = _shapes.setdefault(key, len(_shapes) + 1)
+    for node in order:
+        if node.noise and (node.tag in PAGE or node.guess and (
+                node.holds & 1 or node.holds & 6 == 6 or 5 * node.mass > 4 * root.mass)):
+            node.noise = False
     return order
 
 
@@ -184,42 +219,104 @@ def _split(a: list[Node], b: list[Node]) -> tuple[int, int]:
     return lo, hi
 
 
-def match(a: Node, b: Node, memo: dict | None = None, depth: int = 0) -> int:
-    """Size of the largest matching of two trees (simple tree matching)."""
+_SMALL = 256  # cells up to which a table is filled in plain Python
+
+
+def match(a: Node, b: Node, memo: dict | None = None) -> int:
+    """Size of the largest matching of two trees (simple tree matching); no recursion, so depth is no limit."""
+    memo = {} if memo is None else memo
+    stack, got = [_match(a, b, memo)], None
+    while stack:
+        try:
+            pair = stack[-1].send(got)
+            stack.append(_match(*pair, memo))
+            got = None
+        except StopIteration as done:
+            stack.pop()
+            got = done.value
+    return got
+
+
+def _match(a: Node, b: Node, memo: dict):
+    """Asks for the matches of pairs of kids and returns that of a and b."""
     if a.label != b.label:
         return 0
     if a.shape == b.shape:
         return a.size
-    memo = {} if memo is None else memo
     key = (a.shape, b.shape)
     if key not in memo:
-        memo[key] = 1 + _align(a.kids, b.kids, memo, depth)[0]
+        lo, hi = _split(a.kids, b.kids)
+        x, y = a.kids[lo:len(a.kids) - hi], b.kids[lo:len(b.kids) - hi]
+        worth = {}
+        for p in {k.shape: k for k in x}.values():
+            for q in {k.shape: k for k in y}.values():
+                if p.label == q.label:
+                    worth[p.shape, q.shape] = p.size if p.shape == q.shape else memo.get((p.shape, q.shape)) or (yield p, q)
+        same = sum(k.size for k in a.kids[:lo]) + sum(k.size for k in a.kids[len(a.kids) - hi:])
+        memo[key] = 1 + same + (_best(x, y, worth) if x and y else 0)
     return memo[key]
 
 
-def _align(a: list[Node], b: list[Node], memo: dict, depth: int) -> tuple[int, list[tuple[Node, Node]]]:
+def _worths(x: list[Node], y: list[Node], worth: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A small table of worths by distinct shapes, and the place of each node in it."""
+    rows, cols = ({s: i for i, s in enumerate(dict.fromkeys(k.shape for k in z))} for z in (x, y))
+    table = np.zeros((len(rows), len(cols)), np.int64)
+    for (p, q), w in worth.items():
+        table[rows[p], cols[q]] = w
+    return table, np.array([rows[k.shape] for k in x]), np.array([cols[k.shape] for k in y])
+
+
+def _last_row(table: np.ndarray, xs: np.ndarray, ys: np.ndarray) -> np.ndarray:
+    """Best matchings of all of xs with every beginning of ys: a row of the table is a few numpy steps."""
+    row = np.zeros(len(ys) + 1, np.int64)
+    for i in xs:
+        step = np.maximum(row[1:], row[:-1] + table[i][ys])
+        row[1:] = np.maximum.accumulate(step)
+    return row
+
+
+def _best(x: list[Node], y: list[Node], worth: dict) -> int:
+    if len(x) * len(y) <= _SMALL:
+        row = [0] * (len(y) + 1)
+        for p in x:
+            last, row = row, [0]
+            for j, q in enumerate(y):
+                row.append(max(row[j], last[j + 1], last[j] + worth.get((p.shape, q.shape), 0)))
+        return row[-1]
+    table, xs, ys = _worths(x, y, worth)
+    return int(_last_row(table, xs, ys)[-1])
+
+
+def _pairs(table: np.ndarray, xs: np.ndarray, ys: np.ndarray) -> list[tuple[int, int]]:
+    """One best matching; by halves (Hirschberg), so that memory stays linear in the siblings."""
+    out, stack = [], [(0, len(xs), 0, len(ys))]
+    while stack:
+        lo, hi, left, right = stack.pop()
+        if lo == hi or left == right:
+            continue
+        if hi - lo == 1:
+            got = table[xs[lo]][ys[left:right]]
+            if got.max() > 0:
+                out.append((lo, left + int(got.argmax())))
+            continue
+        mid = (lo + hi) // 2
+        before = _last_row(table, xs[lo:mid], ys[left:right])
+        after = _last_row(table, xs[mid:hi][::-1], ys[left:right][::-1])[::-1]
+        cut = left + int((before + after).argmax())
+        stack += [(lo, mid, left, cut), (mid, hi, cut, right)]
+    return sorted(out)
+
+
+def _align(a: list[Node], b: list[Node], memo: dict) -> list[tuple[Node, Node]]:
+    """Pairs of a largest matching of two lists of siblings."""
     lo, hi = _split(a, b)
-    pairs = list(zip(a[:lo], b[:lo]))
-    total = sum(x.size for x in a[:lo]) + (sum(x.size for x in a[-hi:]) if hi else 0)
     x, y = a[lo:len(a) - hi], b[lo:len(b) - hi]
+    inner = []
     if x and y:
-        table = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-        worth = [[match(p, q, memo, depth + 1) if depth < 150 else int(p.label == q.label) for q in y] for p in x]
-        for i in range(len(x)):
-            for j in range(len(y)):
-                table[i + 1][j + 1] = max(table[i][j + 1], table[i + 1][j], table[i][j] + worth[i][j])
-        total += table[-1][-1]
-        i, j, inner = len(x), len(y), []
-        while i and j:
-            if worth[i - 1][j - 1] and table[i][j] == table[i - 1][j - 1] + worth[i - 1][j - 1]:
-                inner.append((x[i - 1], y[j - 1]))
-                i, j = i - 1, j - 1
-            elif table[i][j] == table[i - 1][j]:
-                i -= 1
-            else:
-                j -= 1
-        pairs += reversed(inner)
-    return total, pairs + (list(zip(a[-hi:], b[-hi:])) if hi else [])
+        worth = {(p.shape, q.shape): match(p, q, memo) for p in {k.shape: k for k in x}.values()
+                 for q in {k.shape: k for k in y}.values() if p.label == q.label}
+        inner = [(x[i], y[j]) for i, j in _pairs(*_worths(x, y, worth))]
+    return [*zip(a[:lo], b[:lo]), *inner, *(zip(a[-hi:], b[-hi:]) if hi else ())]
 
 
 def aligned(reference: Node, page: Node) -> Iterator[tuple[Node, Node]]:
@@ -229,7 +326,7 @@ def aligned(reference: Node, page: Node) -> Iterator[tuple[Node, Node]]:
     while stack:
         a, b = stack.pop()
         yield a, b
-        stack.extend(_align(a.kids, b.kids, memo, 0)[1])
+        stack.extend(_align(a.kids, b.kids, memo))
 
 
 def visible(root: Node) -> list[Node]:
@@ -285,12 +382,16 @@ def plain(node: Node, template: frozenset[int] | set[int]) -> str:
     return " ".join("".join(out).split())
 
 
-def _joined(pages: DataFrame, refs: DataFrame, salts: int) -> DataFrame:
-    """Pages with their host's row of ``refs``; copies of the row for salts keep a large host from one task."""
-    left = pages.withColumn("salt", F.pmod(F.xxhash64("page_id", "html"), F.lit(salts)).cast("int"))
-    right = refs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right.withColumnRenamed("host", "ref_host"),
-                     (F.col("host") == F.col("ref_host")) & (left["salt"] == right["salt"])).drop(right["salt"])
+def in_article(order: list[Node]) -> set[int]:
+    """Numbers of the nodes in article and main elements."""
+    out, upto = set(), -1
+    for node in order:
+        if node.at < upto:
+            out.add(node.at)
+        elif node.tag in ("article", "main"):
+            upto = node.at + node.size
+            out.add(node.at)
+    return out
 
 
 def extract(pages: DataFrame, salts: int = 32) -> DataFrame:
@@ -300,14 +401,26 @@ def extract(pages: DataFrame, salts: int = 32) -> DataFrame:
     share the empty host. Repeated rows are extracted each, but equal pages of
     a host count once for its template, so copies don't become template. Other
     columns are ignored; an empty table gives an empty result.
+
+    Pages are shuffled once, by host and salt; both passes read that exchange.
     """
     pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")) \
         .withColumn("host", host_of(F.col("url")))
-    refs = cut_lineage(pages.where("html <> ''").groupBy("host").agg(
+    refs = written(pages.where("html <> ''").groupBy("host").agg(
         F.min_by("html", F.struct(F.col("page_id").isNull(), "page_id", F.xxhash64("html"))).alias("ref")))
+    salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int")
+    full = pages.where("html <> ''").withColumn("salt", salt)
+    n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = full.repartition(n, "host", "salt")
+    # a host's reference goes to those of its salts that have pages
+    places = full.select(F.col("host").alias("ref_host"), F.col("salt").alias("ref_salt")).distinct()
+
+    def joined(wrappers: DataFrame) -> DataFrame:
+        own = places.join(wrappers.withColumnRenamed("host", "ref_host"), "ref_host")
+        return dealt.join(own, (F.col("host") == F.col("ref_host")) & (F.col("salt") == F.col("ref_salt"))).drop("ref_host", "ref_salt", "salt")
 
     def votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trees: dict[str, Node] = {}
+        trees: dict[str, tuple[Node, set[int]]] = {}
         for pdf in batches:
             out = []
             for host, page, ref in zip(pdf["host"], pdf["html"], pdf["ref"]):
@@ -316,32 +429,30 @@ def extract(pages: DataFrame, salts: int = 32) -> DataFrame:
                 if host not in trees:
                     if len(trees) > 500:
                         trees.clear()
-                    trees[host] = parse(ref)
-                    measure(trees[host])
+                    wrapper = parse(ref)
+                    trees[host] = wrapper, in_article(measure(wrapper))
+                wrapper, inside = trees[host]
                 key = int.from_bytes(hashlib.blake2b(plain(tree, frozenset()).encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
-                for a, b in aligned(trees[host], tree):
+                for a, b in aligned(wrapper, tree):
                     text = a.own_text()
                     if text:
-                        out.append((host, a.at, key, text == b.own_text()))
-            yield pd.DataFrame(out, columns=["host", "at", "page", "same"])
+                        out.append((host, a.at, key, text == b.own_text(), a.at in inside))
+            yield pd.DataFrame(out, columns=["host", "at", "page", "same", "inside"])
 
-    def salted(df: DataFrame) -> DataFrame:
-        return _joined(df, refs, salts).select("host", "html", "ref")
-
-    distinct = pages.where("html <> ''")
-    cast = salted(distinct).mapInPandas(votes, "host string, at int, page long, same boolean")
+    cast = joined(refs).mapInPandas(votes, "host string, at int, page long, same boolean, inside boolean")
     # equal pages count once: the same text at the same node
-    counts = cast.groupBy("host", "at", "page").agg(F.max("same").alias("same")) \
-        .groupBy("host", "at").agg(F.count("*").alias("n"), F.sum(F.col("same").cast("long")).alias("same"))
-    fixed = (F.col("n") >= LEAST_PAGES) & (100 * F.col("same") >= round(100 * SAME_SHARE) * F.col("n"))
+    counts = cast.groupBy("host", "at", "page").agg(F.max("same").alias("same"), F.max("inside").alias("inside")) \
+        .groupBy("host", "at").agg(F.count("*").alias("n"), F.sum(F.col("same").cast("long")).alias("same"), F.max("inside").alias("inside"))
+    # few pages may share a passage of their articles by chance: there only what stands outside is template
+    fixed = (100 * F.col("same") >= round(100 * SAME_SHARE) * F.col("n")) & (
+        (F.col("n") >= SURE_PAGES) | (F.col("n") >= LEAST_PAGES) & ~F.col("inside"))
     template = counts.groupBy("host").agg(F.collect_list(F.when(fixed, F.col("at"))).alias("template"),
                                           F.max("n").alias("n"))
     # null: too few pages for votes
-    wrappers = cut_lineage(refs.join(template.where(F.col("n") >= LEAST_PAGES).drop("n"), "host", "left")
-                           .select("host", "ref", "template"))
+    wrappers = refs.join(template.where(F.col("n") >= LEAST_PAGES).drop("n"), "host", "left").select("host", "ref", "template")
 
     def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trees: dict[str, tuple[Node, set[int]]] = {}
+        trees: dict[str, tuple[Node, set[int], dict[int, str]]] = {}
         for pdf in batches:
             out = []
             for host, page, ref, fixed in zip(pdf["host"], pdf["html"], pdf["ref"], pdf["template"]):
@@ -365,7 +476,6 @@ def extract(pages: DataFrame, salts: int = 32) -> DataFrame:
             res["text"], res["n_chars"] = out, [len(x) for x in out]
             yield res
 
-    full = _joined(distinct, wrappers, salts).select("page_id", "url", "host", "html", "ref", "template")
-    found = full.mapInPandas(texts, "page_id long, url string, text string, n_chars long")
+    found = joined(wrappers).mapInPandas(texts, "page_id long, url string, text string, n_chars long")
     empty = pages.where("html = ''").select("page_id", "url", F.lit("").alias("text"), F.lit(0).cast("long").alias("n_chars"))
     return found.union(empty)

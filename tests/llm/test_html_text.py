@@ -51,3 +51,51 @@ def test_votes_are_counted_exactly(spark):
             rows += [(i, f"http://{host}.x/{i}", f"<body><p>{line}</p><p>text {i}</p></body>")] * (1 + i % 2)
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).where("page_id = 7").collect()
     assert {(r["url"], r["text"]) for r in got} == {("http://yes.x/7", "text 7"), ("http://no.x/7", "a line text 7")}
+
+
+@pytest.mark.parametrize("source,want", [
+    ('<div style="overflow:hidden"><p>All main text</p></div>', "All main text"),
+    ('<p>see <a href="/hidden-gems">the gems</a></p>', "see the gems"),
+    ('<div class="layout has-sidebar"><p>text</p></div>', "text"),
+    ('<div class="page with-comments"><p>text</p></div>', "text"),
+    ('<article>a <span class="search">word</span> and <div class="share-price">12</div></article>', "a word and 12"),
+    ("<p title=it's>Hello world</p><p>it isn't lost</p>", "Hello world it isn't lost"),
+    ('<p title="5" tall">text</p>', "text"), ("<p title='a>b' class=x>text</p>", "text"), ('<p title="open>text</p><p>more</p>', "text more"),
+    ("<p hidden>no</p><p data-hidden=1>yes</p>", "yes"), ("<form id=page><p>whole page</p></form>", "whole page"),
+    ("<div><p>the article has many more words than that</p></div><div class=cookie-notice>we use cookies</div>",
+     "the article has many more words than that"), ("<p>a < b and c<d</p>", "a < b and c"), ("<p>a<br/>b<p/>c", "a b c")])
+def test_attributes_and_names(source, want):
+    assert text_of(f"<body>{source}</body>") == want
+
+
+def test_matching_has_no_depth_limit_and_is_fast_for_long_lists():
+    import time
+
+    def tree(x):
+        root = html_text.parse(x)
+        html_text.measure(root)
+        return root
+
+    chains = [tree("<div>" * 5000 + x) for x in ("<b>1", "<i>2")]
+    assert html_text.match(*chains) == 5001
+    rows = [tree("<table>" + "".join(f"<tr class=r{i % m}><td>{i}</td>" + "<td><b>x</b></td>" * (i % 3) for i in range(8000)) + "</table>") for m in (2, 3)]
+    start = time.time()
+    assert len(list(html_text.aligned(*rows))) > 2 * 4000
+    assert time.time() - start < 20
+
+
+def test_two_pages_make_a_wrapper_and_passages_in_articles_stay(spark):
+    page = "<body><p>Site name</p><article><h1>Head {i}</h1><p>a passage that both pages quote</p><p>own {i}</p></article><p>All rights reserved</p></body>"
+    for pages, want in ((2, "Head {i} a passage that both pages quote own {i}"), (6, "Head {i} own {i}")):
+        rows = [(i, "http://a.b/", page.format(i=i)) for i in range(pages)]
+        got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+        assert {r["page_id"]: r["text"] for r in got} == {i: want.format(i=i) for i in range(pages)}
+
+
+def test_pages_are_shuffled_once(spark):
+    rows = [(i, f"http://h{i % 3}.x/", f"<body><p>site</p><article>story {i}</article></body>") for i in range(60)]
+    out = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    final = plan[:plan.find("== Initial Plan ==")] if "== Initial Plan ==" in plan else plan
+    assert final.count("REPARTITION_BY_NUM") <= 1 + final.count("ReusedExchange") and "ReusedExchange" in final
