@@ -5,7 +5,7 @@ pivot p and radius r, q.v <= q.p + |q| r for every vector v of the cell. The
 cells' summaries (count, radius, radii of the nearest members) give each query
 a score that k vectors are sure to reach; the query is then sent only to cells
 whose upper bound is not below it. Large cells are split into blocks; each
-block solves its queries locally and the best k of a query are merged.
+block solves its queries locally and the best k of a query are merged. A block's vectors are shipped only to the query sides that visit it.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from shoplens.llm.common import cut_lineage
 
 BLOCK = 4096
-PIVOTS = 64
+PIVOTS = (64, 2048)  # least and most; between them as many as there are blocks of rows
 
 
 def integer_vectors(vectors: DataFrame) -> DataFrame:
@@ -26,7 +26,8 @@ def integer_vectors(vectors: DataFrame) -> DataFrame:
     x = F.col("embedding")
     bad = F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c.cast("double")) == float("inf")))
     return vectors.where(x.isNotNull() & F.coalesce(~bad, F.lit(True))).select(
-        "vec_id", F.transform(x, lambda c: F.floor(64 * c.cast("double")).cast("long")).alias("v"))
+        *[c for c in vectors.columns if c != "embedding"],
+        F.transform(x, lambda c: F.floor(64 * c.cast("double")).cast("long")).alias("v"))
 
 
 def _matrix(lists, width: int) -> np.ndarray:
@@ -50,18 +51,21 @@ def _distances(v: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((v ** 2).sum(1)[:, None] + (pivots ** 2).sum(1)[None] - 2 * v @ pivots.T, 0))
 
 
-def top_k(vectors: DataFrame, k: int = 20, every: int = 20, n_pivots: int = PIVOTS) -> DataFrame:
+def top_k(vectors: DataFrame, k: int = 20, every: int = 20, n_pivots: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score for each row whose vec_id is divisible by ``every``.
 
-    Candidates are all rows with another vec_id (a null vec_id is neither query
-    nor candidate); ties go to the smaller vec_id. Repeated rows are one
-    vector; rows with one vec_id and other vectors are one candidate each.
-    Vectors of different lengths meet on their common length. Fewer than k
-    candidates give fewer rows; an empty table gives none.
+    Candidates are all rows but the query's own (a null vec_id is neither query
+    nor candidate); ties go to the smaller vec_id. Repeated rows, and rows that
+    share a vec_id, are candidates each, and queries with a list each. Vectors
+    of different lengths meet on their common length. Fewer than k candidates
+    give fewer rows; an empty table gives none.
     """
     spark = vectors.sparkSession
-    rows = cut_lineage(integer_vectors(vectors.select("vec_id", "embedding")).where("vec_id is not null").distinct())
-    width = rows.agg(F.max(F.size("v"))).first()[0] or 1
+    numbered = vectors.select(F.monotonically_increasing_id().alias("row"), "vec_id", "embedding").where("vec_id is not null")
+    rows = cut_lineage(integer_vectors(numbered))  # written, so that the numbers stay
+    width, n_rows = rows.agg(F.coalesce(F.max(F.size("v")), F.lit(1)), F.count("*")).first()
+    width = width or 1
+    n_pivots = n_pivots or min(max(PIVOTS[0], -(-n_rows // BLOCK)), PIVOTS[1])
     chosen = rows.select("v").distinct().orderBy(F.xxhash64("v")).limit(n_pivots).collect()
     pivots = _matrix([r["v"] for r in chosen], width)  # at most n_pivots vectors
     shared = spark.sparkContext.broadcast(pivots)
@@ -71,13 +75,13 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, n_pivots: int = PIVO
             if len(pdf):
                 d = _distances(_matrix(pdf["v"], width), shared.value)
                 pdf["cell"], pdf["far"] = d.argmin(1).astype(np.int32), d.min(1) * (1 + 1e-9) + 1e-6
-                yield pdf[["vec_id", "v", "cell", "far"]]
+                yield pdf[["row", "vec_id", "v", "cell", "far"]]
 
-    placed = cut_lineage(rows.mapInPandas(place, "vec_id long, v array<long>, cell int, far double"))
+    placed = cut_lineage(rows.mapInPandas(place, "row long, vec_id long, v array<long>, cell int, far double"))
     # per cell: members, radius, and the radii within which 1, 2, 4, ... members lie (one row per cell)
     near = Window.partitionBy("cell", "salt").orderBy("far")
     merge = Window.partitionBy("cell").orderBy("far")
-    first = placed.select("cell", "far", F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("salt")) \
+    first = placed.select("cell", "far", F.pmod(F.xxhash64("row"), F.lit(64)).alias("salt")) \
         .withColumn("n", F.row_number().over(near)).where(F.col("n") <= k + 1) \
         .withColumn("n", F.row_number().over(merge)).where(F.col("n") <= k + 1)
     sure = {r["cell"]: sorted(r["x"]) for r in first.groupBy("cell").agg(F.collect_list("far").alias("x")).collect()}
@@ -108,53 +112,55 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, n_pivots: int = PIVO
                 reps = blocks[ci]
                 qi, ci = np.repeat(qi, reps), np.repeat(ci, reps)
                 block = np.arange(len(qi)) - np.repeat(np.cumsum(reps) - reps, reps)
-                yield pd.DataFrame({"query_id": part["vec_id"].to_numpy()[qi], "q": part["v"].to_numpy()[qi],
+                yield pd.DataFrame({"query": part["row"].to_numpy()[qi], "query_id": part["vec_id"].to_numpy()[qi], "q": part["v"].to_numpy()[qi],
                                     "floor": floor[qi], "cell": np.array(names, np.int32)[ci],
                                     "block": block.astype(np.int32)})
 
-    queries = placed.where(is_query).select("vec_id", "v")
+    queries = placed.where(is_query).select("row", "vec_id", "v")
     n_queries = max(queries.count(), 1)
     sides = -(-n_queries // BLOCK)
     routed = queries.mapInPandas(
-        route, "query_id long, q array<long>, floor double, cell int, block int") \
-        .withColumn("side", F.pmod(F.xxhash64("query_id"), F.lit(sides)).cast("int"))
-    n_blocks = F.create_map(*[F.lit(x) for c, v in sorted(cells.items()) for x in (c, v[2])]) if cells else F.lit(None)
-    data = placed.select(
-        "vec_id", "v", "cell", F.pmod(F.xxhash64("vec_id"), (n_blocks[F.col("cell")] if cells else F.lit(1))
-                                      .cast("long")).cast("int").alias("block"),
-        F.explode(F.sequence(F.lit(0), F.lit(sides - 1))).alias("side"))
+        route, "query long, query_id long, q array<long>, floor double, cell int, block int") \
+        .withColumn("side", F.pmod(F.xxhash64("query"), F.lit(sides)).cast("int"))
+    # one row a cell; a block goes to the sides of the queries that visit it, and to no other
+    n_blocks = F.broadcast(spark.createDataFrame([(c, v[2]) for c, v in sorted(cells.items())], "cell int, blocks int"))
+    visits = routed.select(*[F.col(c).alias(c) for c in ("cell", "block", "side")]).distinct()
+    data = placed.join(n_blocks, "cell").select(
+        "row", "vec_id", "v", "cell", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int").alias("block")) \
+        .join(visits, ["cell", "block"]).select("row", "vec_id", "v", *[F.col(c).alias(c) for c in ("cell", "block", "side")])
 
     def solve(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(left) and len(right):
-            ids = right["vec_id"].to_numpy()
+            ids, rows = right["vec_id"].to_numpy(), right["row"].to_numpy()
             v = _matrix(right["v"], width)
             for at in range(0, len(left), 512):
                 part = left.iloc[at:at + 512]
                 scores = products(_matrix(part["q"], width), v)
-                own = part["query_id"].to_numpy()
+                own, names = part["query"].to_numpy(), part["query_id"].to_numpy()
                 for i in range(len(part)):
-                    ok = np.flatnonzero((ids != own[i]) & (scores[i] >= part["floor"].iat[i]))
+                    ok = np.flatnonzero((rows != own[i]) & (scores[i] >= part["floor"].iat[i]))
                     if len(ok) > k:
                         s = scores[i][ok]
                         ok = ok[s >= np.partition(s, len(s) - k)[len(s) - k]]
                     best = ok[np.lexsort((ids[ok], -scores[i][ok]))[:k]]
-                    out.append(pd.DataFrame({"query_id": own[i], "vec_id": ids[best], "score": scores[i][best]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
+                    out.append(pd.DataFrame({"query": own[i], "query_id": names[i], "vec_id": ids[best], "row": rows[best],
+                                             "score": scores[i][best]}))
+        return pd.concat(out) if out else pd.DataFrame({"query": [], "query_id": [], "vec_id": [], "row": [], "score": []}, dtype="int64")
 
     keys = ["cell", "block", "side"]
     local = routed.groupBy(*keys).cogroup(data.groupBy(*keys)).applyInPandas(
-        solve, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        solve, "query long, query_id long, vec_id long, row long, score long")
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "row")
     return local.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k) \
         .select("query_id", "rank", "vec_id", "score")
 
 
 ORACLE = """
-WITH v AS (SELECT vec_id, [floor(64 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, [floor(64 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
            WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
-      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
-SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
-FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20
+s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+      FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 20 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM s QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) <= 20
 """

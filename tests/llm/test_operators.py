@@ -155,14 +155,15 @@ def test_knn_equals_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(0)
     rows = [(i, rng.normal(size=5).tolist(), 1) for i in range(300)] + [(i, [0.5] * 5, 1) for i in range(300, 420)]
     rows += [(500, None, 1), (520, [1.0, None, 1.0, 1.0, 1.0], 1), (540, [float("nan")] * 5, 1), (None, [1.0] * 5, 1), (560, [], 1)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    rows += [rows[3], rows[40], rows[40], (40, [9.0] * 5, 1), (60, [-3.0] * 5, 1)]  # repeats, and ids with several vectors
+    df = spark.createDataFrame([(*r, 7) for r in rows], "vec_id long, embedding array<float>, label int, row int")
     got = sorted(map(tuple, knn_join.top_k(df, k=7, n_pivots=6).collect()))
-    vec = {i: [int(np.floor(64 * float(np.float32(x)))) for x in v] for i, v, _ in rows
-           if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
+    vec = [(i, [int(np.floor(64 * float(np.float32(x)))) for x in v]) for i, v, *_ in rows
+           if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     want = []
-    for q in vec:
+    for n, (q, own) in enumerate(vec):
         if q % 20 == 0:
-            best = sorted((-sum(a * b for a, b in zip(vec[q], vec[c])), c) for c in vec if c != q)[:7]
+            best = sorted((-sum(a * b for a, b in zip(own, v)), c) for m, (c, v) in enumerate(vec) if m != n)[:7]
             want += [(q, r + 1, c, -s) for r, (s, c) in enumerate(best)]
     assert got == sorted(want)
     assert knn_join.top_k(df.limit(0)).count() == 0
