@@ -25,6 +25,7 @@ MAX_KEYS = 5_000_000      # at most 6.25 MB a level; beyond, keys are joined ins
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
          ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 LISTED_TERMS = ("spam", "pills", "casino", "malware")
+LISTED_MARKS = ("###", "***", "$$$")  # a page with all of them is taken for machine-made
 
 
 def host_of(url: Column) -> Column:
@@ -119,24 +120,30 @@ def judge(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
         verdict, F.when(blocked, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"))
 
 
-def listed_hosts(pages: DataFrame, terms=LISTED_TERMS) -> DataFrame:
-    """The list of the registered query: hosts of the corpus whose name holds a listed term."""
-    host = host_of(F.col("url"))
-    hosts = pages.select(host.alias("key")).distinct()
-    hit = F.lit(False)
+def listed_hosts(pages: DataFrame, terms=LISTED_TERMS, marks=LISTED_MARKS) -> DataFrame:
+    """The list of the registered query: hosts with a page that holds all marks, or with a listed term in their name.
+
+    What the pages of a host hold can't be told from a url, so the other pages
+    of the host are judged by lookup. Null pages hold no mark.
+    """
+    named, marked = F.lit(False), F.lit(True)
     for t in terms:
-        hit = hit | F.col("key").contains(t)
-    return hosts.where(hit)
+        named = named | F.col("key").contains(t)
+    for m in marks:
+        marked = marked & F.coalesce(F.col("html").contains(m), F.lit(False))
+    return pages.select(host_of(F.col("url")).alias("key"), "html").where(named | marked).select("key").distinct()
 
 
 ORACLE = r"""
 WITH p AS (SELECT page_id,
     translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, html FROM pages),
+bad AS (SELECT DISTINCT host FROM p WHERE regexp_matches(host, 'spam|pills|casino|malware')
+    OR contains(html, '###') AND contains(html, '***') AND contains(html, '$$$')),
 r AS (SELECT * FROM (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
     ('allow', 'com', '/fr/'), ('block', 'com', '/de/')) t(v, h, pre)),
 m AS (SELECT p.page_id, p.host, p.path, arg_max(r.h || r.pre, length(r.h || r.pre)) AS rule, arg_max(r.v, length(r.h || r.pre)) AS v
     FROM p LEFT JOIN r ON (p.host = r.h OR ends_with(p.host, '.' || r.h)) AND starts_with(p.path, r.pre)
     GROUP BY p.page_id, p.host, p.path)
-SELECT page_id, host, path, rule, coalesce(v, CASE WHEN regexp_matches(host, 'spam|pills|casino|malware') THEN 'block' ELSE 'allow' END) AS verdict FROM m
+SELECT page_id, host, path, rule, coalesce(v, CASE WHEN host IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END) AS verdict FROM m
 """
