@@ -168,8 +168,8 @@ def train(docs: DataFrame, ref_docs: int = 60, ref_chars: int = 24_000) -> Model
     return Model(texts)
 
 
-def classify(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with lang_pred and lang_score (columns of these names are replaced).
+def classify(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:
+    """``docs`` with lang_pred and lang_score, or the given names (columns of these names are replaced).
 
     Only ``text`` is read. Null texts and texts without a letter are ``und``
     with score 0; without any learned language all are. Ties go to the first
@@ -177,16 +177,16 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
     (0.5 undecided, to 1), 1 where one language was learned. Rows, their order
     of columns and repeats are kept; an empty table stays empty.
     """
-    docs = docs.drop("lang_pred", "lang_score")
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()),
-                           T.StructField("lang_score", T.DoubleType())])
+    docs = docs.drop(*names)
+    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()),
+                           T.StructField(names[1], T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            names, score = shared.value.predict(part.column("text"))
+            found, score = shared.value.predict(part.column("text"))
             yield pa.RecordBatch.from_arrays(
-                [*part.columns, pa.array(names, pa.string()), pa.array(score, pa.float64())], names=schema.names)
+                [*part.columns, pa.array(found, pa.string()), pa.array(score, pa.float64())], names=schema.names)
         Model._built.clear()  # the worker goes on to other stages
 
     return docs.mapInArrow(label, schema)

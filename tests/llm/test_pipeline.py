@@ -79,3 +79,31 @@ def test_pack_places_every_row(spark, copies):
     rows = [(None, "a b c", "en"), (None, "d e", "en"), (2, "f", "en")] * copies
     got = P.pack(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
     assert sum(r["start"] == 0 for r in got) == len(rows)
+
+
+CLASHES = ["lang_pred", "lang_score", "_row", "_kept", "_bad_id", "_bad_text", "component_id", "h", "m", "row", "hits"]
+
+
+@pytest.mark.parametrize("stage", [s for s, _ in P.STAGES[:-1]])
+def test_stages_keep_columns_whose_names_clash(spark, stage):
+    rows = [(i, f"the quick brown fox number {i} jumps over a lazy dog and runs into the forest near house {i} at night", "en") for i in range(30)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for c in CLASHES:
+        docs = docs.selectExpr("*", f"concat('mine ', doc_id) as {c}")
+    out = dict(P.STAGES)[stage](spark, docs, "/root/testdata/sf0.001")
+    assert out.columns == docs.columns
+    kept = out.collect()
+    assert kept and all(r[c] == f"mine {r['doc_id']}" for r in kept for c in CLASHES)
+
+
+@pytest.mark.parametrize("stage", [s for s, _ in P.STAGES])
+def test_stages_of_an_empty_table(spark, stage):
+    assert dict(P.STAGES)[stage](spark, spark.createDataFrame([], SCHEMA), "/root/testdata/sf0.001").count() == 0
+
+
+def test_quality_and_url_filter_of_empty_tables(spark):
+    from shoplens.llm import quality, url_filter
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    assert quality.score_all(spark.createDataFrame([], SCHEMA), labels).count() == 0
+    pages = spark.createDataFrame([], "page_id long, url string")
+    assert url_filter.judge(pages, spark.createDataFrame([], "key string")).count() == 0
