@@ -38,6 +38,9 @@ DECAY_PER_HOUR = 0.995
 ONLINE_ALPHA = 0.15
 ONLINE_HISTORY = 50
 PAIR_TTL_SECONDS = 604800
+# scores of the attribute rules for carts
+RULE_SAME_TYPE, RULE_UNKNOWN_TYPE, RULE_OTHER_TYPE, RULE_SHARED_TYPE = 8.0, -3.0, -2.0, 4.0
+RULE_CATEGORY, RULE_GENDER, RULE_BRAND = 2.0, 0.8, 0.6
 HYBRID_BM25_WEIGHT = 0.4
 HYBRID_SEMANTIC_WEIGHT = 0.6
 HYBRID_CANDIDATE_K = 50

@@ -230,26 +230,9 @@ def top_popular(events: DataFrame, products: DataFrame, limit: int = 5, most: in
 
 # D19 ------------------------------------------------------------------------
 def catalog_facets(products: DataFrame, facet_cols: Sequence[str] = ("category",)) -> DataFrame:
-    """(facet, value, n) counts for each facet column in one grouping-sets pass."""
-    cols = list(facet_cols)
-    grouped = products.select(*cols).groupBy(*cols)
-    if len(cols) == 1:
-        return grouped.agg(F.count(F.lit(1)).alias("n")).select(
-            F.lit(cols[0]).alias("facet"), F.col(cols[0]).alias("value"), "n")
-    g = products.select(*cols).cube(*cols).agg(
-        F.count(F.lit(1)).alias("n"), *[F.grouping(c).alias(f"_g_{c}") for c in cols])
-    parts = []
-    for c in cols:
-        others = [F.col(f"_g_{o}") == 1 for o in cols if o != c]
-        cond = F.col(f"_g_{c}") == 0
-        for o in others:
-            cond = cond & o
-        parts.append(g.where(cond).select(F.lit(c).alias("facet"), F.col(c).cast("string")
-                                          .alias("value"), "n"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """(facet, value, n): counts of each facet column in one pass, a row per column and value, no combinations."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("facet"), F.col(c).cast("string").alias("value")) for c in facet_cols])
+    return products.select(F.inline(pairs)).groupBy("facet", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 # D24 ------------------------------------------------------------------------

@@ -67,11 +67,12 @@ def user_cf(matrix: DataFrame, top_n: int = 5, neighbors: int = 5,
 def serve_topk_table(recs: DataFrame, key: str = "user_id") -> DataFrame:
     """One row per user with its (score desc) list, the shape of a sorted-set store.
 
-    A later write of the same (user, item) replaces the earlier score.
+    A later write of the same (user, item) replaces the earlier score; without
+    ``written_at``, or among writes of one time, the highest score stays.
     """
-    latest = recs.dropDuplicates([key, "item_id"]) if "written_at" not in recs.columns else (
+    latest = recs.groupBy(key, "item_id").agg(F.max("score").alias("score")) if "written_at" not in recs.columns else (
         recs.withColumn("_rn", F.row_number().over(
-            Window.partitionBy(key, "item_id").orderBy(F.desc("written_at"))))
+            Window.partitionBy(key, "item_id").orderBy(F.desc("written_at"), F.desc("score"))))
         .where("_rn = 1").drop("_rn"))
     return latest.groupBy(key).agg(
         F.sort_array(F.collect_list(F.struct(F.col("score"), F.col("item_id"))), asc=False)

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from shoplens.functions import scalars as S
 from shoplens.functions import vectors as V
 from shoplens.functions.weights import (BLEND_MODEL, BLEND_SIMILARITY, CHECKOUT_RECENCY_DAYS, INTERACTION_DEFAULT,
-                                        INTERACTION_WEIGHTS, weight_of)
-from shoplens.operators.analytics import recent_events
+                                        INTERACTION_WEIGHTS, RULE_BRAND, RULE_CATEGORY, RULE_GENDER, RULE_OTHER_TYPE,
+                                        RULE_SAME_TYPE, RULE_SHARED_TYPE, RULE_UNKNOWN_TYPE, weight_of)
+from shoplens.operators.analytics import global_row_number, recent_events
 from shoplens.operators.candidates import fill_from_ranking, popular_items
 from shoplens.operators.cells import dense_topk
 from shoplens.operators.features import build_features
@@ -43,6 +44,22 @@ def item_attributes(products: DataFrame) -> DataFrame:
         S.brand_from_name("product_name").alias("_brand"))
 
 
+def _price_ranges(priced: DataFrame, carts: DataFrame) -> DataFrame:
+    """(cart_id, _lo, _hi): lowest and highest positive price outside each cart.
+
+    Both ends of one ranking by price; a cart looks as far into it as its own items stand there.
+    """
+    up = global_row_number(priced, [F.col("price"), F.col("item_id")], "pop_rank")
+    down = up.withColumn("pop_rank", up.select(F.count("*")).scalar() + 1 - F.col("pop_rank"))
+    keys = carts.select("cart_id").distinct()
+
+    def end(ranking: DataFrame, name: str) -> DataFrame:
+        first = fill_from_ranking(keys, ranking.select("item_id", "pop_rank"), 1, carts, "cart_id")
+        return first.join(ranking.select("item_id", "price"), "item_id").select("cart_id", F.col("price").alias(name))
+
+    return end(up, "_lo").join(end(down, "_hi"), "cart_id")
+
+
 def metadata_candidates(products: DataFrame, carts: DataFrame, top_n: int = 10) -> DataFrame:
     """Heuristic candidates per cart: type match +8 (unknown -3 / other -2 when the
     cart has known types, else +4 for a shared type), category +2, gender +0.8,
@@ -50,100 +67,92 @@ def metadata_candidates(products: DataFrame, carts: DataFrame, top_n: int = 10)
 
     Exact without scoring every catalog item for every cart: inside one
     attribute combination (type, category, gender, brand) all items share the
-    rule score, so only the ``top_n + K`` cheapest of each combination (K =
-    largest cart) can ever make a top-n list. That trimmed table is reached
-    through equi-joins on the cart's attributes; items sharing nothing with a
-    cart come from two bounded global lists.
+    rule score and cheaper ones come first, so of each combination only the
+    ``top_n`` cheapest outside the cart can make its list. Those lists are
+    reached through equi-joins on the cart's attributes; items sharing nothing
+    with a cart come from the ranking of all items, as far as the cart's own
+    items make it necessary. No list is sized by another cart.
     """
-    # catalog-sized, read by several scalar subqueries and joins: materialise once
+    # catalog-sized, read by several joins: materialise once
     attrs = cut_lineage(item_attributes(products))
-    cart_items = _cart_ids(carts).join(attrs, "item_id")  # cart items known to the catalog
-    k_max = carts.groupBy("cart_id").agg(F.count_distinct("item_id").alias("n")).select(
-        F.coalesce(F.max("n"), F.lit(0))).first()[0]
-    keep = top_n + int(k_max)
+    own = cut_lineage(_cart_ids(carts))
+    cart_items = cut_lineage(own.join(attrs, "item_id"))  # cart items known to the catalog
     pos = (F.col("price") > 0) & F.col("price").isNotNull()
     cheap_order = [F.desc(pos.cast("int")), F.asc("price"), F.asc("item_id")]
     combo = ["_type", "_cat", "_gender", "_brand"]
-    # With >= K + 2 distinct positive prices no cart can see a flat price range,
-    # so cheapness is strictly price-ordered and id-ordered lists are not needed.
-    n_prices = attrs.where(pos).select(F.count_distinct("price")).first()[0]
-    flat_possible = n_prices < k_max + 2
-    # per combination, a cart can only exclude its own items of that combination:
-    # keep top_n + (largest such overlap over all carts) cheapest items of it
-    overlap = (cart_items.groupBy("cart_id", *combo).agg(F.count(F.lit(1)).alias("_o"))
-               .groupBy(*combo).agg(F.max("_o").alias("_o"))
-               .select(*[F.col(c).alias(f"_ov{c}") for c in combo], "_o"))
-    keep_c = F.lit(top_n) + F.coalesce(F.col("_o"), F.lit(0))
-    cond = None
-    for c in combo:
-        e = F.col(c).eqNullSafe(F.col(f"_ov{c}"))
-        cond = e if cond is None else cond & e
-    with_keep = attrs.join(overlap, cond, "left").drop(*[f"_ov{c}" for c in combo])
-    w_cheap = Window.partitionBy(*combo).orderBy(*cheap_order)
-    trimmed = with_keep.withColumn("_r1", F.row_number().over(w_cheap))
-    if flat_possible:
-        w_id = Window.partitionBy(*combo).orderBy(F.desc(pos.cast("int")), F.asc("item_id"))
-        trimmed = (trimmed.withColumn("_r2", F.row_number().over(w_id))
-                   .where((F.col("_r1") <= keep_c) | (F.col("_r2") <= keep_c)).drop("_r2"))
-    else:
-        trimmed = trimmed.where(F.col("_r1") <= keep_c)
-    trimmed = trimmed.drop("_o")
-    trimmed = trimmed.drop("_r1")
-
-    sets = cart_items.groupBy("cart_id").agg(
+
+    sets = cut_lineage(cart_items.groupBy("cart_id").agg(
         F.collect_set(F.when(F.col("_type") != "unknown", F.col("_type"))).alias("_known_types"),
         F.collect_set("_type").alias("_types"),
         F.collect_set(F.when(F.col("_cat") != "unknown", F.col("_cat"))).alias("_cats"),
         F.collect_set("_gender").alias("_genders"),
-        F.collect_set(F.when(F.col("_brand") != "unknown", F.col("_brand"))).alias("_brands"))
-
-    def via(src, attr_col, set_col):
-        keys = src.select("cart_id", F.explode(set_col).alias(attr_col))
-        return keys.join(trimmed.select("item_id", attr_col), attr_col).select("cart_id", "item_id")
-
-    # Type dominance: a type-matched item scores >= 8, any other <= 3.4. A cart
-    # with at least top_n type-matched candidates needs nothing else.
-    typed = via(sets, "_type", "_known_types").join(_cart_ids(carts), ["cart_id", "item_id"], "left_anti")
-    enough = typed.groupBy("cart_id").count().where(F.col("count") >= top_n).select("cart_id")
-    rest = sets.join(enough, "cart_id", "left_anti")
-    # other carts: anything sharing an attribute ...
-    pool = (via(rest, "_type", "_types").unionByName(via(rest, "_cat", "_cats"))
-            .unionByName(via(rest, "_gender", "_genders")).unionByName(via(rest, "_brand", "_brands")))
-    # ... or from the global lists (known / unknown type, by cheapness [and by id])
-    orders = [cheap_order] + ([[F.desc(pos.cast("int")), F.asc("item_id")]] if flat_possible else [])
-    for is_unknown in (False, True):
-        cls = attrs.where((F.col("_type") == "unknown") == F.lit(is_unknown))
-        for order in orders:
-            head = cls.orderBy(*order).limit(keep).select(F.collect_list("item_id").alias("l")).scalar()
-            pool = pool.unionByName(rest.select("cart_id", F.explode(head).alias("item_id")))
-    pool = pool.distinct().join(_cart_ids(carts), ["cart_id", "item_id"], "left_anti")
-    pool = typed.join(enough, "cart_id", "left_semi").unionByName(pool)
-
-    # per-cart price range over non-cart catalog prices > 0 (extremes may sit in the cart)
-    priced = attrs.where(pos).select("item_id", "price")
-    lo_list = priced.orderBy("price", "item_id").limit(keep).select(F.collect_list("item_id").alias("l")).scalar()
-    hi_list = (priced.orderBy(F.desc("price"), "item_id").limit(keep)
-               .select(F.collect_list("item_id").alias("l")).scalar())
-    ext = (sets.select("cart_id", F.explode(F.array_union(lo_list, hi_list)).alias("item_id"))
-           .join(_cart_ids(carts), ["cart_id", "item_id"], "left_anti").join(priced, "item_id"))
-    ranges = ext.groupBy("cart_id").agg(F.min("price").alias("_lo"), F.max("price").alias("_hi"))
+        F.collect_set(F.when(F.col("_brand") != "unknown", F.col("_brand"))).alias("_brands")))
+    known_carts = own.join(sets.select("cart_id"), "cart_id", "left_semi")
+    ranges = cut_lineage(_price_ranges(attrs.where(pos).select("item_id", "price"), known_carts))
+
+    def best_of_combinations(order: list) -> DataFrame:
+        """The top_n first of each combination, and as many more as the cart with most of its items there has."""
+        overlap = (cart_items.groupBy("cart_id", *combo).agg(F.count(F.lit(1)).alias("_o"))
+                   .groupBy(*combo).agg(F.max("_o").alias("_o"))
+                   .select(*[F.col(c).alias(f"_ov{c}") for c in combo], "_o"))
+        cond = None
+        for c in combo:
+            e = F.col(c).eqNullSafe(F.col(f"_ov{c}"))
+            cond = e if cond is None else cond & e
+        w = Window.partitionBy(*combo).orderBy(*order)
+        return attrs.join(overlap, cond, "left").withColumn("_r", F.row_number().over(w)) \
+            .where(F.col("_r") <= F.lit(top_n) + F.coalesce(F.col("_o"), F.lit(0))) \
+            .drop(*[f"_ov{c}" for c in combo], "_o", "_r")
+
+    def pool_of(wanted: DataFrame, order: list) -> DataFrame:
+        """(cart_id, item_id) outside the cart among which its top_n are, for carts that rank equals by ``order``."""
+        trimmed = cut_lineage(best_of_combinations(order))
+
+        def via(src, attr_col, set_col):
+            keys = src.select("cart_id", F.explode(set_col).alias(attr_col))
+            return keys.join(trimmed.select("item_id", attr_col), attr_col).select("cart_id", "item_id")
+
+        # Type dominance: a type-matched item scores >= 8, any other <= 3.4. A cart
+        # with at least top_n type-matched candidates needs nothing else.
+        typed = via(wanted, "_type", "_known_types").join(own, ["cart_id", "item_id"], "left_anti")
+        enough = typed.groupBy("cart_id").count().where(F.col("count") >= top_n).select("cart_id")
+        rest = cut_lineage(wanted.join(enough, "cart_id", "left_anti"))
+        if rest.isEmpty():
+            return typed
+        # other carts: anything sharing an attribute, or of the ranking of items with a known type, or without
+        pool = (via(rest, "_type", "_types").unionByName(via(rest, "_cat", "_cats"))
+                .unionByName(via(rest, "_gender", "_genders")).unionByName(via(rest, "_brand", "_brands")))
+        unknown = F.col("_type") == "unknown"
+        ranking = global_row_number(attrs.select("item_id", "price", unknown.alias("_u")), [F.col("_u"), *order], "_n")
+        n_known = attrs.where(~unknown).select(F.count("*")).scalar()
+        for part, place in ((ranking.where(~F.col("_u")), F.col("_n")), (ranking.where("_u"), F.col("_n") - n_known)):
+            listed = fill_from_ranking(rest.select("cart_id"), part.select("item_id", place.alias("pop_rank")), top_n, own, "cart_id")
+            pool = pool.unionByName(listed.select("cart_id", "item_id"))
+        pool = pool.join(own, ["cart_id", "item_id"], "left_anti")
+        return typed.join(enough, "cart_id", "left_semi").unionByName(pool).distinct()
+
+    # in a cart with one price left, cheapness is the same for all priced items, which then rank by id
+    flat = sets.join(ranges.where("_hi > _lo"), "cart_id", "left_anti")
+    pool = pool_of(sets.join(flat.select("cart_id"), "cart_id", "left_anti"), cheap_order)
+    if not flat.isEmpty():
+        pool = pool.unionByName(pool_of(flat, [F.desc(pos.cast("int")), F.asc("item_id")]))
 
     j = pool.join(attrs, "item_id").join(sets, "cart_id").join(ranges, "cart_id", "left")
     has_known = F.size("_known_types") > 0
-    type_term = (F.when(has_known & F.array_contains("_known_types", F.col("_type")), 8.0)
-                 .when(has_known & (F.col("_type") == "unknown"), -3.0)
-                 .when(has_known, -2.0)
-                 .when((F.col("_type") != "unknown") & F.array_contains("_types", F.col("_type")), 4.0)
+    type_term = (F.when(has_known & F.array_contains("_known_types", F.col("_type")), RULE_SAME_TYPE)
+                 .when(has_known & (F.col("_type") == "unknown"), RULE_UNKNOWN_TYPE)
+                 .when(has_known, RULE_OTHER_TYPE)
+                 .when((F.col("_type") != "unknown") & F.array_contains("_types", F.col("_type")), RULE_SHARED_TYPE)
                  .otherwise(0.0))
     lo, hi = F.coalesce(F.col("_lo"), F.lit(0.0)), F.coalesce(F.col("_hi"), F.lit(0.0))
     price = F.coalesce(F.col("price"), F.lit(0.0))
     cheap = (F.when((price > 0) & (hi > lo), F.greatest(F.lit(0.0), F.least(F.lit(1.0), (hi - price) / (hi - lo))) * 2.0)
              .when((price > 0) & (hi > 0), 1.0).otherwise(0.0))
     score = (type_term
-             + F.when((F.col("_cat") != "unknown") & F.array_contains("_cats", F.col("_cat")), 2.0).otherwise(0.0)
-             + F.when(F.col("_gender").isNotNull() & F.array_contains("_genders", F.col("_gender")), 0.8)
+             + F.when((F.col("_cat") != "unknown") & F.array_contains("_cats", F.col("_cat")), RULE_CATEGORY).otherwise(0.0)
+             + F.when(F.col("_gender").isNotNull() & F.array_contains("_genders", F.col("_gender")), RULE_GENDER)
              .otherwise(0.0)
-             + F.when((F.col("_brand") != "unknown") & F.array_contains("_brands", F.col("_brand")), 0.6)
+             + F.when((F.col("_brand") != "unknown") & F.array_contains("_brands", F.col("_brand")), RULE_BRAND)
              .otherwise(0.0)
              + cheap)
     scored = j.select("cart_id", "item_id", score.alias("similarity_score"))

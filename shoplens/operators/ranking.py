@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from shoplens.functions.weights import MAX_PER_CATEGORY, TRENDING_BOOST, TRENDING_QUANTILE
 from shoplens.operators.features import FEATURE_COLUMNS
 from shoplens.operators.profiles import last_event_per_user, quantile
+from shoplens.session import cut_lineage
 
 
 # J6 / J7 --------------------------------------------------------------------
@@ -211,6 +212,30 @@ def model_scorer(models: dict, boost_products: DataFrame | None = None) -> Calla
     return score
 
 
+def save_rankers(models: dict, folder: str) -> None:
+    """Each model in a folder of its name, in a store that Spark writes to."""
+    for name, model in models.items():
+        model.write().overwrite().save(f"{folder.rstrip('/')}/{name}")
+
+
+def load_rankers(folder: str, names: tuple[str, ...] = ("gbt", "rf")) -> dict:
+    from pyspark.ml.regression import GBTRegressionModel, RandomForestRegressionModel
+    kinds = {"gbt": GBTRegressionModel, "rf": RandomForestRegressionModel}
+    return {name: kinds[name].load(f"{folder.rstrip('/')}/{name}") for name in names}
+
+
+def validate_rankers(models: dict, rows: DataFrame, k: int = 10) -> DataFrame:
+    """(ranker, precision, recall, map, ndcg, hit rate @k): each model, their mean and the linear score on labelled rows."""
+    scorers = {name: model_scorer({name: model}) for name, model in models.items()}
+    scorers |= {"mean": model_scorer(models), "linear": lambda df: df.withColumn("raw_score", linear_score())}
+    rows = cut_lineage(rows)
+    out = None
+    for name, scorer in sorted(scorers.items()):
+        one = ranking_metrics(scorer(rows), k, score="raw_score").select(F.lit(name).alias("ranker"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def feature_importance(model, cols=None) -> DataFrame:
     """(feature, importance) sorted desc, from a fitted tree model."""
     from pyspark.sql import SparkSession

@@ -12,7 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shoplens.functions.scalars import hours_between
+from shoplens.operators.candidates import exclude_pairs, purchased_pairs
+from shoplens.operators.features import training_set
+from shoplens.operators.ranking import (model_scorer, rank_topk, temporal_user_split, train_rankers, trending_boost,
+                                        validate_rankers)
 from shoplens.operators.skew import keyed_cumsum, prior_rows
+from shoplens.operators.vectors import vector_topn
+from shoplens.session import cut_lineage
 from shoplens.functions.weights import (EVENT_TYPE_IDS, EVENT_TYPE_UNKNOWN, SEQ_LOOKBACK_DAYS, SEQ_MAX_LEN,
                                         SEQ_MIN_HISTORY, TARGET_DEFAULT, TARGET_WEIGHTS, weight_of)
 
@@ -255,3 +261,29 @@ def learned_embeddings(events: DataFrame, rank: int = 16, max_iter: int = 10, re
     items = model.itemFactors.join(iidx, F.col("id") == F.col("i")).select(
         "item_id", to_d(F.col("features")).alias("embedding"))
     return model, users, items
+
+
+def neural_candidates(users: DataFrame, items: DataFrame, events: DataFrame, n: int = 100) -> DataFrame:
+    """(user_id, item_id, similarity_score): each user's n best items by learned vectors that it hasn't purchased."""
+    bought = purchased_pairs(events)
+    extra = bought.join(items.select("item_id"), "item_id", "left_semi").groupBy("user_id").count()
+    top = exclude_pairs(vector_topn(users, items, n, extra=extra), bought)
+    return rank_topk(top.drop("rank"), n, "score").select("user_id", "item_id", F.col("score").alias("similarity_score"))
+
+
+def neural_then_rank(users: DataFrame, items: DataFrame, events: DataFrame, products: DataFrame, embeddings: DataFrame,
+                     val_fraction: float = 0.2, n: int = 100, k: int = 10, recency_days: int = 90, max_iter: int = 10
+                     ) -> tuple[DataFrame, DataFrame]:
+    """Retrieval by learned vectors, then rankers trained on those candidates.
+
+    Rankers are fitted on the users whose last event is early and validated on
+    the others; returns (user_id, item_id, rank, ranking_score) of all users and
+    the validation metrics.
+    """
+    cands = cut_lineage(neural_candidates(users, items, events, n))
+    rows = cut_lineage(training_set(cands, events, products, embeddings, recency_days))
+    train, val = temporal_user_split(rows, events, val_fraction)
+    models = train_rankers(train, val, max_iter=max_iter, max_depth=4)
+    scored = trending_boost(model_scorer(models)(rows), products, "raw_score", "ranking_score")
+    ranked = rank_topk(scored, k, "ranking_score").select("user_id", "item_id", "rank", "ranking_score")
+    return ranked, validate_rankers(models, val, k)

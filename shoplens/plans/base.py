@@ -40,3 +40,13 @@ def ts_text(c) -> Column:
     """Timestamps leave queries as text; oracle: strftime(x, '%Y-%m-%d %H:%M:%S')."""
     col = F.col(c) if isinstance(c, str) else c
     return F.date_format(col, "yyyy-MM-dd HH:mm:ss")
+
+
+def vec_text(c) -> Column:
+    """A whole vector as text, in millionths; oracle: :func:`vec_text_sql`. Null stays null."""
+    col = F.col(c) if isinstance(c, str) else c
+    return F.array_join(F.transform(col, lambda x: F.round(x * 1_000_000).cast("long").cast("string")), ",")
+
+
+def vec_text_sql(x: str) -> str:
+    return f"list_aggregate(list_transform({x}, lambda u: CAST(CAST(round(u * 1000000) AS BIGINT) AS VARCHAR)), 'string_agg', ',')"

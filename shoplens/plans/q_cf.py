@@ -72,9 +72,9 @@ def q_user_cf_big(spark, d):
 
 
 @register("serve_topk_table", with_views(["ev"], f"""
-SELECT user_id, count(*) AS n_members, round(max(score), 6) AS best
+SELECT user_id, string_agg(item_id || '=' || CAST(CAST(score AS BIGINT) AS VARCHAR), ',' ORDER BY score DESC, item_id DESC) AS members
 FROM ({CF_BODY}) GROUP BY user_id""", UI_SQL + "," + NN_CTES))
 def q_serve_topk(spark, d):
     t = cf.serve_topk_table(cf.user_cf(_matrix(spark, d)))
-    return t.select("user_id", F.size("members").cast("bigint").alias("n_members"),
-                    r6(F.col("members")[0]["score"]).alias("best"))
+    return t.select("user_id", F.array_join(F.transform("members", lambda m: F.concat(
+        m["item_id"], F.lit("="), m["score"].cast("long").cast("string"))), ",").alias("members"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from shoplens.functions.weights import LABEL_WEIGHTS, weight_sql
@@ -11,7 +13,7 @@ from shoplens.operators import ranking as R
 from shoplens.plans.base import r6, register
 from shoplens.plans.q_profiles import PROFILE_SQL, STATS_SQL
 from shoplens.plans.q_vectors import CAND_SQL, ranker_products
-from shoplens.session import cut_lineage
+from shoplens.session import cut_lineage, ensure_checkpoint_dir
 from shoplens.sources import fixtures as X
 from shoplens.sources.fixtures import with_views
 
@@ -283,6 +285,16 @@ def q_train_ranker(spark, d):
     return R.feature_importance(models["gbt"])
 
 
+@register("ranker_validation")
+def q_ranker_validation(spark, d):
+    """Rankers fitted on the early users, saved, loaded again, and measured on the late users
+    beside the linear score (rows-only check: models)."""
+    tr, va = R.temporal_user_split(cut_lineage(_training(spark, d)), X.rank_events(spark, d), 0.2)
+    folder = f"{ensure_checkpoint_dir(spark)}/rankers-{uuid.uuid4().hex[:12]}"
+    R.save_rankers(R.train_rankers(tr, va, max_iter=10, max_depth=4), folder)
+    return R.validate_rankers(R.load_rankers(folder), va, k=10)
+
+
 @register("history_plus_negatives", with_views(["rev", "products"], """
 SELECT user_id, item_id FROM hist
 UNION ALL

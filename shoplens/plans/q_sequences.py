@@ -8,7 +8,8 @@ from shoplens.functions.weights import (EVENT_TYPE_IDS, EVENT_TYPE_UNKNOWN, TARG
                                         weight_sql)
 from shoplens.operators import profiles as P
 from shoplens.operators import sequences as Q
-from shoplens.plans.base import r6, register, ts_text
+from shoplens.plans.base import r6, register, ts_text, vec_text, vec_text_sql
+from shoplens.session import cut_lineage
 from shoplens.sources import fixtures as X
 from shoplens.sources.fixtures import with_views
 
@@ -28,6 +29,8 @@ t0 AS (SELECT *, list_filter(prior, lambda h: h.ts >= ts - INTERVAL 180 DAY) AS
 t1 AS (SELECT *, list_filter(hist, lambda h: h.valid) AS vhist FROM t0 WHERE len(hist) >= 2),
 samples AS (SELECT user_id, event_id AS target_event_id, item_idx AS target_item_idx, event_type AS target_event_type,
        CAST({weight_sql('event_type', TARGET_WEIGHTS, TARGET_DEFAULT)} AS DOUBLE) AS target_weight,
+       list_aggregate(list_transform(vhist, lambda h: CAST(h.item_idx AS VARCHAR)), 'string_agg', ',') AS items,
+       list_aggregate(list_transform(vhist, lambda h: CAST(h.eid AS VARCHAR)), 'string_agg', ',') AS types,
        len(vhist) AS seq_len, vhist[1].item_idx AS first_item_idx, vhist[-1].item_idx AS last_item_idx,
        CAST(list_sum(list_transform(vhist, lambda h: h.eid)) AS BIGINT) AS event_id_sum,
        CASE WHEN len(list_filter(hist, lambda h: h.is_purchase)) > 0
@@ -48,27 +51,28 @@ def _samples(spark, d):
 
 
 @register("sequence_samples", with_views(["rev", "products", "image_emb", "text_emb"], """
-SELECT user_id, target_event_id, target_item_idx, target_event_type, target_weight, seq_len, first_item_idx,
-       last_item_idx, event_id_sum, round(avg_spend, 6) AS avg_spend, recent_activity_count,
+SELECT user_id, target_event_id, target_item_idx, target_event_type, target_weight, seq_len, items, types,
+       round(avg_spend, 6) AS avg_spend, recent_activity_count,
        round(recency_hours, 6) AS recency_hours FROM samples""", SEQ_CTES))
 def q_sequence_samples(spark, d):
     s = _samples(spark, d)
     return s.select(
         "user_id", "target_event_id", "target_item_idx", "target_event_type", "target_weight",
         F.size("seq_item_idx").cast("bigint").alias("seq_len"),
-        F.element_at("seq_item_idx", 1).alias("first_item_idx"),
-        F.element_at("seq_item_idx", -1).alias("last_item_idx"),
-        F.aggregate("seq_event_ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("event_id_sum"),
+        F.array_join(F.col("seq_item_idx").cast("array<string>"), ",").alias("items"),
+        F.array_join(F.col("seq_event_ids").cast("array<string>"), ",").alias("types"),
         r6("avg_spend").alias("avg_spend"), "recent_activity_count", r6("recency_hours").alias("recency_hours"))
 
 
 @register("pad_sequence", with_views(["rev", "products", "image_emb", "text_emb"], """
 SELECT target_event_id, (SELECT max(seq_len) FROM samples) AS padded_len,
-       (SELECT max(seq_len) FROM samples) - seq_len AS n_padding FROM samples""", SEQ_CTES))
+       (SELECT max(seq_len) FROM samples) - seq_len AS n_padding,
+       items || repeat(',0', (SELECT max(seq_len) FROM samples) - seq_len) AS items FROM samples""", SEQ_CTES))
 def q_pad_sequence(spark, d):
     s = Q.pad_sequences(_samples(spark, d), ["seq_item_idx", "seq_event_ids", "seq_time_deltas_hours"])
     return s.select("target_event_id", F.size("seq_item_idx").cast("bigint").alias("padded_len"),
-                    F.size(F.filter("padding_mask", lambda m: m)).cast("bigint").alias("n_padding"))
+                    F.size(F.filter("padding_mask", lambda m: m)).cast("bigint").alias("n_padding"),
+                    F.array_join(F.col("seq_item_idx").cast("array<string>"), ",").alias("items"))
 
 
 @register("user_payload", with_views(["rev", "products", "image_emb", "text_emb"], f"""
@@ -87,14 +91,17 @@ def q_user_payload(spark, d):
                     r6("recency_hours").alias("recency_hours"))
 
 
+ZEROS = "'" + ",".join(["0"] * 64) + "'"
+
+
 @register("item_features", with_views(["products", "image_emb", "text_emb"], """
-SELECT 0 AS item_idx, NULL AS item_id, 0 AS category_idx, 0 AS brand_idx, 0.0 AS img0, 0.0 AS txt0
+SELECT 0 AS item_idx, NULL AS item_id, 0 AS category_idx, 0 AS brand_idx, {zeros} AS image_vector, {zeros} AS text_vector
 UNION ALL
-SELECT ix.item_idx, ix.item_id, coalesce(c.idx, 1), coalesce(b.idx, 1),
-       round(coalesce(i.embedding[1], 0.0), 6), round(coalesce(t.embedding[1], 0.0), 6)
+SELECT ix.item_idx, ix.item_id, coalesce(c.idx, 1), coalesce(b.idx, 1), {image}, {text}
 FROM ix JOIN products p ON p.item_id = ix.item_id
 LEFT JOIN image_emb i ON i.item_id = ix.item_id LEFT JOIN text_emb t ON t.item_id = ix.item_id
-LEFT JOIN cidx c ON c.value = coalesce(p.category, 'unknown') LEFT JOIN bidx b ON b.value = coalesce(p.brand, 'unknown')""",
+LEFT JOIN cidx c ON c.value = coalesce(p.category, 'unknown') LEFT JOIN bidx b ON b.value = coalesce(p.brand, 'unknown')""".format(
+    zeros=ZEROS, image=f"coalesce({vec_text_sql('i.embedding')}, {ZEROS})", text=f"coalesce({vec_text_sql('t.embedding')}, {ZEROS})"),
                                        """
 ix AS (SELECT item_id, row_number() OVER (ORDER BY item_id) AS item_idx FROM products),
 cidx AS (SELECT value, row_number() OVER (ORDER BY value) + 1 AS idx FROM (SELECT DISTINCT category AS value
@@ -105,8 +112,8 @@ def q_item_features(spark, d):
     prods = X.products(spark, d)
     items, cats, brands = P.index_maps(prods)
     f = Q.item_features(items, prods, X.image_emb(spark, d), X.text_emb(spark, d), cats, brands, 64, 64)
-    return f.select("item_idx", "item_id", "category_idx", "brand_idx", r6(F.col("image_vec")[0]).alias("img0"),
-                    r6(F.col("text_vec")[0]).alias("txt0"))
+    return f.select("item_idx", "item_id", "category_idx", "brand_idx", vec_text("image_vec").alias("image_vector"),
+                    vec_text("text_vec").alias("text_vector"))
 
 
 @register("dwell_time", with_views(["ev"], """
@@ -170,22 +177,12 @@ def q_learned_embeddings(spark, d):
 
 @register("neural_then_rank")
 def q_neural_then_rank(spark, d):
-    """Retrieve by learned vectors (purchased excluded), score, top 10."""
-    from shoplens.operators import candidates as C
-    from shoplens.operators import features as FE
-    from shoplens.operators import ranking as R
-    from shoplens.operators.vectors import vector_topn
+    """Candidates by learned vectors (purchased excluded), rankers trained on them, top 10 (rows-only: models)."""
     from shoplens.plans.q_vectors import ranker_products
-    ev = X.rank_events(spark, d)
+    ev, prods = X.rank_events(spark, d), cut_lineage(ranker_products(spark, d))
     _, users, items = Q.learned_embeddings(ev, rank=8, max_iter=5)
-    top = vector_topn(users, items, 30)
-    top = C.exclude_pairs(top, C.purchased_pairs(ev)).withColumnRenamed("score", "similarity_score")
-    prods = ranker_products(spark, d)
-    feats = FE.build_features(top, ev, prods, X.image_emb(spark, d), recency_days=7)
-    feats = feats.join(top.select("user_id", "item_id", F.col("similarity_score").alias("neural_similarity")),
-                       ["user_id", "item_id"])
-    scored = feats.withColumn("raw_score", R.linear_score("neural_similarity"))
-    return R.rank_topk(scored, 10, "raw_score").select("user_id", "item_id", "rank")
+    ranked, _ = Q.neural_then_rank(users, items, ev, prods, X.image_emb(spark, d), n=30, recency_days=7, max_iter=5)
+    return ranked.select("user_id", "item_id", "rank", r6("ranking_score").alias("ranking_score"))
 
 
 @register("retrieval_metrics")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shoplens.operators import analytics as A
 from shoplens.operators import checkout as K
-from shoplens.plans.base import r6, register, ts_text
+from shoplens.plans.base import register, ts_text, vec_text, vec_text_sql
+from shoplens.session import cut_lineage, ensure_checkpoint_dir
 from shoplens.sources import catalog as SC
 from shoplens.sources import fixtures as X
 from shoplens.sources import sinks as SK
@@ -30,19 +33,19 @@ def q_conform(spark, d):
                                   "category": (["p_type"], "fashion")})
 
 
-@register("embeddings_positional", with_views(["image_emb"], """
-SELECT p.item_id, round(e.embedding[1], 6) AS e0 FROM
+@register("embeddings_positional", with_views(["image_emb"], f"""
+SELECT p.item_id, {vec_text_sql('e.embedding')} AS vector FROM
   (SELECT CAST(p_partkey AS VARCHAR) AS item_id, row_number() OVER (ORDER BY p_partkey) - 1 AS pos FROM part) p
 JOIN (SELECT vec_id AS pos, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings) e ON e.pos = p.pos"""))
 def q_embeddings_positional(spark, d):
     cat = X.table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("item_id"), "p_partkey")
     m = X.table(spark, d, "embeddings").select(F.col("vec_id").alias("pos"), "embedding")
     out = SC.embeddings_from_matrix(m, cat, [F.col("item_id").cast("long")])
-    return out.select("item_id", r6(F.col("embedding")[0]).alias("e0"))
+    return out.select("item_id", vec_text("embedding").alias("vector"))
 
 
-@register("embeddings_parallel", """
-SELECT CAST(i AS VARCHAR) AS item_id, round(v[1], 6) AS e0 FROM (
+@register("embeddings_parallel", f"""
+SELECT CAST(i AS VARCHAR) AS item_id, {vec_text_sql('v')} AS vector FROM (
   SELECT unnest(ids[1:least(len(ids), len(vecs))]) AS i, unnest(vecs[1:least(len(ids), len(vecs))]) AS v FROM (
     SELECT label, list(vec_id ORDER BY vec_id) AS ids,
            list(CAST(embedding AS DOUBLE[]) ORDER BY vec_id)[2:] AS vecs FROM embeddings GROUP BY label))""")
@@ -53,7 +56,7 @@ def q_embeddings_parallel(spark, d):
         F.sort_array(F.collect_list(F.struct("vec_id", "embedding"))).alias("_s")).select(
         F.transform("_s", lambda s: s["vec_id"]).alias("product_ids"),
         F.expr("slice(transform(_s, s -> s.embedding), 2, size(_s))").alias("vectors"))
-    return SC.embeddings_from_parallel(chunks).select("item_id", r6(F.col("embedding")[0]).alias("e0"))
+    return SC.embeddings_from_parallel(chunks).select("item_id", vec_text("embedding").alias("vector"))
 
 
 @register("upsert_products", """
@@ -171,31 +174,56 @@ def _retr_sql():
 
 
 @register("log_impressions", with_views(["carts", "products", "image_emb"], """
-SELECT DISTINCT cart_id AS user_id, cart_id AS user_email, CAST(item_id AS BIGINT) AS item_id, 'checkout' AS source
-FROM retr""", _retr_sql()))
+SELECT DISTINCT cart_id AS user_id, cart_id AS user_email, CAST(item_id AS BIGINT) AS item_id, 'checkout' AS source,
+       rank <= 3 AS shown_before FROM retr""", _retr_sql()))
 def q_log_impressions(spark, d):
-    """Shown checkout items become impression rows."""
-    return SK.log_impressions(None, _shown(spark, d)).select("user_id", "user_email", "item_id", "source")
-
-
-@register("checkout_tracker", with_views(["carts", "products", "image_emb"], """
-SELECT 'cart_item' AS row_type, user_id AS user_email, item_id, true AS added_to_cart FROM carts
+    """Shown checkout items become impression rows; then all are shown again, twice, and only new ones are added."""
+    shown = cut_lineage(_shown(spark, d))
+    logged = cut_lineage(SK.log_impressions(None, shown.where("rank <= 3")))
+    new = SK.log_impressions(logged, shown.unionByName(shown))
+    columns = ["user_id", "user_email", "item_id", "source"]
+    return logged.select(*columns, F.lit(True).alias("shown_before")).unionByName(new.select(*columns, F.lit(False).alias("shown_before")))
+
+
+# the log's latest buyers: their rows are written a second time
+BUYERS = """
+late AS (SELECT DISTINCT user_id FROM ev WHERE event_type = 'purchase' AND ts >= (SELECT max(ts) FROM ev) - INTERVAL 1 DAY),
+write2 AS (SELECT 'cart_item' AS row_type, user_id, item_id, true AS added, 0 AS shown_rank FROM carts
+           WHERE quantity >= 2 AND user_id IN (SELECT user_id FROM late)
+           UNION ALL SELECT 'recommendation', cart_id, item_id, false, rank FROM retr WHERE rank > 3 AND cart_id IN (SELECT user_id FROM late)),
+write1 AS (SELECT 'cart_item' AS row_type, user_id, item_id, true AS added, 0 AS shown_rank FROM carts
+          UNION ALL SELECT 'recommendation', cart_id, item_id, false, rank FROM retr WHERE rank <= 3),
+written AS (SELECT * FROM write2 UNION ALL SELECT * FROM write1 f
+         WHERE NOT EXISTS (SELECT 1 FROM write2 s WHERE s.user_id = f.user_id AND s.row_type = f.row_type)),
+kept AS (SELECT * FROM written QUALIFY row_number() OVER (PARTITION BY user_id, item_id ORDER BY row_type) = 1)"""
+
+
+@register("checkout_tracker", with_views(["ev", "carts", "products", "image_emb"], """
+SELECT row_type, user_id AS user_email, item_id, added OR c.n IS NOT NULL AS added_to_cart, shown_rank
+FROM kept k LEFT JOIN (SELECT user_id AS u, item_id AS i, 1 AS n FROM carts) c ON c.u = k.user_id AND c.i = k.item_id
 UNION ALL
-SELECT 'recommendation', cart_id, item_id, false FROM retr""", _retr_sql()))
+SELECT 'recommendation', user_id, item_id, true, NULL FROM carts c
+WHERE NOT EXISTS (SELECT 1 FROM kept k WHERE k.user_id = c.user_id AND k.item_id = c.item_id)""", _retr_sql() + "," + BUYERS))
 def q_checkout_tracker(spark, d):
-    """J21 + J22: tracker rows for every cart, then the cart adds flagged."""
+    """J21 + J22 on a stored tracker: rows of every cart, the latest buyers' rows again, then all adds, each given twice."""
     from shoplens.plans.q_checkout import _carts
-    carts = _carts(spark, d)
-    prods = X.products(spark, d)
-    cart_rows = carts.join(prods.select("item_id", "product_name", "price"), "item_id", "left").select(
+    carts, prods, ev = cut_lineage(_carts(spark, d)), X.products(spark, d), X.events(spark, d)
+    named = prods.select("item_id", "product_name", "price")
+    cart_rows = carts.join(named, "item_id", "left").select(
         F.col("cart_id").alias("user_email"), F.lit(None).cast("string").alias("session_id"),
         F.lit("checkout").alias("source"), "item_id", "product_name", "price", "quantity", "added_at")
-    shown = _shown(spark, d).join(prods.select("item_id", "product_name", "price"), "item_id", "left")
+    shown = cut_lineage(_shown(spark, d)).join(named, "item_id", "left")
     rec_rows = shown.select(
         F.col("user_id").alias("user_email"), "session_id", "source", "item_id", "product_name", "price", "rank",
         "similarity_score", F.lit(None).cast("double").alias("ranking_score"),
         F.col("similarity_score").alias("fallback_score"),
         F.lit(None).cast("double").alias("lgbm_ranking_score"), F.lit(None).cast("double").alias("xgboost_ranking_score"))
-    tracker = SK.checkout_tracker(None, cart_rows, rec_rows)
+    cutoff = ev.select(F.max("ts")).scalar() - F.make_interval(days=F.lit(1))
+    late = ev.where((F.col("event_type") == "purchase") & (F.col("ts") >= cutoff)).select(F.col("user_id").alias("user_email")).distinct()
+    table = SK.tracker_table(spark, f"{ensure_checkpoint_dir(spark)}/tracker-{uuid.uuid4().hex[:12]}")
+    SK.save_tracker(table, cart_rows, rec_rows.where("rank <= 3"), 0)
+    SK.save_tracker(table, cart_rows.where("quantity >= 2").join(late, "user_email", "left_semi"),
+                    rec_rows.where("rank > 3").join(late, "user_email", "left_semi"), 1)
     adds = cart_rows.select("user_email", "session_id", "source", "item_id", "added_at")
-    return SK.mark_added(tracker, adds).select("row_type", "user_email", "item_id", "added_to_cart")
+    SK.save_added(table, adds.unionByName(adds), 2)
+    return table.read().select("row_type", "user_email", "item_id", "added_to_cart", F.col("shown_rank").cast("bigint").alias("shown_rank"))

@@ -9,7 +9,7 @@ from shoplens.functions.weights import INTERACTION_DEFAULT, INTERACTION_WEIGHTS,
 from shoplens.operators import candidates as C
 from shoplens.operators import profiles as P
 from shoplens.operators import vectors as VO
-from shoplens.plans.base import r6, register
+from shoplens.plans.base import r6, register, vec_text, vec_text_sql
 from shoplens.sources import fixtures as X
 from shoplens.sources.fixtures import with_views
 
@@ -39,13 +39,12 @@ comb0 AS (SELECT i.item_id, list_transform(list_zip(i.embedding, t.embedding), l
 comb AS (SELECT item_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS embedding FROM comb0)"""
 
 
-@register("combine_embeddings", with_views(["image_emb", "text_emb"], """
-SELECT item_id, round(embedding[1], 6) AS e0, round(embedding[64], 6) AS e63,
+@register("combine_embeddings", with_views(["image_emb", "text_emb"], f"""
+SELECT item_id, {vec_text_sql('embedding')} AS vector,
        round(sqrt(list_dot_product(embedding, embedding)), 6) AS norm FROM comb""", COMB_SQL))
 def q_combine(spark, d):
     c = VO.combine_embeddings(X.image_emb(spark, d), X.text_emb(spark, d), 0.6, 0.4)
-    return c.select("item_id", r6(F.col("embedding")[0]).alias("e0"), r6(F.col("embedding")[63]).alias("e63"),
-                    r6(V.l2_norm("embedding")).alias("norm"))
+    return c.select("item_id", vec_text("embedding").alias("vector"), r6(V.l2_norm("embedding")).alias("norm"))
 
 
 QV_SQL = f"""
@@ -60,20 +59,19 @@ qv AS (SELECT user_id, CASE WHEN sqrt(list_dot_product(v, v)) > 0
                             THEN list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) ELSE v END AS v FROM qv0)"""
 
 
-@register("query_vector", with_views(["rev", "products", "image_emb"], """
-SELECT user_id, round(v[1], 6) AS q0, round(v[17], 6) AS q16,
+@register("query_vector", with_views(["rev", "products", "image_emb"], f"""
+SELECT user_id, {vec_text_sql('v')} AS vector,
        round(sqrt(list_dot_product(v, v)), 6) AS norm FROM qv""", QV_SQL))
 def q_query_vector(spark, d):
     from shoplens.operators.analytics import recent_events
     win = recent_events(X.rank_events(spark, d), 7)
     items = VO.embedded_items(X.image_emb(spark, d), X.products(spark, d))
     q = VO.query_vectors(win, items)
-    return q.select("user_id", r6(F.col("vector")[0]).alias("q0"), r6(F.col("vector")[16]).alias("q16"),
-                    r6(V.l2_norm("vector")).alias("norm"))
+    return q.select("user_id", vec_text("vector").alias("vector"), r6(V.l2_norm("vector")).alias("norm"))
 
 
-@register("context_vectors", with_views(["rev", "products", "image_emb"], """
-SELECT u.user_id, round(c.v[1], 6) AS cart0, round(k.v[1], 6) AS click0
+@register("context_vectors", with_views(["rev", "products", "image_emb"], f"""
+SELECT u.user_id, {vec_text_sql('c.v')} AS cart_vector, {vec_text_sql('k.v')} AS click_vector
 FROM (SELECT DISTINCT user_id FROM win) u
 LEFT JOIN cv c ON c.user_id = u.user_id AND c.kind = 'cart'
 LEFT JOIN cv k ON k.user_id = u.user_id AND k.kind = 'click'""", QV_SQL.split("terms AS")[0] + """
@@ -90,7 +88,7 @@ def q_context_vectors(spark, d):
     win = recent_events(X.rank_events(spark, d), 7)
     items = VO.embedded_items(X.image_emb(spark, d), X.products(spark, d))
     c = VO.context_vectors(win, items)
-    return c.select("user_id", r6(F.col("cart_vec")[0]).alias("cart0"), r6(F.col("click_vec")[0]).alias("click0"))
+    return c.select("user_id", vec_text("cart_vec").alias("cart_vector"), vec_text("click_vec").alias("click_vector"))
 
 
 CAND_SQL = QV_SQL + """,

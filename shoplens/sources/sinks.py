@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoplens.functions.scalars import tracking_key
+from shoplens.sources.tables import VersionedTable
 
 
 # A7 / A9 / A11 ----------------------------------------------------------------
@@ -52,7 +53,10 @@ def log_impressions(existing: DataFrame | None, shown: DataFrame) -> DataFrame:
         F.col("item_id").isNotNull())
     s = s.withColumn("user_email", F.coalesce(F.nullif(F.trim("user_email"), F.lit("")), F.col("user_id")))
     s = s.withColumn("_session_key", F.coalesce(F.col("session_id").cast("long"), F.lit(-1)))
-    s = s.dropDuplicates(IMPRESSION_KEY)
+    # of repeated impressions the one of the best rank stays, then the first by its content
+    order = [F.asc_nulls_last("rank")] if "rank" in s.columns else []
+    w = Window.partitionBy(*IMPRESSION_KEY).orderBy(*order, F.xxhash64(*s.columns))
+    s = s.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
     if existing is not None:
         ex = existing.withColumn("_session_key", F.coalesce(F.col("session_id").cast("long"), F.lit(-1))) \
             .select(*IMPRESSION_KEY)
@@ -69,7 +73,8 @@ TRACKER_COLUMNS = ["row_type", "user_email", "session_id", "source", "item_id",
 def checkout_tracker(existing: DataFrame | None, cart_rows: DataFrame, rec_rows: DataFrame) -> DataFrame:
     """New tracker state: cart rows (rank 0, scores 0, already added) and shown
     recommendations replace the (user, session, source, row_type) slices they
-    cover; one row per tracking key, the latest write kept."""
+    cover; one row per tracking key: the latest write, of one write the cart row,
+    then the one of the best rank, then the first by its content."""
     cart = cart_rows.select(
         F.lit("cart_item").alias("row_type"), "user_email", "session_id", "source", "item_id", "product_name",
         "price", "quantity", F.lit(0).alias("shown_rank"), F.lit(0.0).alias("similarity_score"),
@@ -93,16 +98,17 @@ def checkout_tracker(existing: DataFrame | None, cart_rows: DataFrame, rec_rows:
                .join(covered, "_slice", "left_anti").drop("_slice").withColumn("_w", F.lit(0)))
         new = old.unionByName(new)
     key = tracking_key("user_email", "session_id", "source", "item_id")
-    w = Window.partitionBy(key).orderBy(F.desc("_w"))
+    w = Window.partitionBy(key).orderBy(F.desc("_w"), "row_type", F.asc_nulls_last("shown_rank"), F.xxhash64(*TRACKER_COLUMNS))
     return new.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k", "_w")
 
 
 # J22 ------------------------------------------------------------------------
 def mark_added(tracker: DataFrame, adds: DataFrame) -> DataFrame:
     """Flag tracked rows that were added to the cart; adds with no tracked row
-    become new recommendation rows (with a row_type, unlike the reference)."""
+    become new recommendation rows (with a row_type, unlike the reference).
+    Of several adds of one key the first counts."""
     key = tracking_key("user_email", "session_id", "source", "item_id")
-    a = adds.select(key.alias("_key"), "user_email", "session_id", "source", "item_id", F.col("added_at"))
+    a = adds.groupBy(key.alias("_key"), "user_email", "session_id", "source", "item_id").agg(F.min("added_at").alias("added_at"))
     t = tracker.withColumn("_key", key)
     upd = (t.join(a.select("_key", "added_at"), "_key", "left")
            .withColumn("added_to_cart", F.col("added_to_cart") | F.col("added_at").isNotNull())
@@ -116,3 +122,31 @@ def mark_added(tracker: DataFrame, adds: DataFrame) -> DataFrame:
           ("similarity_score", "ranking_score", "lgbm_ranking_score", "xgboost_ranking_score")],
         F.lit(True).alias("added_to_cart"), F.col("added_at").alias("added_to_cart_at"), "_key")
     return upd.unionByName(ins, allowMissingColumns=True).drop("_key")
+
+
+# J21 / J22 as a table ---------------------------------------------------------
+TRACKER_SCHEMA = ("row_type string, user_email string, session_id string, source string, item_id string, product_name string, "
+                  "price double, quantity long, shown_rank int, similarity_score double, ranking_score double, "
+                  "lgbm_ranking_score double, xgboost_ranking_score double, added_to_cart boolean, added_to_cart_at timestamp")
+
+
+def tracker_table(spark, folder: str) -> VersionedTable:
+    """The tracker as a versioned table; all rows of a user share a bucket, so a write rewrites its users' buckets."""
+    return VersionedTable(spark, folder, spark.createDataFrame([], TRACKER_SCHEMA).schema, ["user_email"])
+
+
+def _as_tracker(df: DataFrame) -> DataFrame:
+    schema = df.sparkSession.createDataFrame([], TRACKER_SCHEMA).schema
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
+def save_tracker(table: VersionedTable, cart_rows: DataFrame, rec_rows: DataFrame, version: int) -> None:
+    """Write a checkout's rows as ``version``; running it again changes nothing."""
+    new = _as_tracker(checkout_tracker(None, cart_rows, rec_rows))
+    table.upsert(new, version, lambda old, _: _as_tracker(checkout_tracker(old, cart_rows, rec_rows)))
+
+
+def save_added(table: VersionedTable, adds: DataFrame, version: int) -> None:
+    """Write the adds to the cart as ``version``."""
+    rows = mark_added(table.before(version).limit(0), adds)
+    table.upsert(_as_tracker(rows), version, lambda old, _: _as_tracker(mark_added(old, adds)))

@@ -73,6 +73,9 @@ def live_kpis(events: DataFrame, window: str = "1 day", slide: str | None = None
 
 # K7 -------------------------------------------------------------------------
 def live_sessions(events: DataFrame, gap: str = "30 minutes", watermark: str = "1 hour") -> DataFrame:
+    """Sessions of the users. Each task first merges its own rows into sessions, so
+    that of a user with very many events only sessions reach one task."""
+    events.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     return (events.withWatermark("ts", watermark).groupBy("user_id", F.session_window("ts", gap).alias("s"))
             .agg(F.count(F.lit(1)).alias("n_events"))
             .select("user_id", F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"),
