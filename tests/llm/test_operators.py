@@ -127,6 +127,27 @@ def test_tagger_finds_secrets_that_patterns_would():
     assert secret_scan.find_spans(pa.array(["one the dehe of Arin is 12 of the one"]), field) == [[]]
 
 
+def test_tagger_finds_planted_secrets_that_no_pattern_has(spark):
+    """Keys in words without a keyword of the patterns, fitted on a table's own spans; nothing else is added."""
+    rng = random.Random(4)
+    rows = [(r["doc_id"], r["text"]) for r in pq.read_table("/root/testdata/sf0.01/documents.parquet").to_pylist()]
+    field = secret_scan.train(docs_of(spark, rows))
+    added = [x for spans in secret_scan.find_spans(pa.array([t for _, t in rows]), field) for x in spans if x[1] == 3]
+    assert len(added) <= 3
+    alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    kinds = {"hex": lambda: "".join(rng.choices("0123456789abcdef", k=20)), "base64": lambda: "".join(rng.choices(alnum + "+/", k=32)),
+             "prefixed": lambda: "ghp_" + "".join(rng.choices(alnum, k=36)), "dashed": lambda: "sk-live-" + "".join(rng.choices(alnum[26:], k=24))}
+    for make in kinds.values():
+        texts, places = [], []
+        for _ in range(100):
+            words, key = rng.choice(rows)[1].split(" ")[:80], make()
+            at = rng.randrange(len(words) + 1)
+            texts.append(" ".join([*words[:at], "the", "passphrase", "is", key, *words[at:]]))
+            places.append(texts[-1].index(key))
+        found = secret_scan.find_spans(pa.array(texts), field)
+        assert sum(any(k == 3 and s <= a < e for s, k, e in spans) for a, spans in zip(places, found)) >= 70
+
+
 def test_quality_held_out_accuracy_and_odd_rows(spark):
     got = {r["doc_id"]: r for r in QUERIES["op4_quality"](spark, "/root/testdata/sf0.01").where("held_out").collect()}
     labels = {r["doc_id"]: r["quality"] for r in pq.read_table("/root/testdata/sf0.01/labels.parquet").to_pylist()}
@@ -138,6 +159,26 @@ def test_quality_held_out_accuracy_and_odd_rows(spark):
     assert [r["score"] for r in empty.collect()] == pytest.approx([0.5] * len(ODD))
 
 
+def test_compiled_rules_equal_plain_evaluation(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = quality.train(docs, spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
+    assert model.rules
+    rows = docs.orderBy("doc_id").select("doc_id", "text").collect()
+    stats = quality.statistics(pa.array([r["text"] for r in rows]))
+    got = {r["doc_id"]: r["s"] for r in quality.with_statistics(docs, "doc_id").select("doc_id", model.score().alias("s")).collect()}
+    for r, x in zip(rows, stats):
+        z = model.intercept + sum(w for rule, w in model.rules if all(x[at] <= cut if op == "<=" else x[at] > cut for at, op, cut in rule))
+        assert got[r["doc_id"]] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-12)
+
+
+def test_languages_are_bounded_and_repeats_harmless(spark):
+    rows = [(i, f"wort und satz nummer {i} " * 5, f"x{i % 9}") for i in range(90)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert len(language_id.train(docs, max_langs=4).names) == 4
+    once = language_id.train(docs.distinct(), ref_docs=3)
+    assert language_id.train(docs, ref_docs=6).names == once.names
+
+
 @pytest.mark.parametrize("keys", [5_000_000, 0])
 def test_cascade_is_exact(spark, monkeypatch, keys):
     monkeypatch.setattr(url_filter, "MAX_KEYS", keys)
