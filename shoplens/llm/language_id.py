@@ -148,18 +148,21 @@ class Model:
                 np.where(letters, np.clip(score, 0, 1), 0.0))
 
 
-def train(docs: DataFrame, ref_docs: int = 60, ref_chars: int = 24_000) -> Model:
+def train(docs: DataFrame, ref_docs: int = 60, ref_chars: int = 24_000, max_langs: int = 64) -> Model:
     """Reference texts from rows with text, lang and an id that isn't held out.
 
-    The bound: ``ref_docs`` documents a language, first by hash of the id, of
-    which ``ref_chars`` characters in all are kept (24 KB a language by default).
+    The bounds: the ``max_langs`` languages with most such documents (ties by
+    name); of each ``ref_docs`` documents, first by hash of the id, of which
+    ``ref_chars`` characters in all are kept (24 KB a language by default).
     """
     known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
+    most = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).select("lang")
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.select("doc_id", "lang").withColumn("rank", F.row_number().over(first)) \
-        .where(F.col("rank") <= ref_docs)
+    ids = known.select("doc_id", "lang").join(F.broadcast(most), "lang").withColumn("rank", F.row_number().over(first)) \
+        .where(F.col("rank") <= ref_docs).groupBy("doc_id", "lang").agg(F.min("rank").alias("rank"))
     rows = known.select("doc_id", "lang", F.substring("text", 1, ref_chars).alias("text")) \
-        .join(F.broadcast(ids), ["doc_id", "lang"]).collect()  # ref_docs rows a language
+        .join(F.broadcast(ids), ["doc_id", "lang"]) \
+        .groupBy("doc_id", "lang", "rank").agg(F.min("text").alias("text")).collect()  # ref_docs rows a language
     texts: dict[str, str] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["rank"], r["text"])):
         have = texts.get(r["lang"], "")
