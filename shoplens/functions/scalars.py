@@ -286,24 +286,31 @@ def _first_of(value: Column, table: list[tuple[str, list[str]]], other: Column,
     return expr.otherwise(other)
 
 
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value evaluated once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def title_case(text) -> Column:
     """Letters after a non-letter in upper case, all others in lower case."""
-    chars = F.split(F.lower(_c(text)), "")
-    return F.array_join(F.transform(chars, lambda c, i: F.when(
-        (i == 0) | ~F.get(chars, i - 1).rlike(r"\p{L}"), F.upper(c)).otherwise(c)), "")
+    def turn(chars: Column) -> Column:
+        return F.array_join(F.transform(chars, lambda c, i: F.when(
+            (i == 0) | ~F.get(chars, i - 1).rlike(r"\p{L}"), F.upper(c)).otherwise(c)), "")
+    return _bound(F.split(F.lower(_c(text)), ""), turn)
 
 
 def app_type_label(value) -> Column:
     """Canonical label of a product type text, else the text in title case; blank: 'Unknown'."""
     raw = F.trim(F.coalesce(_c(value).cast("string"), F.lit("Unknown")))
-    raw = F.when(raw == "", F.lit("Unknown")).otherwise(raw)
-    return _first_of(F.lower(raw), APP_TYPE_LABELS, title_case(raw))
+    return _bound(F.when(raw == "", F.lit("Unknown")).otherwise(raw),
+                  lambda x: _first_of(F.lower(x), APP_TYPE_LABELS, title_case(x)))
 
 
 def app_type_from_name(name) -> Column:
     """Second rule set over the lower-cased name, as a label; 'Unknown' when none matches."""
-    found = _first_of(F.lower(F.coalesce(_c(name).cast("string"), F.lit(""))), APP_TYPE_KEYWORDS, F.lit(None), contains=True)
-    return F.when(found.isNull(), F.lit("Unknown")).otherwise(app_type_label(found))
+    labels = {t: label for label, texts in APP_TYPE_LABELS for t in texts}
+    table = [(labels.get(kind, kind.title()), words) for kind, words in APP_TYPE_KEYWORDS]
+    return _first_of(F.lower(F.coalesce(_c(name).cast("string"), F.lit(""))), table, F.lit("Unknown"), contains=True)
 
 
 def app_product_type(article_type, sub_category, category, name) -> Column:
