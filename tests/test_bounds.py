@@ -112,3 +112,30 @@ def test_candidates_are_full_whatever_was_bought(spark):
     assert not bought & set(next(r["s"] for r in got if r["user_id"] == "u"))
     cut = C.candidates(ev, products, emb, top_n=5, recency_days=30, overfetch=3).where("user_id = 'u'").count()
     assert cut < 5
+
+
+def test_keyword_search_equals_scoring_every_product(spark):
+    """Groups of products with equal texts, ties in price, missing prices and budgets."""
+    rng = random.Random(9)
+    fields = [f for f, _ in SE.KEYWORD_FIELDS]
+    rows = []
+    for i in range(400):
+        texts = [rng.choice(("red ring", "blue ring", "steel watch", None, "ring watch")), rng.choice(("ring", "watch", None)),
+                 rng.choice(("jewel", None)), rng.choice(("accessories", "ring box")), rng.choice(("men", "women", None))]
+        rows.append((f"i{i:03d}", rng.choice((None, 10.0, 10.0, 20.0, float(i))), *texts))
+    products = spark.createDataFrame(rows, "item_id string, price double, " + ", ".join(f"{f} string" for f in fields))
+    queries = [("a", "red ring"), ("b", "watch under 20"), ("c", "ring watch below 15"), ("d", "nothing here"), ("e", "jewel men")]
+    q = spark.createDataFrame(queries, "query_id string, query string")
+    got = {}
+    for r in SE.keyword_search(q, products, limit=6).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["item_id"], r["relevance_score"]))
+    variants = SE.S.TERM_VARIANTS
+    terms = {"a": ["red", "ring"], "b": ["watch"], "c": ["ring", "watch"], "d": ["nothing", "here"], "e": ["jewel", "men"]}
+    budget = {"b": 20, "c": 15}
+    for name, ts in terms.items():
+        scored = []
+        for item, price, *texts in rows:
+            score = sum(w for (_, w), text in zip(SE.KEYWORD_FIELDS, texts) for t in ts for v in variants.get(t, [t]) if v in (text or ""))
+            if score and (name not in budget or price is not None and price <= budget[name]):
+                scored.append((-score, price is not None, price or 0, item))
+        assert got.get(name, []) == [(i, -s) for s, _, _, i in sorted(scored)[:6]]
