@@ -190,6 +190,24 @@ def q_recommend(spark, d):
     return out.withColumn("rank", F.col("rank").cast("bigint"))
 
 
+OWN_SCORE = "f.retrieval_similarity - 0.001 * f.item_price + 0.2 * f.user_interacted_brand"
+
+
+@register("recommend_own_scorer", with_views(VIEWS, """
+SELECT t.user_id, t.rank, t.item_id, round(t.ranking_score, 4) AS ranking_score FROM top t""",
+                                             RECO_CTES.replace("""f.retrieval_similarity + 0.10 * f.item_popularity_score
+                   + 0.05 * f.item_ctr_score AS raw_score""", OWN_SCORE + " AS raw_score")))
+def q_recommend_own_scorer(spark, d):
+    """L1 / L2: a feature added by a caller's builder and a caller's scorer that uses it."""
+    ev, prods, emb = _inputs(spark, d)
+    cands = _cands(ev, prods, emb)
+    feats = FE.build_features(cands, ev, prods, emb, recency_days=7, extra=lambda df: df.withColumn(
+        "brand_bonus", F.lit(0.2) * F.col("user_interacted_brand")))
+    out = R.recommend(feats, cands, prods, top_k=10, scorer=lambda df: df.withColumn(
+        "raw_score", F.col("retrieval_similarity") - F.lit(0.001) * F.col("item_price") + F.col("brand_bonus")))
+    return out.select("user_id", F.col("rank").cast("bigint").alias("rank"), "item_id", "ranking_score")
+
+
 @register("diversity_rerank", with_views(VIEWS, """
 SELECT user_id, item_id, rank, dcat AS category FROM top""", RECO_CTES))
 def q_diversity(spark, d):

@@ -169,10 +169,9 @@ def q_dedup_keep(spark, d):
 
 @register("learned_embeddings")
 def q_learned_embeddings(spark, d):
-    """Implicit ALS factors (rows-only: iterative solver)."""
+    """Implicit ALS factors, shown by each user's five nearest items (rows-only: iterative solver)."""
     _, users, items = Q.learned_embeddings(X.rank_events(spark, d), rank=8, max_iter=5)
-    return users.select("user_id", F.size("vector").alias("dim")).unionByName(
-        items.select(F.col("item_id").alias("user_id"), F.size("embedding").alias("dim")))
+    return Q.vector_topn(users, items, 5).select("user_id", "item_id", "rank", r6("score").alias("score"))
 
 
 @register("neural_then_rank")

@@ -34,11 +34,17 @@ def safe_user_token(user: Column, keep: str = r"[^A-Za-z0-9\-_@.+]") -> Column:
     return F.when(t == "", F.lit("unknown_user")).otherwise(t)
 
 
-def export_recommendations(recs: DataFrame, path: str, user_col: str = "user_id") -> None:
-    """One CSV folder per user token (partitioned write, no driver loop)."""
-    (recs.withColumn("user_token", safe_user_token(F.col(user_col)))
-     .repartition("user_token").write.mode("overwrite").partitionBy("user_token")
-     .option("header", True).csv(path))
+def export_recommendations(recs: DataFrame, path: str, user_col: str = "user_id", buckets: int | None = None) -> None:
+    """CSV lists by user token, written without a driver loop: a folder for each
+    token, or with ``buckets`` so many folders, in whose files the token is a
+    column (for more users than a store should have folders)."""
+    out = recs.withColumn("user_token", safe_user_token(F.col(user_col)))
+    if buckets is None:
+        out = out.repartition("user_token")
+    else:
+        out = out.withColumn("bucket", F.pmod(F.xxhash64("user_token"), F.lit(buckets))).repartition(buckets, "bucket") \
+            .sortWithinPartitions("bucket", "user_token")
+    out.write.mode("overwrite").partitionBy("user_token" if buckets is None else "bucket").option("header", True).csv(path)
 
 
 # A15 ------------------------------------------------------------------------
