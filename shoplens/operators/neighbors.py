@@ -172,8 +172,10 @@ def _class_search(rows: DataFrame, k: int, prune: bool | None, block: int, slice
     entries, n_rows, lowest = facts
     blocks = max(1, -(-n_rows // block), min(spark.sparkContext.defaultParallelism, n_rows // 64))
     blocked = rows.withColumn("block", F.pmod(F.xxhash64("u"), F.lit(blocks)))
+    # list entries to send if nothing is pruned, in all and to the block that needs most
+    to_send, largest = blocked.select("block", "f", "df").distinct().groupBy("block").agg(F.sum("df").alias("n")) \
+        .agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
     if prune is None:
-        to_send = blocked.select("block", "f", "df").distinct().agg(F.sum("df")).first()[0] or 0
         prune = to_send > PRUNE_FROM * entries
     if prune and entries and lowest > 0:
         least = cut_lineage(_least_similarity(rows, k, seed_entries))
@@ -190,11 +192,11 @@ def _class_search(rows: DataFrame, k: int, prune: bool | None, block: int, slice
         queries = queries.join(need.withColumn("_s", F.lit(True)), ["block", "f"], "left") \
             .withColumn("sent", F.coalesce("_s", F.lit(False))).drop("_s", "needed")
         queries = cut_lineage(queries)
+        sizes = need.join(rows.select("f", "df").distinct(), "f").groupBy("block").agg(F.sum("df").alias("n"))
+        largest = sizes.agg(F.max("n")).first()[0] or 0
     else:
         queries = blocked.withColumn("least", F.lit(0.0)).withColumn("sent", F.lit(True))
         need = blocked.select("block", "f").distinct()
-    sizes = need.join(rows.select("f", "df").distinct(), "f").groupBy("block").agg(F.sum("df").alias("n"))
-    largest = sizes.agg(F.max("n")).first()[0] or 0
     slices = max(1, -(-largest // slice_entries))
     lists = rows.select("f", F.col("u").alias("v"), "w", "norm", F.pmod(F.xxhash64("u"), F.lit(slices)).alias("slice")) \
         .join(need, "f").select(*[F.col(c).alias(c) for c in ("block", "slice", "f", "v", "w", "norm")])
