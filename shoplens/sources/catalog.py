@@ -117,16 +117,12 @@ def pick_similarity_table(candidates: Sequence[DataFrame]) -> DataFrame | None:
     return None
 
 
-SIMILARITY_FILES = ["top5_similar_products_faiss_filtered_simple.csv", "top5_similar_products_faiss_filtered.csv",
-                    "top5_similar_products.csv"]  # fixed names, looked for first
-
-
-def scan_similarity_table(spark: SparkSession, folders: Sequence[str]) -> DataFrame | None:
+def scan_similarity_table(spark: SparkSession, folders: Sequence[str], preferred: Sequence[str] = ()) -> DataFrame | None:
     """First CSV or Parquet table of the folders with rows and the columns of a similarity table.
 
-    Folders in order; in a folder the fixed names come first, then all others by
-    name. Folders that aren't there are passed over. Paths are listed and read
-    by Spark, so they may lie in any store it knows.
+    Folders in order; in a folder the ``preferred`` file names come first, then
+    all others by name. Folders that aren't there are passed over. Paths are
+    listed and read by Spark, so they may lie in any store it knows.
     """
     for folder in folders:
         try:
@@ -134,7 +130,7 @@ def scan_similarity_table(spark: SparkSession, folders: Sequence[str]) -> DataFr
         except AnalysisException:
             continue
         names = sorted(r["path"].rsplit("/", 1)[-1] for r in files)
-        names = [n for n in SIMILARITY_FILES if n in names] + [n for n in names if n not in SIMILARITY_FILES]
+        names = [n for n in preferred if n in names] + [n for n in names if n not in preferred]
         for name in names:
             at = f"{folder.rstrip('/')}/{name}"
             if name.lower().endswith(".csv"):

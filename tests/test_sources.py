@@ -78,11 +78,12 @@ def test_similarity_table_is_the_first_complete_file(spark, tmp_path):
     a.mkdir()
     b.mkdir()
     assert SC.scan_similarity_table(spark, [str(tmp_path / "missing"), str(a)]) is None
-    (a / "top5_similar_products.csv").write_text("query_id,similar_id,similarity_score\n")    # no rows
+    (a / "best.csv").write_text("query_id,similar_id,similarity_score\n")    # no rows
     (a / "notes.csv").write_text("query_id,other\n1,2\n")
     (a / "z.csv").write_text("query_id,similar_id,similarity_score\n7,8,0.25\n")
-    (b / "top5_similar_products.csv").write_text("query_id,similar_id,similarity_score\n1,2,0.5\n")
+    (b / "best.csv").write_text("query_id,similar_id,similarity_score\n1,2,0.5\n")
     (b / "a.csv").write_text("query_id,similar_id,similarity_score\n3,4,0.5\n")
-    got = SC.scan_similarity_table(spark, [str(tmp_path / "missing"), str(a), str(b)]).collect()
+    got = SC.scan_similarity_table(spark, [str(tmp_path / "missing"), str(a), str(b)], ["best.csv"]).collect()
     assert [(r.query_id, r.similar_id, r.similarity_score) for r in got] == [("7", "8", 0.25)]
-    assert SC.scan_similarity_table(spark, [str(b)]).first().query_id == "1"
+    assert SC.scan_similarity_table(spark, [str(b)], ["best.csv"]).first().query_id == "1"
+    assert SC.scan_similarity_table(spark, [str(b)]).first().query_id == "3"
