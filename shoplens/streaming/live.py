@@ -109,18 +109,18 @@ def write_batch(batch: DataFrame, folder: str, batch_id: int) -> None:
 
 
 def run_available(stream: DataFrame, name: str, keys: list[str] | None = None,
-                  output_mode: str = "append", folder: str | None = None) -> DataFrame:
+                  output_mode: str = "append", folder: str | None = None, buckets: int = 16) -> DataFrame:
     """Run ``stream`` over all currently available input and return its result table.
 
     append: rows are written as produced, each micro-batch into a folder of its
     id. update/complete: the rows are upserts of a table with one row for each
     value of ``keys`` (see :class:`VersionedTable`), so a reader reads one
-    version. A stream with a ``folder`` goes on there where its last run ended.
+    version; a batch rewrites only the ``buckets`` it touches. A stream with a ``folder`` goes on there where its last run ended.
     """
     spark = stream.sparkSession
     base = folder or _fresh_dir(spark, name)
     if keys:
-        table = VersionedTable(spark, f"{base}/table", stream.schema, keys)
+        table = VersionedTable(spark, f"{base}/table", stream.schema, keys, buckets)
         step = lambda batch, i: table.upsert(batch, i)
     else:
         _start_table(spark, f"{base}/out", stream.schema)
