@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from shoplens.session import cut_lineage, ensure_checkpoint_dir
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def held_out(doc_id: Column) -> Column:
