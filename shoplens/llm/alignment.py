@@ -49,21 +49,24 @@ class Vocabulary:
         return self.chars[np.repeat(self.at[ids] - (upto - size), size) + np.arange(upto[-1] if len(upto) else 0)]
 
     def word_ids(self, words: list[str], sizes: np.ndarray) -> Ids:
-        """Ids of words, by calls with many words at a time: neither vocabulary joins across a word's start.
+        """Ids of words, by calls with many words at a time: neither vocabulary joins across a word's start
+        unless the word before it ends in a space (pieces of several spaces), so a call ends there.
 
         A word has none where their bytes aren't its own.
         """
         ends = np.cumsum(sizes, dtype=np.int64)
         first = np.searchsorted(ends, np.arange(0, ends[-1], CALL_BYTES), "right")
-        first = np.append(np.unique(first), len(words))
+        spaced = np.flatnonzero(np.fromiter((w.endswith(" ") for w in words), bool, len(words))) + 1
+        first = np.union1d(np.union1d(first, spaced), [len(words)])
         texts = ["".join(words[i:j]) for i, j in zip(first.tolist(), first[1:].tolist())]
         got_ids, got_ends, base = [], [], 0
         for text, ids, i, j in zip(texts, self.encode(texts), first.tolist(), first[1:].tolist()):
             ids = np.array(ids, np.uint32)
             raw = np.frombuffer(text.encode(), np.uint8)
             upto = np.cumsum(self.size[ids])
-            at = np.searchsorted(upto, ends[i:j] - (ends[i - 1] if i else 0))
-            if not (len(upto) and upto[-1] == len(raw) and (self.bytes_of(ids) == raw).all()):
+            own_ends = ends[i:j] - (ends[i - 1] if i else 0)
+            at = np.searchsorted(upto, own_ends)
+            if not (len(upto) and upto[-1] == len(raw) and (upto[at] == own_ends).all() and (self.bytes_of(ids) == raw).all()):
                 own = self.encode(words[i:j])
                 own = [x if b"".join([self.token[t] for t in x]) == w.encode() else [] for x, w in zip(own, words[i:j])]
                 ids = np.fromiter((t for x in own for t in x), np.uint32)

@@ -92,3 +92,15 @@ def test_lockstep_and_groups_on_random_cuts():
 
 def test_empty_table(spark):
     assert alignment.align_all(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_words_that_end_in_spaces_join_with_no_other_word():
+    """B has pieces of several spaces: a text's last spaces must not meet the next word of the same call."""
+    import public_tokenizers as P
+    import pyarrow as pa
+
+    from shoplens.llm.words import WordIds
+    a, b = alignment.byte_level(P.path("byte_bpe_50k.tiktoken")), alignment.pieces(P.path("piece_bpe_32k.model"))
+    texts = ["end  ", "next word", "    ", "²²²", "a \n  ", "x\t    ", "last é    ", "中文", "  b   ", "end"]
+    got = alignment.align(pa.array(texts), WordIds([a.word_ids, b.word_ids]), a, b)
+    assert [(*n, d) for n, d in zip(got.numbers.tolist(), got.digests)] == [(*w[:4], w[6]) for w in plain(texts)]
