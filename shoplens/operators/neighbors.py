@@ -38,6 +38,7 @@ CHUNK = 2048             # candidates whose scores a task holds at a time
 SLICE_ENTRIES = 2_000_000  # list entries of a block's slice, about
 SEED_ENTRIES = 256       # list entries looked at for a row's first bound
 PRUNE_FROM = 8           # lists to send, as a multiple of the data, from which pruning pays
+DENSE = 64               # a product of a matrix costs about this part of one that is looked up
 ROUNDING = 1e-9
 
 
@@ -54,17 +55,21 @@ def _products(qrow, qf, qv, crow, cf, cv, nq: int, nc: int, features: int) -> np
     total = int(pairs.sum())
     if not total:
         return out
-    if total > nq * nc * max(1, np.count_nonzero(pairs)) // 4:
+    shared = np.flatnonzero(pairs)
+    if total > nq * nc * len(shared) // DENSE:
+        place = np.full(features, -1)
+        place[shared] = np.arange(len(shared))
+        qf, cf = place[qf], place[cf]
         step = max(1, 16_000_000 // (nq + nc))
-        for lo in range(0, features, step):
-            q_in, c_in = (qf >= lo) & (qf < lo + step), (cf >= lo) & (cf < lo + step)
-            q, c = np.zeros((nq, step)), np.zeros((nc, step))
+        for lo in range(0, len(shared), step):
+            width = min(step, len(shared) - lo)
+            q_in, c_in = (qf >= lo) & (qf < lo + width), (cf >= lo) & (cf < lo + width)
+            q, c = np.zeros((nq, width)), np.zeros((nc, width))
             q[qrow[q_in], qf[q_in] - lo] = qv[q_in]
             c[crow[c_in], cf[c_in] - lo] = cv[c_in]
             out += q @ c.T
         return out
     q_at, c_at = np.cumsum(n_q) - n_q, np.cumsum(n_c) - n_c
-    shared = np.flatnonzero(pairs)
     upto = np.cumsum(pairs[shared])
     flat = out.ravel()
     lo = 0
@@ -79,20 +84,27 @@ def _products(qrow, qf, qv, crow, cf, cv, nq: int, nc: int, features: int) -> np
     return out
 
 
-def _best(scores: np.ndarray, slack: np.ndarray, least: np.ndarray, rank: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of what may be among a row's k best: exact rows give k, others all within their slack."""
+def _best(scores: np.ndarray, slack: np.ndarray, least: np.ndarray, rank: np.ndarray, k: int, listed: bool = False
+          ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, place in the row) of what may be among a row's k best: exact rows give k, others all within their slack.
+
+    ``listed``: all rows are exact and ``least`` is the score of a k-th row already found.
+    """
     n = scores.shape[1]
-    kth = np.partition(scores, n - k, axis=1)[:, n - k] if k < n else np.full(len(scores), -np.inf)
-    floor = np.maximum(least, kth) - slack - np.where(slack > 0, ROUNDING, 0)
-    qi, ci = np.nonzero((scores >= floor[:, None]) & (scores + slack[:, None] > 0))
+    if listed:
+        qi, ci = np.nonzero(scores >= np.maximum(least, np.nextafter(0, 1))[:, None])
+    else:
+        kth = np.partition(scores, n - k, axis=1)[:, n - k] if k < n else np.full(len(scores), -np.inf)
+        floor = np.maximum(least, kth) - slack - np.where(slack > 0, ROUNDING, 0)
+        qi, ci = np.nonzero((scores >= floor[:, None]) & (scores + slack[:, None] > 0))
     order = np.lexsort((rank[ci], -scores[qi, ci], qi))
     qi, ci = qi[order], ci[order]
     if not len(qi):
-        return qi, ci
+        return qi, ci, qi
     first = np.flatnonzero(np.r_[True, qi[1:] != qi[:-1]])
     place = np.arange(len(qi)) - np.repeat(first, np.diff(np.r_[first, len(qi)]))
     keep = (place < k) | (slack[qi] > 0)
-    return qi[keep], ci[keep]
+    return qi[keep], ci[keep], place[keep]
 
 
 def _codes(column) -> tuple[np.ndarray, pa.Array]:
@@ -123,14 +135,22 @@ def _search(queries: DataFrame, lists: DataFrame, k: int) -> DataFrame:
             rank[pc.array_sort_indices(ckeys).to_numpy()] = np.arange(len(ckeys))
             order = np.argsort(crow, kind="stable")
             upto = np.searchsorted(crow[order], np.arange(0, len(ckeys) + CHUNK, CHUNK))
+            exact, listed, best = not slack.any(), False, np.full((len(qkeys), k), -np.inf)
             for j, (s, e) in enumerate(zip(upto[:-1], upto[1:])):
                 own, at = order[s:e], slice(j * CHUNK, min((j + 1) * CHUNK, len(ckeys)))
                 nc = at.stop - at.start
                 if nc <= 0:
                     continue
                 dot = _products(qrow[sent], qf[sent], qv[sent], crow[own] - at.start, cf[own], cv[own], len(qkeys), nc, len(names))
-                low = dot / (norm_q[:, None] * norm_c[None, at])
-                qi, ci = _best(low, slack, least, rank[at], k)
+                low = norm_q[:, None] * norm_c[None, at]
+                np.divide(dot, low, out=low)
+                qi, ci, place = _best(low, slack, least, rank[at], k, listed)
+                if exact:  # later chunks need only what reaches the k-th row so far
+                    own_best = np.full((len(qkeys), k), -np.inf)
+                    own_best[qi, place] = low[qi, ci]
+                    best = -np.partition(-np.concatenate([best, own_best], axis=1), k - 1, axis=1)[:, :k]
+                    least = np.maximum(least, best.min(axis=1))
+                    listed = bool(np.isfinite(best).all())
                 parts.append(pa.table({"q": qkeys.take(pa.array(qi)), "c": ckeys.take(pa.array(ci + at.start)),
                                        "dot": dot[qi, ci], "low": low[qi, ci], "slack": slack[qi]}))
         keys = left["u"].slice(0, 0).combine_chunks() if left.num_rows else right["v"].slice(0, 0).combine_chunks()
