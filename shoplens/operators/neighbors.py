@@ -19,10 +19,18 @@ are not sent for that row. Blocks then hold rows whose most frequent needed
 feature is the same or near in frequency, so that a frequent list goes to few
 blocks. What a feature that was not sent may still add is bounded by the
 remaining norm, and only pairs that can make the list are completed by a join.
+
+Where features are shared by few rows on the average (many items, each bought
+by some users), lists would be sent to almost every block. Then whole rows are
+dealt to square tiles instead: a row is sent once for each block of the other
+side, and there are no more blocks than the entries that a task can hold ask
+for. A tile expands only the products of shared features.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -40,6 +48,9 @@ SEED_ENTRIES = 256       # list entries looked at for a row's first bound
 PRUNE_FROM = 8           # lists to send, as a multiple of the data, from which pruning pays
 DENSE = 64               # a product of a matrix costs about this part of one that is looked up
 ROUNDING = 1e-9
+SPARSE = 512             # products of shared features, as a multiple of the data, up to which tiles expand them
+TILE_ENTRIES = 4_000_000  # entries of either side of a tile, about
+EXPANDED = 2_000_000     # products that a tile holds at a time
 
 
 def _products(qrow, qf, qv, crow, cf, cv, nq: int, nc: int, features: int) -> np.ndarray:
@@ -161,6 +172,76 @@ def _search(queries: DataFrame, lists: DataFrame, k: int) -> DataFrame:
     return queries.groupBy("block", "slice").cogroup(lists.groupBy("block", "slice")).applyInArrow(kernel, schema)
 
 
+def _block_arrays(table: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys and norms of the rows, and row, feature and value of their entries, features in order within a row."""
+    table = table.combine_chunks()
+    lists = table["fs"].chunk(0)
+    lens = lists.value_lengths().to_numpy(zero_copy_only=False)
+    row, f = np.repeat(np.arange(len(lens)), lens), lists.flatten().to_numpy(zero_copy_only=False)
+    w = table["ws"].chunk(0).flatten().to_numpy(zero_copy_only=False)
+    order = np.lexsort((f, row))
+    return table["u"].chunk(0), table["norm"].to_numpy(), row, f[order], w[order]
+
+
+def _tile(left: pa.Table, right: pa.Table, k: int, expanded: int = EXPANDED) -> pa.Table:
+    """(q, c, low): of each row of ``left`` the k best of ``right``; only shared features are multiplied."""
+    parts = [pa.table({"q": left["u"].slice(0, 0), "c": left["u"].slice(0, 0), "low": pa.array([], pa.float64())})]
+    if left.num_rows and right.num_rows:
+        qkeys, norm_q, qrow, qf, qv = _block_arrays(left)
+        ckeys, norm_c, crow, cf, cv = _block_arrays(right)
+        order = np.argsort(cf, kind="stable")
+        crow, cv = crow[order], cv[order]
+        names, start, times = np.unique(cf[order], return_index=True, return_counts=True)
+        rank = np.empty(len(ckeys), np.int64)
+        rank[pc.array_sort_indices(ckeys).to_numpy()] = np.arange(len(ckeys))
+        at = np.minimum(np.searchsorted(names, qf), len(names) - 1)
+        met = names[at] == qf
+        qrow, qv, at = qrow[met], qv[met], at[met]
+        upto = np.cumsum(times[at])
+        ends = np.searchsorted(qrow, np.arange(len(qkeys)), "right")  # entries up to the end of each row
+        row, lo = 0, 0
+        while lo < len(qrow):
+            done = int(upto[lo - 1]) if lo else 0
+            most = int(np.searchsorted(upto, done + expanded, "right"))
+            row = max(int(np.searchsorted(ends, most, "right")) - 1, int(qrow[lo]))  # whole rows, one at least
+            hi = int(ends[row])
+            n = times[at[lo:hi]]
+            entry = np.repeat(np.arange(lo, hi), n)
+            c = start[at[entry]] + np.arange(len(entry)) - np.repeat(upto[lo:hi] - n - done, n)
+            pair = qrow[entry] * len(ckeys) + crow[c]
+            by_pair = np.argsort(pair, kind="stable")
+            pair = pair[by_pair]
+            first = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
+            dot = np.add.reduceat((qv[entry] * cv[c])[by_pair], first)
+            qi, ci = np.divmod(pair[first], len(ckeys))
+            low = dot / (norm_q[qi] * norm_c[ci])
+            best = np.lexsort((rank[ci], -low, qi))
+            qi, ci, low = qi[best], ci[best], low[best]
+            head = np.flatnonzero(np.r_[True, qi[1:] != qi[:-1]])
+            keep = np.arange(len(qi)) - np.repeat(head, np.diff(np.r_[head, len(qi)])) < k
+            parts.append(pa.table({"q": qkeys.take(pa.array(qi[keep])), "c": ckeys.take(pa.array(ci[keep])), "low": low[keep]}))
+            lo = hi
+    return pa.concat_tables(parts)
+
+
+def _tiles(rows: DataFrame, k: int, entries: int, n_rows: int, tile_entries: int) -> DataFrame:
+    """(q, c, low) of all tiles: each of both sides' blocks meets each of the other's. rows: u, f, w, norm, df."""
+    spark = rows.sparkSession
+    blocks = max(1, -(-entries // tile_entries), min(math.isqrt(2 * spark.sparkContext.defaultParallelism), n_rows // 64))
+    names = cut_lineage(rows.select("f").distinct().select("f", F.monotonically_increasing_id().alias("id")))
+    packed = cut_lineage(rows.join(names, "f").groupBy("u", "norm").agg(F.collect_list(F.struct("id", "w")).alias("e"))
+                         .select("u", "norm", F.col("e.id").alias("fs"), F.col("e.w").alias("ws")))
+    own, other = F.pmod(F.xxhash64("u"), F.lit(blocks)), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>"))
+    left, right = packed.select("*", own.alias("block"), other.alias("slice")), packed.select("*", own.alias("slice"), other.alias("block"))
+    kind = rows.schema["u"].dataType
+    schema = T.StructType([T.StructField("q", kind), T.StructField("c", kind), T.StructField("low", T.DoubleType())])
+
+    def kernel(x: pa.Table, y: pa.Table) -> pa.Table:
+        return _tile(x, y, k)
+
+    return left.groupBy("block", "slice").cogroup(right.groupBy("block", "slice")).applyInArrow(kernel, schema)
+
+
 def _pair_dots(pairs: DataFrame, q_rows: DataFrame, rows: DataFrame) -> DataFrame:
     """(q, c, more): sum of products over the features of ``q_rows`` (u, f, w) that c has, too."""
     own = pairs.select("q", "c").join(q_rows.select(F.col("u").alias("q"), "f", F.col("w").alias("qw")), "q")
@@ -185,11 +266,16 @@ def _least_similarity(rows: DataFrame, k: int, seed_entries: int) -> DataFrame:
         .select(F.col("q").alias("u"), (F.col("sim") - ROUNDING).alias("least"))
 
 
-def _class_search(rows: DataFrame, k: int, prune: bool | None, block: int, slice_entries: int, seed_entries: int) -> DataFrame:
+def _class_search(rows: DataFrame, k: int, prune: bool | None, block: int, slice_entries: int, seed_entries: int,
+                  tile_entries: int = TILE_ENTRIES) -> DataFrame:
     """(q, c, sim): of each row the k most similar rows, itself included, ties by key. rows: u, f, w, norm, df."""
     spark = rows.sparkSession
-    facts = rows.agg(F.count("*"), F.count_distinct("u"), F.min("w")).first()
-    entries, n_rows, lowest = facts
+    facts = rows.agg(F.count("*"), F.count_distinct("u"), F.min("w"), F.coalesce(F.sum("df"), F.lit(0))).first()
+    entries, n_rows, lowest, products = facts
+    by_low = Window.partitionBy("q").orderBy(F.desc("low"), "c")
+    if prune is None and products <= SPARSE * entries:
+        return _tiles(rows, k, entries, n_rows, tile_entries).where("low > 0").withColumn("_r", F.row_number().over(by_low)) \
+            .where(F.col("_r") <= k).select("q", "c", F.col("low").alias("sim"))
     blocks = max(1, -(-n_rows // block), min(spark.sparkContext.defaultParallelism, n_rows // 64))
     blocked = rows.withColumn("block", F.pmod(F.xxhash64("u"), F.lit(blocks)))
     # list entries to send if nothing is pruned, in all and to the block that needs most
@@ -223,7 +309,6 @@ def _class_search(rows: DataFrame, k: int, prune: bool | None, block: int, slice
     sliced = queries.select("block", "u", "f", "w", "norm", "least", "sent", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))
                                                                                        .cast("array<long>")).alias("slice"))
     found = _search(sliced, lists, k)
-    by_low = Window.partitionBy("q").orderBy(F.desc("low"), "c")
     if not prune or not entries or lowest <= 0:
         out = found.select("q", "c", F.col("low").alias("sim"), "low")
     else:
@@ -242,13 +327,14 @@ def _class_search(rows: DataFrame, k: int, prune: bool | None, block: int, slice
 
 def cosine_neighbors(matrix: DataFrame, k: int, *, key: str = "user_id", feature: str = "item_id", value: str = "score",
                      prune: bool | None = None, block: int = BLOCK, slice_entries: int = SLICE_ENTRIES,
-                     seed_entries: int = SEED_ENTRIES) -> DataFrame:
+                     seed_entries: int = SEED_ENTRIES, tile_entries: int = TILE_ENTRIES) -> DataFrame:
     """(q_key, c_key, score, rank): of each key the k other keys of the highest positive cosine, ties by key.
 
     ``matrix`` has one row for each (key, feature); zeros and nulls are no
     entries. Cosine = dot / (|q| * |c|), evaluated in that order, so equal
     inputs give equal scores. ``prune`` forces (or forbids) the pruned search;
-    rows with negative values are never pruned.
+    rows with negative values are never pruned. Left open, sparse overlaps are
+    searched by tiles of whole rows.
     """
     m = cut_lineage(matrix.select(F.col(key).alias("u"), F.col(feature).alias("f"), F.col(value).cast("double").alias("w"))
                     .where("u is not null and f is not null and w <> 0"))
@@ -263,7 +349,7 @@ def cosine_neighbors(matrix: DataFrame, k: int, *, key: str = "user_id", feature
                            .select("u", "head"))
     rows = m.join(heads.select("u", "norm"), "u")
     rows = cut_lineage(rows.join(rows.groupBy("f").agg(F.count("*").alias("df")), "f"))
-    near = _class_search(rows, k + 1, prune, block, slice_entries, seed_entries)
+    near = _class_search(rows, k + 1, prune, block, slice_entries, seed_entries, tile_entries)
     listed = members.select("u", "h", "h2", "n").join(heads.select("h", "h2", "n", F.col("u").alias("c")), ["h", "h2", "n"]) \
         .select("c", F.col("u").alias("c_key"))
     by_sim = Window.partitionBy("q").orderBy(F.desc("sim"), "c_key")

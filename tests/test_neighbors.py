@@ -80,3 +80,28 @@ def test_rank_of_target(spark, cell):
         score = (np.array(v) * np.array(vec[by[q]])).sum()
         assert got[q] == 1 + sum((np.array(v) * np.array(x)).sum() > score for x in vec.values())
     assert len(got) == len(queries)
+
+
+def test_sparse_overlaps_are_searched_by_tiles_of_whole_rows(spark, monkeypatch):
+    """No inverted list is sent to blocks where features are shared by few rows."""
+    from shoplens.operators import neighbors
+    monkeypatch.setattr(neighbors, "_search", None)
+    entries = matrix(5)
+    df = spark.createDataFrame(entries, "user_id string, item_id string, score double")
+    got = sorted((r["user_id"], r["neighbor_id"], r["rank"]) for r in nearest_users(df, 4, tile_entries=300).collect())
+    assert got == [r[:3] for r in brute(entries, 4)]
+
+
+def test_tile_expands_whole_rows_in_parts():
+    import pyarrow as pa
+
+    from shoplens.operators import neighbors
+    rng = np.random.default_rng(4)
+    dense = (rng.random((30, 12)) < .4) * rng.integers(1, 5, (30, 12))
+    lists = [np.flatnonzero(r).tolist() for r in dense]
+    table = pa.table({"u": [f"u{i:02d}" for i in range(30)], "norm": np.sqrt((dense * dense).sum(1)) + 0.0,
+                      "fs": pa.array(lists, pa.list_(pa.int64())), "ws": pa.array([r[i].tolist() for r, i in zip(dense.astype(float), lists)], pa.list_(pa.float64()))})
+    whole = neighbors._tile(table, table, 3).sort_by([("q", "ascending"), ("low", "descending"), ("c", "ascending")])
+    assert whole.num_rows == 90
+    for expanded in (1, 50):
+        assert neighbors._tile(table, table, 3, expanded).sort_by([("q", "ascending"), ("low", "descending"), ("c", "ascending")]).equals(whole)
