@@ -77,3 +77,29 @@ def test_empty_sides(spark):
     for a, b in ((q.limit(0), c), (q, c.limit(0))):
         for cell in (4096, 10):
             assert cells.dense_topk(a, b, 3, q_key="query_id", c_key="item_id", c_vec="embedding", cell=cell).count() == 0
+
+
+def test_vectors_are_sent_once_for_each_tile(spark):
+    """60 cells travel as 6 tiles: a query that visits all cells is sent 6 times, not 60."""
+    rng = np.random.default_rng(6)
+    c = spark.createDataFrame([(f"i{i:04d}", rng.normal(size=8).tolist(), None) for i in range(1200)], "c_key string, c_vec array<double>, value double")
+    q = spark.createDataFrame([(f"q{i}", rng.normal(size=8).tolist(), None, 3, float("-inf")) for i in range(40)],
+                              "q_key string, q_vec array<double>, limit double, depth long, least double")
+    _, own = cells._deal(c, 60, 250)
+    tiles = cells._tiles(own, 250)
+    held = np.zeros(int((tiles + own.blocks).max()))
+    for t, b, n in zip(tiles, own.blocks, own.rows):
+        held[t:t + b] += n / b
+    assert len(held) <= 10 and held.max() <= 250 and held.sum() == 1200
+    sent = cells._tile_route(q, spark.sparkContext.broadcast(own), tiles, True)
+    assert sent.count() <= 40 * len(held) and sent.groupBy("q_key", "tile").count().where("count > 1").count() == 0
+
+
+def test_ties_are_scored_in_parts(monkeypatch):
+    """Exact scores of many pairs never need all their vectors at once."""
+    sizes, plain = [], cells._pair_scores
+    monkeypatch.setattr(cells, "PAIRS", 1000)
+    monkeypatch.setattr(cells, "_pair_scores", lambda a, b: sizes.append(len(a)) or plain(a, b))
+    ones = np.ones((100, 4))
+    qi, ci, score = cells.best_pairs(ones, ones, np.full(100, 100), np.arange(100), None, None)
+    assert len(qi) == 10_000 and (score == 4).all() and max(sizes) <= 1000
