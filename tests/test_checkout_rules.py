@@ -123,3 +123,18 @@ def test_tracker_on_stored_table(spark, tmp_path):
         SK.save_added(t, adds.drop("product_name", "price", "quantity"), 2)
     assert state(t) == [("cart_item", "a", "2", True), ("cart_item", "b", "1", True), ("recommendation", "a", "3", True),
                         ("recommendation", "a", "4", False), ("recommendation", "b", "2", False), ("recommendation", "b", "3", True)]
+
+
+def test_pairs_of_a_carts_types_do_not_grow_with_the_combinations(spark, monkeypatch):
+    """60 brands of one type with 5 items each: a cart's 5 best need at most 15 rows and not the 300."""
+    rows = [(f"i{b:02d}{k}", f"Brand{chr(97 + b % 26)}{chr(97 + b // 26)} ring {k}", "ring", "b", float(10 + 7 * b % 50 + k), True, "men")
+            for b in range(60) for k in range(5)]
+    products = spark.createDataFrame(rows, PRODUCTS)
+    carts = spark.createDataFrame([(f"c{n}", f"i{n:02d}4", 1) for n in range(20)], "cart_id string, item_id string, quantity int")
+    seen, plain = [], K.cut_lineage
+    monkeypatch.setattr(K, "cut_lineage", lambda df: seen.append(plain(df)) or seen[-1])
+    got = sorted((r["cart_id"], r["item_id"]) for r in K.metadata_candidates(products, carts, 5).collect())
+    pairs = [df.count() for df in seen if df.columns == ["cart_id", "item_id"]]
+    assert len(pairs) > 1 and max(pairs) <= 20 * (5 + 1) * (5 + 2) // 2
+    want = brute([r.asDict() for r in K.item_attributes(products).collect()], {f"c{n}": {f"i{n:02d}4"} for n in range(20)}, 5)
+    assert got == sorted((c, i) for c, i, _ in want)
