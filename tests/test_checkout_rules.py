@@ -138,3 +138,21 @@ def test_pairs_of_a_carts_types_do_not_grow_with_the_combinations(spark, monkeyp
     assert len(pairs) > 1 and max(pairs) <= 20 * (5 + 1) * (5 + 2) // 2
     want = brute([r.asDict() for r in K.item_attributes(products).collect()], {f"c{n}": {f"i{n:02d}4"} for n in range(20)}, 5)
     assert got == sorted((c, i) for c, i, _ in want)
+
+
+def test_similar_products_searches_its_table_once(spark):
+    from shoplens.operators import search as SE
+    table = spark.createDataFrame([(f"i{n}", "red ring", 1, f"i{n + 1}", "blue ring", .5) for n in range(40)],
+                                  "query_id string, query_name string, rank int, similar_id string, similar_name string, similarity_score double")
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    products = spark.createDataFrame([(f"i{n}", "green band", "ring", 1.0) for n in range(42)], "item_id string, product_name string, category string, price double")
+    requests = spark.createDataFrame([("r", "ring"), ("g", "green")], "request_id string, text string")
+    out = SE.similar_products(requests, table.mapInArrow(counted, table.schema), products).collect()
+    assert [r["query_id"] for r in out if r["request_id"] == "r"] == sorted(f"i{n}" for n in range(40))[:5]
+    assert read.value == 40
