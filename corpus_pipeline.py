@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoplens.llm import decontamination, jaccard_join, language_id, packing, secret_scan
-from shoplens.session import ensure_checkpoint_dir
+from shoplens.session import bound_batches, ensure_checkpoint_dir
 
 #: No SQL: language ID, the secret tagger and packing are not expressible in SQL.
 ORACLE_SQL: str | None = None
@@ -29,6 +29,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     any all rows are ``und`` and go. Repeated rows are judged alike and stay;
     columns of any name are kept as they are; an empty table stays empty.
     """
+    bound_batches(spark)
     pred = _free(docs, "lang_pred")
     model = language_id.train(docs)
     found = language_id.classify(docs, model, names=(pred, _free(docs, "lang_score")))
@@ -80,6 +81,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null texts stay null and empty ones empty; repeated rows are treated alike;
     all other columns are kept as they are; an empty table stays empty.
     """
+    bound_batches(spark)
     return secret_scan.redact(docs, secret_scan.train(docs))
 
 
@@ -89,6 +91,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null or empty text is its end id alone; repeated rows are packed each;
     other columns are left behind; an empty table gives no pieces.
     """
+    bound_batches(spark)
     return packing.pack(docs)
 
 

@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shoplens.llm.common import connected_components, cut_lineage, mix, slices, span_hashes, utf8, word_spans
+from shoplens.session import bound_batches
 
 SKETCH_BITS = 20          # 4 MB of counts, whatever the corpus
 BITMAP_BITS = 24          # 2 MB, whatever the corpus; where it is full, the joins behind it do all the work
@@ -36,6 +37,7 @@ BLOCKS = 64
 MORE_HUBS = 4             # stars of the second round
 LARGE = 64                # components from this size on are compared with outsiders in blocks
 BLOCK = 512               # documents on either side of a block
+SHINGLE_BYTES = 1 << 19   # text that is hashed at a time: about 50 bytes of memory for each
 _SEP = np.zeros(256, bool)
 _SEP[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -75,7 +77,7 @@ def _sketch(texts: DataFrame, k: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         total = np.zeros(1 << SKETCH_BITS, np.int64)
-        for part in slices(batches):
+        for part in slices(batches, max_bytes=SHINGLE_BYTES):
             h, _ = shingle_hashes(part.column("text"), k)
             total += np.bincount((h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
         if total.any():
@@ -181,6 +183,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, fragments
     any name are ignored. An empty table gives an empty result.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     texts = docs.select("doc_id", "text")
     sketch = _sketch(texts.select("text"), k)
     order = _classes_of_order(sketch)
@@ -188,7 +191,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85, fragments
     shared = spark.sparkContext.broadcast(order)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, max_bytes=SHINGLE_BYTES):
             h, offs = shingle_hashes(part.column("text"), k)
             sid, size, heads = [], [], []
             for lo, hi in zip(offs[:-1], offs[1:]):
@@ -250,16 +253,14 @@ def _links(texts: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percen
     slot = F.pmod(F.xxhash64("sid"), F.lit(1 << BITMAP_BITS)).alias("slot")
     known = docs.where("sid is not null").select("sid", "n", "head", slot)
 
-    def pick(wanted: bool):
-        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                hit = _hit(copied.value, batch.column("slot").to_numpy())
-                part = batch.filter(pa.array(hit if wanted else ~hit))
-                yield part.select(["sid", "n", "head"])
-        return known.mapInArrow(rows, "sid long, n long, head array<long>")
+    def pick(batches: Iterator[pa.RecordBatch], wanted: bool) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = _hit(copied.value, batch.column("slot").to_numpy())
+            yield batch.filter(pa.array(hit if wanted else ~hit)).select(["sid", "n", "head"])
 
     # only the prefixes of classes with several documents are moved to leave one of each
-    heads = pick(False).union(pick(True).groupBy("sid", "n").agg(F.max("head").alias("head")))
+    several = known.mapInArrow(lambda batches: pick(batches, True), "sid long, n long, head array<long>") \
+        .groupBy("sid", "n").agg(F.max("head").alias("head"))
 
     def spread(bits):
         def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,7 +280,9 @@ def _links(texts: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percen
                         [pa.array(x, t) for x, t in ((tokens.view(np.int64), pa.int64()), (sid, pa.int64()),
                                                      (n, pa.int64()), (pos, pa.int32()))],
                         ["token", "sid", "n", "pos"])
-        return heads.mapInArrow(explode, "token long, sid long, n long, pos int")
+        # single documents are picked and spread in one pass: a task with two passes holds two Python processes
+        schema = "token long, sid long, n long, pos int"
+        return known.mapInArrow(lambda batches: explode(pick(batches, False)), schema).union(several.mapInArrow(explode, schema))
 
     shared_tokens = cut_lineage(spread(None).select("token").groupBy("token").agg(F.count("*").alias("c"))
                                 .where("c > 1").select("token"))
@@ -420,7 +423,7 @@ def _segments(texts: DataFrame, classes: DataFrame, rows: DataFrame, k: int, sha
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = _hit(bits.value, batch.column("slot").to_numpy())
-            for part in slices([batch.filter(pa.array(keep))]):
+            for part in slices([batch.filter(pa.array(keep))], max_bytes=SHINGLE_BYTES):
                 h, offs = shingle_hashes(part.column("text"), k)
                 sid, frag, segs = [], [], []
                 for lo, hi in zip(offs[:-1], offs[1:]):

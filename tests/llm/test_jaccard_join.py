@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import pyarrow as pa
 import pytest
 
 from shoplens.llm import jaccard_join
@@ -60,3 +61,44 @@ def test_empty_repeated_and_null(spark):
     rows = [(7, "one two three four five"), (7, "one two three four five"), (None, "one two three four five"), (9, None)]
     got = {tuple(r) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, schema)).collect()}
     assert got == {(7, 2, 7), (None, 2, 7), (9, 0, 9)}
+
+
+def tree(df):
+    """(depth, node) of each line of the plan."""
+    for line in df._jdf.queryExecution().executedPlan().toString().split("\n"):
+        node = line.lstrip(" :+-*")
+        if node:
+            yield len(line) - len(node), node
+
+
+def test_no_task_holds_two_python_processes(spark, monkeypatch):
+    seen = []
+    keep = jaccard_join.cut_lineage
+    monkeypatch.setattr(jaccard_join, "cut_lineage", lambda df: seen.append(list(tree(df))) or keep(df))
+    docs = spark.createDataFrame(cases(), "doc_id long, text string")
+    jaccard_join.jaccard_components(docs, 4, 85).collect()
+    assert sum("MapInArrow" in node for plan in seen for _, node in plan) >= 4
+    for plan in seen:
+        open_passes = []  # depths of the passes above, since the last shuffle
+        for depth, node in plan:
+            open_passes = [d for d in open_passes if d[0] < depth]
+            if node.startswith(("MapInArrow", "Exchange")):
+                assert not node.startswith("MapInArrow") or not open_passes or not open_passes[-1][1], plan
+                open_passes.append((depth, node.startswith("MapInArrow")))
+
+
+def test_long_texts_come_in_bounded_batches(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    docs = spark.range(0, 160, 1, 1).selectExpr("id as doc_id", "repeat(concat('w', id, ' '), 20000) as text")
+
+    def bytes_of(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    try:
+        spark.conf.set(key, str(64 << 20))
+        assert jaccard_join.jaccard_components(docs, 4, 85).count() == 160
+        assert max(r["n"] for r in docs.mapInArrow(bytes_of, "n long").collect()) < 6 << 20
+    finally:
+        spark.conf.set(key, before)
