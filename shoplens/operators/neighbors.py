@@ -21,15 +21,17 @@ blocks. What a feature that was not sent may still add is bounded by the
 remaining norm, and only pairs that can make the list are completed by a join.
 
 Where features are shared by few rows on the average (many items, each bought
-by some users), lists would be sent to almost every block. Then whole rows are
-dealt to square tiles instead: a row is sent once for each block of the other
-side, and there are no more blocks than the entries that a task can hold ask
-for. A tile expands only the products of shared features.
+by some users), or rows hold a good part of all features, lists would be sent
+to almost every block. Then every block of whole rows meets every other one:
+blocks are written once, packed, and a task of a query block reads them one
+after the other from the shared folder, keeping each row's best so far. So the
+data is on disk once however many blocks there are, and no more than k rows a
+key leave a task. Of two blocks only the products of shared features are formed.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shoplens.operators.analytics import global_row_number
-from shoplens.session import cut_lineage
+from shoplens.session import bound_batches, cut_lineage
 
 BLOCK = 4096             # rows of a block
 CHUNK = 2048             # candidates whose scores a task holds at a time
@@ -48,8 +50,8 @@ SEED_ENTRIES = 256       # list entries looked at for a row's first bound
 PRUNE_FROM = 8           # lists to send, as a multiple of the data, from which pruning pays
 DENSE = 64               # a product of a matrix costs about this part of one that is looked up
 ROUNDING = 1e-9
-SPARSE = 512             # products of shared features, as a multiple of the data, up to which tiles expand them
-TILE_ENTRIES = 4_000_000  # entries of either side of a tile, about
+SPARSE = 4096            # products of shared features, as a multiple of the data, up to which whole blocks meet
+TILE_ENTRIES = 2_000_000  # entries of such a block, about
 EXPANDED = 2_000_000     # products that a tile holds at a time
 
 
@@ -172,74 +174,188 @@ def _search(queries: DataFrame, lists: DataFrame, k: int) -> DataFrame:
     return queries.groupBy("block", "slice").cogroup(lists.groupBy("block", "slice")).applyInArrow(kernel, schema)
 
 
-def _block_arrays(table: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Keys and norms of the rows, and row, feature and value of their entries, features in order within a row."""
-    table = table.combine_chunks()
-    lists = table["fs"].chunk(0)
-    lens = lists.value_lengths().to_numpy(zero_copy_only=False)
-    row, f = np.repeat(np.arange(len(lens)), lens), lists.flatten().to_numpy(zero_copy_only=False)
-    w = table["ws"].chunk(0).flatten().to_numpy(zero_copy_only=False)
-    order = np.lexsort((f, row))
-    return table["u"].chunk(0), table["norm"].to_numpy(), row, f[order], w[order]
+class _Block:
+    """Rows of a block, keys ascending, with their entries by feature and row: names and times of the features, row and value."""
+
+    def __init__(self, keys: np.ndarray, names: np.ndarray, times: np.ndarray, row: np.ndarray, w: np.ndarray) -> None:
+        self.keys, self.names, self.times, self.row, self.w = keys, names, times, row, w
+        self.start = np.cumsum(times) - times
+        self.norm = np.sqrt(np.bincount(row, w * w, len(keys)))
+
+    @staticmethod
+    def of(u: np.ndarray, f: np.ndarray, w: np.ndarray) -> "_Block":
+        keys, row = np.unique(u, return_inverse=True)
+        order = np.lexsort((row, f))
+        names, times = np.unique(f, return_counts=True)
+        return _Block(keys, names, times, row[order].astype(np.int64), w[order])
+
+    def pack(self) -> bytes:
+        parts = [np.array([len(self.keys), len(self.names), len(self.row)]), self.keys, self.names, self.times, self.row]
+        raw = b"".join(np.ascontiguousarray(x, np.int64).tobytes() for x in parts) + np.ascontiguousarray(self.w, np.float64).tobytes()
+        return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+    @staticmethod
+    def unpack(data: bytes) -> "_Block":
+        raw = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd")
+        counts = np.frombuffer(raw, np.int64, 3)
+        at, arrays = 24, []
+        for n, kind in zip((*counts[:2], counts[1], counts[2], counts[2]), (np.int64,) * 4 + (np.float64,)):
+            arrays.append(np.frombuffer(raw, kind, int(n), at))
+            at += int(n) * 8
+        return _Block(*arrays)
+
+    def by_row(self) -> None:
+        """Row, code of the feature and value of the entries, features in order within a row."""
+        order = np.argsort(self.row, kind="stable")
+        code = np.repeat(np.arange(len(self.names)), self.times)
+        self.r_row, self.r_code, self.r_w = self.row[order], code[order], self.w[order]
+        self.r_upto = np.searchsorted(self.r_row, np.arange(len(self.keys) + 1))
+
+
+def _tile_best(q: _Block, c: _Block, k: int, best: Callable[[], np.ndarray], expanded: int = EXPANDED
+               ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query row, candidate row, similarity) by parts: of each query row its k best in c that reach ``best``() so far.
+
+    The cheaper of two exact ways, as in :func:`_products`.
+    """
+    at = np.minimum(np.searchsorted(c.names, q.names), max(len(c.names) - 1, 0))
+    met = c.names[at] == q.names if len(c.names) else np.zeros(len(q.names), bool)
+    times = np.where(met, c.times[at], 0) if len(c.names) else np.zeros(len(q.names), np.int64)
+    total, shared = int((q.times * times).sum()), int(met.sum())
+    if not total:
+        return
+    nc = len(c.keys)
+    if total > len(q.keys) * nc * shared // DENSE:
+        place = np.full(len(c.names), -1)
+        place[at[met]] = np.arange(shared)
+        own = np.where(met, place[at], -1)
+        c.by_row()
+        for lo in range(0, len(q.keys), BLOCK):
+            n = min(BLOCK, len(q.keys) - lo)
+            part = slice(q.r_upto[lo], q.r_upto[lo + n])
+            qf = own[q.r_code[part]]
+            qrow, qv, qf = q.r_row[part][qf >= 0] - lo, q.r_w[part][qf >= 0], qf[qf >= 0]
+            for first in range(0, nc, CHUNK):
+                m = min(CHUNK, nc - first)
+                entries = slice(c.r_upto[first], c.r_upto[first + m])
+                cf = place[c.r_code[entries]]
+                crow, cv, cf = c.r_row[entries][cf >= 0] - first, c.r_w[entries][cf >= 0], cf[cf >= 0]
+                dot = _products(qrow, qf, qv, crow, cf, cv, n, m, shared)
+                low = q.norm[lo:lo + n, None] * c.norm[None, first:first + m]
+                np.divide(dot, low, out=low)
+                least = best()[lo:lo + n]
+                qi, ci, _ = _best(low, np.zeros(n), least, np.arange(m), k, bool(np.isfinite(least).all()))
+                yield qi + lo, ci + first, low[qi, ci]
+        return
+    have = times[q.r_code]
+    keep = np.flatnonzero(have)
+    qrow, qv, n, start = q.r_row[keep], q.r_w[keep], have[keep], c.start[at[q.r_code[keep]]]
+    upto = np.cumsum(n)
+    ends = np.searchsorted(qrow, np.arange(len(q.keys)), "right")  # entries up to the end of each row
+    lo = 0
+    while lo < len(qrow):
+        done = int(upto[lo - 1]) if lo else 0
+        most = int(np.searchsorted(upto, done + expanded, "right"))
+        row = max(int(np.searchsorted(ends, most, "right")) - 1, int(qrow[lo]))  # whole rows, one at least
+        hi = int(ends[row])
+        entry = np.repeat(np.arange(lo, hi), n[lo:hi])
+        other = np.repeat(start[lo:hi] - (upto[lo:hi] - n[lo:hi] - done), n[lo:hi]) + np.arange(len(entry))
+        pair = qrow[entry] * nc + c.row[other]
+        by_pair = np.argsort(pair, kind="stable")
+        pair = pair[by_pair]
+        first = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
+        dot = np.add.reduceat((qv[entry] * c.w[other])[by_pair], first)
+        qi, ci = np.divmod(pair[first], nc)
+        low = dot / (q.norm[qi] * c.norm[ci])
+        reach = np.flatnonzero((low > 0) & (low >= best()[qi]))
+        reach = reach[np.lexsort((ci[reach], -low[reach], qi[reach]))]
+        qi, ci, low = qi[reach], ci[reach], low[reach]
+        if len(qi):
+            head = np.flatnonzero(np.r_[True, qi[1:] != qi[:-1]])
+            listed = np.arange(len(qi)) - np.repeat(head, np.diff(np.r_[head, len(qi)])) < k
+            yield qi[listed], ci[listed], low[listed]
+        lo = hi
 
 
-def _tile(left: pa.Table, right: pa.Table, k: int, expanded: int = EXPANDED) -> pa.Table:
-    """(q, c, low): of each row of ``left`` the k best of ``right``; only shared features are multiplied."""
-    parts = [pa.table({"q": left["u"].slice(0, 0), "c": left["u"].slice(0, 0), "low": pa.array([], pa.float64())})]
-    if left.num_rows and right.num_rows:
-        qkeys, norm_q, qrow, qf, qv = _block_arrays(left)
-        ckeys, norm_c, crow, cf, cv = _block_arrays(right)
-        order = np.argsort(cf, kind="stable")
-        crow, cv = crow[order], cv[order]
-        names, start, times = np.unique(cf[order], return_index=True, return_counts=True)
-        rank = np.empty(len(ckeys), np.int64)
-        rank[pc.array_sort_indices(ckeys).to_numpy()] = np.arange(len(ckeys))
-        at = np.minimum(np.searchsorted(names, qf), len(names) - 1)
-        met = names[at] == qf
-        qrow, qv, at = qrow[met], qv[met], at[met]
-        upto = np.cumsum(times[at])
-        ends = np.searchsorted(qrow, np.arange(len(qkeys)), "right")  # entries up to the end of each row
-        row, lo = 0, 0
-        while lo < len(qrow):
-            done = int(upto[lo - 1]) if lo else 0
-            most = int(np.searchsorted(upto, done + expanded, "right"))
-            row = max(int(np.searchsorted(ends, most, "right")) - 1, int(qrow[lo]))  # whole rows, one at least
-            hi = int(ends[row])
-            n = times[at[lo:hi]]
-            entry = np.repeat(np.arange(lo, hi), n)
-            c = start[at[entry]] + np.arange(len(entry)) - np.repeat(upto[lo:hi] - n - done, n)
-            pair = qrow[entry] * len(ckeys) + crow[c]
-            by_pair = np.argsort(pair, kind="stable")
-            pair = pair[by_pair]
-            first = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
-            dot = np.add.reduceat((qv[entry] * cv[c])[by_pair], first)
-            qi, ci = np.divmod(pair[first], len(ckeys))
-            low = dot / (norm_q[qi] * norm_c[ci])
-            best = np.lexsort((rank[ci], -low, qi))
-            qi, ci, low = qi[best], ci[best], low[best]
-            head = np.flatnonzero(np.r_[True, qi[1:] != qi[:-1]])
-            keep = np.arange(len(qi)) - np.repeat(head, np.diff(np.r_[head, len(qi)])) < k
-            parts.append(pa.table({"q": qkeys.take(pa.array(qi[keep])), "c": ckeys.take(pa.array(ci[keep])), "low": low[keep]}))
-            lo = hi
-    return pa.concat_tables(parts)
+class _Lists:
+    """Each query row's k best so far: score and key, ties by key."""
 
+    def __init__(self, q: _Block, k: int) -> None:
+        q.by_row()
+        self.q, self.k = q, k
+        self.low, self.key = np.full((len(q.keys), k), -np.inf), np.full((len(q.keys), k), np.iinfo(np.int64).max)
 
-def _tiles(rows: DataFrame, k: int, entries: int, n_rows: int, tile_entries: int) -> DataFrame:
-    """(q, c, low) of all tiles: each of both sides' blocks meets each of the other's. rows: u, f, w, norm, df."""
-    spark = rows.sparkSession
-    blocks = max(1, -(-entries // tile_entries), min(math.isqrt(2 * spark.sparkContext.defaultParallelism), n_rows // 64))
-    names = cut_lineage(rows.select("f").distinct().select("f", F.monotonically_increasing_id().alias("id")))
-    packed = cut_lineage(rows.join(names, "f").groupBy("u", "norm").agg(F.collect_list(F.struct("id", "w")).alias("e"))
-                         .select("u", "norm", F.col("e.id").alias("fs"), F.col("e.w").alias("ws")))
-    own, other = F.pmod(F.xxhash64("u"), F.lit(blocks)), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>"))
-    left, right = packed.select("*", own.alias("block"), other.alias("slice")), packed.select("*", own.alias("slice"), other.alias("block"))
-    kind = rows.schema["u"].dataType
-    schema = T.StructType([T.StructField("q", kind), T.StructField("c", kind), T.StructField("low", T.DoubleType())])
+    def least(self) -> np.ndarray:
+        return self.low[:, -1]
 
-    def kernel(x: pa.Table, y: pa.Table) -> pa.Table:
-        return _tile(x, y, k)
+    def add(self, qi: np.ndarray, key: np.ndarray, low: np.ndarray) -> None:
+        rows, at = np.unique(qi, return_inverse=True)
+        at = np.r_[np.repeat(np.arange(len(rows)), self.k), at]
+        low, key = np.r_[self.low[rows].ravel(), low], np.r_[self.key[rows].ravel(), key]
+        order = np.lexsort((key, -low, at))
+        counts = np.bincount(at, minlength=len(rows))
+        first = np.cumsum(counts) - counts
+        take = order[(first[:, None] + np.arange(self.k)[None, :])]
+        self.low[rows], self.key[rows] = low[take], key[take]
 
-    return left.groupBy("block", "slice").cogroup(right.groupBy("block", "slice")).applyInArrow(kernel, schema)
+    def meet(self, c: _Block) -> None:
+        for qi, ci, low in _tile_best(self.q, c, self.k, self.least):
+            self.add(qi, c.keys[ci], low)
+
+    def rows(self) -> pa.RecordBatch:
+        qi, place = np.nonzero(self.low > 0)
+        return pa.RecordBatch.from_arrays([pa.array(self.q.keys[qi]), pa.array(self.key[qi, place]), pa.array(self.low[qi, place])],
+                                          names=["q", "c", "sim"])
+
+
+def _tile(left: pa.Table, right: pa.Table, k: int, expanded: int = EXPANDED) -> pa.Table:
+    """(q, c, low): of each row of ``left`` the k best of ``right``. Rows (u, norm, fs, ws) have u ascending."""
+    def block(table: pa.Table) -> _Block:
+        lists = table["fs"].combine_chunks()
+        row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+        out = _Block.of(row, lists.flatten().to_numpy(zero_copy_only=False), table["ws"].combine_chunks().flatten().to_numpy(zero_copy_only=False))
+        out.by_row()
+        return out
+
+    q, c = block(left), block(right)
+    parts = [pa.table({"q": left["u"].take(pa.array(q.keys[qi])), "c": right["u"].take(pa.array(c.keys[ci])), "low": low})
+             for qi, ci, low in _tile_best(q, c, k, lambda: np.full(len(q.keys), -np.inf), expanded)]
+    return pa.concat_tables(parts) if parts else pa.table({"q": left["u"].slice(0, 0), "c": right["u"].slice(0, 0), "low": pa.array([], pa.float64())})
+
+
+def _streamed(rows: DataFrame, features: DataFrame, k: int, entries: int, n_rows: int, tile_entries: int) -> DataFrame:
+    """(q, c, sim): each row's k best, by blocks that are read one after the other. rows: u (a number), f, w; features: f, id."""
+    spark = rows.sparkSession
+    blocks = max(1, -(-entries // tile_entries), min(spark.sparkContext.defaultParallelism, n_rows // 64))
+    coded = rows.join(features.select("f", "id"), "f").select(F.pmod("u", F.lit(blocks)).alias("block"), "u", "id", "w")
+
+    def pack(table: pa.Table) -> pa.Table:
+        u, f, w = (table[c].to_numpy() for c in ("u", "id", "w"))
+        return pa.table({"block": table["block"].slice(0, 1), "data": pa.array([_Block.of(u, f, w).pack()], pa.binary())})
+
+    packed = cut_lineage(coded.groupBy("block").applyInArrow(pack, "block long, data binary"))
+    # the right side's rows are held by their task, the left side's are read past them: one partition, which every task reads
+    own = packed.repartitionByRange(blocks, "block").select(F.col("block").alias("q_block"), F.col("data").alias("q_data"))
+    met = packed.coalesce(1).select(F.col("data").alias("c_data")).hint("shuffle_replicate_nl").crossJoin(own.hint("shuffle_replicate_nl"))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists: dict[int, _Lists] = {}
+        for batch in batches:
+            names = batch.column("q_block").to_pylist()
+            for i, name in enumerate(names):
+                if name not in lists:
+                    lists[name] = _Lists(_Block.unpack(batch.column("q_data")[i].as_py()), k)
+                lists[name].meet(_Block.unpack(batch.column("c_data")[i].as_py()))
+        for found in lists.values():
+            yield found.rows()
+
+    size = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(size, None)
+    bound_batches(spark)  # a packed block is one row: none waits for another
+    try:
+        return cut_lineage(met.mapInArrow(search, "q long, c long, sim double"))
+    finally:
+        spark.conf.unset(size) if before is None else spark.conf.set(size, before)
 
 
 def _pair_dots(pairs: DataFrame, q_rows: DataFrame, rows: DataFrame) -> DataFrame:
@@ -266,16 +382,18 @@ def _least_similarity(rows: DataFrame, k: int, seed_entries: int) -> DataFrame:
         .select(F.col("q").alias("u"), (F.col("sim") - ROUNDING).alias("least"))
 
 
-def _class_search(rows: DataFrame, k: int, prune: bool | None, block: int, slice_entries: int, seed_entries: int,
+def _class_search(rows: DataFrame, n_rows: int, k: int, prune: bool | None, block: int, slice_entries: int, seed_entries: int,
                   tile_entries: int = TILE_ENTRIES) -> DataFrame:
-    """(q, c, sim): of each row the k most similar rows, itself included, ties by key. rows: u, f, w, norm, df."""
+    """(q, c, sim): of each row the k most similar rows, itself included, ties by key. rows: u (a number), f, w, norm."""
     spark = rows.sparkSession
-    facts = rows.agg(F.count("*"), F.count_distinct("u"), F.min("w"), F.coalesce(F.sum("df"), F.lit(0))).first()
-    entries, n_rows, lowest, products = facts
+    features = cut_lineage(global_row_number(rows.groupBy("f").agg(F.count("*").alias("df")), [F.col("f")], "id"))
+    entries, n_features, products = features.agg(F.coalesce(F.sum("df"), F.lit(0)), F.count("*"),
+                                                 F.coalesce(F.sum(F.col("df").cast("double") * F.col("df")), F.lit(0.0))).first()
     by_low = Window.partitionBy("q").orderBy(F.desc("low"), "c")
-    if prune is None and products <= SPARSE * entries:
-        return _tiles(rows, k, entries, n_rows, tile_entries).where("low > 0").withColumn("_r", F.row_number().over(by_low)) \
-            .where(F.col("_r") <= k).select("q", "c", F.col("low").alias("sim"))
+    if prune is None and (products <= SPARSE * entries or n_rows * n_rows * n_features <= DENSE * products):
+        return _streamed(rows.select("u", "f", "w"), features, k, entries, n_rows, tile_entries)
+    lowest = rows.agg(F.min("w")).first()[0]
+    rows = cut_lineage(rows.join(features.select("f", "df"), "f"))
     blocks = max(1, -(-n_rows // block), min(spark.sparkContext.defaultParallelism, n_rows // 64))
     blocked = rows.withColumn("block", F.pmod(F.xxhash64("u"), F.lit(blocks)))
     # list entries to send if nothing is pruned, in all and to the block that needs most
@@ -327,34 +445,36 @@ def _class_search(rows: DataFrame, k: int, prune: bool | None, block: int, slice
 
 def cosine_neighbors(matrix: DataFrame, k: int, *, key: str = "user_id", feature: str = "item_id", value: str = "score",
                      prune: bool | None = None, block: int = BLOCK, slice_entries: int = SLICE_ENTRIES,
-                     seed_entries: int = SEED_ENTRIES, tile_entries: int = TILE_ENTRIES) -> DataFrame:
+                     seed_entries: int = SEED_ENTRIES, tile_entries: int = TILE_ENTRIES,
+                     written: bool = False) -> DataFrame:
     """(q_key, c_key, score, rank): of each key the k other keys of the highest positive cosine, ties by key.
 
     ``matrix`` has one row for each (key, feature); zeros and nulls are no
     entries. Cosine = dot / (|q| * |c|), evaluated in that order, so equal
     inputs give equal scores. ``prune`` forces (or forbids) the pruned search;
-    rows with negative values are never pruned. Left open, sparse overlaps are
-    searched by tiles of whole rows.
+    rows with negative values are never pruned. Left open, sparse overlaps and
+    dense rows are searched by blocks of whole rows, ``tile_entries`` at a time.
+    ``written``: the matrix is materialised, so it needs no copy.
     """
-    m = cut_lineage(matrix.select(F.col(key).alias("u"), F.col(feature).alias("f"), F.col(value).cast("double").alias("w"))
-                    .where("u is not null and f is not null and w <> 0"))
+    m = matrix.select(F.col(key).alias("u"), F.col(feature).alias("f"), F.col(value).cast("double").alias("w")) \
+        .where("u is not null and f is not null and w <> 0")
+    m = m if written else cut_lineage(m)
     per_key = m.groupBy("u").agg(F.sum(F.xxhash64("f", "w").cast("decimal(38,0)")).alias("h"),
                                  F.sum(F.hash("w", "f")).alias("h2"), F.count("*").alias("n"),
                                  F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     classes = Window.partitionBy("h", "h2", "n").orderBy("u")
     # a list, with the key itself in it, holds k + 1 keys: no class needs more members
     members = cut_lineage(per_key.withColumn("_r", F.row_number().over(classes)).where(F.col("_r") <= k + 1))
-    heads = members.where("_r = 1").select("u", "norm", "h", "h2", "n")
-    of_class = cut_lineage(per_key.drop("norm").join(heads.select("h", "h2", "n", F.col("u").alias("head")), ["h", "h2", "n"])
-                           .select("u", "head"))
-    rows = m.join(heads.select("u", "norm"), "u")
-    rows = cut_lineage(rows.join(rows.groupBy("f").agg(F.count("*").alias("df")), "f"))
-    near = _class_search(rows, k + 1, prune, block, slice_entries, seed_entries, tile_entries)
-    listed = members.select("u", "h", "h2", "n").join(heads.select("h", "h2", "n", F.col("u").alias("c")), ["h", "h2", "n"]) \
+    # a class is known by a number, in the order of the first key
+    heads = cut_lineage(global_row_number(members.where("_r = 1").select("u", "norm", "h", "h2", "n"), [F.col("u")], "id"))
+    of_class = cut_lineage(per_key.drop("norm").join(heads.select("h", "h2", "n", "id"), ["h", "h2", "n"]).select("u", "id"))
+    rows = cut_lineage(m.join(heads.select("u", "norm", "id"), "u").select(F.col("id").alias("u"), "f", "w", "norm"))
+    near = _class_search(rows, heads.count(), k + 1, prune, block, slice_entries, seed_entries, tile_entries)
+    listed = members.select("u", "h", "h2", "n").join(heads.select("h", "h2", "n", F.col("id").alias("c")), ["h", "h2", "n"]) \
         .select("c", F.col("u").alias("c_key"))
     by_sim = Window.partitionBy("q").orderBy(F.desc("sim"), "c_key")
     expanded = near.join(listed, "c").withColumn("_r", F.row_number().over(by_sim)).where(F.col("_r") <= k + 1)
     w = Window.partitionBy("q_key").orderBy(F.desc("score"), "c_key")
-    return of_class.select(F.col("u").alias("q_key"), F.col("head").alias("q")).join(expanded, "q") \
+    return of_class.select(F.col("u").alias("q_key"), F.col("id").alias("q")).join(expanded, "q") \
         .where("q_key <> c_key").select("q_key", "c_key", F.col("sim").alias("score")) \
         .withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
