@@ -51,13 +51,15 @@ def user_cf(matrix: DataFrame, top_n: int = 5, neighbors: int = 5,
     """
     # read several times (neighbour search, neighbour rows, seen items): materialise once
     matrix = cut_lineage(matrix)
-    nn = neighbor_table if neighbor_table is not None else nearest_users(matrix, neighbors, **search)
+    nn = neighbor_table if neighbor_table is not None else nearest_users(matrix, neighbors, **{"written": True, **search})
     nb_rows = matrix.select(F.col("user_id").alias("neighbor_id"), "item_id",
                             F.col("score").alias("nb_score"))
-    cand = (nn.select("user_id", "neighbor_id").join(nb_rows, "neighbor_id")
-            .groupBy("user_id", "item_id").agg(F.sum("nb_score").alias("score")))
-    seen = matrix.where(F.col("score") != 0).select("user_id", "item_id")
-    cand = cand.join(seen, ["user_id", "item_id"], "left_anti").where(F.col("score") != 0)
+    cand = nn.select("user_id", "neighbor_id").join(nb_rows, "neighbor_id").select("user_id", "item_id", "nb_score", F.lit(False).alias("_seen"))
+    seen = matrix.where("score <> 0 and user_id is not null and item_id is not null").select(
+        "user_id", "item_id", F.lit(None).cast("double").alias("nb_score"), F.lit(True).alias("_seen"))
+    # one shuffle, by user: neighbour rows meet the user's own there, and the list is cut where they are summed
+    cand = (cand.unionByName(seen).repartition("user_id").groupBy("user_id", "item_id")
+            .agg(F.sum("nb_score").alias("score"), F.max("_seen").alias("_seen")).where(~F.col("_seen") & (F.col("score") != 0)).drop("_seen"))
     w = Window.partitionBy("user_id").orderBy(F.desc("score"), F.asc("item_id"))
     return (cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_n)
             .select("user_id", "rank", "item_id", "score"))
